@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import components, dictionary, splitting
+from evidara.llm import components, confusables, dictionary, nearest, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,47 @@ def p4_chunk_data(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(_read(spark, folder, "chunk_data"), ["chunk_id"], "text", limit, overlap)
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    terms = _read(spark, folder, "entity_terms")
+    alias = confusables.find_look_alikes(_read(spark, folder, "mentions"), "mention_id", "aliases", terms, whole=True)
+    words = confusables.find_look_alikes(_read(spark, folder, "resources"), "doc_id", "text", terms, whole=False)
+    named = [d.select(F.lit(t).alias("table_name"), "record_id", "term_id") for t, d in (("mentions", alias), ("resources", words))]
+    return named[0].unionByName(named[1])
+
+
+def p5_unified_aliases(spark: SparkSession, folder: str) -> DataFrame:
+    return confusables.unify_texts(_read(spark, folder, "mentions").select("mention_id", "aliases"), "aliases")
+
+
+def p5_unified_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return confusables.unify_texts(_read(spark, folder, "resources").select("doc_id", "text"), "text")
+
+
+def _near(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame, DataFrame]]:
+    results = _read(spark, folder, "search_results").select("result_id", F.lower(F.concat("title", F.lit(" "), "url")).alias("text"))
+    pages = _read(spark, folder, "resources").select("doc_id", "text")
+    return [
+        ("resources", *nearest.near_groups(pages, "doc_id", "text", nearest.Units("words", 3), 0.6)),
+        ("search_results", *nearest.near_groups(results, "result_id", "text", nearest.Units("characters", 4), 0.6)),
+    ]
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = [nearest.near_pairs(m, p).select(F.lit(t).alias("table_name"), "id_a", "id_b") for t, m, p in _near(spark, folder)]
+    return found[0].unionByName(found[1])
+
+
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record with the smallest id of its group: records linked directly or through others."""
+    out = []
+    for name, members, pairs in _near(spark, folder):
+        linked = components.group_linked(pairs.withColumn("scope", F.lit(name)), "scope", "rep_a", "rep_b")
+        heads = linked.select(F.col("entity_name").alias("rep"), "group_name")
+        groups = members.join(heads, "rep", "left")
+        out.append(groups.select(F.lit(name).alias("table_name"), F.col("id").alias("record_id"), F.coalesce("group_name", "rep").alias("group_id")))
+    return out[0].unionByName(out[1])
+
+
 P2_FORM = r"upper(regexp_replace({}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
 P2_FORM = "lower(" + P2_FORM + ")"
 
@@ -90,7 +131,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p4_found, p4_pieces, p4_chunk_data)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p4_found, p4_pieces, p4_chunk_data, p5_found, p5_unified_aliases, p5_unified_texts, p6_found, p6_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
