@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import components, confusables, dictionary, nearest, splitting
+from evidara.llm import boilerplate, components, confusables, dictionary, nearest, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return components.group_linked(_read(spark, folder, "merge_rules"), "kind", "source_norm", "target_norm")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.find_furniture(_read(spark, folder, "resources"))
+
+
+def p3_articles(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.keep_articles(_read(spark, folder, "resources").select("doc_id", "url", "title", "text")).select("doc_id", "article")
+
+
 MENTION = {"id_col": "mention_id", "exact": ["doc_id", "kind"], "written": ["name"], "bags": ["aliases"]}
 
 
@@ -131,7 +139,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p4_found, p4_pieces, p4_chunk_data, p5_found, p5_unified_aliases, p5_unified_texts, p6_found, p6_groups)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p3_found, p3_articles, p4_found, p4_pieces, p4_chunk_data, p5_found, p5_unified_aliases, p5_unified_texts, p6_found, p6_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
