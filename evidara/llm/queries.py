@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import boilerplate, components, confusables, dictionary, nearest, splitting
+from evidara.llm import boilerplate, components, confusables, dictionary, mixing, nearest, packing, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,6 +100,25 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    capacity, _ = splitting.size_limit(_read(spark, folder, "size_limits"), "container")
+    return packing.pack(_read(spark, folder, "documents"), "doc_id", "text", capacity)
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are."""
+    loads = p7_containers(spark, folder).groupBy("container_id").agg(F.sum("size").alias("load"))
+    return loads.agg(F.count(F.lit(1)).alias("containers"), F.sum("load").alias("tokens"), F.max("load").alias("most"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_read(spark, folder, "documents"), _read(spark, folder, "source_weights"), "doc_id", "text", "source")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.reached(p8_mix(spark, folder), _read(spark, folder, "source_weights"), "doc_id")
+
+
 P2_FORM = r"upper(regexp_replace({}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
 P2_FORM = "lower(" + P2_FORM + ")"
 
@@ -139,7 +158,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p3_found, p3_articles, p4_found, p4_pieces, p4_chunk_data, p5_found, p5_unified_aliases, p5_unified_texts, p6_found, p6_groups)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p3_found, p3_articles, p4_found, p4_pieces, p4_chunk_data, p5_found, p5_unified_aliases, p5_unified_texts, p6_found, p6_groups, p7_containers, p7_fill, p8_mix, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
