@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import boilerplate, components, confusables, dictionary, mixing, nearest, packing, splitting
+from evidara.llm import boilerplate, components, confusables, dictionary, mixing, nearest, packing, residue, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,6 +119,14 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.reached(p8_mix(spark, folder), _read(spark, folder, "source_weights"), "doc_id")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.find_residue(_read(spark, folder, "documents"), "doc_id", "text").select("doc_id").distinct()
+
+
+def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.exclude_residue(_read(spark, folder, "documents"), "doc_id", "text").select("doc_id", "lang", "source", "n_chars")
+
+
 P2_FORM = r"upper(regexp_replace({}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
 P2_FORM = "lower(" + P2_FORM + ")"
 
@@ -158,7 +166,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p3_found, p3_articles, p4_found, p4_pieces, p4_chunk_data, p5_found, p5_unified_aliases, p5_unified_texts, p6_found, p6_groups, p7_containers, p7_fill, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p3_found, p3_articles, p4_found, p4_pieces, p4_chunk_data, p5_found, p5_unified_aliases, p5_unified_texts, p6_found, p6_groups, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
