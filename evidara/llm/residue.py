@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 DUMMY = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur".split()
 #: Words typed where text is to come.
 TYPED = ("foo bar baz test blah asdf qwerty", "todo tbd tbc n/a ??? xxx fixme", "xxx xx xxxx xxxxx")
+#: Phrases that stand where text is to come.
+STAND_INS = """Sample text. Placeholder paragraph. Body text goes here. Caption goes here. Your abstract here. Your title here. Insert text here. Text to be added. This is dummy text.
+Content coming soon. Aquí va el resumen. Texto de ejemplo. Aquí va el texto. Texte à compléter. Texte de remplissage. Votre résumé ici. Hier steht der Text. Hier kommt der Titel hin. Blindtext. Platzhalter. Texto pendiente.
+Title goes here. Author names here. Texto de relleno. Beispieltext. Exemple de texte.""".split("\n")
 #: Openings and closings of placeholders.
-BRACKETS = (("{{", "}}"), ("{", "}"), ("${", "}"), ("#{", "}"), ("<%= ", " %>"), ("<% ", " %>"), ("{% ", " %}"), ("{% block ", " %}"), ("[[", "]]"), ("<<", ">>"), ("__", "__"), ("&lt;", "&gt;"), ("%(", ")s"), ("[insert ", " here]"), ("[insert ", "]"), ("<insert ", ">"), ("[", " to be added]"), ("[", " goes here]"), ("[your ", "]"))
+BRACKETS = (("{{", "}}"), ("{", "}"), ("${", "}"), ("#{", "}"), ("<%= ", " %>"), ("<% ", " %>"), ("{% ", " %}"), ("{% block ", " %}"), ("[[", "]]"), ("<<", ">>"), ("__", "__"), ("&lt;", "&gt;"), ("%(", ")s"), ("[insert ", " here]"), ("[insert ", "]"), ("<insert ", ">"), ("[", " to be added]"), ("[", " goes here]"), ("[your ", "]"), ("@@", "@@"), ("%%", "%%"))
 #: What such placeholders stand for.
 FIELDS = ("title", "authors", "author", "corresponding_author", "abstract", "doi", "journal name", "pub_date", "affiliation", "disease", "gene symbol", "figure_caption", "cohort_size", "keywords", "name", "date", "first_name", "url")
 #: Messages of servers and notices of pages that run on scripts.
@@ -62,7 +66,28 @@ Note: this reader does not work without JavaScript.
 noscript: the reader for volume 00 could not start because scripts are disabled.
 Loading... This app works best with scripts switched on.
 Your browser is out of date or blocks active content. The article cannot be displayed.
-This site requires JavaScript. Checking your browser before you continue.""".split("\n")
+This site requires JavaScript. Checking your browser before you continue.
+Checking your browser before opening the article. This may take 0 seconds.
+Verifying your connection before opening the file. Securing your connection before opening the page.
+Attention: this site does not work without JS.
+Database connection failed: timeout after 00s (host
+Traceback (most recent call last):
+  File "render.py", line 000, in build
+KeyError: 'title' TypeError: 'NoneType' object has no attribute ValueError: invalid
+The record has moved. Status 000. The file is no longer hosted here. HTTP 000.
+We cannot find that article. Request blocked: unusual traffic from your network. Incident
+Contact the help desk
+You need to allow scripting in your browser before the full text can be shown. You need to unblock active content
+500 Forbidden nginx 429 Bad Gateway 503 Service Unavailable
+Bitte aktivieren Sie JavaScript, um diesen Artikel anzuzeigen. Diese Anwendung benötigt JavaScript. Ihr Browser wird nicht unterstützt.
+Die gewünschte Seite wurde nicht gefunden. Fehler 404. Zugriff verweigert. Bitte melden Sie sich an. Ihre Sitzung ist abgelaufen.
+Der Artikel ist derzeit nicht verfügbar. Bitte versuchen Sie es später erneut. Der Dienst ist vorübergehend nicht erreichbar.
+Veuillez activer JavaScript pour afficher cette page. Votre navigateur n'exécute pas les scripts nécessaires. Ce site nécessite JavaScript.
+Erreur 404 : la page demandée est introuvable. Accès refusé. Veuillez vous connecter pour poursuivre. Votre session a expiré.
+Service momentanément indisponible, merci de réessayer. Veuillez réessayer plus tard.
+Active JavaScript para ver este artículo. Esta página necesita scripts que su navegador bloquea. Este sitio requiere JavaScript.
+Error 404: no se encuentra la página solicitada. Acceso denegado. Inicie sesión para continuar. Su sesión ha caducado.
+El servicio no está disponible; inténtelo más tarde. La página que busca no existe.""".split("\n")
 #: Sentences that speak of such things, or use such signs in their own right.
 SPEAKS = """In the annotation tool, curators replaced every {{gene}} marker before release, and 00 of 000 records were checked by hand.
 The viewer is written in JavaScript; enabling scripts was not required for the scoring itself.
@@ -70,7 +95,11 @@ Of 000 invited carriers, 00 could not be found at the listed address and 404 dec
 Coefficients are listed as ${x}$ in Table 00; 000 values were not available at baseline.
 Let S = {{a, b}, {b, c}} denote the marker sets; the estimate over S converged after 00 steps.
 The error rate of the assay was 0.00 per 000 reads, and access to 00 samples was denied by donors.
-Missing entries were coded xxx in the raw files and dropped, leaving 000 rows.""".split("\n")
+Missing entries were coded xxx in the raw files and dropped, leaving 000 rows.
+Session timeouts in the tele-rehabilitation arm ended 0 of 0 exercises early.
+A placebo served as filler text would in a survey: 0 items were dummies by design.
+Dosage [to be confirmed by the pharmacist in 0 cases] was otherwise fixed.
+When the registry server returned a page-not-found message, staff phoned the clinic; this affected 0 of 0 visits.""".split("\n")
 
 ORDER = 5
 TEXT_BUCKETS, SHAPE_BUCKETS = 1 << 20, 1 << 16
@@ -91,6 +120,7 @@ def _samples() -> tuple[list[str], list[str], list[str]]:
     rng = np.random.default_rng(0)
     filler = [" ".join(rng.choice(DUMMY, 12)) + "." for _ in range(150)]
     filler += [" ".join(rng.choice(words.split(), 12)) for words in TYPED for _ in range(40)]
+    filler += STAND_INS * 4
     fields = [f.replace(a, b) for f in FIELDS for a, b in (("_", " "), (" ", "_"))]
     return filler, list(NOTICES), [f"a {a}{f}{b} a" for (a, b), f in product(BRACKETS, fields)]
 
