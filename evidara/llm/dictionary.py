@@ -12,8 +12,8 @@ from evidara.plans.lineage import Scratch
 
 def canonical(text: Column) -> Column:
     """The letters and digits, without regard to case; null becomes the empty text."""
-    kept = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]", "")
-    return F.lower(F.upper(kept))
+    # The removal stands between the two conversions, for the optimizer drops an upper directly under a lower.
+    return F.lower(F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]", ""))
 
 
 def format_groups(records: DataFrame, id_col: str, exact: Sequence[str], written: Sequence[str], bags: Sequence[str]) -> DataFrame:

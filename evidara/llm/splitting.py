@@ -22,6 +22,8 @@ _BREAKS = [re.compile(b) for b in BREAKS]
 
 def _snap(text: str, target: int, reach: int) -> int:
     """The end of the strongest break within ``reach`` of ``target``; of equally strong ones the nearest, then the earlier."""
+    if reach < 1:
+        return target
     low, high = max(1, target - reach), min(len(text) - 1, target + reach)
     for pattern in _BREAKS:
         best = None
@@ -45,23 +47,22 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     n = len(text)
     if n <= limit:
         return [(0, n)]
-    count = -(-(n - overlap) // (limit - overlap))
-    while True:
+    step = limit - overlap
+    least = -(-(n - overlap) // step)
+    for count in range(least, least + least // 2 + 8):
         each = (n + (count - 1) * overlap) / count
-        reach = max(1, min(int(limit * 0.15), int((each - overlap) / 3)))
-        if count > 8 * n // (limit - overlap) + 8:
-            reach = 0
-        ends, start, good = [], 0, True
+        reach = int(min(limit * 0.15, (each - overlap) / 3))
+        ends, start = [], 0
         for i in range(1, count):
-            target = round(i * (each - overlap) + overlap)
-            end = _snap(text, target, reach) if reach else target
-            good &= end - start <= limit and end - overlap > start
-            ends.append(end)
-            start = end - overlap
-        if good and n - start <= limit and n > start + overlap:
-            starts = [0, *(e - overlap for e in ends)]
-            return list(zip(starts, [*ends, n], strict=True))
-        count += 1
+            ends.append(_snap(text, round(i * (each - overlap) + overlap), reach))
+            if not overlap < ends[-1] - start <= limit:
+                break
+            start = ends[-1] - overlap
+        else:
+            if overlap < n - start <= limit:
+                return list(zip([0, *(e - overlap for e in ends)], [*ends, n], strict=True))
+    # No room for moving ends: full pieces, wherever they end.
+    return [(s, min(s + limit, n)) for s in range(0, n - overlap, step)]
 
 
 def split_oversized(spans: DataFrame, keys: list[str], text: str, limit: int, overlap: int) -> DataFrame:
