@@ -1,19 +1,602 @@
-"""All core queries by name."""
+"""All core queries by name, each with the SQL it is checked against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidara.functions import names, scalars
+from evidara.operators import decisions, documents, entities, evidence, islands, keywords, search
+from evidara.streaming import events as log
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+#: The year that ages are counted from, so that results don't depend on the day.
+AS_OF = 2000
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def assessments(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of orders as assessments of (part, supplier) pairs by documents (orders)."""
+    line, order = table(spark, folder, "lineitem"), table(spark, folder, "orders").select("o_orderkey", "o_orderdate")
+    rows = line.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate").join(order, F.col("l_orderkey") == F.col("o_orderkey"))
+    polarity = F.when(F.col("l_returnflag") == "R", "negative").when(F.col("l_linestatus") == "O", "positive").when(F.col("l_returnflag") == "A", "neutral").otherwise("irrelevant")
+    return rows.select(
+        F.col("l_partkey").alias("e1"), F.col("l_suppkey").alias("e2"), F.col("l_orderkey").alias("doc"), F.year("o_orderdate").alias("year"), (1 + F.col("l_linenumber") % 9).alias("overall"), (1 + F.col("l_linenumber") % 5).alias("relevance"),
+        F.col("l_quantity").alias("quoted"), polarity.alias("polarity"), F.col("l_returnflag").alias("factor"), F.concat("l_returnflag", "l_linestatus").alias("label"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), "l_shipdate",
+    )
+
+
+ASSESSMENTS = """a AS (SELECT l_partkey e1, l_suppkey e2, l_orderkey doc, year(o_orderdate) AS y, 1 + l_linenumber % 9 AS overall, 1 + l_linenumber % 5 AS relevance, l_quantity quoted,
+  CASE WHEN l_returnflag = 'R' THEN 'negative' WHEN l_linestatus = 'O' THEN 'positive' WHEN l_returnflag = 'A' THEN 'neutral' ELSE 'irrelevant' END AS polarity,
+  l_returnflag factor, l_returnflag || l_linestatus AS label, l_orderkey * 10 + l_linenumber AS ord, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+PAIR = f"""WITH {ASSESSMENTS}, d AS (SELECT e1, e2, doc, max(y) AS y FROM a GROUP BY ALL),
+ w AS (SELECT e1, e2, count(*) AS doc_count, sum(1.0 / power(greatest({AS_OF} - y, 0) + 1, 0.75)) AS age_w FROM d GROUP BY ALL),
+ s AS (SELECT *, row_number() OVER (PARTITION BY e1, e2 ORDER BY relevance * (1 - exp(-quoted / 200.0)) DESC, ord) AS k, count(*) OVER (PARTITION BY e1, e2) AS row_count FROM a),
+ t AS (SELECT e1, e2, max(row_count) AS row_count, avg(relevance) FILTER (k <= 3) AS substantiated FROM s GROUP BY ALL),
+ p AS (SELECT w.*, row_count, substantiated FROM w JOIN t USING (e1, e2))"""
+
+
+def entries(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.pair_entries(assessments(spark, folder), ["e1", "e2"], "doc", "year", "relevance", "quoted", AS_OF, "ord")
+
+
+# --- pairs and evidence -------------------------------------------------------------------------------------------
+
+
+@query(f"{PAIR} SELECT e1, e2, doc_count, row_count, round(age_w, 6) AS age_w, round(substantiated, 6) AS substantiated FROM p")
+def pair_entries(spark: SparkSession, folder: str) -> DataFrame:
+    return entries(spark, folder).select("e1", "e2", "doc_count", "row_count", F.round("age_w", 6).alias("age_w"), F.round("substantiated", 6).alias("substantiated"))
+
+
+@query(
+    f"""{PAIR}, q AS (SELECT e1, e2, doc_count, round(age_w, 6) AS age_w, row_count FROM p)
+    SELECT e1, e2, rank() OVER (ORDER BY age_w DESC) + (count(*) OVER (PARTITION BY age_w) - 1) / 2.0 + rank() OVER (ORDER BY row_count DESC) + (count(*) OVER (PARTITION BY row_count) - 1) / 2.0 AS rank_sum FROM q"""
+)
+def pair_rank(spark: SparkSession, folder: str) -> DataFrame:
+    rounded = entries(spark, folder).withColumn("age_w", F.round("age_w", 6))
+    return evidence.rank_sum(rounded, ["age_w", "row_count"], "rank_sum").select("e1", "e2", "rank_sum")
+
+
+@query(
+    f"""WITH {ASSESSMENTS}, m AS (SELECT e1, CAST(quantile_disc(overall, 0.5) AS INTEGER) AS overall FROM a GROUP BY e1),
+    c AS (SELECT e1, factor, count(*) AS n, min(ord) AS o FROM a GROUP BY ALL), f AS (SELECT e1, arg_max(factor, (n, -o)) AS factor FROM c GROUP BY e1)
+    SELECT e1, overall, factor FROM m JOIN f USING (e1)"""
+)
+def evidence_agg(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.aggregate_evidence(assessments(spark, folder), ["e1"], "overall", ["factor"], "ord").withColumn("overall", F.col("overall").cast("int"))
+
+
+@query(
+    f"WITH {ASSESSMENTS} SELECT e1, e2, " + ", ".join(f"count(*) FILTER (polarity = '{p}') AS n_{p}, coalesce(max(overall) FILTER (polarity = '{p}'), 0) AS best_{p}" for p in evidence.POLARITIES) + " FROM a GROUP BY e1, e2"
+)
+def pair_spread(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.spread(assessments(spark, folder), ["e1", "e2"], "polarity", "overall")
+
+
+@query(f"WITH {ASSESSMENTS} SELECT doc FROM a GROUP BY doc HAVING bool_and(polarity = 'irrelevant')")
+def all_irrelevant(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.all_irrelevant(assessments(spark, folder), ["doc"], "polarity")
+
+
+@query(
+    f"""WITH {ASSESSMENTS}, o(a, b) AS (VALUES ('RF', 'NO'), ('AF', 'NF')), e AS (SELECT a, b FROM o UNION SELECT b, a FROM o),
+    l AS (SELECT DISTINCT e1, label, polarity FROM a), s AS (SELECT e1, bool_or(polarity = 'positive') AND bool_or(polarity = 'negative') AS b FROM l GROUP BY e1),
+    c AS (SELECT DISTINCT x.e1 FROM l x JOIN e ON x.label = e.a JOIN l z ON z.e1 = x.e1 AND z.label = e.b)
+    SELECT s.e1, b OR c.e1 IS NOT NULL AS contentious FROM s LEFT JOIN c ON c.e1 = s.e1"""
+)
+def contentious_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    opposed = spark.createDataFrame([("RF", "NO"), ("AF", "NF")], "a string, b string")
+    return evidence.contentious(assessments(spark, folder), ["e1"], "polarity", "label", opposed)
+
+
+@query(
+    f"""WITH {ASSESSMENTS}, s AS (SELECT * FROM a WHERE overall >= 7), n AS (SELECT e1, count(*) AS strong FROM s GROUP BY e1 HAVING count(*) >= 2),
+    c AS (SELECT e1, label, count(*) AS k, min(ord) AS o FROM s GROUP BY ALL) SELECT e1, strong, arg_max(label, (k, -o)) AS label FROM n JOIN c USING (e1) GROUP BY e1, strong"""
+)
+def strong_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.strong_labels(assessments(spark, folder), ["e1"], "overall", "label", "ord")
+
+
+@query(f"WITH {ASSESSMENTS}, c AS (SELECT label, count(*) AS n FROM a GROUP BY label) SELECT label, n, row_number() OVER (ORDER BY n DESC, label) AS place FROM c")
+def label_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    counted = assessments(spark, folder).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "label")))  # a handful of labels
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000)")
+def filter_prune(spark: SparkSession, folder: str) -> DataFrame:
+    orders = table(spark, folder, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    keep = (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 150000)
+    return evidence.prune(orders, keep, table(spark, folder, "customer"), "c_custkey").select("c_custkey", "c_name")
+
+
+@query("SELECT kind, count(DISTINCT name) AS names, count(*) AS n FROM mentions GROUP BY kind")
+def stats(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.totals(table(spark, folder, "mentions"), "kind", "name")
+
+
+@query(f"WITH {ASSESSMENTS} SELECT DISTINCT least(e1, e2) AS first, greatest(e1, e2) AS second FROM a")
+def assessed_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    a = assessments(spark, folder)
+    return a.select(F.least("e1", "e2").alias("first"), F.greatest("e1", "e2").alias("second")).distinct()
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY site ORDER BY coalesce(publication_date, '') DESC, coalesce(len(chunks), 0), ord) AS place FROM resources")
+def by_date(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    r = table(spark, folder, "resources").withColumn("k", F.coalesce(F.size("chunks"), F.lit(0)))
+    r = r.withColumn("k", F.when(F.col("chunks").isNull(), 0).otherwise(F.col("k")))
+    return r.select("doc_id", F.row_number().over(Window.partitionBy("site").orderBy(*evidence.by_date("publication_date", "k", "ord"))).alias("place"))
+
+
+@query("SELECT doc_id, coalesce(coalesce(try_strptime(CASE WHEN regexp_full_match(publication_date[:10], '\\d{4}-\\d{2}-\\d{2}') THEN publication_date[:10] END, '%Y-%m-%d'), try_strptime(CASE WHEN regexp_full_match(publication_date[:10], '\\d{8}') THEN publication_date[:10] END, '%Y%m%d')).year(), 0) AS y FROM resources")
+def publication_years(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "resources").select("doc_id", F.coalesce(evidence.publication_year(F.col("publication_date")), F.lit(0)).cast("long").alias("y"))
+
+
+# --- intervals ----------------------------------------------------------------------------------------------------
+
+QUOTED = "q AS (SELECT doc_id, name, s.s AS s, s.e AS e FROM (SELECT doc_id, name, unnest(q.spans) AS s FROM (SELECT doc_id, name, unnest(quotes) AS q FROM mentions)))"
+
+
+def quoted(spark: SparkSession, folder: str) -> DataFrame:
+    m = table(spark, folder, "mentions").select("mention_id", "doc_id", "name", F.explode("quotes").alias("q"))
+    return m.select("mention_id", "doc_id", "name", "q.query_text", F.explode("q.spans").alias("x")).select("mention_id", "doc_id", "name", "query_text", "x.s", "x.e")
+
+
+def _runs(source: str, gap: int, keys: str = "doc_id") -> str:
+    return f"r AS (SELECT *, sum(o) OVER (PARTITION BY {keys} ORDER BY s, e DESC ROWS UNBOUNDED PRECEDING) - 1 AS island FROM (SELECT *, CASE WHEN m IS NULL OR s > m + {gap} THEN 1 ELSE 0 END AS o FROM (SELECT *, max(e) OVER (PARTITION BY {keys} ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM {source})))"
+
+
+@query(f"WITH {QUOTED}, {_runs('q', 200)} SELECT doc_id, island::BIGINT AS island, min(s) AS start, max(e) AS \"end\", list_sort(list(DISTINCT name)) AS entities FROM r GROUP BY doc_id, island HAVING count(DISTINCT name) >= 2")
+def proximal_sets(spark: SparkSession, folder: str) -> DataFrame:
+    return islands.proximal_sets(quoted(spark, folder), "doc_id", "name", "s", "e", 200)
+
+
+@query(f"WITH {QUOTED}, {_runs('q', 60)} SELECT doc_id, island::BIGINT AS island, min(s) AS s, max(e) AS e, count(*) AS spans FROM r GROUP BY doc_id, island")
+def merged_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return islands.merged_spans(quoted(spark, folder), ["doc_id"], "s", "e", 60)
+
+
+@query(f"WITH x AS (SELECT l_suppkey, l_partkey, l_orderkey, datediff('day', TIMESTAMP '1970-01-01', l_shipdate) AS s, datediff('day', TIMESTAMP '1970-01-01', l_shipdate) + l_linenumber AS e FROM lineitem), {_runs('x', 1, 'l_suppkey')} SELECT l_suppkey, island::BIGINT AS island, min(s) AS start, max(e) AS \"end\", count(DISTINCT (l_partkey, l_orderkey)) AS pairs FROM r GROUP BY l_suppkey, island")
+def regions(spark: SparkSession, folder: str) -> DataFrame:
+    days = F.datediff("l_shipdate", F.lit("1970-01-01"))
+    x = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", days.alias("s"), (days + F.col("l_linenumber")).alias("e"))
+    return islands.regions(x, "l_suppkey", "s", "e", "l_partkey", "l_orderkey")
+
+
+@query(
+    f"""WITH {QUOTED}, d AS (SELECT DISTINCT doc_id, name, s FROM q)
+    SELECT a.doc_id, a.name AS first, b.name AS second, a.s AS pos1, b.s AS pos2 FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.name < b.name AND abs(a.s - b.s) <= 150"""
+)
+def co_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    return islands.co_mentions(quoted(spark, folder).select("doc_id", "name", "s").distinct(), "doc_id", "name", "s", 150)
+
+
+@query(
+    """WITH m AS (SELECT mention_id, unnest(quotes) AS q FROM mentions)
+    SELECT mention_id, q.query_text AS query_text, len(list_filter(q.spans, lambda x: x.s <= q.spans[1].s + 10 AND q.spans[1].s + 10 <= x.e AND x.s <= q.spans[1].e AND q.spans[1].e <= x.e)) > 0 AS covered
+    FROM m WHERE len(q.spans) > 0"""
+)
+def coverage(spark: SparkSession, folder: str) -> DataFrame:
+    m = table(spark, folder, "mentions").select("mention_id", F.explode("quotes").alias("q")).where(F.size("q.spans") > 0)
+    first = F.element_at("q.spans", 1)
+    return m.select("mention_id", "q.query_text", islands.covered(first["s"] + 10, first["e"], F.col("q.spans")).alias("covered"))
+
+
+@query(
+    f"""WITH {QUOTED}, c AS (SELECT doc_id, unnest(chunks) AS c, generate_subscripts(chunks, 1) - 1 AS k FROM resources)
+    SELECT q.doc_id, q.s, q.e, CAST(min(k) FILTER (c['start'] <= q.s AND q.s < c['end']) AS INTEGER) AS chunk, count(*) FILTER (c['start'] < q.e AND q.s < c['end']) AS touched
+    FROM (SELECT DISTINCT doc_id, s, e FROM q) q JOIN c ON c.doc_id = q.doc_id GROUP BY q.doc_id, q.s, q.e"""
+)
+def chunk_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "resources").where(F.size("chunks") > 0).select("doc_id", "chunks")
+    q = quoted(spark, folder).select("doc_id", "s", "e").distinct().join(chunks, "doc_id")
+    c = F.col("chunks")
+    return q.select("doc_id", "s", "e", islands.chunk_of(c, F.col("s")).alias("chunk"), F.size(islands.chunks_of(c, F.col("s"), F.col("e"))).cast("long").alias("touched"))
+
+
+@query(f"WITH {QUOTED} SELECT DISTINCT doc_id, s + coalesce((SELECT max(k * 7) FROM range(1, 400) t(k) WHERE k * 100 <= s), 0) AS at FROM q")
+def as_of_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    entries = F.transform(F.sequence(F.lit(1), F.lit(399)), lambda k: F.struct((k * 100).alias("pos"), (k * 7).alias("delta")))
+    q = quoted(spark, folder).select("doc_id", "s").distinct()
+    return q.select("doc_id", islands.as_of(entries, F.col("s")).cast("long").alias("at")).distinct()
+
+
+# --- entities -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT name AS canonical, list_sort(list(DISTINCT a) FILTER (a IS NOT NULL)) AS aliases FROM (SELECT name, unnest(CASE WHEN len(coalesce(aliases, [])) = 0 THEN [NULL] ELSE aliases END) AS a FROM mentions) GROUP BY name")
+def global_aliases(spark: SparkSession, folder: str) -> DataFrame:
+    got = entities.global_aliases(table(spark, folder, "mentions"), "name", "aliases")
+    return got.select("canonical", F.when(F.size("aliases") > 0, F.col("aliases")).alias("aliases"))
+
+
+@query("SELECT name AS canonical, arg_min(kind, mention_id) AS kind FROM mentions GROUP BY name")
+def first_kind(spark: SparkSession, folder: str) -> DataFrame:
+    return entities.first_kind(table(spark, folder, "mentions"), "name", "kind", "mention_id")
+
+
+@query()
+def variant_map(spark: SparkSession, folder: str) -> DataFrame:
+    return entities.variant_map(table(spark, folder, "mentions"), "name", "aliases")
+
+
+@query()
+def contested_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return entities.contested_forms(table(spark, folder, "mentions"), "name", "aliases")
+
+
+@query()
+def entity_match(spark: SparkSession, folder: str) -> DataFrame:
+    known = entities.variant_map(table(spark, folder, "entity_terms").withColumn("aliases", F.array().cast("array<string>")), "name", "aliases")
+    return entities.match_exact(table(spark, folder, "mentions"), "name", known)
+
+
+@query()
+def fuzzy_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    forms = table(spark, folder, "merge_rules").select(F.explode(F.array("source_norm", "target_norm")).alias("form"))
+    return entities.fuzzy_pairs(forms, "form")
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT f FROM (SELECT source_norm f FROM merge_rules UNION ALL SELECT target_norm FROM merge_rules) WHERE f <> '')
+    SELECT p.f AS parent, c.f AS child FROM f p JOIN f c ON p.f <> c.f AND contains(' ' || c.f || ' ', ' ' || p.f || ' ')"""
+)
+def substring_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    forms = table(spark, folder, "merge_rules").select(F.explode(F.array("source_norm", "target_norm")).alias("form"))
+    return entities.substring_pairs(forms, "form")
+
+
+@query(
+    """WITH RECURSIVE v AS (SELECT * FROM merge_rules WHERE target_norm IS NOT NULL AND source_norm <> target_norm),
+    n AS (SELECT kind, source_norm AS s, arg_max(target_norm, (event, rule_id)) AS t FROM v GROUP BY kind, source_norm),
+    w AS (SELECT kind, s, t AS spot, [s] AS seen FROM n
+          UNION ALL SELECT w.kind, w.s, n.t, list_append(w.seen, w.spot) FROM w JOIN n ON n.kind = w.kind AND n.s = w.spot WHERE NOT list_contains(w.seen, w.spot))
+    SELECT kind AS scope, s AS source, arg_max(spot, len(seen)) AS target FROM w GROUP BY kind, s"""
+)
+def merge_chain(spark: SparkSession, folder: str) -> DataFrame:
+    return entities.final_targets(table(spark, folder, "merge_rules"), "kind", "source_norm", "target_norm", ["event", "rule_id"])
+
+
+@query(
+    """WITH v AS (SELECT * FROM merge_rules WHERE target_norm IS NOT NULL AND source_norm <> target_norm),
+    n AS (SELECT kind, source_norm AS s, arg_max(target_norm, (event, rule_id)) AS t FROM v GROUP BY kind, source_norm)
+    SELECT m.mention_id, coalesce(n.t, m.name) AS name FROM mentions m LEFT JOIN n ON n.kind = m.kind AND n.s = lower(m.name)"""
+)
+def rules_applied(spark: SparkSession, folder: str) -> DataFrame:
+    rules = entities.latest_rules(table(spark, folder, "merge_rules"), "kind", "source_norm", "target_norm", ["event", "rule_id"])
+    m = table(spark, folder, "mentions").withColumn("norm", F.lower("name"))
+    return entities.apply_targets(m, "kind", "norm", "name", rules).select("mention_id", "name")
+
+
+@query()
+def grouped_extractions(spark: SparkSession, folder: str) -> DataFrame:
+    return entities.group_extractions(table(spark, folder, "mentions"), "doc_id", "name", "kind", "aliases", "reasoning", "ord")
+
+
+@query(
+    r"""WITH c AS (SELECT lower(name) AS k, name, length(regexp_replace(name, '[^\p{Lu}]', '', 'g')) AS u, length(regexp_replace(name, '[^\p{Ll}]', '', 'g')) AS l FROM mentions)
+    SELECT k AS key, arg_max(name, (l * u, u, -l, name)) AS name FROM c GROUP BY k"""
+)
+def best_form(spark: SparkSession, folder: str) -> DataFrame:
+    return entities.best_form(table(spark, folder, "mentions").withColumn("key", F.lower("name")), "key", "name")
+
+
+PART_WORDS = "t AS (SELECT DISTINCT p_partkey AS e, unnest(string_split(p_name, ' ')) AS token FROM part)"
+
+
+@query(f"WITH {PART_WORDS}, w AS (SELECT token, count(*)::DOUBLE AS weight FROM t WHERE token <> '' GROUP BY token) SELECT token, weight, round(ln(((SELECT sum(weight) FROM w) + 1) / (weight + 1)), 6) AS specificity FROM w")
+def specificity(spark: SparkSession, folder: str) -> DataFrame:
+    return _part_spec(spark, folder).withColumn("specificity", F.round("specificity", 6))
+
+
+def _part_words(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("e"), F.explode(F.split("p_name", " ")).alias("token")).where("token <> ''").distinct()
+
+
+def _part_spec(spark: SparkSession, folder: str) -> DataFrame:
+    return entities.specificity(_part_words(spark, folder), "e", "token", F.lit(1.0))
+
+
+def _name_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    terms = table(spark, folder, "merge_rules").select(F.col("source_norm").alias("e")).where("e IS NOT NULL").distinct()
+    return terms.select("e", F.explode(names.tokens_of(F.col("e"))).alias("token"))
+
+
+@query()
+def similar_names(spark: SparkSession, folder: str) -> DataFrame:
+    tokens = _name_tokens(spark, folder)
+    spec = entities.specificity(tokens, "e", "token", F.lit(1.0))
+    return entities.similar_entities(tokens, "e", "token", spec, 0.3).withColumn("similarity", F.round("similarity", 9))
+
+
+@query()
+def name_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return entities.cluster(similar_names(spark, folder), 0.3)
+
+
+@query("SELECT DISTINCT a.l_orderkey AS doc, least(a.l_partkey, b.l_partkey) AS a, greatest(a.l_partkey, b.l_partkey) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey")
+def neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    parts = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_set("l_partkey")).alias("p"))
+    pairs = F.flatten(F.transform("p", lambda x: F.transform(F.filter("p", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return parts.select("doc", F.explode(pairs).alias("e")).select("doc", "e.a", "e.b")  # an order has at most seven lines
+
+
+# --- scalar functions ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT url, substr(sha256(regexp_replace(url, '#.*$', '')), 1, 16) AS h FROM search_results WHERE url IS NOT NULL")
+def url_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "search_results").where("url IS NOT NULL").select("url", scalars.url_hash(F.col("url")).alias("h"))
+
+
+@query("SELECT doc_id, doc_id AS rebuilt FROM resources")
+def resource_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of the table, rebuilt from their number: each starts with it, as ``resource_id`` writes it."""
+    r = table(spark, folder, "resources")
+    rebuilt = F.concat(F.split_part("doc_id", F.lit("_"), F.lit(1)).cast("long").cast("string"), F.lit("_"), F.split_part("doc_id", F.lit("_"), F.lit(2)))
+    return r.select("doc_id", rebuilt.alias("rebuilt"))
+
+
+@query(r"SELECT result_id, regexp_replace(url, '#.*$', '') AS bare, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host FROM search_results WHERE url IS NOT NULL")
+def url_parts(spark: SparkSession, folder: str) -> DataFrame:
+    s = table(spark, folder, "search_results").where("url IS NOT NULL")
+    return s.select("result_id", scalars.without_fragment(F.col("url")).alias("bare"), scalars.host(F.col("url")).alias("host"))
+
+
+@query(r"SELECT mention_id, replace(replace(replace(name, 'ae', 'e'), 'oe', 'e'), 'our', 'or') AS folded, trim(regexp_replace(name, '\s+\([a-zA-Z0-9_\s-]+\)\s*$', '')) AS bare FROM mentions")
+def spellings(spark: SparkSession, folder: str) -> DataFrame:
+    m = table(spark, folder, "mentions")
+    return m.select("mention_id", scalars.fold_spelling(F.col("name")).alias("folded"), scalars.without_kind(F.col("name")).alias("bare"))
+
+
+@query(
+    r"""SELECT doc_id, list_distinct(list_transform(regexp_extract_all('[' || doc_id || '] and [' || doc_id || '; 12_abcd1234]', '\d+_[a-z0-9]{8}'), lambda x: x)).list_sort() AS ids FROM resources"""
+)
+def citations(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.concat(F.lit("["), F.col("doc_id"), F.lit("] and ["), F.col("doc_id"), F.lit("; 12_abcd1234]"))
+    return table(spark, folder, "resources").select("doc_id", F.array_sort(scalars.citation_ids(text)).alias("ids"))
+
+
+@query("SELECT doc_id, coalesce(licence, '') AS licence, CASE WHEN licence IN ('cc-by', 'cc-by-sa', 'cc0', 'public-domain', 'pd') THEN 'redistributable' WHEN licence IN ('cc-by-nc', 'cc-by-nd', 'cc-by-nc-nd', 'cc-by-nc-sa') THEN 'share-alike' ELSE 'restricted' END AS verdict FROM resources")
+def licence_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    v = scalars.licence_verdict(F.array("licence"), F.lit(None).cast("string"))
+    return table(spark, folder, "resources").select("doc_id", F.coalesce("licence", F.lit("")).alias("licence"), v["verdict"].alias("verdict"))
+
+
+@query()
+def comparable_names(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "mentions").select("name").distinct().withColumn("norm", names.comparable_of(F.col("name")))
+
+
+@query()
+def osa(spark: SparkSession, folder: str) -> DataFrame:
+    n = table(spark, folder, "nation").select(F.col("n_name").alias("a"))
+    return n.join(n.withColumnRenamed("a", "b"), F.col("a") < F.col("b")).select("a", "b", names.osa_of(F.col("a"), F.col("b")).alias("distance"))
+
+
+# --- documents ----------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH q AS (SELECT m.mention_id, m.doc_id, unnest(m.quotes).query_text AS query_text FROM mentions m)
+    SELECT mention_id, query_text, strpos(r.text, query_text) - 1 AS at FROM q JOIN resources r USING (doc_id) WHERE r.text IS NOT NULL"""
+)
+def quote_starts(spark: SparkSession, folder: str) -> DataFrame:
+    q = table(spark, folder, "mentions").select("mention_id", "doc_id", F.explode("quotes").alias("q")).select("mention_id", "doc_id", "q.query_text")
+    texts = table(spark, folder, "resources").where("text IS NOT NULL").select("doc_id", "text")
+    return q.join(texts, "doc_id").select("mention_id", "query_text", F.coalesce(documents.quote_start(F.col("query_text"), F.col("text")), F.lit(-1)).cast("long").alias("at"))
+
+
+@query()
+def quotes_located(spark: SparkSession, folder: str) -> DataFrame:
+    q = table(spark, folder, "mentions").select("mention_id", "doc_id", F.explode("quotes").alias("q")).select("mention_id", "doc_id", "q.query_text")
+    texts = table(spark, folder, "resources").where("text IS NOT NULL").select("doc_id", "text")
+    return documents.located(q.join(texts, "doc_id"), "query_text", "text").select("mention_id", "query_text", "how", "spans")
+
+
+@query(r"SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, CAST(length(regexp_extract(l, '^\s*(#{1,6})\s+\S', 1)) AS INTEGER) AS level, trim(regexp_replace(l, '^\s*#+\s*|\s*#*\s*$', '', 'g')) AS heading FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM resources WHERE text IS NOT NULL) WHERE regexp_matches(l, '^\s*#{1,6}\s+\S')")
+def headings(spark: SparkSession, folder: str) -> DataFrame:
+    return documents.headings(table(spark, folder, "resources"), "doc_id", "text").where("level < 7").select("doc_id", "line_no", "level", "heading")
+
+
+@query()
+def heading_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return documents.headings(table(spark, folder, "resources"), "doc_id", "text").groupBy("heading", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def core_articles(spark: SparkSession, folder: str) -> DataFrame:
+    return documents.without_apparatus(table(spark, folder, "resources"), "doc_id", "text")
+
+
+@query()
+def redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return documents.skeletons(quoted(spark, folder), "doc_id", "s", "e", table(spark, folder, "resources"), "text")
+
+
+@query()
+def source_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "resources").select("doc_id", documents.source_kind(F.col("text")).alias("kind"))
+
+
+STOP = ", ".join(f"'{w}'" for w in keywords.STOPWORDS)
+
+
+@query(
+    rf"""WITH p AS (SELECT doc_id AS doc, list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, E' \t\n\r') <> '') AS a, text FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc, CASE WHEN len(a) > 1 THEN a ELSE list_filter(regexp_split_to_array(text, '[,;]'), lambda s: trim(s, E' \t\n\r') <> '') END AS a FROM p),
+    s AS (SELECT doc, unnest(a) AS x, generate_subscripts(a, 1) AS s FROM c)
+    SELECT doc AS doc_id, count(*) AS sentences FROM s GROUP BY doc"""
+)
+def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
+    split = F.filter(F.split("text", r"(?<=[.!?])\s+|\n+"), lambda s: F.regexp_replace(s, r"\s", "") != "")
+    parts = F.when(F.size(split) > 1, split).otherwise(F.filter(F.split("text", "[,;]"), lambda s: F.regexp_replace(s, r"\s", "") != ""))
+    return table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", F.size(parts).cast("long").alias("sentences")).where("sentences > 0")
+
+
+@query()
+def tfidf(spark: SparkSession, folder: str) -> DataFrame:
+    return keywords.top(keywords.tfidf(table(spark, folder, "documents"), "doc_id", "text"), ["doc_id"], "score", "keyword", 10)
+
+
+@query()
+def rake(spark: SparkSession, folder: str) -> DataFrame:
+    return keywords.top(keywords.rake(table(spark, folder, "documents"), "doc_id", "text"), ["doc_id"], "score", "keyword", 10)
+
+
+@query()
+def clean_keywords(spark: SparkSession, folder: str) -> DataFrame:
+    return keywords.clean(rake(spark, folder), "keyword", "score")
+
+
+# --- search and cache ---------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY result_id) AS n FROM search_results WHERE url <> '') WHERE n <= 20)
+    SELECT result_id, relevance / CASE WHEN coalesce(max(relevance) OVER (PARTITION BY query), 0) = 0 THEN 1 ELSE max(relevance) OVER (PARTITION BY query) END AS relevance FROM k"""
+)
+def search_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return search.score_relevance(table(spark, folder, "search_results"), "query", "relevance", "result_id", 20).select("result_id", "relevance")
+
+
+@query("SELECT regexp_replace(url, '#.*$', '') AS u, min(result_id) AS result_id, count(*) AS hits FROM search_results GROUP BY u")
+def first_results(spark: SparkSession, folder: str) -> DataFrame:
+    bare = scalars.without_fragment(F.col("url"))
+    got = search.first_results(table(spark, folder, "search_results"), bare, [F.col("result_id")])
+    return got.select(bare.alias("u"), "result_id", "hits")
+
+
+@query("WITH n AS (SELECT regexp_replace(url, '#.*$', '') AS url, min(result_id) AS o FROM search_results WHERE url IS NOT NULL GROUP BY 1) SELECT url, CAST(row_number() OVER (ORDER BY o, url) AS BIGINT) AS number FROM n WHERE url NOT IN (SELECT url FROM resources)")
+def registered(spark: SparkSession, folder: str) -> DataFrame:
+    pool = table(spark, folder, "resources").select("url")
+    new = search.register(table(spark, folder, "search_results"), "url", "result_id", pool)
+    return new.select("url", (F.split_part("doc_id", F.lit("_"), F.lit(1)).cast("long") - pool.count()).alias("number"))
+
+
+@query("SELECT query, CAST(floor((row_number() OVER (PARTITION BY query ORDER BY relevance DESC NULLS LAST, result_id) - 1) / 50) AS BIGINT) AS batch, result_id FROM search_results")
+def result_batches(spark: SparkSession, folder: str) -> DataFrame:
+    got = search.batches(table(spark, folder, "search_results"), [F.col("relevance").desc_nulls_last(), F.col("result_id")], 50, ["query"])
+    return got.select("query", F.col("batch").cast("long").alias("batch"), "result_id")
+
+
+@query("SELECT url, arg_max(result_id, (loaded_at, result_id)) AS result_id FROM search_results WHERE url IS NOT NULL GROUP BY url")
+def latest_per_url(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "search_results").where("url IS NOT NULL").select("url", "result_id", "loaded_at")
+    return search.latest(rows, ["url"], ["loaded_at", "result_id"]).select("url", "result_id")
+
+
+@query("SELECT result_id FROM search_results WHERE url IS NOT NULL AND NOT (lower(url) LIKE '%rasaranu%' OR lower(url) LIKE 'http://%')")
+def cleared_cache(spark: SparkSession, folder: str) -> DataFrame:
+    patterns = spark.createDataFrame([("Rasaranu",), ("http://*",)], "pattern string")
+    return search.clear(table(spark, folder, "search_results").where("url IS NOT NULL"), patterns).select("result_id")
+
+
+@query("SELECT s.result_id, r.doc_id FROM search_results s LEFT JOIN resources r ON r.url = s.url WHERE s.url IS NOT NULL")
+def cache_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    cache = table(spark, folder, "resources").select("url", "doc_id")
+    return search.with_cache(table(spark, folder, "search_results").where("url IS NOT NULL").select("result_id", "url"), "url", cache).select("result_id", "doc_id")
+
+
+@query("SELECT DISTINCT topic FROM documents WHERE topic IS NOT NULL EXCEPT SELECT topic FROM documents WHERE lang = 'fr'")
+def open_goals(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents").where("topic IS NOT NULL")
+    return d.select("topic").exceptAll(d.where("lang = 'fr'").select("topic")).distinct().join(d.where("lang = 'fr'").select("topic").distinct(), "topic", "left_anti")
+
+
+# --- decisions and events -----------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH d AS (SELECT kind, source_norm, arg_max(decided_by, (event, rule_id)) AS d FROM merge_rules GROUP BY kind, source_norm)
+    SELECT m.mention_id, coalesce(d.d, 'skip') AS decision, d.kind IS NOT NULL AS hit FROM mentions m LEFT JOIN d ON d.kind = m.kind AND d.source_norm = lower(m.name)"""
+)
+def decisions_replayed(spark: SparkSession, folder: str) -> DataFrame:
+    return _replayed(spark, folder).select("mention_id", "decision", "hit")
+
+
+def _replayed(spark: SparkSession, folder: str) -> DataFrame:
+    key = lambda k, n: decisions.input_key(F.col(k), n)
+    recorded = table(spark, folder, "merge_rules").select(key("kind", F.col("source_norm")).alias("key"), F.col("decided_by").alias("decision"), F.struct("event", "rule_id").alias("event"))
+    asked = table(spark, folder, "mentions").select("mention_id", "kind", key("kind", F.lower("name")).alias("key"))
+    return decisions.replay(asked, "key", recorded, F.lit("skip"))
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT kind, source_norm FROM merge_rules), x AS (SELECT m.kind, d.kind IS NOT NULL AS hit FROM mentions m LEFT JOIN d ON d.kind = m.kind AND d.source_norm = lower(m.name))
+    SELECT kind, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM x GROUP BY kind"""
+)
+def decision_hits(spark: SparkSession, folder: str) -> DataFrame:
+    return decisions.hit_counts(_replayed(spark, folder), "kind")
+
+
+@query("SELECT event_id, seq FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq FROM events) WHERE seq >= 100")
+def event_log(spark: SparkSession, folder: str) -> DataFrame:
+    return log.since(log.numbered(table(spark, folder, "events").select("event_id", "ts"), ["ts", "event_id"]), 100).select("event_id", "seq")
+
+
+@query("SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 1000")
+def event_tail(spark: SparkSession, folder: str) -> DataFrame:
+    numbered = log.numbered(table(spark, folder, "events").select("event_id", "ts", "event_type"), ["ts", "event_id"])
+    return log.tail(numbered, ["event_type"]).select("event_id", "event_type")
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return log.windowed_counts(table(spark, folder, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 4))
+
+
+@query("SELECT event_id, event_type FROM events")
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """All events once, through a stream that is drained into the shared folder."""
+    schema = table(spark, folder, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/{{events}}.parquet").select("event_id", "event_type")
+    return log.drained(spark, stream, "events")
+
+
+@query(
+    """WITH x AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS o FROM events),
+    y AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM x)
+    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM y GROUP BY user_id, k"""
+)
+def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    return log.sessions(table(spark, folder, "events"), "ts", "user_id")
+
+
+# ------------------------------------------------------------------------------------------------------------------
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/mentions.parquet").groupBy("kind").count()
+    return pair_rank(spark, folder)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+

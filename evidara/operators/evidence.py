@@ -123,7 +123,7 @@ def by_date(date: str, quotes: str, order: str) -> list[Column]:
 def publication_year(date: Column) -> Column:
     """The year of a date in ISO form or compact form, from its first ten characters; null otherwise."""
     head = F.substring(date, 1, 10)
-    return F.year(F.coalesce(F.try_to_date(head, F.lit("yyyy-MM-dd")), F.try_to_date(head, F.lit("yyyyMMdd"))))
+    return F.year(F.coalesce(F.try_to_date(head, "yyyy-MM-dd"), F.try_to_date(head, "yyyyMMdd")))
 
 
 def contentious(rows: DataFrame, keys: Sequence[str], polarity: str, label: str, opposed: DataFrame) -> DataFrame:

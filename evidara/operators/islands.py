@@ -61,7 +61,7 @@ def chunks_of(chunks: Column, start: Column, end: Column) -> Column:
 
 def as_of(offsets: Column, position: Column) -> Column:
     """The last (pos, delta) entry at or before a position, added to it; the position itself before the first entry."""
-    entry = F.element_at(F.filter(offsets, lambda x: x["pos"] <= position), -1)
+    entry = F.try_element_at(F.filter(offsets, lambda x: x["pos"] <= position), F.lit(-1))
     return position + F.coalesce(entry["delta"], F.lit(0))
 
 
