@@ -255,8 +255,7 @@ def entity_match(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def fuzzy_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    forms = table(spark, folder, "merge_rules").select(F.explode(F.array("source_norm", "target_norm")).alias("form"))
-    return entities.fuzzy_pairs(forms, "form")
+    return entities.fuzzy_pairs(comparable_names(spark, folder), "norm")
 
 
 @query(

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from evidara.functions import names
 from evidara.plans.lineage import Scratch
 
+#: Endings that obvious variants exchange.
+ENDINGS = ("s", "es", "ies", "y", "a", "um", "i", "us", "is", "on", "ices", "ex", "ix", "ise", "ize", "re", "er")
+
 
 def variant_map(entities: DataFrame, canonical: str, aliases: str) -> DataFrame:
     """(form, canonical, speculation, origin): normal forms claimed by one entity only, at their least speculation."""
@@ -42,18 +45,19 @@ def fuzzy_pairs(forms: DataFrame, form: str) -> DataFrame:
 
     A match of forms of ten or more characters has at most 1 + n // 10 edits, so cut into one part more than that, one
     part survives in the other form, shifted by no more than the edits: an equi-join on (part, its number, length) finds
-    every such pair. Shorter forms match only by obvious variation, which keeps their first two letters or the folded
-    spelling; they meet on the folded spelling without blanks and on their stem.
+    every such pair. Shorter forms match only by obvious variation, which keeps the folded
+    spelling up to an ending; they meet on the folded spelling without blanks and on what is left of it without an ending.
     """
     f = forms.select(F.col(form).alias("f")).where(F.length(form) > 0).distinct()
     folded = F.replace(F.regexp_replace(F.regexp_replace(F.col("f"), "ae|oe", "e"), "our", "or"), F.lit(" "), F.lit(""))
-    stem = F.regexp_replace(folded, "(ies|es|ices|ix|ex|um|us|is|on|s|a|i|y|ise|ize|re|er)$", "")
+    # What is left without each ending that obvious variants exchange.
+    stems = F.filter(F.array(*[F.when(folded.endswith(e), F.regexp_replace(folded, e + "$", "")) for e in ENDINGS]), lambda x: x.isNotNull())
     n = F.length("f")
     parts = 2 + F.floor(n / 10)
     width = F.floor(n / parts)
     here = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(k.cast("int").alias("k"), n.alias("n"), F.substring(F.col("f"), (k * width + 1).cast("int"), F.when(k == parts - 1, n - k * width).otherwise(width).cast("int")).alias("part")))
-    whole = lambda c, k: F.array(F.struct(F.lit(k).alias("k"), F.lit(0).alias("n"), c.alias("part")))
-    keyed = f.select("f", F.explode(F.concat(F.when(n >= 10, here).otherwise(F.array().cast("array<struct<k:int,n:int,part:string>>")), whole(folded, -1), whole(stem, -2))).alias("x")).select("f", "x.*")
+    whole = F.transform(F.array_distinct(F.concat(F.array(folded), stems)), lambda c: F.struct(F.lit(-1).alias("k"), F.lit(0).alias("n"), c.alias("part")))
+    keyed = f.select("f", F.explode(F.concat(F.when(n >= 10, here).otherwise(F.array().cast("array<struct<k:int,n:int,part:string>>")), whole)).alias("x")).select("f", "x.*")
 
     # The other side looks for each part of every length it could match, at every shift the edits allow.
     most = 1 + F.floor(n / 10) + 1
