@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -54,13 +55,18 @@ def _plain(ch: str) -> str:
 
 
 def _scan() -> tuple[dict[int, str], str]:
-    """A translation for all characters that change by themselves, and a character class of all suspicious ones."""
+    """A translation for all characters that change by themselves, and a class of suspicious ones as few ranges.
+
+    The ranges also span rare characters that aren't suspicious, which only costs a look at the text in Python; a class
+    of many small ranges would cost far more on every character in the JVM.
+    """
     table = {c: _plain(chr(c)) for a, b in SCANNED for c in range(a, b)}
     table = {c: t for c, t in table.items() if t != chr(c)}
     odd = sorted({*table, *map(ord, _TO_LATIN), *(c for c in range(0x300, 0x2100) if unicodedata.combining(chr(c)))})
+    common = sorted({*range(0x80, 0x180), *map(ord, SYMBOLS), *range(0x3B1, 0x3CA), *map(ord, "–—‘’“”„•…·»«€™−≤≥≈×→↑≡")} - set(odd))
     runs: list[list[int]] = []
     for c in odd:
-        if runs and runs[-1][1] == c - 1:
+        if runs and bisect_left(common, c) == bisect_left(common, runs[-1][1]):
             runs[-1][1] = c
         else:
             runs.append([c, c])
@@ -70,6 +76,7 @@ def _scan() -> tuple[dict[int, str], str]:
 _TABLE, _CLASS = _scan()
 #: For the JVM: true for texts with any character that could look like others.
 SUSPICIOUS = f"[{_CLASS}]"
+_SUSPICIOUS = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m.group(1), 16):08x}", SUSPICIOUS))
 
 
 def _script(ch: str) -> str | None:
@@ -158,6 +165,8 @@ class Terms:
         self.by_form: dict[str, list[tuple[int, str]]] = {}
         for term_id, name in rows:
             self.by_form.setdefault(unify(name), []).append((term_id, name))
+        self.odd = any(name != form for form, pairs in self.by_form.items() for _, name in pairs)
+        self.reach = max(map(len, self.by_form), default=0) + 4
         self.matcher = ahocorasick.Automaton()
         for form in self.by_form:
             if form:
@@ -169,20 +178,41 @@ class Terms:
         """Terms that the whole ``text`` looks like without being them."""
         return {i for i, name in self.by_form.get(unify(text), []) if name != text}
 
+    def _windows(self, text: str) -> list[tuple[int, int]]:
+        """The stretches around suspicious characters that can hold an occurrence: what lies between two of them within
+        one occurrence is ordinary, so it is no longer than the longest name."""
+        if self.odd:
+            return [(0, len(text))]
+        out: list[list[int]] = []
+        for m in _SUSPICIOUS.finditer(text):
+            low, high = max(0, m.start() - self.reach), min(len(text), m.end() + self.reach)
+            if out and low <= out[-1][1]:
+                out[-1][1] = high
+            else:
+                out.append([low, high])
+        return [(a, b) for a, b in out]
+
     def inside(self, text: str) -> set[int]:
         """Terms that a whole word or words of ``text`` look like without being them."""
         found: set[int] = set()
         if not len(self.matcher):
             return found
+        for low, high in self._windows(text):
+            found |= self._in_window(text[low:high], low == 0, high == len(text))
+        return found
+
+    def _in_window(self, text: str, begins: bool, ends: bool) -> set[int]:
+        found: set[int] = set()
         form, at = _aligned(text)
         for last, word in self.matcher.iter(form):
             start, end = last - len(word) + 1, last + 1
-            if (start and form[start - 1].isalnum()) or (end < len(form) and form[end].isalnum()):
+            # At the cut edge of a window stands a neighbour, whose own word isn't known: no suspicious character is near.
+            if (start and form[start - 1].isalnum()) or (end < len(form) and form[end].isalnum()) or (not start and not begins) or (end == len(form) and not ends):
                 continue
             lo, hi = at[start], at[end]
-            while lo < hi and _TABLE.get(ord(text[lo])) == "":  # invisible characters before the word are not part of it
+            while lo < hi and _TABLE.get(ord(text[lo])) == "":  # invisible characters around the word are not part of it
                 lo += 1
-            while hi > lo and text[hi - 1 : hi] and _TABLE.get(ord(text[hi - 1])) == "":
+            while hi > lo and _TABLE.get(ord(text[hi - 1])) == "":
                 hi -= 1
             found |= {i for i, name in self.by_form[word] if text[lo:hi] != name}
         return found
@@ -209,12 +239,11 @@ def find_look_alikes(texts: DataFrame, id_col: str, text: str, reference: DataFr
     terms = _terms(reference, bound)
     held = texts.sparkSession.sparkContext.broadcast(terms)
     is_list = dict(texts.dtypes)[text].startswith("array")
-    odd_names = any(name != form for form, pairs in terms.by_form.items() for _, name in pairs)
     if is_list:
         rows = texts.select(F.col(id_col).cast("string").alias("record_id"), F.explode(text).alias("t"))
     else:
         rows = texts.select(F.col(id_col).cast("string").alias("record_id"), F.col(text).alias("t"))
-    rows = rows.where(F.col("t").isNotNull() if odd_names else F.col("t").rlike(SUSPICIOUS))
+    rows = rows.where(F.col("t").isNotNull() if terms.odd else F.col("t").rlike(SUSPICIOUS))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = held.value
