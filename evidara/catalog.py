@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidara.functions import names, scalars
-from evidara.operators import decisions, documents, entities, evidence, islands, keywords, search
+from evidara.operators import decisions, documents, entities, evidence, islands, keywords, pipeline, search
 from evidara.streaming import events as log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -350,12 +350,17 @@ def url_hash(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "search_results").where("url IS NOT NULL").select("url", scalars.url_hash(F.col("url")).alias("h"))
 
 
-@query("SELECT doc_id, doc_id AS rebuilt FROM resources")
+POWERS = ", ".join(f"{36**k}::UBIGINT" for k in range(12, -1, -1))
+
+
+@query(
+    f"""WITH h AS (SELECT result_id, CAST('0x' || substr(sha256(regexp_replace(url, '#.*$', '')), 1, 16) AS UBIGINT) AS n FROM search_results WHERE url IS NOT NULL),
+    d AS (SELECT result_id, ltrim(array_to_string(list_transform([{POWERS}], lambda p: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST(1 + (n // p) % 36 AS INTEGER), 1)), ''), '0') AS h FROM h)
+    SELECT result_id, h, '7_' || substr(lpad(h, greatest(8, length(h))::INTEGER, '0'), 1, 8) AS rid FROM d"""
+)
 def resource_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """The ids of the table, rebuilt from their number: each starts with it, as ``resource_id`` writes it."""
-    r = table(spark, folder, "resources")
-    rebuilt = F.concat(F.split_part("doc_id", F.lit("_"), F.lit(1)).cast("long").cast("string"), F.lit("_"), F.split_part("doc_id", F.lit("_"), F.lit(2)))
-    return r.select("doc_id", rebuilt.alias("rebuilt"))
+    s = table(spark, folder, "search_results").where("url IS NOT NULL")
+    return s.select("result_id", scalars.url_hash36(F.col("url")).alias("h"), scalars.resource_id(F.lit(7), F.col("url")).alias("rid"))
 
 
 @query(r"SELECT result_id, regexp_replace(url, '#.*$', '') AS bare, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host FROM search_results WHERE url IS NOT NULL")
@@ -525,6 +530,87 @@ def open_goals(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("topic").exceptAll(d.where("lang = 'fr'").select("topic")).distinct().join(d.where("lang = 'fr'").select("topic").distinct(), "topic", "left_anti")
 
 
+# --- stages -------------------------------------------------------------------------------------------------------
+
+
+@query()
+def swept_co_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    found = pipeline.positions(table(spark, folder, "mentions"), "doc_id", "name", "aliases", table(spark, folder, "resources"), "text")
+    known = pipeline.co_located(quoted(spark, folder), "doc_id", "name", "s", "e", 0)
+    return pipeline.sweep(found, "doc_id", "name", known, 100)
+
+
+@query()
+def consolidated_names(spark: SparkSession, folder: str) -> DataFrame:
+    return pipeline.consolidate(table(spark, folder, "mentions"), "name", "aliases", 0.5)
+
+
+@query(
+    f"""WITH {ASSESSMENTS}, o(a, b) AS (VALUES ('RF', 'NO'), ('AF', 'NF')), e AS (SELECT a, b FROM o UNION SELECT b, a FROM o), s AS (SELECT * FROM a WHERE overall >= 7),
+    m AS (SELECT e1, quantile_disc(overall, 0.5) AS m, quantile_disc(relevance, 0.5) AS r FROM a GROUP BY e1), h AS (SELECT e1, count(*) AS strong, quantile_disc(relevance, 0.5) AS h FROM s GROUP BY e1),
+    c AS (SELECT e1, label, count(*) AS k, min(ord) AS o FROM a GROUP BY ALL), f AS (SELECT e1, arg_max(label, (k, -o)) AS label FROM c GROUP BY e1),
+    d AS (SELECT e1, label, count(*) AS k, min(ord) AS o FROM s GROUP BY ALL), g AS (SELECT e1, arg_max(label, (k, -o)) AS best FROM d GROUP BY e1),
+    x AS (SELECT DISTINCT p.e1 FROM s p JOIN e ON p.label = e.a JOIN s q ON q.e1 = p.e1 AND q.label = e.b),
+    j AS (SELECT m.e1, m, r, h, coalesce(strong, 0) >= 2 AND x.e1 IS NULL AS sure, strong, f.label, g.best FROM m JOIN f USING (e1) LEFT JOIN h USING (e1) LEFT JOIN g USING (e1) LEFT JOIN x USING (e1))
+    SELECT e1, sure OR m >= 5 AS accepted, CASE WHEN sure THEN best ELSE label END AS label, CAST(CASE WHEN sure AND strong >= 3 THEN 0.95 WHEN sure THEN 0.85 ELSE 0.5 END AS DOUBLE) AS confidence, CAST(coalesce(h, r) AS INTEGER) AS relevance FROM j"""
+)
+def judged_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    opposed = spark.createDataFrame([("RF", "NO"), ("AF", "NF")], "a string, b string")
+    return pipeline.judge(assessments(spark, folder), ["e1"], "overall", "label", "relevance", "ord", opposed).withColumn("relevance", F.col("relevance").cast("int"))
+
+
+@query()
+def chunk_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the stored pieces of each text stand in it."""
+    item = F.struct("chunk_no", "text")
+    pieces = table(spark, folder, "chunk_data").where("text IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    texts = table(spark, folder, "resources").where("text IS NOT NULL").select("doc_id", F.col("text").alias("t"))
+    return pieces.join(texts, "doc_id").select("doc_id", pipeline.chunk_places(F.transform("c", lambda x: x["text"]), F.col("t")).alias("spans"))
+
+
+@query("WITH x AS (SELECT label, 1 + vec_id % 3 AS w, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, round(sum(w * v::DOUBLE) / sum(w), 5) AS v FROM x GROUP BY label, i) SELECT label, list(v ORDER BY i) AS embedding FROM m GROUP BY label")
+def mean_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    got = pipeline.weighted_mean(table(spark, folder, "embeddings"), ["label"], "embedding", 1 + F.col("vec_id") % 3)
+    return got.withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 5)))
+
+
+@query(
+    f"""WITH {QUOTED}, {_runs('q', 200)}, p AS (SELECT DISTINCT doc_id, island, name FROM r)
+    SELECT DISTINCT a.doc_id, a.name AS first, b.name AS second FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.island = b.island AND a.name < b.name"""
+)
+def co_located(spark: SparkSession, folder: str) -> DataFrame:
+    return pipeline.co_located(quoted(spark, folder), "doc_id", "name", "s", "e", 200)
+
+
+@query(
+    """WITH m AS (SELECT chunk_id, unnest(map_entries(metadata)) AS e FROM chunk_data), a AS (SELECT chunk_id, e.key AS k, e.value AS v FROM m)
+    SELECT coalesce(x.chunk_id, y.chunk_id - 1) AS chunk_id, coalesce(x.k, y.k) AS path, x.v AS saved, y.v AS live FROM a x FULL JOIN a y ON x.chunk_id = y.chunk_id - 1 AND x.k = y.k WHERE x.v IS DISTINCT FROM y.v"""
+)
+def metadata_diff(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata of each chunk against that of the next one."""
+    c = table(spark, folder, "chunk_data").select("chunk_id", "metadata")
+    return pipeline.map_diff(c, c.withColumn("chunk_id", F.col("chunk_id") - 1), ["chunk_id"], "metadata")
+
+
+@query("SELECT mention_id, list_distinct(coalesce(aliases, [])).len()::BIGINT AS n FROM mentions")
+def alias_counts(spark: SparkSession, folder: str) -> DataFrame:
+    distinct = F.array_distinct(F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda x: x.isNotNull()))
+    return table(spark, folder, "mentions").select("mention_id", F.size(distinct).cast("long").alias("n"))
+
+
+@query("SELECT r.doc_id, count(m.mention_id) AS n FROM resources r LEFT JOIN mentions m ON m.doc_id = r.doc_id AND m.kind IN ('gene', 'disease') GROUP BY r.doc_id")
+def kinds_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions of the wanted kinds in every document, those without any included."""
+    kept = table(spark, folder, "mentions").where(F.col("kind").isin("gene", "disease")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, folder, "resources").select("doc_id").join(kept, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("WITH n AS (SELECT kind, source_norm AS a, target_norm AS b FROM merge_rules WHERE source_norm <> target_norm), s AS (SELECT kind, a, b FROM n UNION SELECT kind, b, a FROM n) SELECT kind, a, count(*) AS neighbours FROM s GROUP BY kind, a")
+def neighbour_sets(spark: SparkSession, folder: str) -> DataFrame:
+    n = table(spark, folder, "merge_rules").where("source_norm <> target_norm").select("kind", F.col("source_norm").alias("a"), F.col("target_norm").alias("b"))
+    return n.unionByName(n.select("kind", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy("kind", "a").agg(F.count(F.lit(1)).alias("neighbours"))
+
+
 # --- decisions and events -----------------------------------------------------------------------------------------
 
 

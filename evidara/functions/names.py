@@ -224,12 +224,19 @@ def shorthand(text: str) -> list[str]:
 
 def mentions_of(names: list[str], text: str) -> list[tuple[int, int]]:
     """(start, end) in the text of every whole-word mention of a name, also in the plural, compared in normal form."""
-    forms = sorted({re.escape(f) for f in map(comparable, names) if f}, key=len, reverse=True)
-    if not forms:
-        return []
+    return [(s, e) for _, s, e in mentions_in({"": names}, text)]
+
+
+def mentions_in(entities: dict[str, list[str]], text: str) -> list[tuple[str, int, int]]:
+    """(entity, start, end) of the mentions of several entities by their forms; the text is brought to normal form once."""
     plain, at = normalise(text)
-    found = re.finditer(rf"\b(?:{'|'.join(forms)})(?:s|es)?\b", plain)
-    return [(at[m.start()], at[m.end() - 1] + 1) for m in found]
+    out = []
+    for entity, forms in entities.items():
+        known = sorted({f for f in map(comparable, forms) if f and f in plain}, key=len, reverse=True)
+        if known:
+            pattern = rf"\b(?:{'|'.join(map(re.escape, known))})(?:s|es)?\b"
+            out += [(entity, at[m.start()], at[m.end() - 1] + 1) for m in re.finditer(pattern, plain)]
+    return out
 
 
 def _comparable(names: pd.Series) -> pd.Series:
