@@ -27,7 +27,7 @@ STAND_INS = """Sample text. Placeholder paragraph. Body text goes here. Caption
 Content coming soon. Aquí va el resumen. Texto de ejemplo. Aquí va el texto. Texte à compléter. Texte de remplissage. Votre résumé ici. Hier steht der Text. Hier kommt der Titel hin. Blindtext. Platzhalter. Texto pendiente.
 Title goes here. Author names here. Texto de relleno. Beispieltext. Exemple de texte.""".split("\n")
 #: Openings and closings of placeholders.
-BRACKETS = (("{{", "}}"), ("{", "}"), ("${", "}"), ("#{", "}"), ("<%= ", " %>"), ("<% ", " %>"), ("{% ", " %}"), ("{% block ", " %}"), ("[[", "]]"), ("<<", ">>"), ("__", "__"), ("&lt;", "&gt;"), ("%(", ")s"), ("[insert ", " here]"), ("[insert ", "]"), ("<insert ", ">"), ("[", " to be added]"), ("[", " goes here]"), ("[your ", "]"), ("@@", "@@"), ("%%", "%%"))
+BRACKETS = (("{{", "}}"), ("{{ ", " }}"), ("{", "}"), ("${", "}"), ("#{", "}"), ("<%= ", " %>"), ("<% ", " %>"), ("{% ", " %}"), ("{% block ", " %}"), ("[[", "]]"), ("<<", ">>"), ("__", "__"), ("&lt;", "&gt;"), ("%(", ")s"), ("[insert ", " here]"), ("[insert ", "]"), ("<insert ", ">"), ("[", " to be added]"), ("[", " goes here]"), ("[your ", "]"), ("@@", "@@"), ("%%", "%%"))
 #: What such placeholders stand for.
 FIELDS = ("title", "authors", "author", "corresponding_author", "abstract", "doi", "journal name", "pub_date", "affiliation", "disease", "gene symbol", "figure_caption", "cohort_size", "keywords", "name", "date", "first_name", "url")
 #: Messages of servers and notices of pages that run on scripts.
@@ -105,7 +105,7 @@ ORDER = 5
 TEXT_BUCKETS, SHAPE_BUCKETS = 1 << 20, 1 << 16
 FLOOR, CEILING = -4.0, 6.0
 #: (window in n-grams, least mean log-ratio in it) for text and for shapes.
-TEXT_WINDOW, SHAPE_WINDOW = (16, 1.2), (4, 3.2)
+TEXT_WINDOW, SHAPE_WINDOW = (16, 1.2), (4, 2.7)
 #: Characters that must be covered.
 LEAST_COVER = 5
 #: Share of a sentence's n-grams known from SPEAKS that gives it up.
