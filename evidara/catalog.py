@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidara.functions import names, scalars
-from evidara.operators import decisions, documents, entities, evidence, islands, keywords, pipeline, search
+from evidara.operators import articles, decisions, documents, entities, evidence, islands, keywords, pipeline, search
 from evidara.streaming import events as log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,11 +142,16 @@ def assessed_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY site ORDER BY coalesce(publication_date, '') DESC, coalesce(len(chunks), 0), ord) AS place FROM resources")
 def by_date(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import Window
+    """Place of each document on its site: newest first, undated last, fewer spans first. The descending date is turned into
+    an ascending key by mirroring its characters, so the rank can be counted over range partitions."""
+    from evidara.plans.lineage import Scratch
+    from evidara.plans.ranking import running_sum
 
-    r = table(spark, folder, "resources").withColumn("k", F.coalesce(F.size("chunks"), F.lit(0)))
-    r = r.withColumn("k", F.when(F.col("chunks").isNull(), 0).otherwise(F.col("k")))
-    return r.select("doc_id", F.row_number().over(Window.partitionBy("site").orderBy(*evidence.by_date("publication_date", "k", "ord"))).alias("place"))
+    mirrored = F.rpad(F.translate(F.coalesce("publication_date", F.lit("")), "-0123456789", ";9876543210"), 30, "~")
+    k = F.when(F.col("chunks").isNull(), 0).otherwise(F.size("chunks"))
+    r = table(spark, folder, "resources").select("doc_id", "site", mirrored.alias("down"), k.alias("k"), "ord")
+    placed = running_sum(r, Scratch(spark, "dates"), ["site"], ["down", "k", "ord"], None, "before")
+    return placed.select("doc_id", (F.col("before") + 1).alias("place"))
 
 
 @query("SELECT doc_id, coalesce(coalesce(try_strptime(CASE WHEN regexp_full_match(publication_date[:10], '\\d{4}-\\d{2}-\\d{2}') THEN publication_date[:10] END, '%Y-%m-%d'), try_strptime(CASE WHEN regexp_full_match(publication_date[:10], '\\d{8}') THEN publication_date[:10] END, '%Y%m%d')).year(), 0) AS y FROM resources")
@@ -430,6 +435,28 @@ def heading_classes(spark: SparkSession, folder: str) -> DataFrame:
     return documents.headings(table(spark, folder, "resources"), "doc_id", "text").groupBy("heading", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _like(parts: str) -> str:
+    return "|".join(p.strip() for p in parts.split(";"))
+
+
+HEADS = r"h AS (SELECT trim(regexp_replace(l, '^\s*#+\s*|\s*#*\s*$', '', 'g')) AS heading FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM resources WHERE text IS NOT NULL) WHERE regexp_matches(l, '^\s*#{1,6}\s+\S'))"
+
+
+@query(
+    f"""WITH {HEADS}, c AS (SELECT heading, lower(heading) AS x, count(*) AS n FROM h GROUP BY heading)
+    SELECT heading, n, CASE WHEN regexp_matches(x, '^(?:{articles.PAYWALL})') THEN 'paywall' WHEN regexp_matches(x, '{_like(articles.RELEVANT)}') THEN 'relevant'
+    WHEN regexp_matches(x, '{_like(articles.IRRELEVANT)}') OR regexp_matches(x, '^(?:{articles.SITE})') THEN 'irrelevant' ELSE 'neutral' END AS kind FROM c"""
+)
+def heading_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    marked = documents.headings(table(spark, folder, "resources"), "doc_id", "text").where("level < 7")
+    return marked.groupBy("heading").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", articles.kind_column(F.col("heading")))
+
+
+@query()
+def refined_articles(spark: SparkSession, folder: str) -> DataFrame:
+    return articles.refined(table(spark, folder, "resources").select("doc_id", "text"), "text").select("doc_id", "refined")
+
+
 @query()
 def core_articles(spark: SparkSession, folder: str) -> DataFrame:
     return documents.without_apparatus(table(spark, folder, "resources"), "doc_id", "text")
@@ -502,7 +529,8 @@ def registered(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT query, CAST(floor((row_number() OVER (PARTITION BY query ORDER BY relevance DESC NULLS LAST, result_id) - 1) / 50) AS BIGINT) AS batch, result_id FROM search_results")
 def result_batches(spark: SparkSession, folder: str) -> DataFrame:
-    got = search.batches(table(spark, folder, "search_results"), [F.col("relevance").desc_nulls_last(), F.col("result_id")], 50, ["query"])
+    ranked = table(spark, folder, "search_results").select("query", "result_id", F.coalesce(-F.col("relevance"), F.lit(1.0)).alias("down"))
+    got = search.batches(ranked, ["down", "result_id"], 50, ["query"])
     return got.select("query", F.col("batch").cast("long").alias("batch"), "result_id")
 
 

@@ -29,7 +29,7 @@ def contested_forms(entities: DataFrame, canonical: str, aliases: str) -> DataFr
 
 
 def _forms(entities: DataFrame, canonical: str, aliases: str) -> DataFrame:
-    distinct = entities.where(F.col(canonical).isNotNull()).groupBy(F.col(canonical).alias("canonical")).agg(F.array_distinct(F.flatten(F.collect_set(F.coalesce(aliases, F.array().cast("array<string>"))))).alias("a"))
+    distinct = global_aliases(entities.where(F.col(canonical).isNotNull()), canonical, aliases).withColumnRenamed("aliases", "a")
     return distinct.select("canonical", F.explode(names.variants_of(F.col("canonical"), F.col("a"))).alias("v")).select("canonical", "v.form", "v.speculation", "v.origin")
 
 
@@ -162,8 +162,8 @@ def best_form(forms: DataFrame, key: str, form: str) -> DataFrame:
 def specificity(tokens: DataFrame, entity: str, token: str, weight: Column) -> DataFrame:
     """(token, weight, specificity): ln((all + 1) / (own + 1)) of the token's weight, an entity counted at its greatest."""
     own = tokens.groupBy(entity, token).agg(F.max(weight).alias("w")).groupBy(token).agg(F.sum("w").alias("weight"))
-    total = own.agg(F.sum("weight").alias("t"))
-    return own.join(F.broadcast(total)).select(token, "weight", F.log((F.col("t") + 1) / (F.col("weight") + 1)).alias("specificity"))
+    total = own.agg(F.sum("weight").alias("t")).first()["t"] or 0.0
+    return own.select(token, "weight", F.log((F.lit(total) + 1) / (F.col("weight") + 1)).alias("specificity"))
 
 
 def similar_entities(tokens: DataFrame, entity: str, token: str, spec: DataFrame, threshold: float) -> DataFrame:

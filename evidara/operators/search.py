@@ -78,9 +78,13 @@ def register(urls: DataFrame, url: str, order: str, pool: DataFrame | None = Non
     return ranked.select(scalars.resource_id(F.col("__k") + start + 1, F.col("url")).alias("doc_id"), "url")
 
 
-def batches(ranked: DataFrame, order: list[Column], size: int, keys: list[str]) -> DataFrame:
-    """Adds ``batch``: rows of a key in order, ``size`` in each."""
-    return ranked.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size))
+def batches(ranked: DataFrame, order: list[str], size: int, keys: list[str]) -> DataFrame:
+    """Adds ``batch``: rows of a key in order, ``size`` in each. Numbered over range partitions, so hot keys spread."""
+    from evidara.plans.lineage import Scratch
+    from evidara.plans.ranking import running_sum
+
+    numbered = running_sum(ranked, Scratch(ranked.sparkSession, "batches"), keys, order, None, "__k")
+    return numbered.withColumn("batch", F.floor(F.col("__k") / size)).drop("__k")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
