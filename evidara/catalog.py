@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidara.functions import names, scalars
-from evidara.operators import articles, decisions, documents, entities, evidence, islands, keywords, pipeline, search
+from evidara.operators import articles, decisions, documents, entities, evidence, islands, keywords, pipeline, report, search
 from evidara.streaming import events as log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,7 +76,7 @@ def pair_rank(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {ASSESSMENTS}, m AS (SELECT e1, CAST(quantile_disc(overall, 0.5) AS INTEGER) AS overall FROM a GROUP BY e1),
-    c AS (SELECT e1, factor, count(*) AS n, min(ord) AS o FROM a GROUP BY ALL), f AS (SELECT e1, arg_max(factor, (n, -o)) AS factor FROM c GROUP BY e1)
+    c AS (SELECT e1, factor, count(*) AS n, min(ord) AS o FROM a GROUP BY ALL), f AS (SELECT e1, arg_max(factor, (n, -o, factor)) AS factor FROM c GROUP BY e1)
     SELECT e1, overall, factor FROM m JOIN f USING (e1)"""
 )
 def evidence_agg(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,7 +108,7 @@ def contentious_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {ASSESSMENTS}, s AS (SELECT * FROM a WHERE overall >= 7), n AS (SELECT e1, count(*) AS strong FROM s GROUP BY e1 HAVING count(*) >= 2),
-    c AS (SELECT e1, label, count(*) AS k, min(ord) AS o FROM s GROUP BY ALL) SELECT e1, strong, arg_max(label, (k, -o)) AS label FROM n JOIN c USING (e1) GROUP BY e1, strong"""
+    c AS (SELECT e1, label, count(*) AS k, min(ord) AS o FROM s GROUP BY ALL) SELECT e1, strong, arg_max(label, (k, -o, label)) AS label FROM n JOIN c USING (e1) GROUP BY e1, strong"""
 )
 def strong_labels(spark: SparkSession, folder: str) -> DataFrame:
     return evidence.strong_labels(assessments(spark, folder), ["e1"], "overall", "label", "ord")
@@ -576,8 +576,8 @@ def consolidated_names(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH {ASSESSMENTS}, o(a, b) AS (VALUES ('RF', 'NO'), ('AF', 'NF')), e AS (SELECT a, b FROM o UNION SELECT b, a FROM o), s AS (SELECT * FROM a WHERE overall >= 7),
     m AS (SELECT e1, quantile_disc(overall, 0.5) AS m, quantile_disc(relevance, 0.5) AS r FROM a GROUP BY e1), h AS (SELECT e1, count(*) AS strong, quantile_disc(relevance, 0.5) AS h FROM s GROUP BY e1),
-    c AS (SELECT e1, label, count(*) AS k, min(ord) AS o FROM a GROUP BY ALL), f AS (SELECT e1, arg_max(label, (k, -o)) AS label FROM c GROUP BY e1),
-    d AS (SELECT e1, label, count(*) AS k, min(ord) AS o FROM s GROUP BY ALL), g AS (SELECT e1, arg_max(label, (k, -o)) AS best FROM d GROUP BY e1),
+    c AS (SELECT e1, label, count(*) AS k, min(ord) AS o FROM a GROUP BY ALL), f AS (SELECT e1, arg_max(label, (k, -o, label)) AS label FROM c GROUP BY e1),
+    d AS (SELECT e1, label, count(*) AS k, min(ord) AS o FROM s GROUP BY ALL), g AS (SELECT e1, arg_max(label, (k, -o, label)) AS best FROM d GROUP BY e1),
     x AS (SELECT DISTINCT p.e1 FROM s p JOIN e ON p.label = e.a JOIN s q ON q.e1 = p.e1 AND q.label = e.b),
     j AS (SELECT m.e1, m, r, h, coalesce(strong, 0) >= 2 AND x.e1 IS NULL AS sure, strong, f.label, g.best FROM m JOIN f USING (e1) LEFT JOIN h USING (e1) LEFT JOIN g USING (e1) LEFT JOIN x USING (e1))
     SELECT e1, sure OR m >= 5 AS accepted, CASE WHEN sure THEN best ELSE label END AS label, CAST(CASE WHEN sure AND strong >= 3 THEN 0.95 WHEN sure THEN 0.85 ELSE 0.5 END AS DOUBLE) AS confidence, CAST(coalesce(h, r) AS INTEGER) AS relevance FROM j"""
@@ -639,6 +639,71 @@ def neighbour_sets(spark: SparkSession, folder: str) -> DataFrame:
     return n.unionByName(n.select("kind", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy("kind", "a").agg(F.count(F.lit(1)).alias("neighbours"))
 
 
+# --- reports ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT query, result_id, round(1 / (1 + exp(-relevance)), 9) AS probability FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY relevance DESC NULLS LAST, result_id) AS k FROM search_results) WHERE k <= 5 AND relevance IS NOT NULL")
+def reranked_results(spark: SparkSession, folder: str) -> DataFrame:
+    got = report.reranked(table(spark, folder, "search_results"), ["query"], "relevance", "result_id", 5)
+    return got.where("relevance IS NOT NULL").select("query", "result_id", F.round("probability", 9).alias("probability"))
+
+
+@query("SELECT coalesce(lang, '-') AS lang, coalesce(source, '-') AS source, coalesce(topic, '-') AS topic, CAST(sum(n_chars) AS BIGINT) AS tokens, count(*) AS calls, grouping(lang) * 4 + grouping(source) * 2 + grouping(topic) AS level FROM documents GROUP BY ROLLUP (lang, source, topic)")
+def usage_totals(spark: SparkSession, folder: str) -> DataFrame:
+    got = report.usage(table(spark, folder, "documents"), "lang", "source", "topic", "n_chars")
+    return got.select(*[F.coalesce(c, F.lit("-")).alias(c) for c in ("lang", "source", "topic")], "tokens", "calls", F.col("level").cast("long").alias("level"))
+
+
+@query("SELECT doc_id AS k, doc_id, true AS known FROM resources UNION ALL SELECT doc_id, '999999_zzzzzzzz', false FROM resources")
+def cited_documents(spark: SparkSession, folder: str) -> DataFrame:
+    r = table(spark, folder, "resources")
+    texts = r.select(F.col("doc_id").alias("k"), F.concat(F.lit("as in ["), F.col("doc_id"), F.lit(", 999999_zzzzzzzz]")).alias("t"))
+    return report.cited(texts, "k", "t", r, "doc_id")
+
+
+@query(f"WITH {ASSESSMENTS}, l AS (SELECT e1, doc, label, min(ord) AS o, count(*) AS c FROM a GROUP BY ALL) SELECT e1, doc, list(label ORDER BY o, label) AS labels, CAST(sum(c) AS BIGINT) AS n FROM l GROUP BY e1, doc")
+def document_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return report.document_groups(assessments(spark, folder), ["e1"], "doc", "label", "ord")
+
+
+@query(f"WITH {QUOTED}, {_runs('q', -1)} SELECT doc_id, arg_max(s, (e - s, -s)) AS s, arg_max(e, (e - s, -s)) AS e, count(*) AS merged FROM r GROUP BY doc_id, island")
+def overlapping_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    return report.overlapping_quotes(quoted(spark, folder), ["doc_id"], "s", "e")
+
+
+@query(
+    f"""WITH {QUOTED}, d AS (SELECT DISTINCT q.doc_id, s, e, text, text[201:] AS kept FROM q JOIN resources r ON r.doc_id = q.doc_id WHERE text IS NOT NULL)
+    SELECT doc_id, s, e, CAST(strpos(kept, substr(text, s + 1, e - s)) - 1 AS BIGINT) AS new_start FROM d"""
+)
+def relocated_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """Quotes looked up in the texts without their first 200 characters; -1 where they are gone."""
+    texts = table(spark, folder, "resources").where("text IS NOT NULL").select("doc_id", F.col("text").alias("old"), F.expr("substring(text, 201)").alias("new"))
+    spans = quoted(spark, folder).select("doc_id", "s", "e").distinct().join(texts, "doc_id")
+    return report.relocated(spans, "old", "new", "s", "e").select("doc_id", "s", "e", F.coalesce("new_start", F.lit(-1)).cast("long").alias("new_start"))
+
+
+@query(
+    """WITH h AS (SELECT result_id AS url, lead(result_id) OVER (PARTITION BY query ORDER BY result_id) AS target FROM search_results),
+    b AS (SELECT result_id FROM search_results WHERE relevance < 0.05), r0 AS (SELECT url, url AS spot FROM h), r1 AS (SELECT r0.url, h.target AS spot FROM r0 JOIN h ON h.url = r0.spot WHERE h.target IS NOT NULL),
+    r2 AS (SELECT r1.url, h.target AS spot FROM r1 JOIN h ON h.url = r1.spot WHERE h.target IS NOT NULL), a AS (FROM r0 UNION ALL FROM r1 UNION ALL FROM r2)
+    SELECT DISTINCT url FROM a WHERE spot IN (SELECT result_id FROM b)"""
+)
+def previously_failed(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    s = table(spark, folder, "search_results")
+    hops = s.select(F.col("result_id").alias("url"), F.lead("result_id").over(Window.partitionBy("query").orderBy("result_id")).alias("target")).where("target IS NOT NULL")
+    failures = s.where("relevance < 0.05").select(F.col("result_id").alias("url"), F.lit("HTTP 500").alias("reason"))
+    return report.previously_failed(s, "result_id", hops, failures, 2)
+
+
+@query("SELECT 'search' AS stage, CAST(row_number() OVER (ORDER BY result_id) - 1 AS BIGINT) AS place, result_id AS description FROM search_results UNION ALL SELECT 'extract', CAST(row_number() OVER (ORDER BY mention_id) - 1 AS BIGINT), name FROM mentions UNION ALL SELECT 'search', count(*), 'end of stage' FROM search_results UNION ALL SELECT 'extract', count(*), 'end of stage' FROM mentions")
+def stage_events(spark: SparkSession, folder: str) -> DataFrame:
+    s = table(spark, folder, "search_results").select(F.substring("result_id", 2, 20).cast("long").alias("o"), F.col("result_id").alias("description"))
+    m = table(spark, folder, "mentions").select(F.col("mention_id").alias("o"), F.col("name").alias("description"))
+    return report.stage_events({"search": s, "extract": m}, "o")
+
+
 # --- decisions and events -----------------------------------------------------------------------------------------
 
 

@@ -19,12 +19,13 @@ def median_low(value: str) -> Column:
 
 
 def first_mode(rows: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
-    """(keys, value): the most frequent value of each key; of equally frequent ones the one that came first.
+    """(keys, value): the most frequent value of each key; of equally frequent ones the one that came first, of
+    equally early ones the greatest.
 
     Two aggregations, both partly done before the shuffle; no key's rows are gathered.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__first"))
-    return counts.groupBy(*keys).agg(F.max_by(value, F.struct("__n", -F.col("__first"))).alias(value))
+    return counts.groupBy(*keys).agg(F.max_by(value, F.struct(F.col("__n"), -F.col("__first"), F.col(value))).alias(value))
 
 
 def aggregate_evidence(rows: DataFrame, keys: Sequence[str], overall: str, factors: Sequence[str], order: str) -> DataFrame:

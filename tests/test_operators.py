@@ -195,3 +195,12 @@ def test_decisions_log_and_redirects(spark):
     assert {r["url"]: r["final_url"] for r in search.redirected(spark.createDataFrame([("a",), ("z",)], "url string"), "url", hops, 3).collect()} == {"a": "c", "z": "z"}
     seen = log.numbered(spark.createDataFrame([(i,) for i in range(50)], "t int"), ["t"])
     assert [r["t"] for r in log.since(seen, 47).orderBy("t").collect()] == [47, 48, 49]
+
+
+def test_opposed_labels_and_versions(spark):
+    from evidara.operators import report
+
+    rules = spark.createDataFrame([("inhibits growth", ["Promotes growths", None]), ("promotes growth", None), ("binds", ["no such label"]), ("alone", ["alone"])], "label string, opposites array<string>")
+    assert {tuple(r) for r in report.opposition(rules, "label", "opposites").collect()} == {("inhibits growth", "promotes growth"), ("promotes growth", "inhibits growth")}
+    v = spark.range(1).select(report.version(F.lit("3v1.20.0#ab")).alias("a"), report.version(F.lit("1.2")).alias("b")).first()
+    assert tuple(v["a"]) == (3, 1, 20, 0, "ab") and v["b"] is None
