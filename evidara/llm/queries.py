@@ -164,6 +164,15 @@ ORACLE = {
         WHERE least(p['end'], length(text)) - p['start'] > (SELECT max_size FROM size_limits WHERE limit_name = 'chunk')""",
 }
 
+ORACLE["p6_found"] = r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM resources WHERE text IS NOT NULL),
+    s AS (SELECT result_id, lower(title || ' ' || url) AS s FROM search_results WHERE title IS NOT NULL AND url IS NOT NULL),
+    u AS (SELECT 'resources' AS t, doc_id AS id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w
+          UNION ALL SELECT 'search_results', result_id, unnest(list_distinct(list_transform(range(1, length(s) - 2), lambda i: substr(s, i, 4)))) FROM s),
+    n AS (SELECT t, id, count(*) AS n FROM u GROUP BY t, id),
+    p AS (SELECT a.t, a.id AS id_a, b.id AS id_b, count(*) AS c FROM u a JOIN u b ON a.t = b.t AND a.g = b.g AND a.id < b.id GROUP BY ALL)
+    SELECT p.t AS table_name, id_a, id_b FROM p JOIN n x ON x.t = p.t AND x.id = id_a JOIN n y ON y.t = p.t AND y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c)"""
+
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p3_found, p3_articles, p4_found, p4_pieces, p4_chunk_data, p5_found, p5_unified_aliases, p5_unified_texts, p6_found, p6_groups, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_clean)}
