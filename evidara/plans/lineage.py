@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests), a temporary one is set."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset on one machine (tests), a temporary one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="evidara-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="evidara-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -24,21 +30,25 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._next = 0
-        self._paths: dict[int, str] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
         """``df`` written as Parquet and read again, with a known size and no lineage."""
         path = f"{self.folder}/{self._next}"
         self._next += 1
         df.write.parquet(path)
+        if path.endswith("/0"):  # the results may read any table as long as the session lives
+            self._file_system().deleteOnExit(self._path(self.folder))
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later result reads."""
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._file_system().delete(self._path(table._scratch_path), True)
+
+    def _path(self, name: str):  # noqa: ANN202
+        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
+
+    def _file_system(self):  # noqa: ANN202
+        return self._path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
