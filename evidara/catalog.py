@@ -497,6 +497,11 @@ def rake(spark: SparkSession, folder: str) -> DataFrame:
     return keywords.top(keywords.rake(table(spark, folder, "documents"), "doc_id", "text"), ["doc_id"], "score", "keyword", 10)
 
 
+@query()
+def yake(spark: SparkSession, folder: str) -> DataFrame:
+    return keywords.top(keywords.yake(table(spark, folder, "documents"), "doc_id", "text"), ["doc_id"], "score", "keyword", 10)
+
+
 @query()
 def clean_keywords(spark: SparkSession, folder: str) -> DataFrame:
     return keywords.clean(rake(spark, folder), "keyword", "score")

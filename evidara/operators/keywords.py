@@ -65,3 +65,41 @@ def clean(keywords: DataFrame, keyword: str, score: str) -> DataFrame:
     key = scalars.without_suffix(scalars.singular(F.lower(scalars.without_abbreviation(F.col(keyword)))))
     fit = keywords.where(F.length(keyword).between(3, 80) & ~F.col(keyword).rlike(r"^[\d\W_]+$") & ~F.col(keyword).rlike(r"^(\w\s)+\w$"))
     return fit.groupBy(key.alias("key")).agg(F.max_by(keyword, F.struct(F.round(F.col(score), 9).alias("s"), F.col(keyword).alias("k"))).alias("keyword"), F.max(score).alias("score"))
+
+
+def yake(documents: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, keyword, score): one- to three-word terms by the published measure of unsupervised keyword extraction from a
+    single document: casing, position, frequency, relatedness to context and spread over sentences make a word's score,
+    whose product over a term, against its frequency, makes the term's; small is good, given as 1 / (1 + s).
+
+    All statistics are aggregates of exploded words; medians of positions come from exact percentiles by document.
+    """
+    split = F.filter(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s) != "")
+    sentences = documents.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.posexplode(split).alias("s", "x"), F.size(split).alias("ns"))
+    w = sentences.select("doc", "s", "ns", F.regexp_extract_all("x", F.lit(r"([\p{L}\p{N}][\p{L}\p{N}'-]*)"), 1).alias("w")).where(F.size("w") > 0)
+    lower = F.transform("w", lambda x: F.lower(x))
+    pairs = F.arrays_zip(lower.alias("a"), F.concat(F.slice(lower, 2, F.size("w")), F.array(F.lit(None).cast("string"))).alias("b"))
+    words = w.select("doc", "s", "ns", F.posexplode(F.arrays_zip(lower.alias("t"), F.col("w").alias("raw"))).alias("i", "z")).select("doc", "s", "ns", "i", "z.t", "z.raw")
+    upper = F.col("raw").rlike(r"^\p{Lu}") & (F.col("i") > 0)
+    acronym = F.col("raw").rlike(r"^\p{Lu}{2,}$")
+    stats = words.groupBy("doc", "t").agg(
+        F.count(F.lit(1)).alias("tf"), F.count_if(upper).alias("tu"), F.count_if(acronym).alias("ta"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY s)").alias("place"), F.countDistinct("s").alias("in"), F.max("ns").alias("ns")
+    )
+    around = w.select("doc", F.explode(pairs).alias("p")).select("doc", "p.a", "p.b").where("b IS NOT NULL")
+    right = around.groupBy("doc", F.col("a").alias("t")).agg((F.countDistinct("b") / F.count(F.lit(1))).alias("r"))
+    left = around.groupBy("doc", F.col("b").alias("t")).agg((F.countDistinct("a") / F.count(F.lit(1))).alias("l"))
+    content = stats.where(~F.col("t").isin(*STOPWORDS) & (F.length("t") > 2))
+    level = content.groupBy("doc").agg((F.avg("tf") + F.coalesce(F.stddev_pop("tf"), F.lit(0.0))).alias("norm"))
+    top = stats.groupBy("doc").agg(F.max("tf").alias("most"))
+    full = content.join(level, "doc").join(top, "doc").join(right, ["doc", "t"], "left").join(left, ["doc", "t"], "left")
+    relation = 1 + (F.coalesce("r", F.lit(0.0)) + F.coalesce("l", F.lit(0.0))) * F.col("tf") / F.col("most")
+    case = F.greatest("tu", "ta") / (1 + F.log("tf"))
+    position = F.log(3 + F.log(2.0 + F.col("place")))
+    score = position * relation / (case + F.col("tf") / F.col("norm") / relation + F.col("in") / F.col("ns") / relation)
+    scored = full.select("doc", "t", score.alias("v"))
+    grams = [F.when(F.size("w") >= n, _grams(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
+    terms = w.select("doc", lower.alias("w")).select("doc", F.explode(F.concat(*grams)).alias("keyword")).groupBy("doc", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    parts = terms.select("doc", "keyword", "n", F.explode(F.split("keyword", " ")).alias("t"), F.size(F.split("keyword", " ")).alias("k")).join(scored, ["doc", "t"])
+    whole = parts.groupBy("doc", "keyword", "n", "k").agg(F.count(F.lit(1)).alias("got"), F.sum(F.log(F.greatest("v", F.lit(1e-9)))).alias("p"), F.sum("v").alias("q")).where("got = k")
+    s = F.exp("p") / (F.col("n") * (1 + F.col("q")))
+    return whole.select(F.col("doc").alias(doc), "keyword", (1 / (1 + s)).alias("score"))
