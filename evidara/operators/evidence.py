@@ -74,7 +74,11 @@ def fractional_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def rank_sum(rows: DataFrame, values: Sequence[str], out: str) -> DataFrame:
-    """Adds the sum of the fractional ranks of ``values``; the lower, the better."""
+    """Adds the sum of the fractional ranks of ``values``; the lower, the better. The rows are written once, as every rank
+    reads them."""
+    from evidara.plans.lineage import Scratch
+
+    rows = Scratch(rows.sparkSession, "ranked").save(rows)
     for k, v in enumerate(values):
         rows = fractional_ranks(rows, v, f"__r{k}")
     total = sum((F.col(f"__r{k}") for k in range(1, len(values))), F.col("__r0"))
