@@ -7,8 +7,9 @@ enumerated (one entry for each symbol left out), equal entries are fetched, and
 decides which pairs are verified exactly. Bits instead of symbols can't work at a similarity of 0.6: a pair then differs
 in 23 % of the bits and a random pair in 50 %, and balls of that radius hold most of the table.
 
-Units held by more than COMMON of the records say nothing about a pair and would make buckets of whole hosts; they
-don't enter fingerprints (the exact verification counts them).
+Units held by more than COMMON of the records would make buckets of whole hosts, so a first fingerprint leaves them out.
+They are what the members of a large group of near copies share, though, so a record of which they are more than MIXED
+has a second fingerprint over all its units, and pairs are sought among both (the exact verification counts all units).
 """
 
 from __future__ import annotations
@@ -27,7 +28,13 @@ from evidara.plans.lineage import Scratch
 SEGMENTS, WIDTH = 8, 4
 #: Least number of equal symbols: 3.5 standard deviations under the mean of a pair whose rarer units overlap by half.
 LEAST_EQUAL = 7
+#: The same for fingerprints over all units, of a pair at 0.6.
+LEAST_EQUAL_ALL = 10
 COMMON = 0.01
+#: A pair at 0.6 of which one record holds no more common units than this overlaps by 0.55 in its rarer units.
+MIXED = 0.1
+#: Entries of the index held by more records than this are split over tasks.
+HOT = 2000
 #: A unit in no more records than this is never common: groups of near-duplicates share such units.
 NEVER_COMMON = 100
 #: Characters handled at once in a worker.
@@ -137,13 +144,25 @@ def common_units(records: DataFrame, units: Units) -> np.ndarray:
     return np.sort(found.where(F.col("n") > max(NEVER_COMMON, COMMON * total / 2)).select("unit").toPandas()["unit"].to_numpy(np.int64).view(np.uint64))
 
 
-def fingerprints(records: DataFrame, units: Units) -> DataFrame:
-    """(id, symbols array<int>) for every record that has units."""
+def fingerprints(records: DataFrame, units: Units, threshold: float = 0.6) -> DataFrame:
+    """(id, whole, symbols array<int>): fingerprints over the rarer units, and over all where ``whole``.
+
+    The common units two records share are at most those of the record with fewer. If these are no more than MIXED of a
+    pair's units, the rarer ones it shares are at least ``threshold`` - MIXED of them, so a record with fewer rarer units
+    has the second fingerprint only, and one with at most MIXED common units the first only.
+    """
     held = records.sparkSession.sparkContext.broadcast(common_units(records, units))
     count = SEGMENTS * WIDTH
     seeds = _mix(np.arange(1, 2 * count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     factors, shifts = seeds[:count] | np.uint64(1), seeds[count:]
 
+    def least(unit: np.ndarray, of: np.ndarray, ids: np.ndarray, whole: bool) -> pd.DataFrame:
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        symbols = np.empty((first.size, count), np.int32)
+        for k in range(count):
+            symbols[:, k] = (_mix(np.minimum.reduceat(unit * factors[k] + shifts[k], first)) >> np.uint64(48)).astype(np.int32)
+        return pd.DataFrame({"id": ids[of[first]], "whole": whole, "symbols": list(symbols)})
+
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common = held.value
         maybe = np.zeros(1 << 22, bool)
@@ -159,18 +178,28 @@ def fingerprints(records: DataFrame, units: Units) -> DataFrame:
                     ask = np.flatnonzero(maybe[unit & np.uint64((1 << 22) - 1)])
                     place = np.minimum(np.searchsorted(common, unit[ask]), common.size - 1)
                     rare[ask[common[place] == unit[ask]]] = False
-                # A record of common units only keeps them all.
-                rare |= (np.bincount(of[rare], minlength=len(run)) == 0)[of]
-                unit, of = unit[rare], of[rare]
-                first = np.flatnonzero(np.diff(of, prepend=-1))
-                symbols = np.empty((first.size, count), np.int32)
-                for k in range(count):
-                    least = np.minimum.reduceat(unit * factors[k] + shifts[k], first)
-                    symbols[:, k] = (_mix(least) >> np.uint64(48)).astype(np.int32)
-                yield pd.DataFrame({"id": ids[start + of[first]], "symbols": list(symbols)})
+                # Units are counted once a record, which only those with common units need.
+                n = len(run)
+                some = np.bincount(of[~rare], minlength=n) > 0
+                at = np.flatnonzero(some[of])
+                at = at[np.unique(unit[at] + of[at].astype(np.uint64) * np.uint64(0xD1342543DE82EF95), return_index=True)[1]]
+                part = np.bincount(of[at[~rare[at]]], minlength=n) / np.maximum(1, np.bincount(of[at], minlength=n))
+                one, two = rare & (part <= 1 - threshold + MIXED)[of], (part > MIXED)[of]
+                for which, whole in ((one, False), (two, True)):
+                    if which.any():
+                        yield least(unit[which], of[which], ids[start:], whole)
 
     kind = dict(records.dtypes)["id"]
-    return records.mapInPandas(sketch, f"id {kind}, symbols array<int>")
+    return records.mapInPandas(sketch, f"id {kind}, whole boolean, symbols array<int>")
+
+
+def _met(index: DataFrame) -> DataFrame:
+    """(whole, rep_a, rep_b) for every two records with an entry in common; entries of many records are split over tasks."""
+    hot = index.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("entry", F.ceil(F.col("n") / HOT).cast("int").alias("k"))
+    split = index.join(hot, "entry", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    a = split.select("whole", "entry", F.col("id").alias("rep_a"), F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("part"))
+    b = split.select("entry", F.col("id").alias("rep_b"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
+    return a.join(b, ["entry", "part"]).where("rep_a < rep_b").select("whole", "rep_a", "rep_b").distinct()
 
 
 def near_groups(table: DataFrame, id_col: str, text: str, units: Units, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -188,18 +217,17 @@ def near_groups(table: DataFrame, id_col: str, text: str, units: Units, threshol
     firsts = digests.groupBy("digest").agg(F.min("id").alias("rep"))
     members = scratch.save(digests.join(firsts, "digest").select("id", "rep").distinct())
 
-    prints = scratch.save(fingerprints(records, units).join(members.where("id = rep").select("id"), "id", "left_semi"))
+    prints = scratch.save(fingerprints(records, units, threshold).join(members.where("id = rep").select("id"), "id", "left_semi"))
     entries = []
     for s in range(SEGMENTS):
         for left_out in range(WIDTH):
             kept = [F.col("symbols")[s * WIDTH + k] for k in range(WIDTH) if k != left_out]
-            entries.append(F.xxhash64(F.lit(s * WIDTH + left_out), *kept))
-    index = prints.select("id", F.explode(F.array(*entries)).alias("entry"))
-    met = index.alias("a").join(index.alias("b"), (F.col("a.entry") == F.col("b.entry")) & (F.col("a.id") < F.col("b.id")))
-    met = met.select(F.col("a.id").alias("rep_a"), F.col("b.id").alias("rep_b")).distinct()
-    left, right = (prints.select(F.col("id").alias(f"rep_{x}"), F.col("symbols").alias(f"s_{x}")) for x in "ab")
+            entries.append(F.xxhash64(F.lit(s * WIDTH + left_out), "whole", *kept))
+    met = _met(prints.select("id", "whole", F.explode(F.array(*entries)).alias("entry")))
+    left, right = (prints.select(F.col("id").alias(f"rep_{x}"), "whole", F.col("symbols").alias(f"s_{x}")) for x in "ab")
     equal = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-    close = scratch.save(met.join(left, "rep_a").join(right, "rep_b").where(equal >= LEAST_EQUAL).select("rep_a", "rep_b"))
+    least = F.when(F.col("whole"), LEAST_EQUAL_ALL).otherwise(LEAST_EQUAL)
+    close = scratch.save(met.join(left, ["rep_a", "whole"]).join(right, ["rep_b", "whole"]).where(equal >= least).select("rep_a", "rep_b").distinct())
 
     @F.pandas_udf("double")
     def overlap(a: pd.Series, b: pd.Series) -> pd.Series:

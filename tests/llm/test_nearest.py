@@ -56,3 +56,22 @@ def test_runs_hold_whole_texts(monkeypatch):
     monkeypatch.setattr(nearest, "AT_ONCE", 10)
     parts = list(nearest._parts(pd.Series(["aaaa", "bbbb", "C" * 50, "d"])))
     assert parts == [(0, ["aaaa", "bbbb"]), (2, ["c" * 50]), (3, ["d"])]
+
+
+def test_a_third_of_the_rows_are_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "HOT", 50, raising=False)
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(7)) for _ in range(4000)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    texts = {f"o{i:03d}": " ".join(rng.choice(vocabulary) for _ in range(120)) for i in range(600)}
+    for i in range(300):
+        words = list(base)
+        for k in rng.sample(range(120), 3):
+            words[k] = rng.choice(vocabulary)
+        texts[f"c{i:03d}"] = " ".join(words)
+    units = Units("words", 3)
+    df = spark.createDataFrame([(k, v, "z", "z") for k, v in texts.items()], SCHEMA)
+    got = {tuple(r) for r in near_pairs(*near_groups(df, "doc_id", "text", units, 0.6)).collect()}
+    sets = {k: units.exact(v) for k, v in texts.items() if k[0] == "c"}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    assert not got - want and len(want) > 40_000 and len(want - got) <= 0.01 * len(want)
