@@ -111,6 +111,8 @@ LEAST_COVER = 5
 #: Share of a sentence's n-grams known from SPEAKS that gives it up.
 SPOKEN = 0.75
 AT_ONCE = 4_000_000
+#: A line shorter than a window of text.
+_LINE = re.compile(rf"(?m)^[^\S\n]*(\S(?:[^\n]{{0,{TEXT_WINDOW[0] + ORDER - 4}}}\S)?)[^\S\n]*$")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _DIGIT = re.compile(r"\d")
 
@@ -220,6 +222,21 @@ def _plain(sentence: str) -> str:
     return re.sub(r"0+", "0", _DIGIT.sub("0", sentence.lower()))
 
 
+@cache
+def _short() -> frozenset[str]:
+    """What is residue where it is all of a line, however short."""
+    typed = [w for words in TYPED for w in words.split()]
+    return frozenset(_bare(p) for x in (*NOTICES, *STAND_INS, *typed) for p in (x, *_SENTENCE.split(x)))
+
+
+def _bare(line: str) -> str:
+    return _plain(line).strip(" .,:;!()[]<>*#-–")
+
+
+def _is_short(line: str) -> bool:
+    return bool(_bare(line)) and _bare(line) in _short()
+
+
 def _cover(score: np.ndarray, window: int, least: float) -> np.ndarray:
     """True at the n-grams of windows whose mean is at least ``least`` and that are positive themselves."""
     if score.size < window:
@@ -251,6 +268,13 @@ def locate(texts: list[str], tables: list[np.ndarray]) -> list[list[tuple[int, i
         cuts = np.flatnonzero(np.diff(at) > ORDER)
         spans = [(int(a), int(b) + ORDER) for a, b in zip(at[np.concatenate(([0], cuts + 1))], at[np.concatenate((cuts, [at.size - 1]))], strict=True)]
         out[i] = [s for s in spans if not _speaks(texts[i], *s)]
+    # A line shorter than a window is judged by its own n-grams, which must come to what a window needs.
+    window, least = TEXT_WINDOW
+    for i, t in enumerate(texts):
+        for m in _LINE.finditer(t):
+            low, high = starts[i] + m.start(1), starts[i] + m.end(1) - ORDER + 1
+            if _is_short(m.group(1)) or high > low and max(table[text[low:high]].sum() for table in tables[:2]) >= window * least:
+                out[i] = sorted([s for s in out[i] if s[1] <= m.start(1) or s[0] >= m.end(1)] + [m.span(1)])
     return out
 
 
@@ -265,7 +289,9 @@ def _speaks(text: str, start: int, end: int) -> bool:
 
 
 def find_residue(documents: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, start, end): the stretches of each text that are residue, at least LEAST_COVER characters in all.
+    """(id, start, end): the stretches of each text that are residue, at least LEAST_COVER characters in all unless one is
+    a line like "TBD". A text or line shorter than a window counts as a whole; one too short for that many n-grams (about
+    eight characters) must be one of the samples.
 
     Null and empty texts give no row, nor does an empty table. Copies are judged alike; repeated ids each for itself;
     other columns are ignored. Whole texts are read, twice: once for the model of prose, once for the windows.
@@ -278,7 +304,7 @@ def find_residue(documents: DataFrame, id_col: str, text: str) -> DataFrame:
         for b in batches:
             ids = b["id"].tolist()
             for start, run in _runs(b["text"]):
-                found = [(ids[start + i], s, e) for i, spans in enumerate(locate(run, held.value)) if sum(e - s for s, e in spans) >= LEAST_COVER for s, e in spans]
+                found = [(ids[start + i], s, e) for i, spans in enumerate(locate(run, held.value)) if sum(e - s for s, e in spans) >= LEAST_COVER or any(_is_short(run[i][s:e]) for s, e in spans) for s, e in spans]
                 yield pd.DataFrame({"id": pd.Series([f[0] for f in found], dtype=b["id"].dtype), "start": pd.Series([f[1] for f in found], dtype="int32"), "end": pd.Series([f[2] for f in found], dtype="int32")})
 
     return rows.mapInPandas(find, f"id {kind}, start int, end int").withColumnRenamed("id", id_col)

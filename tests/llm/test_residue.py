@@ -29,3 +29,16 @@ def test_held_out_residue_is_told_from_prose(spark):
     left = {r["doc_id"] for r in exclude_residue(df, "doc_id", "text").collect()}
     assert left == {r[0] for r in rows} - ids and {4000, 4001} <= left
     assert find_residue(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_short_texts_and_lines(spark):
+    rng = random.Random(7)
+    bad = ["404 Not Found", "403 Forbidden", "Access denied", "Bad Gateway", "Retry", "TBD", "xxx", "  Access Denied.  "]
+    good = ["a", "Results", "Methods", "Binding", "fibrosis", "week 12"]
+    rows = [(i, prose(rng)) for i in range(300)]
+    for at, lines in ((1000, bad), (3000, good)):
+        rows += [(at + i, x) for i, x in enumerate(lines)] + [(at + 100 + i, f"{prose(rng, 2)}\n{x}\n{prose(rng, 2)}") for i, x in enumerate(lines)]
+    found = find_residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert {r["doc_id"] for r in found} == {k + i for k in (1000, 1100) for i in range(len(bad))}
+    texts = dict(rows)
+    assert all(texts[r["doc_id"]][r["start"] : r["end"]].strip() in [b.strip() for b in bad] for r in found)
