@@ -1,7 +1,7 @@
 """Problem 9: unfilled templates, filler, error messages and notices that scripts are needed.
 
 Character n-gram models of filler, of notices and of placeholders are fitted on the fixed samples below, the model of
-natural prose on all texts. Windows in which a residue model is likelier than prose localise residue; a text is excluded
+natural prose on all texts, each sentence counted once, so that residue copied often doesn't become prose. Windows in which a residue model is likelier than prose localise residue; a text is excluded
 by how much of it such windows cover. Placeholders are modelled on shapes (letters made equal), so unseen field names
 count as well. Sentences that only speak of such things have a sample of their own and give windows inside them up.
 """
@@ -110,6 +110,8 @@ TEXT_WINDOW, SHAPE_WINDOW = (16, 1.2), (4, 2.7)
 LEAST_COVER = 5
 #: Share of a sentence's n-grams known from SPEAKS that gives it up.
 SPOKEN = 0.75
+#: Share of a sentence's n-grams known from the samples that keeps it out of the model of prose.
+SAMPLED = 0.75
 AT_ONCE = 4_000_000
 #: A line shorter than a window of text.
 _LINE = re.compile(rf"(?m)^[^\S\n]*(\S(?:[^\n]{{0,{TEXT_WINDOW[0] + ORDER - 4}}}\S)?)[^\S\n]*$")
@@ -171,31 +173,49 @@ def _runs(texts: pd.Series) -> Iterator[tuple[int, list[str]]]:
         yield start, run
 
 
-def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _counts(texts: list[str], without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams by bucket, of text and of shapes, but not of texts of which SAMPLED are in ``without``."""
     flat, starts = _points(texts)
     size = max(0, flat.size - ORDER + 1)
     ok = _valid(size, starts, np.array([len(t) for t in texts]))
+    text = _buckets(flat, TEXT_BUCKETS)
+    if without is not None:
+        of = np.searchsorted(starts, np.arange(size), side="right") - 1
+        known, all_ = (np.bincount(of[x], minlength=len(texts)) for x in (ok & without[text], ok))
+        ok &= (known < SAMPLED * all_)[of]
     return (
-        np.bincount(_buckets(flat, TEXT_BUCKETS)[ok], minlength=TEXT_BUCKETS),
+        np.bincount(text[ok], minlength=TEXT_BUCKETS),
         np.bincount(_buckets(_shape(flat), SHAPE_BUCKETS)[ok], minlength=SHAPE_BUCKETS),
     )
 
 
+def pieces(documents: DataFrame) -> DataFrame:
+    """(text): the distinct sentences and lines of all texts, lower-cased with digits made equal, and what is around each
+    cut between two of them."""
+    plain = F.split(F.regexp_replace(F.lower("text"), "[0-9]", "0"), _SENTENCE.pattern)
+    cuts = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.concat(F.substring(F.element_at("p", i), 1 - ORDER, ORDER - 1), F.lit(" "), F.substring(F.element_at("p", i + 1), 1, ORDER - 1)))
+    both = F.when(F.size("p") > 1, F.concat("p", cuts)).otherwise(F.col("p"))
+    return documents.select(plain.alias("p")).select(F.explode(both).alias("text")).distinct()
+
+
 def prose_counts(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """How often each n-gram bucket occurs in all texts; the tables' sizes are fixed, so little comes to the driver."""
+    """How often each n-gram bucket occurs in the distinct pieces of all texts, without those made of the samples' n-grams,
+    however often residue is copied; the tables' sizes are fixed, so little comes to the driver."""
+    filler, notices, _ = _samples()
+    sampled = (_counts(filler)[0] > 0) | (_counts(notices)[0] > 0)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         text, shape = np.zeros(TEXT_BUCKETS, np.int64), np.zeros(SHAPE_BUCKETS, np.int64)
         for b in batches:
             for _, run in _runs(b["text"]):
-                t, s = _counts(run)
+                t, s = _counts(run, sampled)
                 text += t
                 shape += s
         for base, table in ((0, text), (TEXT_BUCKETS, shape)):
             full = np.flatnonzero(table)
             yield pd.DataFrame({"bucket": (full + base).astype(np.int32), "n": table[full]})
 
-    got = documents.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = pieces(documents).mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(TEXT_BUCKETS + SHAPE_BUCKETS, np.int64)
     table[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return table[:TEXT_BUCKETS], table[TEXT_BUCKETS:]

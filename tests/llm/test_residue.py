@@ -31,6 +31,15 @@ def test_held_out_residue_is_told_from_prose(spark):
     assert find_residue(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_a_notice_that_is_a_third_of_the_rows(spark):
+    rng = random.Random(6)
+    notices = ["Your session has expired. Sign in again to continue reading.", "Database connection failed: timeout after {}s (host db{})", "The record has moved. Status {}. The file is no longer hosted here.", "Please switch on JavaScript in your browser to read this article."]
+    for notice in notices:
+        rows = [(i, prose(rng)) for i in range(400)] + [(1000 + i, notice.format(rng.randrange(100, 999), rng.randrange(9))) for i in range(200)]
+        found = {r["doc_id"] for r in find_residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+        assert found == set(range(1000, 1200)), notice
+
+
 def test_short_texts_and_lines(spark):
     rng = random.Random(7)
     bad = ["404 Not Found", "403 Forbidden", "Access denied", "Bad Gateway", "Retry", "TBD", "xxx", "  Access Denied.  "]
