@@ -43,9 +43,11 @@ def match_exact(queries: DataFrame, name: str, known: DataFrame) -> DataFrame:
 def fuzzy_pairs(forms: DataFrame, form: str) -> DataFrame:
     """(a, b, distance, how): pairs of distinct normal forms that match without being equal, a < b.
 
-    A match of forms of ten or more characters has at most 1 + n // 10 edits, so cut into one part more than that, one
-    part survives in the other form, shifted by no more than the edits: an equi-join on (part, its number, length) finds
-    every such pair. Shorter forms match only by obvious variation, which keeps the folded
+    A match of forms of ten or more characters has at most 1 + n // 10 edits, and they are cut into one part more than
+    that. A swap of neighbours across a cut damages two parts, so runs of parts are keys as well, with the two characters
+    at each cut inside sorted: cuts that were swapped join parts to one run less each, and every other edit damages one
+    run, so one run survives in the other form, shifted by no more than the edits left. An equi-join on (run, its
+    numbers, length) finds every such pair. Shorter forms match only by obvious variation, which keeps the folded
     spelling up to an ending; they meet on the folded spelling without blanks and on what is left of it without an ending.
     """
     f = forms.select(F.col(form).alias("f")).where(F.length(form) > 0).distinct()
@@ -53,22 +55,36 @@ def fuzzy_pairs(forms: DataFrame, form: str) -> DataFrame:
     # What is left without each ending that obvious variants exchange.
     stems = F.filter(F.array(*[F.when(folded.endswith(e), F.regexp_replace(folded, e + "$", "")) for e in ENDINGS]), lambda x: x.isNotNull())
     n = F.length("f")
-    parts = 2 + F.floor(n / 10)
-    width = F.floor(n / parts)
-    here = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(k.cast("int").alias("k"), n.alias("n"), F.substring(F.col("f"), (k * width + 1).cast("int"), F.when(k == parts - 1, n - k * width).otherwise(width).cast("int")).alias("part")))
+    i, j, m, p, w, d = (F.col(c) for c in "ijmpwd")
+
+    def runs(forms: DataFrame) -> DataFrame:
+        """Every run of parts from i to j of the p parts of width w that a form of length m has."""
+        cut = forms.withColumn("p", 2 + F.floor(m / 10)).withColumn("w", F.floor(m / p))
+        return cut.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), p - 1))).withColumn("j", F.explode(F.sequence(i, p - 1)))
+
+    def run_key(t: Column) -> Column:
+        """Part t of a run found at shift d, without what is next to cuts inside the run, and the sorted pair at its end."""
+        end = F.when(t == p - 1, m).otherwise((t + 1) * w) + d
+        low, high = t * w + d + F.when(t > i, 1).otherwise(0), end - F.when(t < j, 1).otherwise(0)
+        x, y = (F.substring(F.col("f"), k.cast("int"), F.lit(1)) for k in (end, end + 1))
+        return F.concat(F.substring(F.col("f"), (low + 1).cast("int"), (high - low).cast("int")), F.when(t < j, F.concat(F.least(x, y), F.greatest(x, y))).otherwise(""))
+
+    def keys(found: DataFrame) -> DataFrame:
+        part = F.array_join(F.transform(F.sequence(i, j), run_key), "")
+        return found.select("f", (i * 1000 + j).cast("int").alias("k"), m.cast("int").alias("n"), part.alias("part"))
+
+    here = keys(runs(f.where(n >= 10).withColumn("m", n)).withColumn("d", F.lit(0)))
     whole = F.transform(F.array_distinct(F.concat(F.array(folded), stems)), lambda c: F.struct(F.lit(-1).alias("k"), F.lit(0).alias("n"), c.alias("part")))
-    keyed = f.select("f", F.explode(F.concat(F.when(n >= 10, here).otherwise(F.array().cast("array<struct<k:int,n:int,part:string>>")), whole)).alias("x")).select("f", "x.*")
+    keyed = here.unionByName(f.select("f", F.explode(whole).alias("x")).select("f", "x.*"))
 
-    # The other side looks for each part of every length it could match, at every shift the edits allow.
+    # The other side looks for each run of every length it could match, at every shift the edits allow.
     most = 1 + F.floor(n / 10) + 1
     lengths = F.sequence(F.greatest(n - most, F.lit(10)), n + most)
-    place = f.where(n >= 8).select("f", F.explode(lengths).alias("m"))
-    parts_m, width_m = 2 + F.floor(F.col("m") / 10), F.floor(F.col("m") / (2 + F.floor(F.col("m") / 10)))
-    place = place.select("f", "m", F.explode(F.sequence(F.lit(0).cast("long"), parts_m - 1)).alias("k"), parts_m.alias("p"), width_m.alias("w"), most.alias("most"))
-    place = place.select("f", "m", "k", "w", "p", F.explode(F.sequence(-F.col("most"), F.col("most"))).alias("d"))
-    size = F.when(F.col("k") == F.col("p") - 1, F.col("m") - F.col("k") * F.col("w")).otherwise(F.col("w"))
-    at = F.col("k") * F.col("w") + F.col("d")
-    shifted = place.where((at >= 0) & (at + size <= F.length("f"))).select("f", F.col("k").cast("int").alias("k"), F.col("m").cast("int").alias("n"), F.substring(F.col("f"), (at + 1).cast("int"), size.cast("int")).alias("part"))
+    place = runs(f.where(n >= 8).withColumn("m", F.explode(lengths))).withColumn("left", most - (j - i)).where((F.col("left") >= 0) & (F.abs(m - n) <= F.col("left")))
+    place = place.withColumn("d", F.explode(F.sequence(-F.col("left"), F.col("left"))))
+    size = F.when(j == p - 1, m).otherwise((j + 1) * w) - i * w
+    at = i * w + d
+    shifted = keys(place.where((at >= 0) & (at + size <= n)))
     other = shifted.unionByName(keyed.where("k < 0").select("f", "k", "n", "part")).distinct()
     met = keyed.select(F.col("f").alias("x"), "k", "n", "part").join(other.select(F.col("f").alias("y"), "k", "n", "part"), ["k", "n", "part"]).where("x <> y")
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

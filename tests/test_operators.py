@@ -207,3 +207,20 @@ def test_opposed_labels_and_versions(spark):
     assert {tuple(r) for r in report.opposition(rules, "label", "opposites").collect()} == {("inhibits growth", "promotes growth"), ("promotes growth", "inhibits growth")}
     v = spark.range(1).select(report.version(F.lit("3v1.20.0#ab")).alias("a"), report.version(F.lit("1.2")).alias("b")).first()
     assert tuple(v["a"]) == (3, 1, 20, 0, "ab") and v["b"] is None
+
+
+def test_fuzzy_pairs_with_swaps(spark):
+    rng = random.Random(12)
+    forms = {"abcdefghijkl", "abcedfghixkl"}
+    for n in (10, 12, 15, 21, 26):
+        for _ in range(6):
+            base = "".join(rng.choice("abcdeghijkmnoprt") for _ in range(n))
+            c, k = list(base), 0
+            for _ in range(1 + n // 10):
+                k = rng.randrange(n - 1)
+                c[k : k + 2] = c[k : k + 2][::-1]
+            forms |= {base, "".join(c)}
+    forms = sorted({names.comparable(f) for f in forms} - {""})
+    want = {(a, b) for i, a in enumerate(forms) for b in forms[i + 1 :] if names.names_match(a, b)[0] and names.names_match(a, b)[1] > 0}
+    got = {(r["a"], r["b"]) for r in entities.fuzzy_pairs(spark.createDataFrame([(f,) for f in forms], "form string"), "form").collect()}
+    assert got == want and ("abcdefghijkl", "abcedfghixkl") in got
