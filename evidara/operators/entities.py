@@ -204,6 +204,25 @@ def similar_entities(tokens: DataFrame, entity: str, token: str, spec: DataFrame
     return shared.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), sim.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def linked(pairs: DataFrame) -> DataFrame:
+    """(entity, cluster): names of (a, b) linked directly or through others; a cluster is named by its smallest member.
+
+    Minimum labels move along the edges, pointers are jumped, and edges are rewritten to labels until none is left.
+    """
+    scratch = Scratch(pairs.sparkSession, "names")
+    edges = scratch.save(pairs.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    label = edges.select(F.explode(F.array("u", "v")).alias("entity")).distinct().withColumn("cluster", F.col("entity"))
+    while not edges.isEmpty():
+        ends = F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("near")), F.struct(F.col("v").alias("id"), F.col("u").alias("near")))
+        hook = edges.select(F.explode(ends).alias("e")).groupBy("e.id").agg(F.min("e.near").alias("near")).select("id", F.least("id", "near").alias("to"))
+        up = hook.select(F.col("id").alias("to"), F.col("to").alias("top"))
+        jump = scratch.save(hook.join(up, "to").select("id", F.col("top").alias("to")))
+        x, y = jump.select(F.col("id").alias("u"), F.col("to").alias("x")), jump.select(F.col("id").alias("v"), F.col("to").alias("y"))
+        edges = scratch.save(edges.join(x, "u").join(y, "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+        label = scratch.save(label.join(jump.select(F.col("id").alias("cluster"), "to"), "cluster", "left").select("entity", F.coalesce("to", "cluster").alias("cluster")))
+    return label
+
+
 def cluster(pairs: DataFrame, threshold: float) -> DataFrame:
     """(entity, cluster): average-linkage clusters of (a, b, similarity), unlisted pairs counting as 0, merged while two
     clusters are each other's nearest and at least ``threshold`` alike; a cluster is named by its smallest member.

@@ -37,18 +37,19 @@ def sweep(found: DataFrame, doc: str, name: str, known: DataFrame, band: int) ->
 
 
 def consolidate(mentions: DataFrame, name: str, aliases: str, threshold: float) -> DataFrame:
-    """(name, target, how): contested and fuzzy names merged into the one with most mentions, others by clusters.
+    """(name, target): contested and fuzzy names merged into the one with most mentions.
 
-    Pairs from both phases are linked, groups named by their most frequent member, ties by the smaller name.
+    Pairs from both phases are linked, and so is what they link in turn, whatever ``threshold`` is; groups are named by
+    their most frequent member, ties by the smaller name.
     """
     counts = mentions.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    shared = entities.contested_forms(mentions, name, aliases).select(F.explode("canonicals").alias("b"), F.element_at("canonicals", 1).alias("a"), F.lit("contested").alias("how")).where("a <> b")
+    shared = entities.contested_forms(mentions, name, aliases).select(F.explode("canonicals").alias("b"), F.element_at("canonicals", 1).alias("a")).where("a <> b")
     norm = counts.select("name", names.comparable_of(F.col("name")).alias("f"))
     close = entities.fuzzy_pairs(norm, "f")
     x, y = norm.select(F.col("name").alias("a"), F.col("f").alias("fa")), norm.select(F.col("name").alias("b"), F.col("f").alias("fb"))
-    fuzzy = close.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(x, "fa").join(y, "fb").select("b", "a", F.lit("fuzzy").alias("how"))
-    pairs = shared.unionByName(fuzzy).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "how").groupBy("a", "b").agg(F.min("how").alias("how"))
-    groups = entities.cluster(pairs.select("a", "b", F.lit(1.0).alias("similarity")), threshold)
+    fuzzy = close.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(x, "fa").join(y, "fb").select("b", "a")
+    pairs = shared.unionByName(fuzzy).select("a", "b")
+    groups = entities.linked(pairs)
     sized = groups.join(counts, groups["entity"] == counts["name"]).select("cluster", "entity", "n")
     best = sized.groupBy("cluster").agg(F.min_by("entity", F.struct(-F.col("n"), F.col("entity"))).alias("target"))
     return sized.join(best, "cluster").where("entity <> target").select(F.col("entity").alias("name"), "target")

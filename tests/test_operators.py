@@ -224,3 +224,12 @@ def test_fuzzy_pairs_with_swaps(spark):
     want = {(a, b) for i, a in enumerate(forms) for b in forms[i + 1 :] if names.names_match(a, b)[0] and names.names_match(a, b)[1] > 0}
     got = {(r["a"], r["b"]) for r in entities.fuzzy_pairs(spark.createDataFrame([(f,) for f in forms], "form string"), "form").collect()}
     assert got == want and ("abcdefghijkl", "abcedfghixkl") in got
+
+
+def test_names_of_one_form_are_all_consolidated(spark):
+    from evidara.operators import pipeline
+
+    writings = ["TGF beta", "TGF-beta", "tgf-beta", "TGF Beta", "Tgf beta", "TGF-Beta"]
+    rows = [(w, []) for w in writings] + [("TGF-beta", []), ("hepatocyte", [])]
+    got = {tuple(r) for r in pipeline.consolidate(spark.createDataFrame(rows, "name string, aliases array<string>"), "name", "aliases", 0.5).collect()}
+    assert got == {(w, "TGF-beta") for w in writings if w != "TGF-beta"}
