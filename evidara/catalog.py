@@ -330,14 +330,19 @@ def _name_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def similar_names(spark: SparkSession, folder: str) -> DataFrame:
-    tokens = _name_tokens(spark, folder)
-    spec = entities.specificity(tokens, "e", "token", F.lit(1.0))
-    return entities.similar_entities(tokens, "e", "token", spec, 0.3).withColumn("similarity", F.round("similarity", 9))
+    return _similar_names(spark, folder, 0.3)
 
 
 @query()
 def name_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    return entities.cluster(similar_names(spark, folder), 0.3)
+    # Averages count every pair with a token in common, however little alike.
+    return entities.cluster(_similar_names(spark, folder, 1e-9), 0.3)
+
+
+def _similar_names(spark: SparkSession, folder: str, threshold: float) -> DataFrame:
+    tokens = _name_tokens(spark, folder)
+    spec = entities.specificity(tokens, "e", "token", F.lit(1.0))
+    return entities.similar_entities(tokens, "e", "token", spec, threshold).withColumn("similarity", F.round("similarity", 9))
 
 
 @query("SELECT DISTINCT a.l_orderkey AS doc, least(a.l_partkey, b.l_partkey) AS a, greatest(a.l_partkey, b.l_partkey) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey")

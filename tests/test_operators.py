@@ -233,3 +233,19 @@ def test_names_of_one_form_are_all_consolidated(spark):
     rows = [(w, []) for w in writings] + [("TGF-beta", []), ("hepatocyte", [])]
     got = {tuple(r) for r in pipeline.consolidate(spark.createDataFrame(rows, "name string, aliases array<string>"), "name", "aliases", 0.5).collect()}
     assert got == {(w, "TGF-beta") for w in writings if w != "TGF-beta"}
+
+
+def test_name_clusters_average_over_all_pairs(spark, monkeypatch):
+    from evidara import catalog
+
+    rng = random.Random(0)
+    tokens = {f"n{i:02d}": set(rng.sample("abcdefghijklmnopqrst", rng.randrange(2, 7))) for i in range(16)}
+    df = spark.createDataFrame([(e, t) for e, ts in tokens.items() for t in ts], "e string, token string")
+    monkeypatch.setattr(catalog, "_name_tokens", lambda spark, folder: df)
+    s = {r["token"]: r["specificity"] for r in entities.specificity(df, "e", "token", F.lit(1.0)).collect()}
+    weight = lambda ts: sum(s[t] for t in ts)
+    pairs = [(a, b, round(weight(tokens[a] & tokens[b]) / min(weight(tokens[a]), weight(tokens[b])), 9)) for a in tokens for b in tokens if a < b and tokens[a] & tokens[b]]
+    assert any(p[2] < 0.3 for p in pairs)
+    got = {r["entity"]: r["cluster"] for r in catalog.name_clusters(spark, "").collect()}
+    cut = average_linkage([p for p in pairs if p[2] >= 0.3], 0.3)
+    assert got == average_linkage(pairs, 0.3) and any(got[k] != cut[k] for k in cut)
