@@ -27,6 +27,8 @@ PARAGRAPH, HEADING, ITEM, SENTENCE, BEFORE_TITLE, TITLE, ABOVE_PARAGRAPH, BELOW_
 NEIGHBOURS, BLOCK = 2, 64
 #: A page with this share of the other's paragraphs is a copy of it and says nothing about furniture.
 COPY = 0.3
+#: A long paragraph that so many of a host's pages hold, and this share of them beside pages they are no copies of, is furniture.
+LONG_PAGES, LONG_SHARED = 5, 0.6
 _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W_]+")
 _HOST = re.compile(r"^[a-z]+://(?:(?:www|amp|m)\.)*([^/?#:]*)[^/?#]*([^#]*)", re.I)
@@ -116,6 +118,13 @@ def _difference(pages: pd.DataFrame) -> pd.DataFrame:
     roots = [p.rstrip("/").partition("?")[0].removesuffix(".html") for p in pages["path"]]
     titles = [next((k for k, b in zip(ks, bs, strict=True) if b & TITLE), None) for ks, bs in zip(keys, bits, strict=True)]
     shared = [[0] * len(k) for k in keys]
+    # Long lines under many titles don't make two pages copies of each other.
+    under: dict[int, list] = {}
+    for ks, bs, t in zip(keys, bits, titles, strict=True):
+        for k in {k for k, b in zip(ks, bs, strict=True) if b & LONG}:
+            under.setdefault(k, []).append(t)
+    spread = {k for k, ts in under.items() if len(set(ts)) >= LONG_PAGES and 2 * len(ts) > len(keys)}
+    prose = [[b & PARAGRAPH and k not in spread for k, b in zip(ks, bs, strict=True)] for ks, bs in zip(keys, bits, strict=True)]
     for i in range(len(keys)):
         for j in range(i + 1, min(len(keys), i + 1 + NEIGHBOURS)):
             if spots[j] - spots[i] > NEIGHBOURS or not (own[i] or own[j]):
@@ -123,8 +132,9 @@ def _difference(pages: pd.DataFrame) -> pd.DataFrame:
             if titles[i] is not None and titles[i] == titles[j] or len(roots[i]) > 8 and (roots[j].startswith(roots[i]) or roots[i].startswith(roots[j])) and len(roots[j]) > 8 and "?" not in pages["path"].iloc[i]:
                 continue
             pairs = align(keys[i], keys[j])
-            least = min(sum(b & PARAGRAPH for b in bits[i]), sum(b & PARAGRAPH for b in bits[j]))
-            if sum(bits[i][p] & PARAGRAPH for p, _ in pairs) > COPY * max(1, least):
+            # A page of such lines only is compared by them.
+            x, y = (prose[k] if any(prose[i]) and any(prose[j]) else [b & PARAGRAPH for b in bits[k]] for k in (i, j))
+            if sum(x[p] for p, _ in pairs) > COPY * max(1, min(sum(x), sum(y))):
                 continue
             for p, q in pairs:
                 shared[i][p] += 1
@@ -147,8 +157,9 @@ def decide(lines: list[tuple]) -> list[int]:
     above, below = [rate(x[7], x[4]) for x in lines], [rate(x[8], x[4]) for x in lines]
     seen = [x[3] > 0 or x[5] > 1 for x in lines]
     all_rate = [rate(x[5], x[4]) for x in lines]
-    paragraph = [bool(b & PARAGRAPH) and not (b & LONG == 0 and seen[i] and (before[i] > 0.05 or host_rate[i] > 0.3 or (lines[i][4] >= 5 and lines[i][5] > 1))) for i, b in enumerate(bits)]
-    heading = [not paragraph[i] and bool(bits[i] & HEADING) or (not bits[i] & ITEM and above[i] >= 0.5 and below[i] <= 0.7 and before[i] < 0.1 and i + 1 < len(lines) and no[i + 1] == no[i] + 1 and paragraph[i + 1]) for i in range(len(lines))]
+    notice = [bool(b & LONG and b & PARAGRAPH) and lines[i][2] >= LONG_PAGES and host_rate[i] > LONG_SHARED for i, b in enumerate(bits)]
+    paragraph = [bool(b & PARAGRAPH) and not notice[i] and not (b & LONG == 0 and seen[i] and (before[i] > 0.05 or host_rate[i] > 0.3 or (lines[i][4] >= 5 and lines[i][5] > 1))) for i, b in enumerate(bits)]
+    heading = [not paragraph[i] and bool(bits[i] & HEADING) or (not bits[i] & (ITEM | LONG) and above[i] >= 0.5 and below[i] <= 0.7 and before[i] < 0.1 and i + 1 < len(lines) and no[i + 1] == no[i] + 1 and paragraph[i + 1]) for i in range(len(lines))]
     titles = [i for i, b in enumerate(bits) if b & TITLE]
     if titles:
         title = titles[0]
@@ -159,7 +170,7 @@ def decide(lines: list[tuple]) -> list[int]:
         title = marked[0] if marked else rare[-1] if rare else next((i for i in range(first) if heading[i]), first)
     keep = [paragraph[i] or heading[i] or i == title for i in range(len(lines))]
     for i in range(title + 1, len(lines)):
-        if keep[i] or not (bits[i] & (SENTENCE | ITEM)) or not i or no[i] != no[i - 1] + 1:
+        if keep[i] or notice[i] or not (bits[i] & (SENTENCE | ITEM)) or not i or no[i] != no[i - 1] + 1:
             continue
         # A sentence or list item that follows a paragraph here and nearly everywhere.
         listed = paragraph[i - 1] or (keep[i - 1] and bits[i] & ITEM and bits[i - 1] & ITEM)
@@ -174,7 +185,7 @@ def decide(lines: list[tuple]) -> list[int]:
             out[i] |= not keep[i] and out[j] and abs(no[i] - no[j]) == 1
     # A line that always introduces a text, without being a heading, takes that text along.
     for i in range(len(lines) - 1):
-        out[i + 1] |= out[i] and lines[i][4] >= 3 and above[i] >= 0.9 and not heading[i] and no[i + 1] == no[i] + 1 and not titles[:1] == [i + 1]
+        out[i + 1] |= out[i] and not bits[i] & LONG and lines[i][4] >= 3 and above[i] >= 0.9 and not heading[i] and no[i + 1] == no[i] + 1 and not titles[:1] == [i + 1]
     # What stands alone after the last paragraph is no part of the article.
     last = max((i for i in range(len(lines)) if paragraph[i]), default=-1)
     for i in range(last + 1, len(lines)):
@@ -215,8 +226,7 @@ def find_furniture(pages: DataFrame) -> DataFrame:
     long = lines.join(compared, "doc_id").select("doc_id", "host", F.explode(pair).alias("x"))
     long = long.select("doc_id", "host", F.col("x.numbers").alias("no"), F.col("x.keys").alias("key"), F.col("x.bits").alias("bits"), F.least(F.col("x.shared"), F.lit(1)).alias("shared"))
     flag = lambda bit: F.sum(F.when(F.col("bits").bitwiseAND(bit) > 0, 1).otherwise(0))
-    short = long.where(F.col("bits").bitwiseAND(LONG) == 0)
-    hosts = short.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("shared").alias("s"), flag(BEFORE_TITLE).alias("before"), flag(ABOVE_PARAGRAPH).alias("above"), flag(BELOW_PARAGRAPH).alias("below"))
+    hosts = long.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("shared").alias("s"), flag(BEFORE_TITLE).alias("before"), flag(ABOVE_PARAGRAPH).alias("above"), flag(BELOW_PARAGRAPH).alias("below"))
     hosts = scratch.save(hosts)
     every = hosts.groupBy("key").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "s", "before", "above", "below")]).where("all_n > 1")
     known = hosts.join(every, "key").select("host", "key", "n", "s", "all_n", "all_s", "all_before", "all_above", "all_below")

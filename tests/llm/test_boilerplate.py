@@ -43,3 +43,17 @@ def test_alignment_is_a_longest_common_subsequence():
 def test_templates_make_digits_and_site_names_equal():
     one, two = describe("© 2020 Rasara", None, "rasarajournals.test")[1], describe("© 1999 Bumole", None, "bumolelib.example")[1]
     assert one == two
+
+
+def test_long_notices_of_a_host_are_found(spark):
+    notice = "We and our partners use cookies to keep this site working, to remember what you read, to count visits and to show what may interest you; by reading on you agree to that, and you may change your mind at any time on the page of settings."
+    legal = "The views in these pages are those of their authors and not of the publisher, who is not liable for any loss that comes of their use, whether direct or indirect, and who asks readers to seek the advice of a physician before they act."
+    rows = []
+    for i in range(60):
+        doc, url, title, *rest = page(i)
+        own = paragraph(i) + " " + paragraph(i + 900)
+        rows.append((doc, url, title, "\n".join(["Skip to content", f"# {title}", notice, "", own, "", "Careers", legal, "© 2020 Journal"]), *rest[1:]))
+    got = {}
+    for doc, line in find_furniture(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(doc, set()).add(line)
+    assert min(len(notice), len(legal)) > 200 and len(got) == 60 and all(x == {0, 2, 6, 7, 8} for x in got.values())
