@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -24,36 +25,31 @@ def quote_start(quote: Column, text: Column) -> Column:
 
 
 def locate(quote: str, text: str, least: float = 0.8) -> tuple[str, list[tuple[int, int]]]:
-    """(how, spans): every verbatim place, else in normal form (segments around an ellipsis in order), else the closest
-    passage of at least ``least`` similarity, else none."""
+    """(how, spans): every verbatim place, else in normal form (segments around an ellipsis in order), else what a
+    shorthand in it stands for, else the closest passage of at least ``least`` similarity, else none."""
     if not quote or not text:
         return "none", []
     found = [(m.start(), m.start() + len(quote)) for m in re.finditer(f"(?={re.escape(quote)})", text)]
     if found:
         return "verbatim", found
     plain, at = names.normalise(text)
-    spans, cursor = [], 0
-    for part in re.split(r"\s*(?:…|\.\.\.|\[\.\.\.\])\s*", quote):
-        form = names.normalise(part)[0]
-        if not form:
-            continue
-        k = plain.find(form, cursor)
-        if k < 0:
-            spans = []
-            break
-        spans.append((at[k], at[k + len(form) - 1] + 1))
-        cursor = k + len(form)
-    if spans:
+    if spans := _in_normal_form(quote, plain, at):
         return "normal", spans
+    for variant in names.shorthand(quote):
+        if variant != quote and (spans := _in_normal_form(variant, plain, at)):
+            return "shorthand", spans
     form = names.normalise(quote)[0]
     best, where = 0.0, None
     words = [m.start() for m in re.finditer(r"\S+", plain)]
-    rare = set(form.split())
-    for s in words:
+    for s, shared in zip(words, _shared_bigrams(form, plain, words), strict=True):
         piece = plain[s : s + len(form)]
-        if len(rare & set(piece.split())) * 2 < len(rare):
+        # A ratio r matches r / 2 of all characters in at most one block more than characters are left out of it.
+        if shared < (1.5 * max(least, best) - 1) * (len(form) + len(piece)) - 1 - 1e-9:
             continue
-        score = SequenceMatcher(None, form, piece, autojunk=False).ratio()
+        match = SequenceMatcher(None, form, piece, autojunk=False)
+        if match.quick_ratio() < max(least, best):
+            continue
+        score = match.ratio()
         if score > best:
             best, where = score, (s, min(s + len(form), len(plain)))
     if where and best >= least:
@@ -61,9 +57,47 @@ def locate(quote: str, text: str, least: float = 0.8) -> tuple[str, list[tuple[i
     return "none", []
 
 
+def _in_normal_form(quote: str, plain: str, at: list[int]) -> list[tuple[int, int]]:
+    """Where the quote's segments around an ellipsis stand in order in a text in normal form; none unless all do."""
+    spans, cursor = [], 0
+    for part in re.split(r"\s*(?:…|\.\.\.|\[\.\.\.\])\s*", quote):
+        form = names.normalise(part)[0]
+        if not form:
+            continue
+        k = plain.find(form, cursor)
+        if k < 0:
+            return []
+        spans.append((at[k], at[k + len(form) - 1] + 1))
+        cursor = k + len(form)
+    return spans
+
+
+def _shared_bigrams(form: str, plain: str, starts: list[int]) -> list[int]:
+    """For the window of the form's length at each start, how many pairs of characters it has in common with the form."""
+    need = Counter(form[k : k + 2] for k in range(len(form) - 1))
+    has: Counter[str] = Counter()
+    out, shared, low, high = [], 0, 0, 0
+    for s in starts:
+        for k in range(high, max(high, min(s + len(form), len(plain)) - 1)):
+            g = plain[k : k + 2]
+            if g in need:
+                shared += has[g] < need[g]
+                has[g] += 1
+            high = k + 1
+        for k in range(low, s):
+            g = plain[k : k + 2]
+            if k < high and g in need:
+                has[g] -= 1
+                shared -= has[g] < need[g]
+            low = k + 1
+        out.append(shared)
+    return out
+
+
 def located(quotes: DataFrame, quote: str, text: str) -> DataFrame:
-    """Adds ``how`` and ``spans``. Verbatim quotes are settled in the JVM; only the others go to Python."""
+    """Adds ``how`` and ``spans``. Quotes that stand verbatim in one place are settled in the JVM; the others go to Python."""
     first = quote_start(F.col(quote), F.col(text))
+    first = F.when(F.call_function("locate", F.col(quote), F.col(text), (first + 2).cast("int")) == 0, first)
 
     def find(q: pd.Series, t: pd.Series) -> pd.DataFrame:
         got = [("none", []) if x is None or y is None else locate(x, y) for x, y in zip(q, t, strict=True)]

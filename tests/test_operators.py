@@ -249,3 +249,11 @@ def test_name_clusters_average_over_all_pairs(spark, monkeypatch):
     got = {r["entity"]: r["cluster"] for r in catalog.name_clusters(spark, "").collect()}
     cut = average_linkage([p for p in pairs if p[2] >= 0.3], 0.3)
     assert got == average_linkage(pairs, 0.3) and any(got[k] != cut[k] for k in cut)
+
+
+def test_quotes_everywhere_with_slips_and_shorthand(spark):
+    text = "aaa binds. The hepatocellular carcinoma grew. ISCA1 is needed. It binds."
+    rows = [(1, "binds", text), (2, "aa", text), (3, "hepatocelular carcinma", text), (4, "ISCA1,2", text), (5, "grew", text), (6, None, text)]
+    got = {r["id"]: (r["how"], [tuple(s) for s in r["spans"]]) for r in documents.located(spark.createDataFrame(rows, "id int, q string, t string"), "q", "t").collect()}
+    assert got[1] == ("verbatim", [(4, 9), (66, 71)]) and got[2] == ("verbatim", [(0, 2), (1, 3)]) and got[5][0] == "verbatim" and got[6] == ("none", [])
+    assert got[3][0] == "fuzzy" and text[got[3][1][0][0] :].startswith("hepatocellular") and got[4][0] == "shorthand" and text[slice(*got[4][1][0])] == "ISCA1"
