@@ -3,7 +3,7 @@
 The texts of a source form one stream of tokens, cut into blocks of fixed length. Each output shard draws its number of
 blocks of every source from a multinomial; slot i of a source takes block perm(i mod blocks), a keyed pseudorandom
 permutation that is another one in every pass over the source, so no block comes a second time before all came once.
-Slots and blocks meet in one join on the block's number; no shuffle order, state or global sort is kept.
+The draws are multinomial ones given the totals (see shard_counts), so every source comes to its share exactly. Slots and blocks meet in one join on the block's number; no shuffle order, state or global sort is kept.
 """
 
 from __future__ import annotations
@@ -20,8 +20,12 @@ from evidara.plans.lineage import Scratch
 from evidara.plans.ranking import running_sum
 
 BLOCK_TOKENS = 256
-#: Slots wanted in a shard, and the most shards (their counts are drawn on the driver).
-SHARD_SLOTS, MOST_SHARDS = 1024, 65_536
+#: Slots wanted in a shard.
+SHARD_SLOTS = 1024
+#: Shards whose counts one task draws, at most.
+SHARDS_A_TASK = 1024
+#: Beyond so many blocks a hypergeometric draw is taken from its normal limit (the exact sampler is bounded).
+EXACT_DRAWS = 500_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,24 +50,53 @@ def permuted(index: np.ndarray, size: int, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_counts(shares: np.ndarray, totals: np.ndarray, seed: int) -> np.ndarray:
-    """[shard, source]: multinomial draws, settled so that every source comes to its total."""
-    n = int(totals.sum())
-    shards = min(max(1, n // SHARD_SLOTS), MOST_SHARDS)
-    sizes = np.full(shards, n // shards) + (np.arange(shards) < n % shards)
-    rng = np.random.default_rng(seed)
-    drawn = rng.multinomial(sizes, shares)
-    over = drawn.sum(axis=0) - totals
-    for s in np.flatnonzero(over > 0):
-        for t in np.flatnonzero(over < 0):
-            k = min(over[s], -over[t])
-            if k > 0:
-                moved = rng.multivariate_hypergeometric(drawn[:, s], k, method="marginals")
-                drawn[:, s] -= moved
-                drawn[:, t] += moved
-                over[s] -= k
-                over[t] += k
-    return drawn
+def shards_of(slots: int) -> int:
+    return max(1, slots // SHARD_SLOTS)
+
+
+def _halved(counts: list[int], size: int, rng: np.random.Generator) -> list[int]:
+    """How many of each source's ``counts`` fall among the first ``size`` slots of their uniformly random order."""
+    out, left, rest = [], size, sum(counts)
+    for n in counts:
+        rest -= n
+        if not left or not n:
+            take = 0
+        elif not rest:
+            take = left
+        elif n + rest <= EXACT_DRAWS:
+            take = int(rng.hypergeometric(n, rest, left))
+        else:
+            p, whole = n / (n + rest), n + rest
+            spread = (left * p * (1 - p) * ((whole - left) / max(1, whole - 1))) ** 0.5
+            take = min(n, left, max(0, left - rest, round(left * p + spread * rng.standard_normal())))
+        out.append(take)
+        left -= take
+    return out
+
+
+def shard_counts(totals: list[int], shards: int, seed: int, low: int, high: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(shard, blocks of each source, blocks of each source in the shards before it) for the shards from ``low`` to ``high``.
+
+    The counts are multinomial draws given that every source comes to its total. They are drawn down a binary tree over
+    the shards: a node splits its counts between its halves, seeded by the node, so any range of shards is drawn alone
+    and alike everywhere, and no task or driver holds the counts of all.
+    """
+    slots = sum(totals)
+    each, more = divmod(slots, shards)
+
+    def down(first: int, last: int, counts: list[int], before: list[int]) -> Iterator[tuple[int, list[int], list[int]]]:
+        if last <= low or first >= high:
+            return
+        if last - first == 1:
+            yield first, counts, before
+            return
+        middle = (first + last) // 2
+        size = (middle - first) * each + min(middle, more) - min(first, more)
+        left = _halved(counts, size, np.random.default_rng((seed, first, last)))
+        yield from down(first, middle, left, before)
+        yield from down(middle, last, [n - k for n, k in zip(counts, left, strict=True)], [b + k for b, k in zip(before, left, strict=True)])
+
+    yield from down(0, shards, list(totals), [0] * len(totals))
 
 
 def _largest_mix(shares: dict[str, float], most: dict[str, int]) -> dict[str, int]:
@@ -97,18 +130,30 @@ def mix(documents: DataFrame, weights: DataFrame, id_col: str, text: str, source
             yield pd.Series([len(enc.encode_ordinary(t)) for t in batch], dtype="int64")
 
     used = documents.where(F.col(text).isNotNull() & F.col(source).isin(names)).select(F.col(id_col).alias("id"), F.col(source).alias("source"), measure(text).alias("n"))
-    sized = running_sum(used.where("n > 0").withColumn("mixed", F.xxhash64("id", F.lit(seed))), scratch, ["source"], ["mixed", "id"], "n", "start")
-    sized = scratch.save(sized)
-    amount = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    used = scratch.save(used.withColumn("mixed", F.xxhash64("id", F.lit(seed)))).where("n > 0")  # tokens are counted once
+    sized = running_sum(used, scratch, ["source"], ["mixed", "id"], "n", "start")
+    amount = {r["source"]: r["n"] for r in used.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     blocks = {s: -(-amount.get(s, 0) // block) for s in names}
     slots = _largest_mix(shares, {s: blocks[s] * plan[s][1] for s in names})
-    total = np.array([slots[s] for s in names], dtype=np.int64)
-    drawn = shard_counts(np.array([shares[s] for s in names]), total, seed) if total.sum() else np.zeros((0, len(names)), np.int64)
-    firsts = np.cumsum(drawn, axis=0) - drawn
-    inside = np.cumsum(drawn, axis=1) - drawn
-    rows = [(k, s, int(drawn[k, i]), int(firsts[k, i]), int(inside[k, i]), int(blocks[s])) for k in range(drawn.shape[0]) for i, s in enumerate(names) if drawn[k, i]]
-    counts = spark.createDataFrame(rows, "shard int, source string, n bigint, first bigint, inside bigint, size bigint")
-    filled = counts.repartition(F.col("shard")).select("shard", "source", "first", "inside", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    totals = [slots[s] for s in names]
+    shards = shards_of(sum(totals))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for low in b["low"]:
+                for k, drawn, before in shard_counts(totals, shards, seed, low, min(low + SHARDS_A_TASK, shards)):
+                    inside = 0
+                    for s, n, first in zip(names, drawn, before, strict=True):
+                        if n:
+                            rows.append((k, s, n, first, inside, blocks[s]))
+                        inside += n
+            yield pd.DataFrame(rows, columns=["shard", "source", "n", "first", "inside", "size"])
+
+    tasks = -(-shards // SHARDS_A_TASK) if sum(totals) else 0
+    ranges = spark.range(0, tasks, 1, max(1, tasks)).select((F.col("id") * SHARDS_A_TASK).alias("low"))
+    counts = ranges.mapInPandas(draw, "shard bigint, source string, n bigint, first bigint, inside bigint, size bigint")
+    filled = counts.select("shard", "source", "first", "inside", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     filled = filled.select("shard", "source", "size", (F.col("inside") + F.col("i")).alias("slot"), (F.col("first") + F.col("i")).alias("index"))
 
     @F.pandas_udf("long")

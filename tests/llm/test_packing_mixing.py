@@ -72,10 +72,36 @@ def test_permutation(size, key):
     assert sorted(out.tolist()) == list(range(size))
 
 
+def drawn(totals, shards, seed=4):
+    return list(mixing.shard_counts(totals, shards, seed, 0, shards))
+
+
 def test_shard_counts_come_to_their_totals():
-    totals = np.array([5000, 3000, 17])
-    drawn = mixing.shard_counts(totals / totals.sum(), totals, 4)
-    assert drawn.sum(axis=0).tolist() == totals.tolist() and (drawn >= 0).all() and len(drawn) > 1
+    totals = [5000, 3000, 17, 0]
+    got = drawn(totals, 8)
+    assert [k for k, *_ in got] == list(range(8))
+    assert [sum(x) for x in zip(*(n for _, n, _ in got), strict=True)] == totals
+    so_far = [0] * 4
+    for _, n, before in got:
+        assert before == so_far and min(n) >= 0
+        so_far = [a + b for a, b in zip(so_far, n, strict=True)]
+    assert {sum(n) for _, n, _ in got} == {1002, 1003}
+    assert [x for a in range(8) for x in mixing.shard_counts(totals, 8, 4, a, a + 1)] == got
+
+
+def test_shard_counts_vary_like_multinomial_draws():
+    got = np.array([n for seed in range(40) for _, n, _ in drawn([6400, 3200], 16, seed)])
+    assert abs(got[:, 0].std() - (600 * 2 / 9 * 15 / 16) ** 0.5) < 1.2
+
+
+def test_shard_counts_at_full_size():
+    totals = [10**11, 3 * 10**10, 7]
+    got = drawn(totals, 130)
+    assert [sum(x) for x in zip(*(n for _, n, _ in got), strict=True)] == totals and all(min(n) >= 0 for _, n, _ in got)
+    assert {sum(n) for _, n, _ in got} <= {sum(totals) // 130, sum(totals) // 130 + 1}
+    last = mixing.shards_of(sum(totals))
+    (k, n, before), = mixing.shard_counts(totals, last, 4, last - 1, last)
+    assert k == last - 1 and [a + b for a, b in zip(n, before, strict=True)] == totals and sum(n) <= 1025
 
 
 def test_mix(spark):
