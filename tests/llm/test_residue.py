@@ -1,5 +1,9 @@
 import random
 
+import duckdb
+import pytest
+
+from evidara.llm import residue
 from evidara.llm.residue import exclude_residue, find_residue
 
 PROSE = "The {} of {} in the {} was followed by {} after week {}, which two readers confirmed (p = 0.0{}).".format
@@ -51,3 +55,38 @@ def test_short_texts_and_lines(spark):
     assert {r["doc_id"] for r in found} == {k + i for k in (1000, 1100) for i in range(len(bad))}
     texts = dict(rows)
     assert all(texts[r["doc_id"]][r["start"] : r["end"]].strip() in [b.strip() for b in bad] for r in found)
+
+
+def test_held_out_sentences_of_neither_samples_nor_tables(spark):
+    rng = random.Random(11)
+    bad = [
+        "Scripts are blocked in this browser, so the reader cannot start.", "You must turn on cookies before you can open the volume.", "Sorry, the issue you asked for is no longer on this server.", "We were unable to open that article. Please reload.",
+        "Your account has been locked. Please contact support.", "Gateway timeout (504)", "Please sign in again, your login has expired.", "Die Seite ist derzeit nicht erreichbar. Bitte versuchen Sie es später.", "La page que vous demandez est introuvable.", "No se pudo cargar la página. Inténtelo de nuevo.",
+        "Insert your conclusion here.", "Tempor incididunt magna aliqua ut labore dolore et elit sed.", "{{ hospital_name }}", "${ward}", "<%= outcome %>", "[your conclusion]", "@@REGION@@", "asdf asdf qwerty asdf qwerty foo bar",
+    ]
+    good = [
+        "Scripts for the analysis were written in Python and are available from the authors.", "Three samples could not be found in the freezer and were replaced.", "The server that stored the images was replaced in week 12.", "Access to the records was granted by the ethics board.",
+        "Every {{name}} field was filled in by hand.", "The set {a, b} was used throughout; f(x) = {x} is the identity.", "Errors of 5 % were tolerated, and two readers had to agree on the page.", "Participants were asked to log in to the app every day.", "Visits were moved to another site when a room was not available.",
+        "The word lorem was one of twenty in the recall list.", "Patients whose session had ended early were asked to try again.",
+    ]
+    rows = [(i, prose(rng)) for i in range(400)]
+    rows += [(1000 + i, b) for i, b in enumerate(bad)] + [(2000 + i, f"{prose(rng, 2)}\n\n{b}\n\n{prose(rng, 2)}") for i, b in enumerate(bad)]
+    rows += [(3000 + i, f"{prose(rng, 2)} {g} {prose(rng, 2)}") for i, g in enumerate(good)]
+    found = {r["doc_id"] for r in find_residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    missed = [b for i, b in enumerate(bad) for k in (1000, 2000) if k + i not in found]
+    wrong = [good[i - 3000] for i in found if i >= 3000] + [i for i in found if i < 1000]
+    print("missed", missed, "wrong", wrong)
+    assert len(missed) <= 0.05 * 2 * len(bad) and len(wrong) <= 0.05 * len(good)
+
+
+def test_no_sample_sentence_is_taken_from_the_tables():
+    path = "/root/testdata/sf0.1/documents.parquet"
+    try:
+        texts = [t for (t,) in duckdb.execute(f"SELECT text FROM '{path}' WHERE text IS NOT NULL").fetchall()]
+    except duckdb.Error:
+        pytest.skip("no test tables")
+    plain = lambda s: residue._DIGIT.sub("0", s.lower()).strip()
+    known = {plain(s) for t in texts for s in residue._SENTENCE.split(t)}
+    typed = {w for words in residue.TYPED for w in words.split()}
+    samples = {plain(s) for x in residue._samples()[:2] for t in x for s in residue._SENTENCE.split(t)}
+    assert [s for s in samples & known if s and not set(s.split()) <= typed] == []
