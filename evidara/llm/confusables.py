@@ -6,19 +6,39 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache, reduce
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Letters of other scripts and the Latin letters they look like.
+#: Letters of other scripts, and below them the Latin letters they look like.
 LOOK_ALIKE = {
-    "Cyrillic": dict(zip("АВЕЅІЈКМНОРСТУХѴԚԜаеѕіјорсухѵһԁԛԝӏ", "ABESIJKMHOPCTYXVQWaesijopcyxvhdqwl", strict=True)),
-    "Greek": dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ", "ABEZHIKMNOPTYXovcj", strict=True)),
-    "Armenian": dict(zip("օսհցՕՍ", "ouhgOU", strict=True)),
-    "Latin": {"ɡ": "g"},
-}
+    "Cyrillic": dict(zip(
+        "АВЕЅІЈКМНОРСТУХѴԚԜаеѕіјорсухѵһԁԛԝӏгԌԍ",
+        "ABESIJKMHOPCTYXVQWaesijopcyxvhdqwlrGg", strict=True)),
+    "Greek": dict(zip(
+        "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳιρυϹͿαγσ",
+        "ABEZHIKMNOPTYXovcjipuCJayo", strict=True)),
+    "Armenian": dict(zip(
+        "օսհցՕՍոռզգյՏլ",
+        "ouhgOUnnqqjSl", strict=True)),
+    "Cherokee": dict(zip(
+        "ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴ",
+        "DRTiAJEWMHYGhZbRWSVSLCPKdGB", strict=True)),
+    "Lisu": dict(zip(
+        "ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ",
+        "BPdDTGKJCZFMNLSRVHWXYAEIOU", strict=True)),
+    "Coptic": dict(zip(
+        "ⲂⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬⲌ",
+        "BHIKMNOoPpCcTYXZ", strict=True)),
+    "Latin": dict(zip(
+        "ɡɑıɩᴄᴏᴠᴡᴢꜱᴜɪʏʋ",
+        "gaiicovwzsuiyv", strict=True)),
+}
+#: Letters that are used as symbols (receptor types and the like) and are read as Latin only beside a small Latin letter.
+SYMBOLS = frozenset("αβγδεκλμπσω")
 #: Signs that are drawn like the hyphen of ASCII.
 HYPHENS = "‐‑﹣"
 #: Compatibility forms that are drawn differently, so they stay.
@@ -27,14 +47,14 @@ DRAWN_APART = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<verti
 SCRIPT_RANGES = (
     ("Latin", 0x41, 0x5A), ("Latin", 0x61, 0x7A), ("Latin", 0xC0, 0x24F), ("Latin", 0x250, 0x2AF), ("Latin", 0x1E00, 0x1EFF),
     ("Greek", 0x370, 0x3FF), ("Greek", 0x1F00, 0x1FFF), ("Cyrillic", 0x400, 0x52F), ("Armenian", 0x531, 0x58A),
+    ("Latin", 0x1D00, 0x1D25), ("Latin", 0xA720, 0xA7FF), ("Cherokee", 0x13A0, 0x13FF), ("Lisu", 0xA4D0, 0xA4FF), ("Coptic", 0x2C80, 0x2CFF),
     ("Hebrew", 0x590, 0x5FF), ("Arabic", 0x600, 0x6FF), ("Devanagari", 0x900, 0x97F), ("Kana", 0x3040, 0x30FF), ("Han", 0x4E00, 0x9FFF), ("Hangul", 0xAC00, 0xD7AF),
 )
 #: The blocks with compatibility forms, blanks and invisible characters.
 SCANNED = ((0x80, 0x3400), (0xF900, 0x10000), (0x1D400, 0x1D800), (0xE0000, 0xE01F0))
-#: Scripts that may stand beside another in one token: letters used as symbols (receptor types and the like).
-SYMBOLS = frozenset("αβγδεκλμπσω")
 _TO_LATIN = {c: t for table in LOOK_ALIKE.values() for c, t in table.items()}
-_SCRIPT_OF_LOOK_ALIKE = {c: s for s, table in LOOK_ALIKE.items() for c in table}
+#: Scripts that hold a letter drawn like each Latin one.
+_ALSO = {t: frozenset(s for s, table in LOOK_ALIKE.items() if t in table.values()) for t in set(_TO_LATIN.values())}
 
 
 def _plain(ch: str) -> str:
@@ -62,7 +82,7 @@ def _scan() -> tuple[dict[int, str], str]:
     """
     table = {c: _plain(chr(c)) for a, b in SCANNED for c in range(a, b)}
     table = {c: t for c, t in table.items() if t != chr(c)}
-    odd = sorted({*table, *map(ord, _TO_LATIN), *(c for c in range(0x300, 0x2100) if unicodedata.combining(chr(c)))})
+    odd = sorted({*table, *(ord(c) for c in _TO_LATIN if c not in SYMBOLS), *(c for c in range(0x300, 0x2100) if unicodedata.combining(chr(c)))})
     common = sorted({*range(0x80, 0x180), *map(ord, SYMBOLS), *range(0x3B1, 0x3CA), *map(ord, "–—‘’“”„•…·»«€™−≤≥≈×→↑≡")} - set(odd))
     runs: list[list[int]] = []
     for c in odd:
@@ -75,10 +95,12 @@ def _scan() -> tuple[dict[int, str], str]:
 
 _TABLE, _CLASS = _scan()
 #: For the JVM: true for texts with any character that could look like others.
-SUSPICIOUS = f"[{_CLASS}]"
+_NEAR = "".join(sorted(SYMBOLS & set(_TO_LATIN)))
+SUSPICIOUS = f"[{_CLASS}]|[a-z][{_NEAR}]|[{_NEAR}][a-z]"
 _SUSPICIOUS = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m.group(1), 16):08x}", SUSPICIOUS))
 
 
+@cache
 def _script(ch: str) -> str | None:
     if not ch.isalpha():
         return None
@@ -86,76 +108,94 @@ def _script(ch: str) -> str | None:
     return next((s for s, a, b in SCRIPT_RANGES if a <= code <= b), "Other")
 
 
-def script_sets(token: str) -> set[str] | None:
-    """The scripts that all letters of ``token`` can be read in; None when it has no letters.
+@cache
+def _readings(ch: str) -> frozenset[str] | None:
+    """The scripts a letter can be read in: its own, Latin if it has a look-alike there, and for a Latin letter every
+    script that holds one drawn like it; None for what is no letter."""
+    own = _script(ch)
+    if own is None:
+        return None
+    base = unicodedata.normalize("NFD", ch)[0]
+    also = frozenset(["Latin"]) if base in _TO_LATIN else frozenset()
+    return also | {own} | (_ALSO.get(base, frozenset()) if own == "Latin" else frozenset())
 
-    A letter resolves to its own script and, if it has a look-alike, to Latin; a Latin letter to Latin and to every
-    script with a letter drawn like it; symbols such as β to any script.
-    """
-    common: set[str] | None = None
-    for ch in token:
-        own = _script(ch)
-        if own is None or ch in SYMBOLS:
-            continue
-        base = unicodedata.normalize("NFD", ch)[0]
-        can = {own} | ({"Latin"} if base in _TO_LATIN else set())
-        if own == "Latin":
-            can |= {s for s, table in LOOK_ALIKE.items() if base in table.values()}
-        common = can if common is None else common & can
-    return common
-
-
-def _spell(token: str) -> str:
-    """The token in its consistent script: letters from other scripts replaced by those they look like.
-
-    Mixed tokens whose letters all resolve to Latin become Latin. Tokens wholly in another script change only if every
-    letter has a Latin look-alike (whole-script confusables). A token with a letter that fits no Latin reading, such as
-    a real Russian or Greek word, stays.
-    """
-    common = script_sets(token)
-    if common is None or "Latin" not in common:
-        return token
-    return "".join(_TO_LATIN.get(c, c) for c in unicodedata.normalize("NFD", token)) if any(c in _TO_LATIN for c in unicodedata.normalize("NFD", token)) else token
 
+@cache
+def _is_small(ch: str) -> bool:
+    """Whether a letter is a small Latin one or reads as one."""
+    base = unicodedata.normalize("NFD", ch)[0]
+    return base not in SYMBOLS and "a" <= _TO_LATIN.get(base, base) <= "z"
 
-_TOKEN = re.compile(r"[^\W_]+(?:[̀-ͯ]+[^\W_]*)*")
 
+def _is_symbol(token: str, i: int) -> bool:
+    """Whether a letter stands as a symbol: among at most two of its script, and with no small Latin letter next to it."""
+    if token[i] not in SYMBOLS:
+        return False
+    low, high = i, i + 1
+    while low and _script(token[low - 1]) == "Greek":
+        low -= 1
+    while high < len(token) and _script(token[high]) == "Greek":
+        high += 1
+    return high - low <= 2 and not any(map(_is_small, token[max(0, low - 1) : low] + token[high : high + 1]))
 
-def unify(text: str) -> str:
-    """``text`` in one consistent form: invisible characters gone, widths, ligatures, blanks and hyphens made plain,
-    accents composed and every token spelled in one script. Case and visibly different letters stay."""
-    text = unicodedata.normalize("NFC", text.translate(_TABLE))
-    return text if text.isascii() else unicodedata.normalize("NFC", _TOKEN.sub(lambda m: _spell(m.group()), text))
+
+def script_sets(token: str) -> set[str] | None:
+    """The scripts that all letters of ``token`` can be read in, symbols left aside; None when it has no other letters."""
+    common: frozenset[str] | None = None
+    for i, ch in enumerate(token):
+        can = _readings(ch)
+        if can is not None and not _is_symbol(token, i):
+            common = can if common is None else common & can
+    return None if common is None else set(common)
+
+
+_TOKEN = re.compile(r"[^\W_]+(?:[̀-ͯ]+[^\W_]*)*")
 
 
-def _aligned(text: str) -> tuple[str, list[int]]:
-    """unify(text), and for each of its characters the position in ``text`` it starts at (one more entry: the end)."""
-    out, at = [], []
-    n, i = len(text), 0
+def aligned(text: str) -> tuple[str, list[int]]:
+    """``text`` in one consistent form, and for each character of it the position in ``text`` it starts at (one more
+    entry: the end).
+
+    Invisible characters are gone, widths, ligatures, blanks and hyphens plain, accents composed. A token whose letters
+    can all be read as Latin is spelled in Latin, be it mixed or wholly in another script; a token with a letter that has
+    no Latin reading, such as a real Russian or Greek word, stays. Case and visibly different letters stay.
+    """
+    parts, at, i, n = [], [], 0, len(text)
     while i < n:
         j = i + 1
-        while j < n and (unicodedata.combining(text[j]) or _TABLE.get(ord(text[j])) == ""):
+        while j < n and text[j] >= "\x80" and (unicodedata.combining(text[j]) or _TABLE.get(ord(text[j])) == "" or "\u1160" <= text[j] <= "\u11ff"):
             j += 1
-        piece = unicodedata.normalize("NFC", text[i:j].translate(_TABLE))
-        out.append(piece)
-        at += [i] * len(piece)
+        part = text[i] if j == i + 1 and text[i] < "\x80" else unicodedata.normalize("NFC", text[i:j].translate(_TABLE))
+        if part:
+            parts.append(part)
+            at.append(i)
         i = j
-    plain = "".join(out)
-    if plain.isascii():
-        return plain, [*at, n]
-    done, where, last = [], [], 0
-    for m in _TOKEN.finditer(plain):
-        done.append(plain[last : m.start()])
-        where += at[last : m.start()]
-        spelled = unicodedata.normalize("NFC", _spell(m.group()))
-        if len(spelled) != m.end() - m.start():
-            spelled = m.group()
-        done.append(spelled)
-        where += at[m.start() : m.end()]
-        last = m.end()
-    done.append(plain[last:])
-    where += at[last:]
-    return "".join(done), [*where, n]
+    plain = "".join(parts)
+    starts = [0]
+    for part in parts:
+        starts.append(starts[-1] + len(part))
+    if not plain.isascii():
+        for m in _TOKEN.finditer(plain):
+            token = m.group()
+            if token.isascii() or "Latin" not in (script_sets(token) or ()):
+                continue
+            for k in range(bisect_left(starts, m.start()), bisect_left(starts, m.end())):
+                if not parts[k].isascii():
+                    parts[k] = _spelled(parts[k], token, starts[k] - m.start())
+    where = [p for part, p in zip(parts, at, strict=True) for _ in part]
+    return "".join(parts), [*where, n]
+
+
+def _spelled(part: str, token: str, place: int) -> str:
+    """One base letter (or ligature) with its marks, in Latin."""
+    if _is_symbol(token, place):
+        return part
+    return unicodedata.normalize("NFC", "".join(_TO_LATIN.get(c, c) for c in unicodedata.normalize("NFD", part)))
+
+
+def unify(text: str) -> str:
+    """``text`` in one consistent form (see ``aligned``)."""
+    return text if text.isascii() and text.isprintable() else aligned(text)[0]
 
 
 class Terms:
@@ -203,7 +243,7 @@ class Terms:
 
     def _in_window(self, text: str, begins: bool, ends: bool) -> set[int]:
         found: set[int] = set()
-        form, at = _aligned(text)
+        form, at = aligned(text)
         for last, word in self.matcher.iter(form):
             start, end = last - len(word) + 1, last + 1
             # At the cut edge of a window stands a neighbour, whose own word isn't known: no suspicious character is near.
@@ -218,42 +258,43 @@ class Terms:
         return found
 
 
-def _terms(reference: DataFrame, bound: int) -> Terms:
-    rows = reference.where("name IS NOT NULL AND name <> ''").select("term_id", "name").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"the reference has more than {bound} terms")
-    return Terms([(r["term_id"], r["name"]) for r in rows])
+def _blocks(reference: DataFrame, block: int) -> Iterator[Terms]:
+    """The terms with a name, at most about ``block`` at a time."""
+    named = reference.where("name IS NOT NULL AND name <> ''").select("term_id", "name")
+    many = max(1, -(-named.count() // block))
+    for k in range(many):
+        yield Terms([(r["term_id"], r["name"]) for r in named.where(F.pmod(F.xxhash64("term_id", "name"), F.lit(many)) == k).collect()])
 
 
-def find_look_alikes(texts: DataFrame, id_col: str, text: str, reference: DataFrame, whole: bool, bound: int = 200_000) -> DataFrame:
+def find_look_alikes(texts: DataFrame, id_col: str, text: str, reference: DataFrame, whole: bool, block: int = 200_000) -> DataFrame:
     """(record_id, term_id), each pair once: records whose ``text`` (a string, or an array of strings) looks like a term.
 
     With ``whole`` the entire text must look the same as the term's name, else a whole word or words in it; in both
-    cases what is written must not be the name itself. The reference is held in memory and must not exceed ``bound``
-    terms (an error is raised). Texts without any suspicious character, sought in the JVM, are never sent to Python;
-    names that are themselves written oddly send every text.
+    cases what is written must not be the name itself. The terms are held in memory ``block`` at a time; a larger
+    reference takes one pass over the texts for each block. Texts without any suspicious character, sought in the JVM,
+    are never sent to Python; names that are themselves written oddly send every text.
 
     Null texts, null elements, empty texts and null or empty names give no row. Repeated rows give one. Letter case and
     accents count. Other columns are ignored.
     """
-    terms = _terms(reference, bound)
-    held = texts.sparkSession.sparkContext.broadcast(terms)
     is_list = dict(texts.dtypes)[text].startswith("array")
-    if is_list:
-        rows = texts.select(F.col(id_col).cast("string").alias("record_id"), F.explode(text).alias("t"))
-    else:
-        rows = texts.select(F.col(id_col).cast("string").alias("record_id"), F.col(text).alias("t"))
-    rows = rows.where(F.col("t").isNotNull() if terms.odd else F.col("t").rlike(SUSPICIOUS))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = held.value
-        look = known.same if whole else known.inside
-        for b in batches:
-            hits = [(r, i) for r, t in zip(b["record_id"], b["t"], strict=True) for i in look(t)]
-            yield pd.DataFrame(hits, columns=["record_id", "term_id"])
-
     kind = dict(reference.dtypes)["term_id"]
-    return rows.mapInPandas(search, f"record_id string, term_id {kind}").distinct()
+    every = texts.select(F.col(id_col).cast("string").alias("record_id"), (F.explode(text) if is_list else F.col(text)).alias("t"))
+
+    def sought(terms: Terms) -> DataFrame:
+        held = texts.sparkSession.sparkContext.broadcast(terms)
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = held.value
+            look = known.same if whole else known.inside
+            for b in batches:
+                hits = [(r, i) for r, t in zip(b["record_id"], b["t"], strict=True) for i in look(t)]
+                yield pd.DataFrame(hits, columns=["record_id", "term_id"])
+
+        rows = every.where(F.col("t").isNotNull() if terms.odd else F.col("t").rlike(SUSPICIOUS))
+        return rows.mapInPandas(search, f"record_id string, term_id {kind}")
+
+    return reduce(DataFrame.unionByName, map(sought, _blocks(reference, block))).distinct()
 
 
 def unify_texts(texts: DataFrame, text: str) -> DataFrame:

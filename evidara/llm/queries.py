@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -174,6 +175,53 @@ ORACLE["p6_found"] = r"""
     SELECT p.t AS table_name, id_a, id_b FROM p JOIN n x ON x.t = p.t AND x.id = id_a JOIN n y ON y.t = p.t AND y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c)"""
 
 
+
+
+def _unified(value: str) -> str:
+    """SQL for the unified form of a text, letter by letter."""
+    single, gone, several = {}, [], []
+    for code, form in confusables._TABLE.items():
+        if len(form) == 1:
+            single[chr(code)] = form
+        elif not form:
+            gone.append(chr(code))
+        elif form.isascii() and form.isalpha():
+            several.append((chr(code), form))
+    for code in (*range(0x250, 0x590), *range(0x13A0, 0x1400), *range(0x1D00, 0x1D80), *range(0x2C80, 0x2D00), *range(0xA4D0, 0xA500), *range(0xA720, 0xA800), 0x131):
+        letters = unicodedata.normalize("NFD", chr(code))
+        if letters[0] in confusables._TO_LATIN and letters[0] not in confusables.SYMBOLS:
+            form = unicodedata.normalize("NFC", "".join(confusables._TO_LATIN.get(c, c) for c in letters))
+            single |= {chr(code): form} if len(form) == 1 else {}
+    out = value
+    for a, b in several:
+        if 0xFB00 <= ord(a) <= 0xFB06:
+            out = f"replace({out}, '{a}', '{b}')"
+    quoted = lambda x: x.replace("'", "''")
+    out = f"nfc_normalize(translate({out}, '{quoted(''.join(single) + ''.join(gone))}', '{quoted(''.join(single.values()))}'))"
+    for a in sorted(confusables.SYMBOLS & set(confusables._TO_LATIN)):
+        b = confusables._TO_LATIN[a]
+        out = rf"regexp_replace(regexp_replace({out}, '([a-z]){a}', '\1{b}', 'g'), '{a}([a-z])', '{b}\1', 'g')"
+    return out
+
+
+def _places(text: str, name: str) -> str:
+    """SQL for the number of places where ``name`` stands in ``text`` as whole words."""
+    spaced = rf"regexp_replace({text}, '([^\p{{L}}\p{{N}}\p{{M}}])', '\1\1', 'g')"
+    return rf"len(regexp_extract_all(' ' || {spaced} || ' ', '[^\p{{L}}\p{{N}}\p{{M}}]' || regexp_escape(regexp_replace({name}, '([^\p{{L}}\p{{N}}\p{{M}}])', '\1\1', 'g')) || '[^\p{{L}}\p{{N}}\p{{M}}]'))"
+
+
+ORACLE["p5_found"] = f"""
+    WITH t AS (SELECT term_id, name, {_unified("name")} AS form FROM entity_terms WHERE name IS NOT NULL AND name <> ''),
+    a AS (SELECT mention_id, unnest(aliases) AS raw FROM mentions),
+    r AS (SELECT doc_id, text AS raw, {_unified("text")} AS u FROM resources WHERE text IS NOT NULL)
+    SELECT DISTINCT 'mentions' AS table_name, CAST(mention_id AS VARCHAR) AS record_id, term_id FROM a JOIN t ON {_unified("raw")} = form AND raw <> name
+    UNION ALL SELECT 'resources', doc_id, term_id FROM r JOIN t ON contains(u, form) AND raw <> u
+    WHERE {_places("u", "form")} > {_places("raw", "name")}"""
+
+ORACLE["p5_unified_aliases"] = f"SELECT mention_id, list_transform(aliases, lambda x: {_unified('x')}) AS aliases FROM mentions"
+ORACLE["p5_unified_texts"] = f"SELECT doc_id, {_unified('text')} AS text FROM resources"
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p3_found, p3_articles, p4_found, p4_pieces, p4_chunk_data, p5_found, p5_unified_aliases, p5_unified_texts, p6_found, p6_groups, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_clean)}
 

@@ -1,4 +1,9 @@
-from evidara.llm.confusables import Terms, find_look_alikes, script_sets, unify, unify_texts
+import unicodedata
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from evidara.llm.confusables import LOOK_ALIKE, Terms, aligned, find_look_alikes, script_sets, unify, unify_texts
 
 TERMS = "term_id int, name string"
 
@@ -44,3 +49,31 @@ def test_whole_aliases_and_odd_reference_names(spark):
 def test_terms_are_found_beside_each_other():
     t = Terms([(1, "ab"), (2, "ab cd")])
     assert t.inside("ａb cd") == {1, 2} and t.same("ａb") == {1} and t.same("ab") == set()
+
+
+def test_letters_of_many_scripts():
+    t = Terms([(1, "Córdoba syndrome"), (2, "ataxia"), (3, "lupus"), (4, "Ebola"), (5, "Lupus")])
+    for text, term in (("Cо\u0301rdoba syndrome", 1), ("Co\u0301rd\u200boba syndrome", 1), ("ɑtaxia", 2), ("αtaxia", 2), ("lυpus", 3), ("Ꭼbola", 4), ("ꓡupus", 5), ("ataxıa", 2)):
+        assert t.same(text) == {term} == t.inside(f"the {text}, is"), text
+    for text in ("PTK-α", "IFNα", "α-helix", "γ2", "Ελλάδα", "Москва"):
+        assert unify(text) == text
+
+
+def test_tables_hold_single_letters():
+    for table in LOOK_ALIKE.values():
+        assert all(len(unicodedata.normalize("NFD", a)) == 1 and b.isascii() and b.isalpha() for a, b in table.items())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab о\u0301\u200bｂﬁéαлÅ1-\u1100\u1161", max_size=12))
+def test_positions(text):
+    form, at = aligned(text)
+    assert form == unify(text) and len(at) == len(form) + 1 and at == sorted(at) and at[-1] == len(text)
+    assert unify(form) == form
+
+
+def test_more_terms_than_a_block_holds(spark):
+    terms = spark.createDataFrame([(i, f"name{i}") for i in range(40)], TERMS)
+    texts = spark.createDataFrame([(i, f"the nаme{i} is") for i in range(40)], "doc_id int, text string")
+    got = {(r["record_id"], r["term_id"]) for r in find_look_alikes(texts, "doc_id", "text", terms, whole=False, block=7).collect()}
+    assert got == {(str(i), i) for i in range(40)}
