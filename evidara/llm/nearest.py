@@ -7,8 +7,8 @@ enumerated (one entry for each symbol left out), equal entries are fetched, and
 decides which pairs are verified exactly. Bits instead of symbols can't work at a similarity of 0.6: a pair then differs
 in 23 % of the bits and a random pair in 50 %, and balls of that radius hold most of the table.
 
-Units held by more than COMMON of the records would make buckets of whole hosts, so a first fingerprint leaves them out.
-They are what the members of a large group of near copies share, though, so a record of which they are more than MIXED
+Units in hash buckets that occur more often than in COMMON of the records would make index entries of whole hosts, so a
+first fingerprint leaves them out. The counts are exact sums over all records, alike for any batch or partition. They are what the members of a large group of near copies share, though, so a record of which they are more than MIXED
 has a second fingerprint over all its units, and pairs are sought among both (the exact verification counts all units).
 """
 
@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidara.llm.components import group_linked
 from evidara.plans.lineage import Scratch
 
 SEGMENTS, WIDTH = 8, 4
@@ -30,13 +31,15 @@ SEGMENTS, WIDTH = 8, 4
 LEAST_EQUAL = 7
 #: The same for fingerprints over all units, of a pair at 0.6.
 LEAST_EQUAL_ALL = 10
-COMMON = 0.01
+COMMON = 0.005
 #: A pair at 0.6 of which one record holds no more common units than this overlaps by 0.55 in its rarer units.
 MIXED = 0.1
 #: Entries of the index held by more records than this are split over tasks.
 HOT = 2000
-#: A unit in no more records than this is never common: groups of near-duplicates share such units.
+#: A unit that occurs no more often than this is never common: groups of near-duplicates share such units.
 NEVER_COMMON = 100
+#: Counts of units are kept for this many hash buckets; the table's size doesn't depend on the records.
+BUCKETS = 1 << 20
 #: Characters handled at once in a worker.
 AT_ONCE = 4_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -123,25 +126,31 @@ def _parts(texts: pd.Series) -> Iterator[tuple[int, list[str]]]:
         yield start, run
 
 
-def common_units(records: DataFrame, units: Units) -> np.ndarray:
-    """Units in more than COMMON of the records and more than NEVER_COMMON of them, sorted.
+def _bucket(unit: np.ndarray) -> np.ndarray:
+    return (unit >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
 
-    Such a unit is that common in at least one batch; batches report only those, so at most (units a record / COMMON)
-    numbers a batch are shuffled and twice as many come to the driver, however many records there are.
+
+def common_buckets(records: DataFrame, units: Units) -> np.ndarray:
+    """For each hash bucket of units whether it occurs more than NEVER_COMMON times and more often than COMMON of the records.
+
+    Every task sums its records into one table of fixed size; the sums are exact however the rows are batched.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.zeros(BUCKETS + 1, np.int64)
         for b in batches:
+            table[BUCKETS] += len(b)
             for _, run in _parts(b["text"]):
-                unit, of = units.hashed(run)
-                once = np.unique(unit + of.astype(np.uint64) * np.uint64(0xD1342543DE82EF95), return_index=True)[1]
-                unit, n = np.unique(unit[once], return_counts=True)
-                many = n > max(1, COMMON * len(run))
-                yield pd.DataFrame({"unit": unit[many].view(np.int64), "n": n[many]})
+                table[:BUCKETS] += np.bincount(_bucket(units.hashed(run)[0]), minlength=BUCKETS)
+        full = np.flatnonzero(table)
+        yield pd.DataFrame({"bucket": full, "n": table[full]})
 
-    total = records.count()
-    found = records.select("text").mapInPandas(count, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    return np.sort(found.where(F.col("n") > max(NEVER_COMMON, COMMON * total / 2)).select("unit").toPandas()["unit"].to_numpy(np.int64).view(np.uint64))
+    sums = records.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    got = sums.where((F.col("n") > NEVER_COMMON) | (F.col("bucket") == BUCKETS)).toPandas()
+    out = np.zeros(BUCKETS, bool)
+    total = got.loc[got["bucket"] == BUCKETS, "n"].sum()
+    out[got.loc[(got["n"] > COMMON * total) & (got["bucket"] < BUCKETS), "bucket"].to_numpy(np.int64)] = True
+    return out
 
 
 def fingerprints(records: DataFrame, units: Units, threshold: float = 0.6) -> DataFrame:
@@ -151,7 +160,7 @@ def fingerprints(records: DataFrame, units: Units, threshold: float = 0.6) -> Da
     pair's units, the rarer ones it shares are at least ``threshold`` - MIXED of them, so a record with fewer rarer units
     has the second fingerprint only, and one with at most MIXED common units the first only.
     """
-    held = records.sparkSession.sparkContext.broadcast(common_units(records, units))
+    held = records.sparkSession.sparkContext.broadcast(common_buckets(records, units))
     count = SEGMENTS * WIDTH
     seeds = _mix(np.arange(1, 2 * count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     factors, shifts = seeds[:count] | np.uint64(1), seeds[count:]
@@ -165,19 +174,13 @@ def fingerprints(records: DataFrame, units: Units, threshold: float = 0.6) -> Da
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common = held.value
-        maybe = np.zeros(1 << 22, bool)
-        maybe[common & np.uint64((1 << 22) - 1)] = True
         for b in batches:
             ids = b["id"].to_numpy()
             for start, run in _parts(b["text"]):
                 unit, of = units.hashed(run)
                 if not unit.size:
                     continue
-                rare = np.ones(unit.size, bool)
-                if common.size:
-                    ask = np.flatnonzero(maybe[unit & np.uint64((1 << 22) - 1)])
-                    place = np.minimum(np.searchsorted(common, unit[ask]), common.size - 1)
-                    rare[ask[common[place] == unit[ask]]] = False
+                rare = ~common[_bucket(unit)]
                 # Units are counted once a record, which only those with common units need.
                 n = len(run)
                 some = np.bincount(of[~rare], minlength=n) > 0
@@ -193,13 +196,75 @@ def fingerprints(records: DataFrame, units: Units, threshold: float = 0.6) -> Da
     return records.mapInPandas(sketch, f"id {kind}, whole boolean, symbols array<int>")
 
 
-def _met(index: DataFrame) -> DataFrame:
-    """(whole, rep_a, rep_b) for every two records with an entry in common; entries of many records are split over tasks."""
-    hot = index.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("entry", F.ceil(F.col("n") / HOT).cast("int").alias("k"))
-    split = index.join(hot, "entry", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    a = split.select("whole", "entry", F.col("id").alias("rep_a"), F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("part"))
-    b = split.select("entry", F.col("id").alias("rep_b"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
-    return a.join(b, ["entry", "part"]).where("rep_a < rep_b").select("whole", "rep_a", "rep_b").distinct()
+class _Near:
+    """The steps between records and verified pairs; records are known by the number of their representative."""
+
+    def __init__(self, table: DataFrame, id_col: str, text: str, units: Units, threshold: float) -> None:
+        self.scratch, self.units, self.threshold = Scratch(table.sparkSession, "near"), units, threshold
+        self.records = table.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+        digests = self.records.select("id", F.md5(F.lower("text")).alias("digest"))
+        firsts = self.scratch.save(digests.groupBy("digest").agg(F.min("id").alias("rep")).withColumn("no", F.monotonically_increasing_id()))
+        self.members = self.scratch.save(digests.join(firsts, "digest").select("id", "rep", "no").distinct())
+        self.reps = self.members.where("id = rep").select("id", "no")
+        found = fingerprints(self.records, units, threshold).join(self.reps, "id").dropDuplicates(["no", "whole"])
+        self.prints = self.scratch.save(found.select("no", "whole", "symbols"))
+
+    def shared(self) -> DataFrame:
+        """(whole, entry, no): the entries of the index that more than one record has.
+
+        Most entries have one record; they are counted first, partly before the shuffle, and go no further.
+        """
+        entries = []
+        for s in range(SEGMENTS):
+            for left_out in range(WIDTH):
+                kept = [F.col("symbols")[s * WIDTH + k] for k in range(WIDTH) if k != left_out]
+                entries.append(F.xxhash64(F.lit(s * WIDTH + left_out), "whole", *kept))
+        index = self.prints.select("whole", "no", F.explode(F.array(*entries)).alias("entry"))
+        several = index.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        return self.scratch.save(index.join(several, "entry"))
+
+    def met(self, shared: DataFrame, apart: str | None = None) -> DataFrame:
+        """(whole, a, b) for every two records with an entry in common, or those that differ in the column ``apart``;
+        entries of many records are split over tasks."""
+        k = F.ceil(F.col("n") / HOT).cast("int")
+        more = [apart] if apart else []
+        x = shared.select("whole", "entry", F.col("no").alias("a"), F.pmod(F.xxhash64("no"), k).cast("int").alias("part"), *[F.col(c).alias("x") for c in more])
+        y = shared.select("entry", F.col("no").alias("b"), F.explode(F.sequence(F.lit(0), k - 1)).alias("part"), *[F.col(c).alias("y") for c in more])
+        both = x.join(y, ["entry", "part"]).where("a < b")
+        return (both.where("x <> y") if apart else both).select("whole", "a", "b").distinct()
+
+    def close(self, met: DataFrame) -> DataFrame:
+        """(a, b): those whose whole fingerprints are near enough."""
+        left, right = (self.prints.select(F.col("no").alias(x), "whole", F.col("symbols").alias(f"s_{x}")) for x in "ab")
+        equal = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
+        least = F.when(F.col("whole"), LEAST_EQUAL_ALL).otherwise(LEAST_EQUAL)
+        return self.scratch.save(met.join(left, ["a", "whole"]).join(right, ["b", "whole"]).where(equal >= least).select("a", "b").distinct())
+
+    def verified(self, close: DataFrame) -> DataFrame:
+        """(a, b, similarity) of the pairs whose texts are similar enough."""
+        units = self.units
+
+        @F.pandas_udf("double")
+        def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+            out, last, known = [], None, set()
+            for x, y in zip(a, b, strict=True):
+                if x != last:
+                    last, known = x, units.exact(x.lower())
+                other = units.exact(y.lower())
+                both = len(known & other)
+                out.append(both / max(1, len(known) + len(other) - both))
+            return pd.Series(out, dtype=float)
+
+        wanted = close.select(F.explode(F.array("a", "b")).alias("no")).distinct().join(self.reps, "no")
+        texts = self.scratch.save(self.records.join(wanted, "id").dropDuplicates(["no"]).select("no", "text"))
+        a, b = (texts.select(F.col("no").alias(x), F.col("text").alias(f"t_{x}")) for x in "ab")
+        pairs = close.join(b, "b").join(a, "a").select("a", "b", overlap("t_a", "t_b").alias("similarity"))
+        return pairs.where(F.col("similarity") >= self.threshold)
+
+    def named(self, pairs: DataFrame) -> DataFrame:
+        a, b = (self.reps.select(F.col("no").alias(x), F.col("id").alias(f"rep_{x}")) for x in "ab")
+        pairs = pairs.join(a, "a").join(b, "b")
+        return pairs.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"), "similarity")
 
 
 def near_groups(table: DataFrame, id_col: str, text: str, units: Units, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -211,41 +276,28 @@ def near_groups(table: DataFrame, id_col: str, text: str, units: Units, threshol
     once. No cap is set on partners or candidates. Candidates come from fingerprints (see above): a pair at 0.6 is missed
     with a probability of about 0.006, one at 0.7 of 0.0002; every reported pair is verified on the texts themselves.
     """
-    scratch = Scratch(table.sparkSession, "near")
-    records = table.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    digests = records.select("id", F.md5(F.lower("text")).alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("id").alias("rep"))
-    members = scratch.save(digests.join(firsts, "digest").select("id", "rep").distinct())
-
-    prints = scratch.save(fingerprints(records, units, threshold).join(members.where("id = rep").select("id"), "id", "left_semi"))
-    entries = []
-    for s in range(SEGMENTS):
-        for left_out in range(WIDTH):
-            kept = [F.col("symbols")[s * WIDTH + k] for k in range(WIDTH) if k != left_out]
-            entries.append(F.xxhash64(F.lit(s * WIDTH + left_out), "whole", *kept))
-    met = _met(prints.select("id", "whole", F.explode(F.array(*entries)).alias("entry")))
-    left, right = (prints.select(F.col("id").alias(f"rep_{x}"), "whole", F.col("symbols").alias(f"s_{x}")) for x in "ab")
-    equal = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-    least = F.when(F.col("whole"), LEAST_EQUAL_ALL).otherwise(LEAST_EQUAL)
-    close = scratch.save(met.join(left, ["rep_a", "whole"]).join(right, ["rep_b", "whole"]).where(equal >= least).select("rep_a", "rep_b").distinct())
-
-    @F.pandas_udf("double")
-    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        out, last, known = [], None, set()
-        for x, y in zip(a, b, strict=True):
-            if x != last:
-                last, known = x, units.exact(x.lower())
-            other = units.exact(y.lower())
-            both = len(known & other)
-            out.append(both / max(1, len(known) + len(other) - both))
-        return pd.Series(out, dtype=float)
-
-    wanted = close.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
-    texts = records.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    texts = scratch.save(texts)
-    a, b = (texts.select(F.col("id").alias(f"rep_{x}"), F.col("text").alias(f"t_{x}")) for x in "ab")
-    pairs = close.join(b, "rep_b").join(a, "rep_a").select("rep_a", "rep_b", overlap("t_a", "t_b").alias("similarity"))
-    return members, pairs.where(F.col("similarity") >= threshold)
+    near = _Near(table, id_col, text, units, threshold)
+    pairs = near.verified(near.close(near.met(near.shared())))
+    return near.members.select("id", "rep"), near.named(pairs)
+
+
+def near_links(table: DataFrame, id_col: str, text: str, units: Units, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(members, links): as ``near_groups``, but only as many pairs as it takes to link the same groups.
+
+    Each record is first compared with the smallest of every entry it shares, which links most of a large group with a
+    pair a record; only records of an entry that are still in different groups are then compared with each other.
+    """
+    near = _Near(table, id_col, text, units, threshold)
+    shared = near.shared()
+    heads = shared.groupBy("entry").agg(F.min("no").alias("a"))
+    stars = shared.join(heads, "entry").where("a < no").select("whole", "a", F.col("no").alias("b")).distinct()
+    first = near.scratch.save(near.verified(near.close(stars)))
+    known = group_linked(first.select(F.lit(0).alias("scope"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")), "scope", "a", "b")
+    groups = near.scratch.save(known.select(F.col("entity_name").cast("long").alias("no"), F.col("group_name").cast("long").alias("group")))
+    grouped = shared.join(groups, "no", "left").withColumn("group", F.coalesce("group", "no"))
+    mixed = grouped.groupBy("entry").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("entry")
+    second = near.verified(near.close(near.met(grouped.join(mixed, "entry", "left_semi"), apart="group")))
+    return near.members.select("id", "rep"), near.named(first.unionByName(second))
 
 
 def near_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -256,9 +308,3 @@ def near_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     alike = m.join(copied, "rep_a", "left_semi").join(n, F.col("rep_a") == F.col("rep_b")).where("id_a < id_b")
     both = apart.select("id_a", "id_b").unionByName(alike.select("id_a", "id_b"))
     return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-
-
-def ranked_links(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, rep, links): for every record its representative and the number of representatives that one is linked to."""
-    ends = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    return members.join(ends, "rep", "left").select("id", "rep", F.coalesce("links", F.lit(0)).alias("links"))

@@ -76,24 +76,24 @@ def p5_unified_texts(spark: SparkSession, folder: str) -> DataFrame:
     return confusables.unify_texts(_read(spark, folder, "resources").select("doc_id", "text"), "text")
 
 
-def _near(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame, DataFrame]]:
+def _near(spark: SparkSession, folder: str, find: Callable[..., tuple[DataFrame, DataFrame]]) -> list[tuple[str, DataFrame, DataFrame]]:
     results = _read(spark, folder, "search_results").select("result_id", F.lower(F.concat("title", F.lit(" "), "url")).alias("text"))
     pages = _read(spark, folder, "resources").select("doc_id", "text")
     return [
-        ("resources", *nearest.near_groups(pages, "doc_id", "text", nearest.Units("words", 3), 0.6)),
-        ("search_results", *nearest.near_groups(results, "result_id", "text", nearest.Units("characters", 4), 0.6)),
+        ("resources", *find(pages, "doc_id", "text", nearest.Units("words", 3), 0.6)),
+        ("search_results", *find(results, "result_id", "text", nearest.Units("characters", 4), 0.6)),
     ]
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = [nearest.near_pairs(m, p).select(F.lit(t).alias("table_name"), "id_a", "id_b") for t, m, p in _near(spark, folder)]
+    found = [nearest.near_pairs(m, p).select(F.lit(t).alias("table_name"), "id_a", "id_b") for t, m, p in _near(spark, folder, nearest.near_groups)]
     return found[0].unionByName(found[1])
 
 
 def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Every record with the smallest id of its group: records linked directly or through others."""
     out = []
-    for name, members, pairs in _near(spark, folder):
+    for name, members, pairs in _near(spark, folder, nearest.near_links):
         linked = components.group_linked(pairs.withColumn("scope", F.lit(name)), "scope", "rep_a", "rep_b")
         heads = linked.select(F.col("entity_name").alias("rep"), "group_name")
         groups = members.join(heads, "rep", "left")
@@ -165,16 +165,24 @@ ORACLE = {
         WHERE least(p['end'], length(text)) - p['start'] > (SELECT max_size FROM size_limits WHERE limit_name = 'chunk')""",
 }
 
-ORACLE["p6_found"] = r"""
-    WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM resources WHERE text IS NOT NULL),
+#: SQL for the pairs of p6.
+NEAR = r"""
+    w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM resources WHERE text IS NOT NULL),
     s AS (SELECT result_id, lower(title || ' ' || url) AS s FROM search_results WHERE title IS NOT NULL AND url IS NOT NULL),
     u AS (SELECT 'resources' AS t, doc_id AS id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w
           UNION ALL SELECT 'search_results', result_id, unnest(list_distinct(list_transform(range(1, length(s) - 2), lambda i: substr(s, i, 4)))) FROM s),
     n AS (SELECT t, id, count(*) AS n FROM u GROUP BY t, id),
-    p AS (SELECT a.t, a.id AS id_a, b.id AS id_b, count(*) AS c FROM u a JOIN u b ON a.t = b.t AND a.g = b.g AND a.id < b.id GROUP BY ALL)
-    SELECT p.t AS table_name, id_a, id_b FROM p JOIN n x ON x.t = p.t AND x.id = id_a JOIN n y ON y.t = p.t AND y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c)"""
-
-
+    p AS (SELECT a.t, a.id AS id_a, b.id AS id_b, count(*) AS c FROM u a JOIN u b ON a.t = b.t AND a.g = b.g AND a.id < b.id GROUP BY ALL),
+    f AS (SELECT p.t AS table_name, id_a, id_b FROM p JOIN n x ON x.t = p.t AND x.id = id_a JOIN n y ON y.t = p.t AND y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c))"""
+ORACLE["p6_found"] = f"WITH {NEAR} SELECT * FROM f"
+ORACLE["p6_groups"] = f"""
+    WITH RECURSIVE {NEAR},
+    d AS (SELECT 'resources' AS t, doc_id AS id, lower(text) AS k FROM resources WHERE text IS NOT NULL
+          UNION ALL SELECT 'search_results', result_id, s FROM s),
+    e AS (SELECT table_name AS t, id_a AS a, id_b AS b FROM f UNION SELECT table_name, id_b, id_a FROM f
+          UNION SELECT x.t, x.id, y.id FROM d x JOIN d y ON x.t = y.t AND x.k = y.k),
+    reach AS (SELECT t, id, id AS other FROM d UNION SELECT r.t, r.id, e.b FROM reach r JOIN e ON e.t = r.t AND e.a = r.other)
+    SELECT t AS table_name, id AS record_id, min(other) AS group_id FROM reach GROUP BY t, id"""
 
 
 def _unified(value: str) -> str:

@@ -3,7 +3,8 @@ import random
 import pytest
 
 from evidara.llm import nearest
-from evidara.llm.nearest import Units, near_groups, near_pairs
+from evidara.llm.components import group_linked
+from evidara.llm.nearest import Units, common_buckets, near_groups, near_links, near_pairs
 
 SCHEMA = "doc_id string, text string, id string, rep string"
 
@@ -75,3 +76,22 @@ def test_a_third_of_the_rows_are_near_copies(spark, monkeypatch):
     sets = {k: units.exact(v) for k, v in texts.items() if k[0] == "c"}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
     assert not got - want and len(want) > 40_000 and len(want - got) <= 0.01 * len(want)
+
+    # Groups come out alike from far fewer pairs.
+    members, links = near_links(df, "doc_id", "text", units, 0.6)
+    links = links.cache()
+    group = {r["entity_name"]: r["group_name"] for r in group_linked(links.selectExpr("0 AS scope", "rep_a", "rep_b"), "scope", "rep_a", "rep_b").collect()}
+    assert members.count() == len(texts) and links.count() < 0.2 * len(want) and {tuple(r) for r in links.select("rep_a", "rep_b").collect()} <= got
+    assert {k for k in group} == {x for p in want for x in p} and set(group.values()) == {"c000"}
+
+
+def test_common_units_do_not_depend_on_batches(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(" ".join(rng.choice("a b c d e f g h i j k l m n o p".split()) for _ in range(30)),) for _ in range(700)]
+    df = spark.createDataFrame(rows, "text string")
+    seen = []
+    for batch, parts in ((10_000, 1), (40, 3), (7, 8)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        seen.append(common_buckets(df.repartition(parts), Units("words", 2)).nonzero()[0].tolist())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen[0] and seen[0] == seen[1] == seen[2]
