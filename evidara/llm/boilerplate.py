@@ -25,6 +25,8 @@ from evidara.plans.ranking import running_sum
 PARAGRAPH, HEADING, ITEM, SENTENCE, BEFORE_TITLE, TITLE, ABOVE_PARAGRAPH, BELOW_PARAGRAPH, LONG = (1 << k for k in range(9))
 #: Neighbours on either side; pages in a block of neighbours.
 NEIGHBOURS, BLOCK = 2, 64
+#: Bits an alignment may hold at once.
+TABLE_BITS = 1 << 26
 #: A page with this share of the other's paragraphs is a copy of it and says nothing about furniture.
 COPY = 0.3
 #: A long paragraph that so many of a host's pages hold, and this share of them beside pages they are no copies of, is furniture.
@@ -86,28 +88,70 @@ def describe(text: str, title: str | None, host: str = "") -> tuple[list[int], l
     return full, [_key(lines[i], host, bool(bits[i] & (PARAGRAPH | TITLE))) for i in full], [bits[i] for i in full]
 
 
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """Bit vectors over ``b`` after each line of ``a``: bit j is 0 where a common subsequence grows with line j of ``b``."""
+    masks: dict[int, int] = {}
+    for j, key in enumerate(b):
+        masks[key] = masks.get(key, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
+    yield row
+    for key in a:
+        hits = row & masks.get(key, 0)
+        row = (row + hits | row - hits) & full
+        yield row
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` with each beginning of ``b``."""
+    for row in _rows(a, b):  # noqa: B007
+        pass
+    grows = ((1 << len(b)) - 1) & ~row
+    bits = np.unpackbits(np.frombuffer(grows.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(bits)))
+
+
+def _common(a: list[int], b: list[int], i: int, j: int, out: list[tuple[int, int]]) -> None:
+    """Adds the positions of a longest common subsequence, offset by (i, j): bits in rows where these fit in TABLE_BITS,
+    halves of ``a`` otherwise, so the room needed grows with the lines and not with their product."""
+    begin, end = 0, 0
+    while begin < min(len(a), len(b)) and a[begin] == b[begin]:
+        out.append((i + begin, j + begin))
+        begin += 1
+    while end < min(len(a), len(b)) - begin and a[-1 - end] == b[-1 - end]:
+        end += 1
+    x, y = a[begin : len(a) - end], b[begin : len(b) - end]
+    if x and y and len(x) * len(y) <= TABLE_BITS:
+        rows, found = list(_rows(x, y)), []
+        p, q = len(x), len(y)
+        while p and q:
+            below = (1 << q) - 1
+            if x[p - 1] == y[q - 1]:
+                p, q = p - 1, q - 1
+                found.append((i + begin + p, j + begin + q))
+            elif (~rows[p - 1] & below).bit_count() == (~rows[p] & below).bit_count():
+                p -= 1
+            else:
+                q -= 1
+        out += reversed(found)
+    elif len(x) == 1 and y:
+        out += [(i + begin, j + begin + y.index(x[0]))] if x[0] in y else []
+    elif x and y:
+        middle = len(x) // 2
+        cut = int(np.argmax(_lengths(x[:middle], y) + _lengths(x[middle:][::-1], y[::-1])[::-1]))
+        _common(x[:middle], y[:cut], i + begin, j + begin, out)
+        _common(x[middle:], y[cut:], i + begin + middle, j + begin + cut, out)
+    out += [(i + len(a) - k, j + len(b) - k) for k in range(end, 0, -1)]
+
+
 def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Positions of a longest common subsequence of two lists of line keys."""
     common = set(a) & set(b)
     if not common:
         return []
     x, y = [i for i, k in enumerate(a) if k in common], [j for j, k in enumerate(b) if k in common]
-    best = np.zeros((len(x) + 1, len(y) + 1), np.int32).tolist()
-    for i in range(len(x) - 1, -1, -1):
-        row, below, k = best[i], best[i + 1], a[x[i]]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if k == b[y[j]] else max(below[j], row[j + 1])
-    i = j = 0
-    out = []
-    while i < len(x) and j < len(y):
-        if a[x[i]] == b[y[j]]:
-            out.append((x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+    out: list[tuple[int, int]] = []
+    _common([a[i] for i in x], [b[j] for j in y], 0, 0, out)
+    return [(x[p], y[q]) for p, q in out]
 
 
 def _difference(pages: pd.DataFrame) -> pd.DataFrame:
@@ -155,7 +199,7 @@ def decide(lines: list[tuple]) -> list[int]:
     host_rate = [rate(x[3], x[2]) for x in lines]
     before = [rate(x[6], x[4]) for x in lines]
     above, below = [rate(x[7], x[4]) for x in lines], [rate(x[8], x[4]) for x in lines]
-    seen = [x[3] > 0 or x[5] > 1 for x in lines]
+    seen = [x[3] > 0 or x[9] > 0 or x[5] > 1 for x in lines]
     all_rate = [rate(x[5], x[4]) for x in lines]
     notice = [bool(b & LONG and b & PARAGRAPH) and lines[i][2] >= LONG_PAGES and host_rate[i] > LONG_SHARED for i, b in enumerate(bits)]
     paragraph = [bool(b & PARAGRAPH) and not notice[i] and not (b & LONG == 0 and seen[i] and (before[i] > 0.05 or host_rate[i] > 0.3 or (lines[i][4] >= 5 and lines[i][5] > 1))) for i, b in enumerate(bits)]

@@ -10,7 +10,7 @@ from functools import cache, reduce
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Letters of other scripts, and below them the Latin letters they look like.
@@ -94,10 +94,15 @@ def _scan() -> tuple[dict[int, str], str]:
 
 
 _TABLE, _CLASS = _scan()
-#: For the JVM: true for texts with any character that could look like others.
 _NEAR = "".join(sorted(SYMBOLS & set(_TO_LATIN)))
-SUSPICIOUS = f"[{_CLASS}]|[a-z][{_NEAR}]|[{_NEAR}][a-z]"
-_SUSPICIOUS = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m.group(1), 16):08x}", SUSPICIOUS))
+_BESIDE = f"[a-z][{_NEAR}]|[{_NEAR}][a-z]"
+_SUSPICIOUS = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m.group(1), 16):08x}", f"[{_CLASS}]|{_BESIDE}"))
+
+
+def suspicious(text: Column) -> Column:
+    """True for texts with any character that could look like others; the symbols, rarer, are sought by themselves."""
+    symbol = reduce(lambda x, y: x | y, [F.contains(text, F.lit(c)) for c in _NEAR])
+    return text.rlike(f"[{_CLASS}]") | (symbol & text.rlike(_BESIDE))
 
 
 @cache
@@ -291,7 +296,7 @@ def find_look_alikes(texts: DataFrame, id_col: str, text: str, reference: DataFr
                 hits = [(r, i) for r, t in zip(b["record_id"], b["t"], strict=True) for i in look(t)]
                 yield pd.DataFrame(hits, columns=["record_id", "term_id"])
 
-        rows = every.where(F.col("t").isNotNull() if terms.odd else F.col("t").rlike(SUSPICIOUS))
+        rows = every.where(F.col("t").isNotNull() if terms.odd else suspicious(F.col("t")))
         return rows.mapInPandas(search, f"record_id string, term_id {kind}")
 
     return reduce(DataFrame.unionByName, map(sought, _blocks(reference, block))).distinct()
@@ -312,5 +317,5 @@ def unify_texts(texts: DataFrame, text: str) -> DataFrame:
         return values.map(lambda v: None if v is None else unify(v))
 
     # A null input costs the UDF nothing, so unsuspicious texts don't travel.
-    odd = F.when(joined.rlike(SUSPICIOUS), F.col(text))
+    odd = F.when(suspicious(joined), F.col(text))
     return texts.withColumn(text, F.coalesce(rewrite(odd), F.col(text)))

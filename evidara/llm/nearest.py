@@ -7,9 +7,10 @@ enumerated (one entry for each symbol left out), equal entries are fetched, and
 decides which pairs are verified exactly. Bits instead of symbols can't work at a similarity of 0.6: a pair then differs
 in 23 % of the bits and a random pair in 50 %, and balls of that radius hold most of the table.
 
-Units in hash buckets that occur more often than in COMMON of the records would make index entries of whole hosts, so a
-first fingerprint leaves them out. The counts are exact sums over all records, alike for any batch or partition. They are what the members of a large group of near copies share, though, so a record of which they are more than MIXED
-has a second fingerprint over all its units, and pairs are sought among both (the exact verification counts all units).
+Units that very many records hold (a host's URLs, frequent syllables) would make entries of whole hosts, so each record
+leaves its commonest units out, but never more than TRIMMED of its units: what the members of a large group of near copies
+share is common as well, and at least half of it stays. The counts are exact sums over all records, alike for any batch or
+partition. The exact verification counts all units.
 """
 
 from __future__ import annotations
@@ -27,13 +28,10 @@ from evidara.llm.components import group_linked
 from evidara.plans.lineage import Scratch
 
 SEGMENTS, WIDTH = 8, 4
-#: Least number of equal symbols: 3.5 standard deviations under the mean of a pair whose rarer units overlap by half.
-LEAST_EQUAL = 7
-#: The same for fingerprints over all units, of a pair at 0.6.
-LEAST_EQUAL_ALL = 10
-COMMON = 0.005
-#: A pair at 0.6 of which one record holds no more common units than this overlaps by 0.55 in its rarer units.
-MIXED = 0.1
+#: Least number of equal symbols: 2.5 standard deviations under the mean of a pair whose remaining units overlap by a third.
+LEAST_EQUAL = 4
+#: Units that occur more often than in this share of the records are common; the most of its units a record leaves out.
+COMMON, TRIMMED = 0.005, 0.5
 #: Entries of the index held by more records than this are split over tasks.
 HOT = 2000
 #: A unit that occurs no more often than this is never common: groups of near-duplicates share such units.
@@ -130,8 +128,9 @@ def _bucket(unit: np.ndarray) -> np.ndarray:
     return (unit >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
 
 
-def common_buckets(records: DataFrame, units: Units) -> np.ndarray:
-    """For each hash bucket of units whether it occurs more than NEVER_COMMON times and more often than COMMON of the records.
+def commonness(records: DataFrame, units: Units) -> np.ndarray:
+    """For each hash bucket of units how common it is: 0 if it occurs no more than NEVER_COMMON times or no more often than
+    in COMMON of the records, else a step of a logarithmic scale.
 
     Every task sums its records into one table of fixed size; the sums are exact however the rows are batched.
     """
@@ -147,53 +146,48 @@ def common_buckets(records: DataFrame, units: Units) -> np.ndarray:
 
     sums = records.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     got = sums.where((F.col("n") > NEVER_COMMON) | (F.col("bucket") == BUCKETS)).toPandas()
-    out = np.zeros(BUCKETS, bool)
     total = got.loc[got["bucket"] == BUCKETS, "n"].sum()
-    out[got.loc[(got["n"] > COMMON * total) & (got["bucket"] < BUCKETS), "bucket"].to_numpy(np.int64)] = True
+    many = got[(got["n"] > COMMON * total) & (got["bucket"] < BUCKETS)]
+    out = np.zeros(BUCKETS, np.uint8)
+    out[many["bucket"].to_numpy(np.int64)] = np.clip(1 + 16 * np.log2(many["n"].to_numpy(float) / (COMMON * total)), 1, 255).astype(np.uint8)
     return out
 
 
-def fingerprints(records: DataFrame, units: Units, threshold: float = 0.6) -> DataFrame:
-    """(id, whole, symbols array<int>): fingerprints over the rarer units, and over all where ``whole``.
+def kept_units(unit: np.ndarray, of: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit, record), each once, without the commonest common units of each record, at most TRIMMED of its units."""
+    level = common[_bucket(unit)]
+    key = of.astype(np.uint64) << np.uint64(40) | (255 - level).astype(np.uint64) << np.uint64(32) | unit >> np.uint64(32)
+    order = np.argsort(key)
+    order = order[np.diff(key[order], prepend=key[order[:1]] ^ np.uint64(1)) != 0]
+    unit, of, level = unit[order], of[order], level[order]
+    size = np.bincount(of)
+    rank = np.arange(of.size) - (np.cumsum(size) - size)[of]
+    kept = (level == 0) | (rank >= np.floor(TRIMMED * size[of]))
+    return unit[kept], of[kept]
 
-    The common units two records share are at most those of the record with fewer. If these are no more than MIXED of a
-    pair's units, the rarer ones it shares are at least ``threshold`` - MIXED of them, so a record with fewer rarer units
-    has the second fingerprint only, and one with at most MIXED common units the first only.
-    """
-    held = records.sparkSession.sparkContext.broadcast(common_buckets(records, units))
+
+def fingerprints(records: DataFrame, units: Units) -> DataFrame:
+    """(id, symbols array<int>) for every record with a unit."""
+    held = records.sparkSession.sparkContext.broadcast(commonness(records, units))
     count = SEGMENTS * WIDTH
     seeds = _mix(np.arange(1, 2 * count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     factors, shifts = seeds[:count] | np.uint64(1), seeds[count:]
 
-    def least(unit: np.ndarray, of: np.ndarray, ids: np.ndarray, whole: bool) -> pd.DataFrame:
-        first = np.flatnonzero(np.diff(of, prepend=-1))
-        symbols = np.empty((first.size, count), np.int32)
-        for k in range(count):
-            symbols[:, k] = (_mix(np.minimum.reduceat(unit * factors[k] + shifts[k], first)) >> np.uint64(48)).astype(np.int32)
-        return pd.DataFrame({"id": ids[of[first]], "whole": whole, "symbols": list(symbols)})
-
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common = held.value
         for b in batches:
             ids = b["id"].to_numpy()
             for start, run in _parts(b["text"]):
-                unit, of = units.hashed(run)
+                unit, of = kept_units(*units.hashed(run), held.value)
                 if not unit.size:
                     continue
-                rare = ~common[_bucket(unit)]
-                # Units are counted once a record, which only those with common units need.
-                n = len(run)
-                some = np.bincount(of[~rare], minlength=n) > 0
-                at = np.flatnonzero(some[of])
-                at = at[np.unique(unit[at] + of[at].astype(np.uint64) * np.uint64(0xD1342543DE82EF95), return_index=True)[1]]
-                part = np.bincount(of[at[~rare[at]]], minlength=n) / np.maximum(1, np.bincount(of[at], minlength=n))
-                one, two = rare & (part <= 1 - threshold + MIXED)[of], (part > MIXED)[of]
-                for which, whole in ((one, False), (two, True)):
-                    if which.any():
-                        yield least(unit[which], of[which], ids[start:], whole)
+                first = np.flatnonzero(np.diff(of, prepend=-1))
+                symbols = np.empty((first.size, count), np.int32)
+                for k in range(count):
+                    symbols[:, k] = (_mix(np.minimum.reduceat(unit * factors[k] + shifts[k], first)) >> np.uint64(48)).astype(np.int32)
+                yield pd.DataFrame({"id": ids[start + of[first]], "symbols": list(symbols)})
 
     kind = dict(records.dtypes)["id"]
-    return records.mapInPandas(sketch, f"id {kind}, whole boolean, symbols array<int>")
+    return records.mapInPandas(sketch, f"id {kind}, symbols array<int>")
 
 
 class _Near:
@@ -206,11 +200,11 @@ class _Near:
         firsts = self.scratch.save(digests.groupBy("digest").agg(F.min("id").alias("rep")).withColumn("no", F.monotonically_increasing_id()))
         self.members = self.scratch.save(digests.join(firsts, "digest").select("id", "rep", "no").distinct())
         self.reps = self.members.where("id = rep").select("id", "no")
-        found = fingerprints(self.records, units, threshold).join(self.reps, "id").dropDuplicates(["no", "whole"])
-        self.prints = self.scratch.save(found.select("no", "whole", "symbols"))
+        found = fingerprints(self.records, units).join(self.reps, "id").dropDuplicates(["no"])
+        self.prints = self.scratch.save(found.select("no", "symbols"))
 
     def shared(self) -> DataFrame:
-        """(whole, entry, no): the entries of the index that more than one record has.
+        """(entry, no, n): the entries of the index that more than one record has.
 
         Most entries have one record; they are counted first, partly before the shuffle, and go no further.
         """
@@ -218,27 +212,26 @@ class _Near:
         for s in range(SEGMENTS):
             for left_out in range(WIDTH):
                 kept = [F.col("symbols")[s * WIDTH + k] for k in range(WIDTH) if k != left_out]
-                entries.append(F.xxhash64(F.lit(s * WIDTH + left_out), "whole", *kept))
-        index = self.prints.select("whole", "no", F.explode(F.array(*entries)).alias("entry"))
+                entries.append(F.xxhash64(F.lit(s * WIDTH + left_out), *kept))
+        index = self.prints.select("no", F.explode(F.array(*entries)).alias("entry"))
         several = index.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         return self.scratch.save(index.join(several, "entry"))
 
     def met(self, shared: DataFrame, apart: str | None = None) -> DataFrame:
-        """(whole, a, b) for every two records with an entry in common, or those that differ in the column ``apart``;
+        """(a, b) for every two records with an entry in common, or those that differ in the column ``apart``;
         entries of many records are split over tasks."""
         k = F.ceil(F.col("n") / HOT).cast("int")
         more = [apart] if apart else []
-        x = shared.select("whole", "entry", F.col("no").alias("a"), F.pmod(F.xxhash64("no"), k).cast("int").alias("part"), *[F.col(c).alias("x") for c in more])
+        x = shared.select("entry", F.col("no").alias("a"), F.pmod(F.xxhash64("no"), k).cast("int").alias("part"), *[F.col(c).alias("x") for c in more])
         y = shared.select("entry", F.col("no").alias("b"), F.explode(F.sequence(F.lit(0), k - 1)).alias("part"), *[F.col(c).alias("y") for c in more])
         both = x.join(y, ["entry", "part"]).where("a < b")
-        return (both.where("x <> y") if apart else both).select("whole", "a", "b").distinct()
+        return (both.where("x <> y") if apart else both).select("a", "b").distinct()
 
     def close(self, met: DataFrame) -> DataFrame:
         """(a, b): those whose whole fingerprints are near enough."""
-        left, right = (self.prints.select(F.col("no").alias(x), "whole", F.col("symbols").alias(f"s_{x}")) for x in "ab")
+        left, right = (self.prints.select(F.col("no").alias(x), F.col("symbols").alias(f"s_{x}")) for x in "ab")
         equal = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-        least = F.when(F.col("whole"), LEAST_EQUAL_ALL).otherwise(LEAST_EQUAL)
-        return self.scratch.save(met.join(left, ["a", "whole"]).join(right, ["b", "whole"]).where(equal >= least).select("a", "b").distinct())
+        return self.scratch.save(met.join(left, "a").join(right, "b").where(equal >= LEAST_EQUAL).select("a", "b"))
 
     def verified(self, close: DataFrame) -> DataFrame:
         """(a, b, similarity) of the pairs whose texts are similar enough."""
@@ -273,8 +266,9 @@ def near_groups(table: DataFrame, id_col: str, text: str, units: Units, threshol
 
     Records with equal lower-cased texts are copies with one representative, the smallest id, and are never paired with
     each other. Null texts are in neither result; records without any unit are members but in no pair. Repeated ids count
-    once. No cap is set on partners or candidates. Candidates come from fingerprints (see above): a pair at 0.6 is missed
-    with a probability of about 0.006, one at 0.7 of 0.0002; every reported pair is verified on the texts themselves.
+    once. No cap is set on partners or candidates. Candidates come from fingerprints (see above): a pair is missed with a
+    probability of 0.006 if the units it keeps overlap by 0.6, of 0.12 by 0.45 and of 0.4 by a third, the least a pair at
+    0.6 can keep; every reported pair is verified on the texts themselves.
     """
     near = _Near(table, id_col, text, units, threshold)
     pairs = near.verified(near.close(near.met(near.shared())))
@@ -290,7 +284,7 @@ def near_links(table: DataFrame, id_col: str, text: str, units: Units, threshold
     near = _Near(table, id_col, text, units, threshold)
     shared = near.shared()
     heads = shared.groupBy("entry").agg(F.min("no").alias("a"))
-    stars = shared.join(heads, "entry").where("a < no").select("whole", "a", F.col("no").alias("b")).distinct()
+    stars = shared.join(heads, "entry").where("a < no").select("a", F.col("no").alias("b")).distinct()
     first = near.scratch.save(near.verified(near.close(stars)))
     known = group_linked(first.select(F.lit(0).alias("scope"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")), "scope", "a", "b")
     groups = near.scratch.save(known.select(F.col("entity_name").cast("long").alias("no"), F.col("group_name").cast("long").alias("group")))
