@@ -1,9 +1,10 @@
 """Problem 3: page furniture found by differencing pages with their nearest URLs.
 
-Pages of a host are ordered by URL path and each is aligned, by a longest common subsequence of its lines, with the pages
-next to it. Lines shared with a neighbour are furniture; what the alignments say about a line's template (digits made
-equal) on its host is used for all of its occurrences, and carried over a whole block of short lines. An exact check
-then keeps what is shared but belongs to articles: the title, headings (short lines that regularly stand right above
+Pages of a host are ordered by URL path and each is aligned, by a longest common subsequence of its lines, with NEIGHBOURS
+pages on either side. Lines shared with any of them are furniture; what the alignments say about a line's template (digits
+made equal, menus told by an item) on its host is used for all of its occurrences, and carried over a whole block of short
+lines. How often a template is shared with the NEAREST pages tells lines of the site from lines that articles have in
+common. An exact check then keeps what is shared but belongs to articles: the title, headings (short lines that regularly stand right above
 paragraphs), list items and sentences that only ever follow paragraphs.
 """
 
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidara.plans.lineage import Scratch
@@ -23,8 +24,8 @@ from evidara.plans.ranking import running_sum
 
 #: Bits that describe a line.
 PARAGRAPH, HEADING, ITEM, SENTENCE, BEFORE_TITLE, TITLE, ABOVE_PARAGRAPH, BELOW_PARAGRAPH, LONG = (1 << k for k in range(9))
-#: Neighbours on either side; pages in a block of neighbours.
-NEIGHBOURS, BLOCK = 2, 64
+#: Neighbours on either side, and those among them whose rates count; pages in a block of neighbours.
+NEIGHBOURS, NEAREST, BLOCK = 24, 2, 128
 #: Bits an alignment may hold at once.
 TABLE_BITS = 1 << 26
 #: A page with this share of the other's paragraphs is a copy of it and says nothing about furniture.
@@ -35,6 +36,12 @@ _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W_]+")
 _HOST = re.compile(r"^[a-z]+://(?:(?:www|amp|m)\.)*([^/?#:]*)[^/?#]*([^#]*)", re.I)
 _NUMBERED = re.compile(r"^\d+[.)]\s")
+_BETWEEN = re.compile(r"\s*[/|·•]\s*|\s{2,}")
+
+
+def _digest() -> Column:
+    """Tells rows that repeat a doc_id apart."""
+    return F.xxhash64("url", "title", "text")
 
 
 def place(url: str | None) -> tuple[str, str]:
@@ -44,8 +51,13 @@ def place(url: str | None) -> tuple[str, str]:
 
 
 def _key(line: str, host: str, prose: bool) -> int:
-    """A number for the line's template: digits made equal, the site's own name masked, and of a line that is no prose
-    only what comes before an early colon."""
+    """A number for the line's template: digits made equal, the site's own name masked, of a line that is no prose only
+    what comes before an early colon, and of a menu (three short items or more) its first item in binary order, for menus
+    come shortened and in any order."""
+    items = [] if prose or line[-1] in ".!?" else [x for x in _BETWEEN.split(line) if x]
+    if len(items) > 2 and max(map(len, items)) <= 30:
+        line = "menu: " + min(items)
+        prose = True
     line = _WORD.sub(lambda m: "@" if len(m.group()) > 3 and m.group().lower() in host else m.group(), _DIGITS.sub("0", line))
     colon = line.find(":")
     if 0 < colon < 30 and not prose and len(line) > colon + 1:
@@ -155,13 +167,13 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def _difference(pages: pd.DataFrame) -> pd.DataFrame:
-    """Each page of the block proper with the number of neighbours every line is shared with."""
+    """Each page of the block proper, and for every line whether any neighbour and whether one of the nearest shares it."""
     pages = pages.sort_values("place").drop_duplicates("place")
     keys, bits = list(map(list, pages["keys"])), list(map(list, pages["bits"]))
     spots, own = pages["place"].tolist(), pages["own"].tolist()
     roots = [p.rstrip("/").partition("?")[0].removesuffix(".html") for p in pages["path"]]
     titles = [next((k for k, b in zip(ks, bs, strict=True) if b & TITLE), None) for ks, bs in zip(keys, bits, strict=True)]
-    shared = [[0] * len(k) for k in keys]
+    shared, near = [[0] * len(k) for k in keys], [[0] * len(k) for k in keys]
     # Long lines under many titles don't make two pages copies of each other.
     under: dict[int, list] = {}
     for ks, bs, t in zip(keys, bits, titles, strict=True):
@@ -181,17 +193,18 @@ def _difference(pages: pd.DataFrame) -> pd.DataFrame:
             if sum(x[p] for p, _ in pairs) > COPY * max(1, min(sum(x), sum(y))):
                 continue
             for p, q in pairs:
-                shared[i][p] += 1
-                shared[j][q] += 1
+                shared[i][p] = shared[j][q] = 1
+                if spots[j] - spots[i] <= NEAREST:
+                    near[i][p] = near[j][q] = 1
     mine = [i for i, o in enumerate(own) if o]
-    return pd.DataFrame({"doc_id": pd.Series([pages["doc_id"].iloc[i] for i in mine], dtype=object), "shared": pd.Series([shared[i] for i in mine], dtype=object)})
+    return pd.DataFrame({"row": pages["row"].to_numpy()[mine], "shared": pd.Series([shared[i] for i in mine], dtype=object), "near": pd.Series([near[i] for i in mine], dtype=object)})
 
 
 def decide(lines: list[tuple]) -> list[int]:
     """Numbers of the furniture among one page's lines.
 
-    A line is (number, bits, n, shared on its host, n everywhere, shared everywhere, before titles, above paragraphs,
-    below paragraphs).
+    A line is (number, bits, n, shared with the nearest on its host, n everywhere, shared with the nearest everywhere,
+    before titles, above paragraphs, below paragraphs, shared with any neighbour on its host).
     """
     no = [x[0] for x in lines]
     bits = [x[1] for x in lines]
@@ -237,56 +250,77 @@ def decide(lines: list[tuple]) -> list[int]:
     return [n for n, o in zip(no, out, strict=True) if o]
 
 
-def find_furniture(pages: DataFrame) -> DataFrame:
-    """(doc_id, line_no): lines of ``text`` that are not blank and not part of the article.
-
-    ``pages`` has doc_id, url, title and text; other columns are ignored. Null or empty texts give no row. A null URL is
-    a page of an unnamed host. Pages with a null title are judged by their first line that looks like one. Rows that
-    repeat a doc_id are judged each for itself, their lines listed once. Ties in the path are ordered by doc_id.
-
-    No host, however large, comes to one task: pages are numbered in order of host and path, and blocks of BLOCK
-    neighbours (with the NEIGHBOURS before and after them) are compared.
-    """
+def _furniture(pages: DataFrame) -> DataFrame:
+    """(doc_id, digest, line_no, evidence): furniture by page; equal rows are one page. Evidence is "line" where a
+    neighbour shares the line, "template" where neighbours share its template elsewhere on the host, "elsewhere" where
+    they do on another host, and "block" where it only stands among such lines."""
     scratch = Scratch(pages.sparkSession, "furniture")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, url, title, text in zip(b["doc_id"], b["url"], b["title"], b["text"], strict=True):
+            for row, doc, digest, url, title, text in zip(b["row"], b["doc_id"], b["digest"], b["url"], b["title"], b["text"], strict=True):
                 host, path = place(url)
-                rows.append((doc, host, path, *describe(text, title, host)))
-            yield pd.DataFrame(rows, columns=["doc_id", "host", "path", "numbers", "keys", "bits"])
+                rows.append((row, doc, digest, host, path, *describe(text, title, host)))
+            yield pd.DataFrame(rows, columns=["row", "doc_id", "digest", "host", "path", "numbers", "keys", "bits"])
 
-    full = pages.where("text IS NOT NULL AND text <> ''").select("doc_id", "url", "title", "text")
-    lines = scratch.save(full.mapInPandas(read, "doc_id string, host string, path string, numbers array<int>, keys array<long>, bits array<int>"))
-    order = running_sum(lines.select("host", "path", "doc_id", "keys", "bits"), scratch, ["host"], ["path", "doc_id"], None, "place")
+    full = pages.where("text IS NOT NULL AND text <> ''").select(F.monotonically_increasing_id().alias("row"), "doc_id", _digest().alias("digest"), "url", "title", "text")
+    lines = scratch.save(full.mapInPandas(read, "row long, doc_id string, digest long, host string, path string, numbers array<int>, keys array<long>, bits array<int>"))
+    order = running_sum(lines.select("host", "path", "doc_id", "row", "keys", "bits"), scratch, ["host"], ["path", "doc_id", "row"], None, "place")
 
     blocks = F.array_distinct(F.transform(F.array(*[F.lit(k) for k in (0, -NEIGHBOURS, NEIGHBOURS)]), lambda k: F.floor((F.col("place") + k) / BLOCK)))
     spread = order.withColumn("block", F.explode(blocks)).withColumn("own", F.col("block") == F.floor(F.col("place") / BLOCK))
-    compared = spread.groupBy("host", "block").applyInPandas(_difference, "doc_id string, shared array<int>")
+    compared = spread.groupBy("host", "block").applyInPandas(_difference, "row long, shared array<int>, near array<int>")
     compared = scratch.save(compared)
 
-    pair = F.arrays_zip("numbers", "keys", "bits", "shared")
-    long = lines.join(compared, "doc_id").select("doc_id", "host", F.explode(pair).alias("x"))
-    long = long.select("doc_id", "host", F.col("x.numbers").alias("no"), F.col("x.keys").alias("key"), F.col("x.bits").alias("bits"), F.least(F.col("x.shared"), F.lit(1)).alias("shared"))
+    pair = F.arrays_zip("numbers", "keys", "bits", "shared", "near")
+    long = lines.join(compared, "row").select("row", "host", F.explode(pair).alias("x"))
+    long = long.select("row", "host", F.col("x.numbers").alias("no"), F.col("x.keys").alias("key"), F.col("x.bits").alias("bits"), "x.shared", "x.near")
     flag = lambda bit: F.sum(F.when(F.col("bits").bitwiseAND(bit) > 0, 1).otherwise(0))
-    hosts = long.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("shared").alias("s"), flag(BEFORE_TITLE).alias("before"), flag(ABOVE_PARAGRAPH).alias("above"), flag(BELOW_PARAGRAPH).alias("below"))
+    hosts = long.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("near").alias("s"), F.sum("shared").alias("w"), flag(BEFORE_TITLE).alias("before"), flag(ABOVE_PARAGRAPH).alias("above"), flag(BELOW_PARAGRAPH).alias("below"))
     hosts = scratch.save(hosts)
-    every = hosts.groupBy("key").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "s", "before", "above", "below")]).where("all_n > 1")
-    known = hosts.join(every, "key").select("host", "key", "n", "s", "all_n", "all_s", "all_before", "all_above", "all_below")
-    told = long.select("doc_id", "host", "no", "key", "bits").join(known, ["host", "key"], "left")
-    zero = [F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in ("n", "s", "all_n", "all_s", "all_before", "all_above", "all_below")]
-    grouped = told.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("no", "bits", *zero))).alias("lines"))
-
-    @F.pandas_udf("array<int>")
+    every = hosts.groupBy("key").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "s", "w", "before", "above", "below")]).where("all_n > 1")
+    told_of = ("n", "s", "all_n", "all_s", "all_before", "all_above", "all_below", "w", "all_w")
+    known = hosts.join(every, "key").select("host", "key", *told_of)
+    told = long.select("row", "host", "no", "key", "bits", "shared").join(known, ["host", "key"], "left")
+    zero = [F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in told_of]
+    grouped = told.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("no", "bits", *zero, "shared"))).alias("lines"))
+
+    @F.pandas_udf("array<struct<line_no:int,evidence:string>>")
     def furniture(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: decide([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in v]))
+        def judge(lines: list) -> list[dict]:
+            rows = [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in lines]
+            why = {x[0]: "line" if x[11] else "template" if x[9] else "elsewhere" if x[10] else "block" for x in rows}
+            return [{"line_no": n, "evidence": why[n]} for n in decide([x[:10] for x in rows])]
+
+        return values.map(judge)
+
+    found = grouped.select("row", F.explode(furniture("lines")).alias("f"))
+    return found.join(lines.select("row", "doc_id", "digest"), "row").select("doc_id", "digest", "f.line_no", "f.evidence").distinct()
+
+
+def find_furniture(pages: DataFrame) -> DataFrame:
+    """(doc_id, line_no): lines of ``text`` that are not blank and not part of the article.
+
+    ``pages`` has doc_id, url, title and text; other columns are ignored. Null or empty texts give no row. A null URL is
+    a page of an unnamed host. Pages with a null title are judged by their first line that looks like one. Rows that
+    repeat a doc_id are judged each for itself, their lines listed once. Ties in the path are ordered by doc_id.
+
+    No host, however large, comes to one task: pages are numbered in order of host and path, and blocks of BLOCK
+    neighbours (with the NEIGHBOURS before and after them) are compared.
+    """
+    return _furniture(pages).select("doc_id", "line_no").distinct()
+
 
-    return grouped.select("doc_id", F.explode(furniture("lines")).alias("line_no")).distinct()
+def evidence(pages: DataFrame) -> DataFrame:
+    """(evidence, lines): how many lines of furniture alignments shared ("line", "template") and how many follow from others."""
+    return _furniture(pages).groupBy("evidence").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def keep_articles(pages: DataFrame) -> DataFrame:
-    """The pages with ``article``, the text without its furniture and without blank lines at either end; null stays null."""
-    drop = find_furniture(pages).groupBy("doc_id").agg(F.collect_set("line_no").alias("__drop"))
+    """The pages with ``article``, the text without its furniture and without blank lines at either end; null stays null.
+    Rows that repeat a doc_id keep each its own article."""
+    drop = _furniture(pages).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.collect_set("line_no").alias("__drop"))
     rest = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("__drop", F.array().cast("array<int>")), i))
-    return pages.join(drop, "doc_id", "left").withColumn("article", F.trim(F.array_join(rest, "\n"), F.lit("\n \t"))).drop("__drop")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (_digest() == F.col("__digest"))
+    return pages.join(drop, same, "left").withColumn("article", F.trim(F.array_join(rest, "\n"), F.lit("\n \t"))).drop("__drop", "__id", "__digest")

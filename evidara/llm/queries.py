@@ -29,6 +29,11 @@ def p3_articles(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.keep_articles(_read(spark, folder, "resources").select("doc_id", "url", "title", "text")).select("doc_id", "article")
 
 
+def p3_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """How many lines of furniture alignments shared."""
+    return boilerplate.evidence(_read(spark, folder, "resources"))
+
+
 MENTION = {"id_col": "mention_id", "exact": ["doc_id", "kind"], "written": ["name"], "bags": ["aliases"]}
 
 
@@ -231,7 +236,7 @@ ORACLE["p5_unified_texts"] = f"SELECT doc_id, {_unified('text')} AS text FROM re
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p3_found, p3_articles, p4_found, p4_pieces, p4_chunk_data, p5_found, p5_unified_aliases, p5_unified_texts, p6_found, p6_groups, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_clean)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p3_found, p3_articles, p3_evidence, p4_found, p4_pieces, p4_chunk_data, p5_found, p5_unified_aliases, p5_unified_texts, p6_found, p6_groups, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_clean)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,4 +1,9 @@
-from evidara.llm.boilerplate import align, describe, find_furniture, keep_articles
+import random
+
+import pytest
+
+from evidara.llm import boilerplate
+from evidara.llm.boilerplate import align, describe, evidence, find_furniture, keep_articles
 
 SCHEMA = "doc_id string, url string, title string, text string, site string, host string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my nu xi omikron pi rho sigma tau ypsilon".split()
@@ -57,3 +62,45 @@ def test_long_notices_of_a_host_are_found(spark):
     for doc, line in find_furniture(spark.createDataFrame(rows, SCHEMA)).collect():
         got.setdefault(doc, set()).add(line)
     assert min(len(notice), len(legal)) > 200 and len(got) == 60 and all(x == {0, 2, 6, 7, 8} for x in got.values())
+
+
+def longest(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 30])
+def test_alignment_against_the_full_table(monkeypatch, bits):
+    monkeypatch.setattr(boilerplate, "TABLE_BITS", bits)
+    for seed in range(500):
+        rng = random.Random(seed)
+        kinds = rng.choice([2, 5, 30])
+        a, b = ([rng.randrange(kinds) for _ in range(rng.randrange(25))] for _ in "ab")
+        pairs = align(a, b)
+        assert len(pairs) == longest(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:]))
+
+
+def test_pages_of_many_lines():
+    rng = random.Random(1)
+    a, b = ([rng.randrange(50) for _ in range(30_000)] for _ in "ab")
+    assert len(align(a, b)) > 6000
+
+
+def test_menus_in_any_order_are_one_template():
+    one, two = (describe(x, None)[1] for x in ("About | Help | Search", "Search / About / Sign in / News"))
+    assert one == two != describe("growth, uptake, release", None)[1]
+
+
+def test_repeated_ids_are_judged_apart(spark):
+    rows = [page(i) for i in range(60)]
+    doc, url, title, text, *rest = page(999)
+    rows += [("twin", url, title, text, *rest), ("twin", url + "b", title, "Skip to content\n\n# " + title + "\n\n" + paragraph(77) + "\n\nAdvertisement", *rest)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = sorted(r["article"] for r in keep_articles(df).where("doc_id = 'twin'").collect())
+    assert len(kept) == 2 and all(k.startswith("# ") and "Advertisement" not in k and "Skip" not in k for k in kept)
+    assert paragraph(77) in kept[0] + kept[1] and paragraph(999) in kept[0] + kept[1]
+    assert {r["evidence"] for r in evidence(df).collect()} <= {"line", "template", "elsewhere", "block"}
