@@ -105,6 +105,24 @@ class Units:
     def hashed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return (word_units if self.kind == "words" else char_units)(texts, self.n)
 
+    def overlaps(self, a: pd.Series, b: pd.Series) -> np.ndarray:
+        """For each pair of texts the units in both over the units in either, units told by their 64-bit hashes."""
+        number, texts = pd.factorize(pd.concat([a, b], ignore_index=True))
+        sets: list[np.ndarray] = []
+        for _, run in _parts(pd.Series(texts)):
+            unit, of = self.hashed(run)
+            order = np.lexsort((unit, of))
+            unit, of = unit[order], of[order]
+            once = np.ones(unit.size, bool)
+            once[1:] = (unit[1:] != unit[:-1]) | (of[1:] != of[:-1])
+            sets += np.split(unit[once], np.cumsum(np.bincount(of[once], minlength=len(run)))[:-1])
+        out = np.empty(len(a))
+        for k, (i, j) in enumerate(zip(number[: len(a)], number[len(a) :], strict=True)):
+            both = np.sort(np.concatenate((sets[i], sets[j])))
+            same = int(np.count_nonzero(both[1:] == both[:-1]))
+            out[k] = same / max(1, both.size - same)
+        return out
+
     def exact(self, text: str) -> set:
         items = _WORD.findall(text) if self.kind == "words" else text
         return {tuple(items[i : i + self.n]) for i in range(len(items) - self.n + 1)} if self.kind == "words" else {text[i : i + self.n] for i in range(len(text) - self.n + 1)}
@@ -203,29 +221,38 @@ class _Near:
         found = fingerprints(self.records, units).join(self.reps, "id").dropDuplicates(["no"])
         self.prints = self.scratch.save(found.select("no", "symbols"))
 
-    def shared(self) -> DataFrame:
-        """(entry, no, n): the entries of the index that more than one record has.
-
-        Most entries have one record; they are counted first, partly before the shuffle, and go no further.
-        """
+    def index(self) -> DataFrame:
+        """(entry, no): the ball of radius 1 around every segment of every fingerprint."""
         entries = []
         for s in range(SEGMENTS):
             for left_out in range(WIDTH):
                 kept = [F.col("symbols")[s * WIDTH + k] for k in range(WIDTH) if k != left_out]
                 entries.append(F.xxhash64(F.lit(s * WIDTH + left_out), *kept))
-        index = self.prints.select("no", F.explode(F.array(*entries)).alias("entry"))
+        return self.prints.select("no", F.explode(F.array(*entries)).alias("entry"))
+
+    def met(self) -> DataFrame:
+        """(a, b) for every two records with an entry in common.
+
+        Both sides read one shuffle of the index; adaptive execution splits the entries of large groups, whose pairs are
+        wanted all.
+        """
+        index = self.index()
+        x, y = index.select("entry", F.col("no").alias("a")), index.select("entry", F.col("no").alias("b"))
+        return x.join(y, "entry").where("a < b").select("a", "b").distinct()
+
+    def shared(self) -> DataFrame:
+        """(entry, no, n): the entries of the index that more than one record has, and how many have it."""
+        index = self.index()
         several = index.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         return self.scratch.save(index.join(several, "entry"))
 
-    def met(self, shared: DataFrame, apart: str | None = None) -> DataFrame:
-        """(a, b) for every two records with an entry in common, or those that differ in the column ``apart``;
-        entries of many records are split over tasks."""
+    def met_apart(self, shared: DataFrame) -> DataFrame:
+        """(a, b) for every two records of different groups with an entry in common; entries of many records are split
+        over tasks."""
         k = F.ceil(F.col("n") / HOT).cast("int")
-        more = [apart] if apart else []
-        x = shared.select("entry", F.col("no").alias("a"), F.pmod(F.xxhash64("no"), k).cast("int").alias("part"), *[F.col(c).alias("x") for c in more])
-        y = shared.select("entry", F.col("no").alias("b"), F.explode(F.sequence(F.lit(0), k - 1)).alias("part"), *[F.col(c).alias("y") for c in more])
-        both = x.join(y, ["entry", "part"]).where("a < b")
-        return (both.where("x <> y") if apart else both).select("a", "b").distinct()
+        x = shared.select("entry", F.col("no").alias("a"), F.pmod(F.xxhash64("no"), k).cast("int").alias("part"), F.col("group").alias("x"))
+        y = shared.select("entry", F.col("no").alias("b"), F.explode(F.sequence(F.lit(0), k - 1)).alias("part"), F.col("group").alias("y"))
+        return x.join(y, ["entry", "part"]).where("a < b AND x <> y").select("a", "b").distinct()
 
     def close(self, met: DataFrame) -> DataFrame:
         """(a, b): those whose whole fingerprints are near enough."""
@@ -239,14 +266,8 @@ class _Near:
 
         @F.pandas_udf("double")
         def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-            out, last, known = [], None, set()
-            for x, y in zip(a, b, strict=True):
-                if x != last:
-                    last, known = x, units.exact(x.lower())
-                other = units.exact(y.lower())
-                both = len(known & other)
-                out.append(both / max(1, len(known) + len(other) - both))
-            return pd.Series(out, dtype=float)
+            parts = [units.overlaps(a.iloc[k : k + 1000], b.iloc[k : k + 1000]) for k in range(0, len(a), 1000)]
+            return pd.Series(np.concatenate(parts) if parts else [], dtype=float)
 
         wanted = close.select(F.explode(F.array("a", "b")).alias("no")).distinct().join(self.reps, "no")
         texts = self.scratch.save(self.records.join(wanted, "id").dropDuplicates(["no"]).select("no", "text"))
@@ -271,7 +292,7 @@ def near_groups(table: DataFrame, id_col: str, text: str, units: Units, threshol
     0.6 can keep; every reported pair is verified on the texts themselves.
     """
     near = _Near(table, id_col, text, units, threshold)
-    pairs = near.verified(near.close(near.met(near.shared())))
+    pairs = near.verified(near.close(near.met()))
     return near.members.select("id", "rep"), near.named(pairs)
 
 
@@ -290,7 +311,7 @@ def near_links(table: DataFrame, id_col: str, text: str, units: Units, threshold
     groups = near.scratch.save(known.select(F.col("entity_name").cast("long").alias("no"), F.col("group_name").cast("long").alias("group")))
     grouped = shared.join(groups, "no", "left").withColumn("group", F.coalesce("group", "no"))
     mixed = grouped.groupBy("entry").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("entry")
-    second = near.verified(near.close(near.met(grouped.join(mixed, "entry", "left_semi"), apart="group")))
+    second = near.verified(near.close(near.met_apart(grouped.join(mixed, "entry", "left_semi"))))
     return near.members.select("id", "rep"), near.named(first.unionByName(second))
 
 

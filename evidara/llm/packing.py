@@ -9,7 +9,7 @@ which containers; the texts take their places in the cluster.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,50 +22,69 @@ from evidara.plans.ranking import running_sum
 
 
 def _dominating(counts: dict[int, int], sizes: list[int], j: int, room: int) -> list[int] | None:
-    """Sizes that, beside one text of size ``j``, dominate every other feasible filling of ``room``; None if unclear."""
-    left = {s: counts[s] - (s == j) for s in sizes}
-    some = [s for s in sizes if s <= room and left[s] > 0]
-    if not some:
+    """Sizes that, beside one text of size ``j``, dominate every other feasible filling of ``room``; None if unclear.
+
+    ``sizes`` is sorted and holds the sizes that are left; only its ends and what lies around half the room are looked at.
+    """
+
+    def left(i: int) -> int:
+        return counts[sizes[i]] - (sizes[i] == j)
+
+    top = bisect_right(sizes, room) - 1
+    if top >= 0 and not left(top):
+        top -= 1
+    if top < 0:
         return []
-    if some[-1] == room:
+    if sizes[top] == room:
         return [room]
 
     def least(n: int) -> int | None:
-        total, need = 0, n
-        for s in some:
-            k = min(need, left[s])
-            total, need = total + k * s, need - k
-            if not need:
-                return total
-        return None
+        total, i = 0, 0
+        while n and i <= top:
+            k = min(n, left(i))
+            total, n, i = total + k * sizes[i], n - k, i + 1
+        return None if n else total
 
-    two = least(2)
+    two, three = least(2), least(3)
     if two is None or two > room:
-        return [some[-1]]
-    three = least(3)
+        return [sizes[top]]
     if three is not None and three <= room:
         return None
     # At most two texts fit. The best partner of the largest, and the largest least member of any pair.
-    top = some[-1]
-    if _pair_sum(some, left, room) <= top:
-        return [top]
-    mate = next((s for s in reversed(some) if s + top <= room and left[s] > (s == top)), None)
-    if mate is None:
+    if not _pair_above(counts, sizes, j, top, room):
+        return [sizes[top]]
+    mate = bisect_right(sizes, room - sizes[top], 0, top + 1) - 1
+    while mate >= 0 and left(mate) <= (mate == top):
+        mate -= 1
+    if mate < 0:
         return None
-    best_low = max((s for s in some if 2 * s <= room and (left[s] > 1 or any(t > s and t + s <= room for t in some))), default=0)
-    return [top, mate] if best_low <= mate else None
-
-
-def _pair_sum(some: list[int], left: dict[int, int], room: int) -> int:
-    best, i, j = 0, 0, len(some) - 1
-    while i <= j:
-        total = some[i] + some[j]
-        if total > room or (i == j and left[some[i]] < 2):
-            j -= 1
+    low = bisect_right(sizes, room // 2, 0, top + 1) - 1
+    while low > mate:
+        after = low + 1
+        while after <= top and not left(after):
+            after += 1
+        if left(low) > 1 or left(low) and after <= top and sizes[low] + sizes[after] <= room:
+            return None
+        low -= 1
+    return [sizes[top], sizes[mate]]
+
+
+def _pair_above(counts: dict[int, int], sizes: list[int], j: int, top: int, room: int) -> bool:
+    """Whether two texts together fill more than the largest one alone."""
+    i, k = 0, top
+    while i <= k:
+        total = sizes[i] + sizes[k]
+        if total > room or i == k and counts[sizes[i]] - (sizes[i] == j) < 2:
+            k -= 1
+        elif counts[sizes[i]] == (sizes[i] == j):
+            i += 1
+        elif counts[sizes[k]] == (sizes[k] == j):
+            k -= 1
+        elif total > sizes[top]:
+            return True
         else:
-            best = max(best, total)
             i += 1
-    return best
+    return False
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

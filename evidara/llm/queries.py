@@ -48,8 +48,7 @@ def p2_collapsed(spark: SparkSession, folder: str) -> DataFrame:
 
 def _chunk_pieces(spark: SparkSession, folder: str) -> DataFrame:
     limit, overlap = splitting.size_limit(_read(spark, folder, "size_limits"), "chunk")
-    spans = splitting.chunk_spans(_read(spark, folder, "resources"))
-    return splitting.split_oversized(spans, ["doc_id", "chunk_no"], "text", limit, overlap)
+    return splitting.split_chunks(_read(spark, folder, "resources"), limit, overlap)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,6 +64,27 @@ def p4_chunk_data(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(_read(spark, folder, "chunk_data"), ["chunk_id"], "text", limit, overlap)
 
 
+def _rebuilt(pieces: DataFrame, keys: list[str], limit: int, overlap: int) -> DataFrame:
+    """For each cut text the digest of what its pieces make without their overlaps, and whether limit and overlap are kept."""
+    ordered = F.sort_array(F.collect_list(F.struct("piece_no", "start", "end", "text")))
+    rows = pieces.groupBy(*keys).agg(ordered.alias("p"))
+    own = F.transform("p", lambda p, i: F.when(i == 0, p["text"]).otherwise(F.substring(p["text"], F.lit(overlap + 1), F.length(p["text"]))))
+    fits = F.forall("p", lambda p: (F.length(p["text"]) <= limit) & (p["end"] - p["start"] == F.length(p["text"])))
+    meets = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.element_at("p", i + 1)["start"] == F.element_at("p", i)["end"] - overlap)
+    return rows.select(*keys, F.md5(F.array_join(own, "")).alias("digest"), (fits & meets & (F.size("p") > 1)).alias("kept"))
+
+
+def p4_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Every oversized span put together again from its pieces."""
+    limit, overlap = splitting.size_limit(_read(spark, folder, "size_limits"), "chunk")
+    return _rebuilt(_chunk_pieces(spark, folder), ["doc_id", "chunk_no"], limit, overlap)
+
+
+def p4_chunks_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    limit, overlap = splitting.size_limit(_read(spark, folder, "size_limits"), "chunk")
+    return _rebuilt(p4_chunk_data(spark, folder), ["chunk_id"], limit, overlap)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     terms = _read(spark, folder, "entity_terms")
     alias = confusables.find_look_alikes(_read(spark, folder, "mentions"), "mention_id", "aliases", terms, whole=True)
@@ -117,6 +137,25 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return loads.agg(F.count(F.lit(1)).alias("containers"), F.sum("load").alias("tokens"), F.max("load").alias("most"))
 
 
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """For each document whether its pieces follow each other from its beginning to its end, and for each whether no
+    container holds more than the capacity and no text is cut that fits."""
+    capacity, _ = splitting.size_limit(_read(spark, folder, "size_limits"), "container")
+    placed = p7_containers(spark, folder)
+    loads = placed.groupBy("container_id").agg(F.sum("size").alias("load"))
+    cut = F.sort_array(F.collect_list(F.struct("piece_no", "start", "end", "size", "load")))
+    rows = placed.join(loads, "container_id").groupBy("doc_id").agg(cut.alias("p"))
+    whole = (F.element_at("p", 1)["start"] == 0) & F.forall(F.sequence(F.lit(1), F.size("p")), lambda i: (i == 1) | (F.get("p", i - 1)["start"] == F.get("p", i - 2)["end"]))
+    needed = (F.size("p") == 1) | (F.aggregate("p", F.lit(0), lambda n, x: n + x["size"]) > capacity)
+    return rows.select("doc_id", F.element_at("p", -1)["end"].alias("characters"), (whole & needed & F.forall("p", lambda x: x["load"] <= capacity)).alias("kept"))
+
+
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """For each source whether its share is met within a thousandth and no block is used beyond its cap."""
+    shares = p8_shares(spark, folder).join(_read(spark, folder, "source_weights").select("source", "max_repeats"), "source")
+    return shares.select("source", "target_share", (F.abs(F.col("actual_share") - F.col("target_share")) <= 0.001).alias("share_met"), (F.col("most_uses") <= F.col("max_repeats")).alias("cap_kept"))
+
+
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_read(spark, folder, "documents"), _read(spark, folder, "source_weights"), "doc_id", "text", "source")
 
@@ -133,8 +172,7 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     return residue.exclude_residue(_read(spark, folder, "documents"), "doc_id", "text").select("doc_id", "lang", "source", "n_chars")
 
 
-P2_FORM = r"upper(regexp_replace({}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
-P2_FORM = "lower(" + P2_FORM + ")"
+P2_FORM = r"lower(upper(regexp_replace({}, '[^\p{{L}}\p{{N}}]', '', 'g')))"
 
 ORACLE = {
     "p1_found": """
@@ -170,6 +208,20 @@ ORACLE = {
         WHERE least(p['end'], length(text)) - p['start'] > (SELECT max_size FROM size_limits WHERE limit_name = 'chunk')""",
 }
 
+ORACLE["p4_rebuilt"] = """
+    WITH s AS (
+      SELECT doc_id, text, CASE WHEN len(coalesce(chunks, [])) > 0 THEN chunks ELSE [{'start': 0, 'end': length(text)}] END AS c
+      FROM resources WHERE text IS NOT NULL
+    ), e AS (SELECT doc_id, text, unnest(c) AS p, generate_subscripts(c, 1) - 1 AS chunk_no FROM s)
+    SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, md5(substr(text, p['start'] + 1, least(p['end'], length(text)) - p['start'])) AS digest, true AS kept FROM e
+    WHERE least(p['end'], length(text)) - p['start'] > (SELECT max_size FROM size_limits WHERE limit_name = 'chunk')"""
+ORACLE["p4_chunks_rebuilt"] = """
+    SELECT chunk_id, md5(text) AS digest, true AS kept FROM chunk_data
+    WHERE length(text) > (SELECT max_size FROM size_limits WHERE limit_name = 'chunk')"""
+
+ORACLE["p7_kept"] = "SELECT doc_id, CAST(length(text) AS INTEGER) AS characters, true AS kept FROM documents WHERE text IS NOT NULL"
+ORACLE["p8_kept"] = "SELECT source, target_share, true AS share_met, true AS cap_kept FROM source_weights"
+
 #: SQL for the pairs of p6.
 NEAR = r"""
     w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM resources WHERE text IS NOT NULL),
@@ -236,7 +288,7 @@ ORACLE["p5_unified_texts"] = f"SELECT doc_id, {_unified('text')} AS text FROM re
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p3_found, p3_articles, p3_evidence, p4_found, p4_pieces, p4_chunk_data, p5_found, p5_unified_aliases, p5_unified_texts, p6_found, p6_groups, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_clean)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p3_found, p3_articles, p3_evidence, p4_found, p4_pieces, p4_chunk_data, p4_rebuilt, p4_chunks_rebuilt, p5_found, p5_unified_aliases, p5_unified_texts, p6_found, p6_groups, p7_containers, p7_fill, p7_kept, p8_mix, p8_shares, p8_kept, p9_found, p9_clean)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Natural breaks, strongest first; a piece ends where the match ends.
@@ -61,41 +61,78 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         else:
             if overlap < n - start <= limit:
                 return list(zip([0, *(e - overlap for e in ends)], [*ends, n], strict=True))
-    # No room for moving ends: full pieces, wherever they end.
-    return [(s, min(s + limit, n)) for s in range(0, n - overlap, step)]
+    # No room for equal pieces with moved ends: full pieces, each ending at the strongest break of its last part.
+    out, start = [], 0
+    while n - start > limit:
+        end = start + limit
+        back = (limit - overlap - 1) // 3
+        if back:
+            snapped = _snap(text, end - back // 2, back // 2)
+            end = snapped if overlap < snapped - start <= limit and snapped != end - back // 2 else end
+        out.append((start, end))
+        start = end - overlap
+    return [*out, (start, n)]
 
 
-def split_oversized(spans: DataFrame, keys: list[str], text: str, limit: int, overlap: int) -> DataFrame:
+_PIECES = "array<struct<chunk_no:int,piece_no:int,start:int,end:int,text:string>>"
+
+
+def _pieces_of(text: str, spans: list[tuple[int, int, int]], limit: int, overlap: int) -> list[dict]:
+    out = []
+    for number, start, end in spans:
+        span = text[start:end]
+        out += [{"chunk_no": number, "piece_no": k, "start": a, "end": b, "text": span[a:b]} for k, (a, b) in enumerate(cut(span, limit, overlap))]
+    return out
+
+
+def split_oversized(rows: DataFrame, keys: list[str], text: str, limit: int, overlap: int) -> DataFrame:
     """(keys, piece_no, start, end, text) for each row whose text is longer than ``limit`` characters.
 
     Positions are relative to the row's text, ``end`` exclusive. Rows within the limit, null and empty texts give no
     row. Repeated rows give repeated pieces; other columns are ignored. Only oversized texts leave the JVM.
     """
-    large = spans.where(F.length(text) > limit).select(*keys, F.col(text).alias("__text"))
+    large = rows.where(F.length(text) > limit).select(*keys, F.col(text).alias("__text"))
 
-    @F.pandas_udf("array<struct<start:int,end:int>>")
+    @F.pandas_udf(_PIECES)
     def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([[{"start": s, "end": e} for s, e in cut(t, limit, overlap)] for t in batch])
+            yield pd.Series([_pieces_of(t, [(0, 0, len(t))], limit, overlap) for t in batch])
 
-    out = large.withColumn("__pieces", pieces("__text")).select(*keys, "__text", F.posexplode("__pieces").alias("piece_no", "__p"))
-    size = F.col("__p.end") - F.col("__p.start")
-    return out.select(*keys, "piece_no", F.col("__p.start").alias("start"), F.col("__p.end").alias("end"), F.substring(F.col("__text"), F.col("__p.start") + 1, size).alias("text"))
+    out = large.select(*keys, F.explode(pieces("__text")).alias("__p"))
+    return out.select(*keys, *[F.col(f"__p.{c}").alias(c) for c in ("piece_no", "start", "end", "text")])
 
 
-def chunk_spans(resources: DataFrame) -> DataFrame:
-    """(doc_id, chunk_no, start, text): the spans of ``chunks``, cut off at the end of the text.
+def chunk_bounds() -> Column:
+    """(chunk_no, start, end) of the spans of ``chunks``, cut off at the end of ``text``.
 
     Null or empty ``chunks`` make the whole text span 0. A null start counts as 0, a null end as the end of the text, a
-    span that is reversed or beyond the text as empty. No row when the text is null.
+    span that is reversed or beyond the text as empty.
     """
     n = F.length("text")
     whole = F.array(F.struct(F.lit(0).alias("start"), n.alias("end")))
     spans = F.when(F.coalesce(F.size("chunks"), F.lit(0)) > 0, F.col("chunks")).otherwise(whole)
-    start = F.least(F.greatest(F.coalesce(F.col("span.start"), F.lit(0)), F.lit(0)), n)
-    end = F.least(F.coalesce(F.col("span.end"), n), n)
-    rows = resources.where(F.col("text").isNotNull()).select("doc_id", "text", F.posexplode(spans).alias("chunk_no", "span"))
-    return rows.select("doc_id", "chunk_no", start.alias("start"), F.substring(F.col("text"), start + 1, F.greatest(end - start, F.lit(0))).alias("text"))
+
+    def bound(span: Column, number: Column) -> Column:
+        start = F.least(F.greatest(F.coalesce(span["start"], F.lit(0)), F.lit(0)), n)
+        return F.struct(number.alias("chunk_no"), start.alias("start"), F.greatest(start, F.least(F.coalesce(span["end"], n), n)).alias("end"))
+
+    return F.transform(spans, bound)
+
+
+def split_chunks(resources: DataFrame, limit: int, overlap: int) -> DataFrame:
+    """(doc_id, chunk_no, piece_no, start, end, text) for each span of ``chunks`` longer than ``limit`` characters.
+
+    Spans are those of ``chunk_bounds``; positions are relative to the span. Null texts give no row. Each text leaves the JVM once, with its oversized spans, and only if it has any.
+    """
+    large = F.filter(chunk_bounds(), lambda s: s["end"] - s["start"] > limit)
+    rows = resources.where(F.col("text").isNotNull()).select("doc_id", "text", large.alias("spans")).where(F.size("spans") > 0)
+
+    @F.pandas_udf(_PIECES)
+    def pieces(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([_pieces_of(t, [(s["chunk_no"], s["start"], s["end"]) for s in x], limit, overlap) for t, x in zip(texts, spans, strict=True)])
+
+    out = rows.select("doc_id", F.explode(pieces("text", "spans")).alias("p"))
+    return out.select("doc_id", *[F.col(f"p.{c}").alias(c) for c in ("chunk_no", "piece_no", "start", "end", "text")])
 
 
 def size_limit(limits: DataFrame, name: str) -> tuple[int, int] | None:

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evidara.llm.splitting import chunk_spans, cut, size_limit, split_oversized
+from evidara.llm.splitting import chunk_bounds, cut, size_limit, split_chunks, split_oversized
 
 
 @settings(max_examples=300, deadline=None)
@@ -36,13 +36,21 @@ def test_spans_and_defined_cases(spark):
         ("a", "x" * 50, None, 1, 1), ("b", "x" * 50, [], 1, 1), ("c", "x" * 50, [(0, 10), (5, 999), (60, 70), (9, 3), (None, None)], 1, 1),
         ("d", None, [(0, 99)], 1, 1), ("e", "", None, 1, 1),
     ]
-    spans = chunk_spans(spark.createDataFrame(rows, schema))
-    size = {(r["doc_id"], r["chunk_no"]): len(r["text"]) for r in spans.collect()}
+    df = spark.createDataFrame(rows, schema)
+    size = {(r["doc_id"], s["chunk_no"]): s["end"] - s["start"] for r in df.select("doc_id", chunk_bounds().alias("s")).where("doc_id <> 'd'").collect() for s in r["s"]}
     assert size == {("a", 0): 50, ("b", 0): 50, ("c", 0): 10, ("c", 1): 45, ("c", 2): 0, ("c", 3): 0, ("c", 4): 50, ("e", 0): 0}
-    pieces = split_oversized(spans, ["doc_id", "chunk_no"], "text", 44, 4).collect()
+    pieces = split_chunks(df, 44, 4).collect()
     assert {(r["doc_id"], r["chunk_no"]) for r in pieces} == {("a", 0), ("b", 0), ("c", 1), ("c", 4)}
     assert all(len(r["text"]) == r["end"] - r["start"] <= 44 for r in pieces)
-    assert split_oversized(spans.limit(0), ["doc_id"], "text", 44, 4).count() == 0
+    assert split_chunks(df.limit(0), 44, 4).count() == 0 and split_oversized(df.limit(0), ["doc_id"], "text", 44, 4).count() == 0
+    whole = split_oversized(df, ["doc_id"], "text", 44, 4).collect()
+    assert {r["doc_id"] for r in whole} == {"a", "b", "c"} and all(r["text"] == "x" * (r["end"] - r["start"]) for r in whole)
+
+
+def test_full_pieces_end_at_breaks_too():
+    text = "ab cde fgh " * 40
+    pieces = cut(text, 12, 8)
+    assert sum(text[e - 1] == " " for _, e in pieces[:-1]) >= 0.2 * len(pieces)
 
 
 def test_limits(spark):
