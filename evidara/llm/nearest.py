@@ -28,8 +28,9 @@ from evidara.llm.components import group_linked
 from evidara.plans.lineage import Scratch
 
 SEGMENTS, WIDTH = 8, 4
-#: Least number of equal symbols: 2.5 standard deviations under the mean of a pair whose remaining units overlap by a third.
-LEAST_EQUAL = 4
+#: Least number of equal symbols: 1.4 standard deviations under the mean of a pair whose remaining units overlap by a third,
+#: the least a pair at 0.6 can keep, and 3 of one whose units overlap by 0.45.
+LEAST_EQUAL = 7
 #: Units that occur more often than in this share of the records are common; the most of its units a record leaves out.
 COMMON, TRIMMED = 0.005, 0.5
 #: Entries of the index held by more records than this are split over tasks.
@@ -282,8 +283,8 @@ class _Near:
 
 
 def near_groups(table: DataFrame, id_col: str, text: str, units: Units, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): (id, rep) for every record with a text, and (rep_a, rep_b, similarity), rep_a < rep_b, for all
-    pairs of representatives whose sets of units overlap by at least ``threshold`` (Jaccard).
+    """(members, pairs): (id, rep, no) for every record with a text, and (a, b, similarity) for all pairs of
+    representatives, by their numbers, whose sets of units overlap by at least ``threshold`` (Jaccard).
 
     Records with equal lower-cased texts are copies with one representative, the smallest id, and are never paired with
     each other. Null texts are in neither result; records without any unit are members but in no pair. Repeated ids count
@@ -292,12 +293,12 @@ def near_groups(table: DataFrame, id_col: str, text: str, units: Units, threshol
     0.6 can keep; every reported pair is verified on the texts themselves.
     """
     near = _Near(table, id_col, text, units, threshold)
-    pairs = near.verified(near.close(near.met()))
-    return near.members.select("id", "rep"), near.named(pairs)
+    return near.members, near.verified(near.close(near.met()))
 
 
 def near_links(table: DataFrame, id_col: str, text: str, units: Units, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(members, links): as ``near_groups``, but only as many pairs as it takes to link the same groups.
+    """(members, links): as ``near_groups``, but links (rep_a, rep_b, similarity) by id, and only as many as it takes to
+    make the same groups.
 
     Each record is first compared with the smallest of every entry it shares, which links most of a large group with a
     pair a record; only records of an entry that are still in different groups are then compared with each other.
@@ -317,9 +318,9 @@ def near_links(table: DataFrame, id_col: str, text: str, units: Units, threshold
 
 def near_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of records, copies included."""
-    m, n = (members.select(F.col("id").alias(f"id_{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab")
-    apart = pairs.select("rep_a", "rep_b").join(m, "rep_a").join(n, "rep_b")
-    copied = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("rep").alias("rep_a"))
-    alike = m.join(copied, "rep_a", "left_semi").join(n, F.col("rep_a") == F.col("rep_b")).where("id_a < id_b")
+    m, n = (members.select(F.col("id").alias(f"id_{x}"), F.col("no").alias(x)) for x in "ab")
+    apart = pairs.select("a", "b").join(m, "a").join(n, "b")
+    copied = members.groupBy("no").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("no").alias("a"))
+    alike = m.join(copied, "a", "left_semi").join(n, F.col("a") == F.col("b")).where("id_a < id_b")
     both = apart.select("id_a", "id_b").unionByName(alike.select("id_a", "id_b"))
     return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
