@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidara.llm.skew import join_hot
 from evidara.plans.lineage import Scratch
 
 
@@ -22,12 +23,11 @@ def group_linked(pairs: DataFrame, scope: str, left: str, right: str) -> DataFra
     a, b = F.col(left), F.col(right)
     links = pairs.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.col(scope).alias("scope"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     links = scratch.save(links)
-    names = links.select("scope", F.explode(F.array("a", "b")).alias("name")).distinct()
+    names = links.select("scope", F.explode(F.array("a", "b")).alias("name")).groupBy("scope", "name").agg(F.count(F.lit(1)).alias("n"))
     nodes = scratch.save(names.orderBy("scope", "name").withColumn("id", F.monotonically_increasing_id()))
-    edges = links
+    edges, total = links, 2 * links.count()
     for end, to in (("a", "u"), ("b", "v")):
-        n = nodes.select(F.col("scope").alias("s"), F.col("name").alias("n"), F.col("id").alias(to))
-        edges = edges.join(n, F.col("scope").eqNullSafe(F.col("s")) & (F.col(end) == F.col("n"))).drop("s", "n")
+        edges = join_hot(edges, nodes.withColumnRenamed("id", to), [("scope", "scope"), (end, "name")], to, "n", total)
     edges = scratch.save(edges.select("u", "v"))
     scratch.drop(links)
 
@@ -35,14 +35,18 @@ def group_linked(pairs: DataFrame, scope: str, left: str, right: str) -> DataFra
     while not edges.isEmpty():
         # The smallest label next to each node, partly aggregated before the shuffle, so hubs cost one row a task.
         ends = F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("near")), F.struct(F.col("v").alias("id"), F.col("u").alias("near")))
-        hook = edges.select(F.explode(ends).alias("e")).groupBy("e.id").agg(F.min("e.near").alias("near")).select("id", F.least("id", "near").alias("to"))
-        up = hook.select(F.col("id").alias("to"), F.col("to").alias("top"))
-        jump = scratch.save(hook.join(up, "to").select("id", F.col("top").alias("to")))
+        near = edges.select(F.explode(ends).alias("e")).groupBy("e.id").agg(F.min("e.near").alias("near"), F.count(F.lit(1)).alias("n"))
+        hook = scratch.save(near.select("id", F.least("id", "near").alias("to"), "n"))
+        total = 2 * edges.count()
+        # Many nodes may hook onto one; where it hooks on is asked once for each target.
+        targets = hook.groupBy(F.col("to").alias("target")).agg(F.count(F.lit(1)).alias("m")).join(hook.select(F.col("id").alias("target"), F.col("to").alias("top")), "target")
+        jump = scratch.save(join_hot(hook, targets, [("to", "target")], "top", "m", total).select("id", F.col("top").alias("to"), "n"))
         jumps.append(jump)
-        x, y = jump.select(F.col("id").alias("u"), F.col("to").alias("x")), jump.select(F.col("id").alias("v"), F.col("to").alias("y"))
-        moved = edges.join(x, "u").join(y, "v").where("x <> y")
-        last, edges = edges, scratch.save(moved.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
-        scratch.drop(last)
+        moved = edges
+        for end, to in (("u", "x"), ("v", "y")):
+            moved = join_hot(moved, jump.withColumnRenamed("to", to), [(end, "id")], to, "n", total)
+        last, edges = edges, scratch.save(moved.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+        scratch.drop(last, hook)
 
     label = nodes.select("scope", F.col("name").alias("entity_name"), F.col("id").alias("label"))
     for jump in jumps:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidara.llm.skew import join_hot
 from evidara.plans.lineage import Scratch
 
 
@@ -44,16 +45,18 @@ def format_groups(records: DataFrame, id_col: str, exact: Sequence[str], written
     # The dictionary: distinct raw values, partly aggregated before the shuffle; each canonicalised once.
     is_exact = F.col("field") < len(exact)
     family = F.when(is_exact, F.col("field")).otherwise(-1)
-    raws = base.select(family.alias("family"), "raw").distinct()
+    base = base.withColumn("family", family)
+    raws = base.groupBy("family", "raw").agg(F.count(F.lit(1)).alias("n"))
     forms = F.when(F.col("family") < 0, canonical(F.col("raw"))).otherwise(F.col("raw"))
     raws = scratch.save(raws.withColumn("form", forms))
-    codes = scratch.save(raws.select("family", "form").distinct().withColumn("code", F.monotonically_increasing_id()))
-    words = raws.alias("r").join(codes.alias("c"), (F.col("r.family") == F.col("c.family")) & F.col("r.form").eqNullSafe(F.col("c.form")))
-    words = scratch.save(words.select("r.family", "r.raw", "c.code"))
+    codes = scratch.save(raws.groupBy("family", "form").agg(F.sum("n").alias("n")).withColumn("code", F.monotonically_increasing_id()))
+    total = codes.agg(F.sum("n")).first()[0] or 0
+    words = scratch.save(join_hot(raws, codes, [("family", "family"), ("form", "form")], "code", "n", total).select("family", "raw", "code", "n"))
     scratch.drop(raws, codes)
 
-    coded = base.withColumn("family", family).alias("b").join(words.alias("w"), (F.col("b.family") == F.col("w.family")) & F.col("b.raw").eqNullSafe(F.col("w.raw")))
-    tuples = coded.groupBy("b.id").agg(F.sort_array(F.collect_list(F.struct("b.field", "w.code"))).alias("tuple"))
+    # One kind or name may stand in most records; its code is broadcast.
+    coded = join_hot(base, words, [("family", "family"), ("raw", "raw")], "code", "n", total)
+    tuples = coded.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("field", "code"))).alias("tuple"))
     tuples = scratch.save(tuples)
     first = tuples.groupBy("tuple").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     return tuples.join(first, "tuple").select(F.col("id").alias(id_col), "first_id", "copies")
