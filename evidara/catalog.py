@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidara.functions import names, scalars
 from evidara.operators import articles, decisions, documents, entities, evidence, islands, keywords, pipeline, report, search
+from evidara.registry import QUERIES, SQL, Query, query, table
 from evidara.streaming import events as log
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 #: The year that ages are counted from, so that results don't depend on the day.
 AS_OF = 2000
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 def assessments(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of orders as assessments of (part, supplier) pairs by documents (orders)."""
     line, order = table(spark, folder, "lineitem"), table(spark, folder, "orders").select("o_orderkey", "o_orderdate")
@@ -435,22 +417,29 @@ def headings(spark: SparkSession, folder: str) -> DataFrame:
     return documents.headings(table(spark, folder, "resources"), "doc_id", "text").where("level < 7").select("doc_id", "line_no", "level", "heading")
 
 
-@query()
-def heading_classes(spark: SparkSession, folder: str) -> DataFrame:
-    return documents.headings(table(spark, folder, "resources"), "doc_id", "text").groupBy("heading", "kind").agg(F.count(F.lit(1)).alias("n"))
+def _like(parts: tuple[str, ...]) -> str:
+    return "|".join(parts)
 
 
-def _like(parts: str) -> str:
-    return "|".join(p.strip() for p in parts.split(";"))
+def _opens(patterns: tuple[str, ...]) -> str:
+    return "^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
 
 
 HEADS = r"h AS (SELECT trim(regexp_replace(l, '^\s*#+\s*|\s*#*\s*$', '', 'g')) AS heading FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM resources WHERE text IS NOT NULL) WHERE regexp_matches(l, '^\s*#{1,6}\s+\S'))"
+KIND = f"""CASE WHEN regexp_matches(x, '{_opens(articles.PAYWALL)}') THEN 'paywall' WHEN regexp_matches(x, '{_like(articles.RELEVANT)}') THEN 'relevant'
+    WHEN regexp_matches(x, '{_like(articles.IRRELEVANT)}') OR regexp_matches(x, '{_opens(articles.SITE)}') THEN 'irrelevant' ELSE 'neutral' END"""
+
+
+@query(f"WITH {HEADS}, c AS (SELECT heading, lower(heading) AS x, count(*) AS n FROM h GROUP BY heading) SELECT heading, n, {KIND} AS kind FROM c")
+def heading_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return documents.headings(table(spark, folder, "resources"), "doc_id", "text").where("level < 7").groupBy("heading", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 
 
 @query(
     f"""WITH {HEADS}, c AS (SELECT heading, lower(heading) AS x, count(*) AS n FROM h GROUP BY heading)
-    SELECT heading, n, CASE WHEN regexp_matches(x, '^(?:{articles.PAYWALL})') THEN 'paywall' WHEN regexp_matches(x, '{_like(articles.RELEVANT)}') THEN 'relevant'
-    WHEN regexp_matches(x, '{_like(articles.IRRELEVANT)}') OR regexp_matches(x, '^(?:{articles.SITE})') THEN 'irrelevant' ELSE 'neutral' END AS kind FROM c"""
+    SELECT heading, n, {KIND} AS kind FROM c"""
 )
 def heading_kinds(spark: SparkSession, folder: str) -> DataFrame:
     marked = documents.headings(table(spark, folder, "resources"), "doc_id", "text").where("level < 7")
@@ -472,7 +461,11 @@ def redacted(spark: SparkSession, folder: str) -> DataFrame:
     return documents.skeletons(quoted(spark, folder), "doc_id", "s", "e", table(spark, folder, "resources"), "text")
 
 
-@query()
+@query(
+    rf"""WITH h AS (SELECT doc_id, text, regexp_extract_all(text, '(?m)^#+[ \t]+(.+?)[ \t]*$', 1) AS h FROM resources)
+    SELECT doc_id, CASE WHEN coalesce(regexp_replace(text, '\s', '', 'g'), '') = '' THEN 'EMPTY' WHEN length(text) <= 3500 AND regexp_matches(text, '(?im)^#+[ \t]*abstract\b')
+      AND len(list_filter(h[2:], lambda x: NOT regexp_matches(trim(x), '(?i)^(?:{"|".join(documents.BESIDE_ABSTRACT)})\b'))) = 0 THEN 'ABSTRACT' ELSE 'FULL_TEXT' END AS kind FROM h"""
+)
 def source_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "resources").select("doc_id", documents.source_kind(F.col("text")).alias("kind"))
 
@@ -492,19 +485,37 @@ def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", F.size(parts).cast("long").alias("sentences")).where("sentences > 0")
 
 
-@query()
+SENTENCES = r"""p AS (SELECT doc_id, text, list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '\s', '', 'g') <> '') AS a FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, CASE WHEN len(a) > 1 THEN a ELSE list_filter(regexp_split_to_array(text, '[,;]'), lambda s: regexp_replace(s, '\s', '', 'g') <> '') END AS a FROM p),
+    s AS (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS s FROM c)"""
+BEST = "SELECT doc_id, keyword, round(score, 9) AS score FROM (SELECT doc_id, keyword, score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, keyword) AS k FROM z) WHERE k <= 10"
+
+
+@query(
+    rf"""WITH {SENTENCES}, w AS (SELECT doc_id, s, list_filter(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda t: t NOT IN ({STOP})) AS w FROM s),
+    g AS (SELECT doc_id, s, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS keyword FROM w WHERE len(w) > 0),
+    t AS (SELECT doc_id, s, keyword, count(*) AS tf FROM g GROUP BY ALL), d AS (SELECT doc_id, keyword, count(*) AS df FROM t GROUP BY ALL), n AS (SELECT doc_id, count(*) AS n FROM w WHERE len(w) > 0 GROUP BY doc_id),
+    x AS (SELECT doc_id, s, keyword, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM t JOIN d USING (doc_id, keyword) JOIN n USING (doc_id)), y AS (SELECT doc_id, keyword, sum(x / l) AS v FROM x JOIN (SELECT doc_id, s, sqrt(sum(x * x)) AS l FROM x GROUP BY ALL) USING (doc_id, s) GROUP BY ALL),
+    z AS (SELECT doc_id, keyword, v / max(v) OVER (PARTITION BY doc_id) AS score FROM y) {BEST}"""
+)
 def tfidf(spark: SparkSession, folder: str) -> DataFrame:
-    return keywords.top(keywords.tfidf(table(spark, folder, "documents"), "doc_id", "text"), ["doc_id"], "score", "keyword", 10)
+    return keywords.extract(table(spark, folder, "documents"), "doc_id", "text", "tfidf", 10).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(
+    rf"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_''-]+|[^\p{{L}}\p{{N}}_\s''-]+') AS t FROM documents WHERE text IS NOT NULL),
+    u AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM t), b AS (SELECT *, w IN ({STOP}) OR NOT regexp_matches(w, '[\p{{L}}\p{{N}}_]') AS stop FROM u),
+    r AS (SELECT doc_id, w, i, sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY i) AS r, stop FROM b), h AS (SELECT doc_id, r, string_agg(w, ' ' ORDER BY i) AS keyword, list(w ORDER BY i) AS ws FROM r WHERE NOT stop GROUP BY doc_id, r),
+    f AS (SELECT doc_id, unnest(ws) AS w, len(ws) AS d FROM h), v AS (SELECT doc_id, w, sum(d) / count(*) AS v FROM f GROUP BY ALL), k AS (SELECT DISTINCT doc_id, keyword, ws FROM h), e AS (SELECT doc_id, keyword, unnest(ws) AS w FROM k),
+    y AS (SELECT doc_id, keyword, sum(v) AS v FROM e JOIN v USING (doc_id, w) GROUP BY ALL), z AS (SELECT doc_id, keyword, v / max(v) OVER (PARTITION BY doc_id) AS score FROM y) {BEST}"""
+)
 def rake(spark: SparkSession, folder: str) -> DataFrame:
-    return keywords.top(keywords.rake(table(spark, folder, "documents"), "doc_id", "text"), ["doc_id"], "score", "keyword", 10)
+    return keywords.extract(table(spark, folder, "documents"), "doc_id", "text", "rake", 10).withColumn("score", F.round("score", 9))
 
 
 @query()
 def yake(spark: SparkSession, folder: str) -> DataFrame:
-    return keywords.top(keywords.yake(table(spark, folder, "documents"), "doc_id", "text"), ["doc_id"], "score", "keyword", 10)
+    return keywords.extract(table(spark, folder, "documents"), "doc_id", "text", "yake", 10).withColumn("score", F.round("score", 9))
 
 
 @query()
@@ -565,7 +576,7 @@ def cache_lookup(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT DISTINCT topic FROM documents WHERE topic IS NOT NULL EXCEPT SELECT topic FROM documents WHERE lang = 'fr'")
 def open_goals(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").where("topic IS NOT NULL")
-    return d.select("topic").exceptAll(d.where("lang = 'fr'").select("topic")).distinct().join(d.where("lang = 'fr'").select("topic").distinct(), "topic", "left_anti")
+    return d.select("topic").distinct().join(d.where("lang = 'fr'").select("topic"), "topic", "left_anti")
 
 
 # --- stages -------------------------------------------------------------------------------------------------------
@@ -781,10 +792,13 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from evidara import catalog_articles, catalog_pairs, catalog_sources  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 

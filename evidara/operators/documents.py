@@ -11,12 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidara.functions import names
-from evidara.operators import islands
+from evidara.operators import articles, islands
 
-#: Headings of sections that belong to an article, and of those that don't.
-BODY = ("abstract", "background", "introduction", "methods", "materials and methods", "results", "findings", "discussion", "conclusion", "conclusions", "summary", "limitations", "case report", "main", "outlook", "participants", "study design")
-APPARATUS = ("references", "bibliography", "acknowledgments", "acknowledgements", "funding", "author contributions", "author information", "competing interests", "conflict of interest", "supplementary information", "supplementary material", "data availability", "ethics declarations", "rights and permissions", "related articles", "similar articles", "cited by", "footnotes", "abbreviations", "notes")
-PAYWALL = ("access options", "buy this article", "subscribe", "purchase access", "log in", "rent or buy")
+#: Headings that accompany an abstract alone, of publishers and of the pages around it.
+BESIDE_ABSTRACT = (
+    r"abstract", r"keywords?", r"author\s+(?:information|contributions)", r"data\s+availability(?:\s+statement)?", r"conflicts?\s+of\s+interest(?:\s+statement)?", r"competing\s+interests?", r"funding", r"acknowledge?ments?",
+    r"references", r"footnotes", r"associated\s+data", r"similar\s+articles", r"citing\s+articles", r"publication\s+types", r"mesh\s+terms", r"related\s+information", r"grants?\s+and\s+funding", r"actions", r"permalink", r"resources", r"figures?", r"tables?",
+    r"supplementary\s+materials?", r"ethics\s+statement", r"licence", r"license", r"copyright", r"buy\s+now", r"access\s+(?:this\s+article|options|through\s+your\s+institution)", r"read\s+this\s+article", r"rent\s+or\s+buy", r"subscribe",
+    r"institutional\s+access", r"affiliations?", r"authors?(?:\s+and\s+affiliations?)?", r"subjects?", r"explore\s+related\s+subjects", r"linkout", r"update\s+(?:of|in)", r"supporting\s+information",
+    r"financial\s+&?\s*competing\s+interests(?:\s+disclosure)?", r"cite\s+this\s+article", r"share\s+this\s+article", r"similar\s+content", r"about\s+this\s+article", r"rights\s+and\s+permissions", r"search", r"navigation", r"main\s+content",
+)
+#: An abstract alone is no longer than this.
+ABSTRACT_LENGTH = 3500
 
 
 def quote_start(quote: Column, text: Column) -> Column:
@@ -41,22 +47,58 @@ def locate(quote: str, text: str, least: float = 0.8) -> tuple[str, list[tuple[i
     form = names.normalise(quote)[0]
     best, where = 0.0, None
     words = [m.start() for m in re.finditer(r"\S+", plain)]
-    for s, shared in zip(words, _shared_bigrams(form, plain, words), strict=True):
-        piece = plain[s : s + len(form)]
-        # A ratio r matches r / 2 of all characters in at most one block more than characters are left out of it.
-        if shared < (1.5 * max(least, best) - 1) * (len(form) + len(piece)) - 1 - 1e-9:
-            continue
-        match = SequenceMatcher(None, form, piece, autojunk=False)
-        if match.quick_ratio() < max(least, best):
-            continue
-        score = match.ratio()
-        if score > best:
-            best, where = score, (s, min(s + len(form), len(plain)))
+    for size in (len(form), len(form) - len(form) // 10, len(form) + len(form) // 10)[: 3 if len(form) >= 10 else 1]:
+        for s, shared in zip(words, _shared_bigrams(form, plain, words, size), strict=True):
+            piece = plain[s : s + size]
+            # A ratio r matches r / 2 of all characters in at most one block more than characters are left out of it.
+            if shared < (1.5 * max(least, best) - 1) * (len(form) + len(piece)) - 1 - 1e-9:
+                continue
+            match = SequenceMatcher(None, form, piece, autojunk=False)
+            if match.quick_ratio() < max(least, best):
+                continue
+            score = match.ratio()
+            if score > best:
+                best, where = score, (s, min(s + size, len(plain)))
     if where and best >= least:
-        return "fuzzy", [(at[where[0]], at[where[1] - 1] + 1)]
+        return "fuzzy", [whole_words(text, at[where[0]], at[where[1] - 1] + 1)]
     return "none", []
 
 
+def whole_words(text: str, start: int, end: int) -> tuple[int, int]:
+    """The span widened to the ends of the words it cuts."""
+    while 0 < start < len(text) and text[start - 1].isalnum() and text[start].isalnum():
+        start -= 1
+    while 0 < end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
+        end += 1
+    return start, end
+
+
+def words_around(text: Column, start: Column, end: Column) -> Column:
+    """The same inside the JVM, as (s, e)."""
+    cut = lambda at: F.substring(text, at, F.lit(2)).rlike(r"^[\p{L}\p{N}]{2}$")
+    before = F.when(cut(start), F.length(F.regexp_extract(F.substring(text, F.lit(1), start), r"[\p{L}\p{N}]*$", 0))).otherwise(0)
+    after = F.when(cut(end), F.length(F.regexp_extract(F.substring(text, end + 1, F.length(text)), r"^[\p{L}\p{N}]*", 0))).otherwise(0)
+    return F.struct((start - before).alias("s"), (end + after).alias("e"))
+
+
+def corrected(quote: str, text: str) -> str | None:
+    """The text's own words for a quote: all of its places that match the quote, gaps of at most two blanks closed by one;
+    null where the quote isn't found in it at all."""
+    how, spans = locate(quote, text)
+    if how == "none":
+        return None
+    if how != "fuzzy":
+        return " ".join(" ".join(text[s:e].split()) for s, e in spans[: 1 if how == "verbatim" else None])
+    window, parts, last = text[spans[0][0] : spans[0][1]], [], None
+    for block in SequenceMatcher(None, names.normalise(quote)[0], names.normalise(window)[0], autojunk=False).get_matching_blocks()[:-1]:
+        plain = names.normalise(window)[0]
+        if last is not None and 0 < block.b - last <= 2 and not plain[last : block.b].strip():
+            parts.append(" ")
+        parts.append(plain[block.b : block.b + block.size])
+        last = block.b + block.size
+    return " ".join("".join(parts).split())
+
+
 def _in_normal_form(quote: str, plain: str, at: list[int]) -> list[tuple[int, int]]:
     """Where the quote's segments around an ellipsis stand in order in a text in normal form; none unless all do."""
     spans, cursor = [], 0
@@ -72,13 +114,13 @@ def _in_normal_form(quote: str, plain: str, at: list[int]) -> list[tuple[int, in
     return spans
 
 
-def _shared_bigrams(form: str, plain: str, starts: list[int]) -> list[int]:
-    """For the window of the form's length at each start, how many pairs of characters it has in common with the form."""
+def _shared_bigrams(form: str, plain: str, starts: list[int], size: int) -> list[int]:
+    """For the window of ``size`` at each start, how many pairs of characters it has in common with the form."""
     need = Counter(form[k : k + 2] for k in range(len(form) - 1))
     has: Counter[str] = Counter()
     out, shared, low, high = [], 0, 0, 0
     for s in starts:
-        for k in range(high, max(high, min(s + len(form), len(plain)) - 1)):
+        for k in range(high, max(high, min(s + size, len(plain)) - 1)):
             g = plain[k : k + 2]
             if g in need:
                 shared += has[g] < need[g]
@@ -110,6 +152,15 @@ def located(quotes: DataFrame, quote: str, text: str) -> DataFrame:
     return out.withColumn("how", F.when(first.isNotNull(), "verbatim").otherwise(F.col("__f.how"))).withColumn("spans", F.when(first.isNotNull(), one).otherwise(F.col("__f.spans"))).drop("__f")
 
 
+def corrections(quotes: DataFrame, quote: str, text: str) -> DataFrame:
+    """Adds ``corrected``, the text's own words for each quote; null where it isn't found."""
+
+    def find(q: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else corrected(x, y) for x, y in zip(q, t, strict=True)], dtype=object)
+
+    return quotes.withColumn("corrected", F.pandas_udf(find, "string")(quote, text))
+
+
 def region_text(text: Column, chunks: Column, first: Column, last: Column, pad: int) -> Column:
     """The chunks from ``first`` to ``last`` and ``pad`` on either side, joined by newlines."""
     low, high = F.greatest(first - pad, F.lit(0)), F.least(last + pad, F.size(chunks) - 1)
@@ -126,14 +177,7 @@ def headings(documents: DataFrame, doc: str, text: str) -> DataFrame:
     bold = F.regexp_extract("line", r"^\s*\*\*([^*]+)\*\*\s*$", 1)
     level = F.when(mark != "", F.length(mark)).when(bold != "", 7)
     name = F.trim(F.when(mark != "", F.regexp_replace("line", r"^\s*#+\s*|\s*#*\s*$", "")).otherwise(bold))
-    return lines(documents, doc, text).where(level.isNotNull()).select(doc, "line_no", level.alias("level"), name.alias("heading"), heading_class(name).alias("kind"))
-
-
-def heading_class(heading: Column) -> Column:
-    """paywall, relevant, irrelevant or neutral, by the heading's words without leading numbers."""
-    plain = F.trim(F.regexp_replace(F.lower(heading), r"^[\d.\s]+|[:.\s]+$", ""))
-    some = lambda ns: F.lit(False) if not ns else plain.isin(*ns) | plain.rlike("^(" + "|".join(ns) + r")\b")
-    return F.when(some(PAYWALL), "paywall").when(some(BODY), "relevant").when(some(APPARATUS), "irrelevant").otherwise("neutral")
+    return lines(documents, doc, text).where(level.isNotNull()).select(doc, "line_no", level.alias("level"), name.alias("heading"), articles.kind_column(name).alias("kind"))
 
 
 def without_apparatus(documents: DataFrame, doc: str, text: str) -> DataFrame:
@@ -145,7 +189,7 @@ def without_apparatus(documents: DataFrame, doc: str, text: str) -> DataFrame:
 
     def step(acc: Column, x: Column) -> Column:
         level = F.length(mark(x))
-        cut = heading_class(F.trim(F.regexp_replace(x, r"^\s*#+\s*", ""))) == "irrelevant"
+        cut = articles.kind_column(F.trim(F.regexp_replace(x, r"^\s*#+\s*", ""))).isin("irrelevant", "paywall")
         now = F.when(level == 0, acc["level"]).when((acc["level"] > 0) & (level > acc["level"]), acc["level"]).when(cut, level).otherwise(0)
         return F.struct(now.cast("int").alias("level"), F.when(now == 0, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept")).cast(state)
 
@@ -181,11 +225,35 @@ def skeletons(quotes: DataFrame, doc: str, start: str, end: str, documents: Data
 
 
 def source_kind(text: Column) -> Column:
-    """EMPTY, ABSTRACT or FULL_TEXT: an abstract is short and its headings are nothing but abstract and apparatus."""
-    marks = F.regexp_extract_all(text, F.lit(r"(?m)^\s*#{1,6}\s+(.+?)\s*$"), 1)
-    other = F.filter(marks, lambda h: ~F.lower(h).rlike("^(abstract|summary|" + "|".join(APPARATUS) + ")"))
-    has = F.exists(marks, lambda h: F.lower(h).rlike("^(abstract|summary)"))
-    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "EMPTY").when((F.length(text) <= 3500) & has & (F.size(other) <= 1), "ABSTRACT").otherwise("FULL_TEXT")
+    """EMPTY, ABSTRACT or FULL_TEXT: an abstract is short, has a heading that says so, and after the first heading none but
+    such as accompany an abstract."""
+    marks = F.regexp_extract_all(text, F.lit(r"(?m)^#+[ \t]+(.+?)[ \t]*$"), 1)
+    beside = "(?i)^(?:" + "|".join(BESIDE_ABSTRACT) + r")\b"
+    other = F.exists(F.slice(marks, 2, F.greatest(F.size(marks), F.lit(1))), lambda h: ~F.trim(h).rlike(beside))
+    short = (F.length(text) <= ABSTRACT_LENGTH) & text.rlike(r"(?im)^#+[ \t]*abstract\b") & ~other
+    return F.when(F.coalesce(F.regexp_replace(text, r"\s", ""), F.lit("")) == "", "EMPTY").when(short, "ABSTRACT").otherwise("FULL_TEXT")
+
+
+def occurrences(spans: Column, segments: Column) -> Column:
+    """How often a quote of so many segments occurs, of which each occurrence has a span."""
+    return F.floor(F.size(spans) / F.greatest(segments, F.lit(1))).cast("int")
+
+
+def occurrence_text(text: Column, spans: Column, number: Column) -> Column:
+    """The text of the occurrence with this number, from 0; null if there is none."""
+    span = F.try_element_at(spans, number + 1)
+    return F.substring(text, span["s"] + 1, span["e"] - span["s"])
+
+
+def relevant_text(text: Column, chunks: Column, spans: Column, pad: int) -> Column:
+    """The chunks from the first to the last one that any span touches, and ``pad`` on either side; null if none is."""
+    touched = F.flatten(F.transform(spans, lambda x: islands.chunks_of(chunks, x["s"], x["e"])))
+    return F.when(F.size(touched) > 0, region_text(text, chunks, F.array_min(touched), F.array_max(touched), pad))
+
+
+def chunk_contexts(text: Column, chunks: Column, span: Column, pad: int) -> Column:
+    """For each chunk a span touches, its text with ``pad`` chunks on either side."""
+    return F.transform(islands.chunks_of(chunks, span["s"], span["e"]), lambda k: region_text(text, chunks, k, k, pad))
 
 
 def shift_headings(text: str, target: int) -> str:

@@ -51,6 +51,12 @@ def fuzzy_pairs(forms: DataFrame, form: str) -> DataFrame:
     spelling up to an ending; they meet on the folded spelling without blanks and on what is left of it without an ending.
     """
     f = forms.select(F.col(form).alias("f")).where(F.length(form) > 0).distinct()
+    pairs = _met(f, f).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.withColumn("m", names.match_of(F.col("a"), F.col("b"))).where("m.matched AND m.distance > 0").select("a", "b", "m.distance", "m.how")
+
+
+def _met(f: DataFrame, asked: DataFrame) -> DataFrame:
+    """(x, y): forms of ``f`` and of ``asked`` that could match without being equal (see ``fuzzy_pairs``)."""
     folded = F.replace(F.regexp_replace(F.regexp_replace(F.col("f"), "ae|oe", "e"), "our", "or"), F.lit(" "), F.lit(""))
     # What is left without each ending that obvious variants exchange.
     stems = F.filter(F.array(*[F.when(folded.endswith(e), F.regexp_replace(folded, e + "$", "")) for e in ENDINGS]), lambda x: x.isNotNull())
@@ -75,20 +81,47 @@ def fuzzy_pairs(forms: DataFrame, form: str) -> DataFrame:
 
     here = keys(runs(f.where(n >= 10).withColumn("m", n)).withColumn("d", F.lit(0)))
     whole = F.transform(F.array_distinct(F.concat(F.array(folded), stems)), lambda c: F.struct(F.lit(-1).alias("k"), F.lit(0).alias("n"), c.alias("part")))
-    keyed = here.unionByName(f.select("f", F.explode(whole).alias("x")).select("f", "x.*"))
+    spelled = lambda forms: forms.select("f", F.explode(whole).alias("x")).select("f", "x.*")
+    keyed = here.unionByName(spelled(f))
 
     # The other side looks for each run of every length it could match, at every shift the edits allow.
     most = 1 + F.floor(n / 10) + 1
     lengths = F.sequence(F.greatest(n - most, F.lit(10)), n + most)
-    place = runs(f.where(n >= 8).withColumn("m", F.explode(lengths))).withColumn("left", most - (j - i)).where((F.col("left") >= 0) & (F.abs(m - n) <= F.col("left")))
+    place = runs(asked.where(n >= 8).withColumn("m", F.explode(lengths))).withColumn("left", most - (j - i)).where((F.col("left") >= 0) & (F.abs(m - n) <= F.col("left")))
     place = place.withColumn("d", F.explode(F.sequence(-F.col("left"), F.col("left"))))
     size = F.when(j == p - 1, m).otherwise((j + 1) * w) - i * w
     at = i * w + d
     shifted = keys(place.where((at >= 0) & (at + size <= n)))
-    other = shifted.unionByName(keyed.where("k < 0").select("f", "k", "n", "part")).distinct()
-    met = keyed.select(F.col("f").alias("x"), "k", "n", "part").join(other.select(F.col("f").alias("y"), "k", "n", "part"), ["k", "n", "part"]).where("x <> y")
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return pairs.withColumn("m", names.match_of(F.col("a"), F.col("b"))).where("m.matched AND m.distance > 0").select("a", "b", "m.distance", "m.how")
+    other = shifted.unionByName(spelled(asked)).distinct()
+    met = keyed.select(F.col("f").alias("x"), "k", "n", "part").join(other.select(F.col("f").alias("y"), "k", "n", "part"), ["k", "n", "part"])
+    return met.where("x <> y").select("x", "y").distinct()
+
+
+def match(queries: DataFrame, name: str, known: DataFrame, least: float = 0.7) -> DataFrame:
+    """(name, canonical, how, penalty): the entity each name means, one row for a name that has one.
+
+    A name's own forms (see ``names.variants``) are sought among the known ones first; of several hits the least
+    speculation wins. Failing that, the closest known form counts if it is near enough, ``least`` similar over the shorter
+    of the two and at most one edit for each ten characters and one more, is no single edit unless an obvious variant, and
+    stands out: the next best of any pair of forms is behind by twice what the best lacks of 1.
+    """
+    asked = queries.select(F.col(name).alias("name")).where(F.col(name).isNotNull()).distinct()
+    empty = F.array().cast("array<string>")
+    forms = asked.select("name", F.explode(names.variants_of(F.col("name"), empty)).alias("v")).select("name", "v.form", F.col("v.speculation").alias("s"))
+    hits = forms.join(known.select("form", "canonical", "speculation"), "form")
+    exact = hits.groupBy("name").agg(F.min(F.struct((F.col("s") + F.col("speculation")).alias("penalty"), "canonical")).alias("b")).select("name", "b.canonical", "b.penalty")
+    rest = forms.join(exact.select("name"), "name", "left_anti")
+    met = _met(known.select(F.col("form").alias("f")).distinct(), rest.select(F.col("form").alias("f")).distinct())
+    short = F.least(F.length("x"), F.length("y"))
+    scored = met.withColumn("m", names.match_of(F.col("x"), F.col("y"))).withColumn("sim", 1 - F.col("m.distance") / short)
+    obvious = F.coalesce(F.col("m.how").isin("spelling", "plural", "spacing"), F.lit(False))
+    near = scored.where((F.col("m.distance") <= 1 + F.floor(short / 10)) & (F.col("sim") >= least) & (obvious | (short >= 10) & (F.col("m.distance") > 1)))
+    pairs = rest.join(near.select(F.col("y").alias("form"), F.col("x").alias("hit"), "sim"), "form").join(known.select(F.col("form").alias("hit"), "canonical", "speculation"), "hit")
+    w = Window.partitionBy("name").orderBy(F.col("sim").desc(), "canonical", "form", "hit")
+    two = pairs.select("name", "canonical", "form", "hit", "sim", (F.col("s") + F.col("speculation") + 1).alias("penalty")).withColumn("__k", F.row_number().over(w)).where("__k <= 2")
+    first = two.groupBy("name").agg(F.min_by(F.struct("canonical", "penalty", "sim"), "__k").alias("b"), F.max(F.when(F.col("__k") == 2, F.col("sim"))).alias("second"))
+    clear = first.where(F.col("second").isNull() | (F.col("b.sim") - F.col("second") >= 2 * (1 - F.col("b.sim"))))
+    return exact.select("name", "canonical", F.lit("exact").alias("how"), "penalty").unionByName(clear.select("name", "b.canonical", F.lit("fuzzy").alias("how"), "b.penalty"))
 
 
 def substring_pairs(forms: DataFrame, form: str) -> DataFrame:

@@ -51,14 +51,6 @@ def all_irrelevant(rows: DataFrame, keys: Sequence[str], polarity: str) -> DataF
     return rows.groupBy(*keys).agg(F.bool_and(F.coalesce(F.col(polarity) == "irrelevant", F.lit(False))).alias("__all")).where("__all").select(*keys)
 
 
-def fractional_rank(value: str, largest_first: bool = True) -> Column:
-    """Rank over all rows, ties averaged: an expression over two windows without partition, for pair tables after their
-    aggregation. Use ``fractional_ranks`` where the table is large."""
-    order = F.col(value).desc() if largest_first else F.col(value).asc()
-    w = Window.orderBy(order)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(value)) - 1) / 2.0
-
-
 def fractional_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
     """Adds the descending rank with ties averaged, without bringing all rows to one task.
 
@@ -95,34 +87,36 @@ def pair_entries(rows: DataFrame, keys: Sequence[str], doc: str, year: str, rele
     """(keys, doc_count, row_count, age_w, substantiated): one row a pair.
 
     age_w adds the recency weight of each document once; substantiated is the mean relevance of the three rows of largest
-    relevance times saturation of the quoted length. The top three come from an aggregate that keeps three, so a hot pair
-    is reduced before the shuffle.
+    relevance times saturation of the quoted length. A window limited to three rows keeps three a task and pair before
+    the shuffle, so a hot pair is never gathered.
     """
-    docs = rows.groupBy(*keys, doc).agg(F.max(year).alias("__y")).groupBy(*keys)
-    docs = docs.agg(F.count(F.lit(1)).alias("doc_count"), F.sum(recency_weight(F.col("__y"), as_of_year)).alias("age_w"))
+    docs = rows.groupBy(*keys, doc).agg(F.max(year).alias("__y"), F.count(F.lit(1)).alias("__n")).groupBy(*keys)
+    docs = docs.agg(F.count(F.lit(1)).alias("doc_count"), F.sum("__n").alias("row_count"), F.sum(recency_weight(F.col("__y"), as_of_year)).alias("age_w"))
     score = F.col(relevance) * (1.0 - F.exp(-F.col(quoted) / 200.0))
-    best = rows.withColumn("__s", F.struct(score.alias("s"), (-F.col(order)).alias("o"), F.col(relevance).cast("double").alias("t")))
-    top = _top3(best, keys)
-    mean = F.aggregate("__top", F.lit(0.0), lambda a, x: a + x["t"]) / F.size("__top")
-    return docs.join(top, list(keys)).select(*keys, "doc_count", "row_count", "age_w", mean.alias("substantiated"))
-
-
-def _top3(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # Salted by the row's own hash: 16 partial tops a key, then the top of those.
-    salt = F.pmod(F.xxhash64("__s"), F.lit(16))
-    top = lambda c: F.slice(F.sort_array(c, asc=False), 1, 3)
-    part = rows.groupBy(*keys, salt.alias("__k")).agg(top(F.collect_list("__s")).alias("__t"), F.count(F.lit(1)).alias("__n"))
-    return part.groupBy(*keys).agg(top(F.flatten(F.collect_list("__t"))).alias("__top"), F.sum("__n").alias("row_count"))
+    w = Window.partitionBy(*keys).orderBy(score.desc(), F.col(order))
+    best = rows.select(*keys, relevance, quoted, order).withColumn("__k", F.row_number().over(w)).where("__k <= 3")
+    top = best.groupBy(*keys).agg(F.avg(F.col(relevance).cast("double")).alias("substantiated"))
+    return docs.join(top, list(keys)).select(*keys, "doc_count", "row_count", "age_w", "substantiated")
 
 
-def report_order(accepted: str, age_w: str, overall: str, name1: str, name2: str) -> list[Column]:
-    """The order of pairs in a report."""
-    return [F.col(accepted).desc(), F.col(age_w).desc(), F.col(overall).desc(), F.lower(name1), F.lower(name2)]
+def report_pairs(rows: DataFrame, keys: Sequence[str], doc: str, year: str, relevance: str, quoted: str, overall: str, polarity: str, label: str, as_of_year: int, order: str, opposed: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The whole entry of each pair with its ``place`` in the report: pair_entries, rows and best grade of each polarity,
+    the median grade, whether it is contentious, and ``accepted`` (keys, accepted), null counting as not.
 
+    Accepted pairs come first, then by weight of recent documents, grade and names. Places are counted over range
+    partitions, not in one task.
+    """
+    from evidara.plans.lineage import Scratch
+    from evidara.plans.ranking import running_sum
 
-def by_date(date: str, quotes: str, order: str) -> list[Column]:
-    """Newest first, undated last; of one date those with fewer quotes first."""
-    return [F.coalesce(F.col(date), F.lit("")).desc(), F.col(quotes).asc(), F.col(order).asc()]
+    named = list(keys)
+    full = pair_entries(rows, keys, doc, year, relevance, quoted, as_of_year, order).join(spread(rows, keys, polarity, overall), named)
+    full = full.join(rows.groupBy(*keys).agg(median_low(overall).alias("overall")), named).join(contentious(rows, keys, polarity, label, opposed), named)
+    full = full.join(accepted, named, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    scratch = Scratch(rows.sparkSession, "report")
+    sort = {"__1": (~F.col("accepted")).cast("int"), "__2": -F.round("age_w", 9), "__3": -F.col("overall"), "__4": F.lower(F.col(keys[0]).cast("string")), "__5": F.lower(F.col(keys[1]).cast("string"))}
+    placed = running_sum(full.withColumns(sort).withColumn("__all", F.lit(0)), scratch, ["__all"], [*sort, *keys], None, "place")
+    return placed.drop("__all", *sort)
 
 
 def publication_year(date: Column) -> Column:

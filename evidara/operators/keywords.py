@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+import math
+import re
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.functions import scalars
@@ -11,52 +19,128 @@ from evidara.functions import scalars
 STOPWORDS = tuple(
     "a about above after again against all also although among an and any are as at be because been before being below between both but by can could did do does doing down during each either few for from further had has have having he her here hers him his how however i if in into is it its itself just may me might more most must my near no nor not now of off on once only or other our out over own per same she should since so some such than that the their them then there these they this those through to too under unless until up upon very was we were what when where whether which while who whom whose why will with within without would yet you your".split()
 )
-_STOP = "(?i)\\b(?:" + "|".join(STOPWORDS) + ")\\b"
+_STOPWORDS = frozenset(STOPWORDS)
+_SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
+_WORD, _TOKEN, _NAME = re.compile(r"\w\w+"), re.compile(r"[\w'-]+|[^\w\s'-]+"), re.compile(r"[^\W_][\w'-]*")
+Scores = dict[str, float]
+
+
+def _grams(words: list[str]) -> Iterator[str]:
+    return (" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1))
+
+
+def _scaled(scores: Scores) -> Scores:
+    most = max(scores.values(), default=0.0)
+    return {k: v / most for k, v in scores.items()} if most else scores
+
+
+def tfidf_of(text: str) -> Scores:
+    """One- to three-word terms by the sum of their TF-IDF over the text's sentences, each of length 1, over the greatest.
+    Sentences are the "documents" of the measure; a text of one sentence is split at commas and semicolons."""
+    sentences = [s for s in _SENTENCES.split(text) if s.strip()]
+    if len(sentences) < 2:
+        sentences = [s for s in re.split("[,;]", text) if s.strip()]
+    found = [[w for w in _WORD.findall(s.lower()) if w not in _STOPWORDS] for s in sentences]
+    counts = [Counter(_grams(words)) for words in found if words]
+    df = Counter(t for c in counts for t in c)
+    total: Counter[str] = Counter()
+    for c in counts:
+        weights = {t: n * (math.log((1 + len(counts)) / (1 + df[t])) + 1) for t, n in c.items()}
+        length = math.sqrt(sum(x * x for x in weights.values()))
+        for t, x in weights.items():
+            total[t] += x / length
+    return _scaled(total)
+
+
+def rake_of(text: str) -> Scores:
+    """Runs of words between stop words and punctuation, by the sum of their words' degree over frequency, over the
+    greatest."""
+    runs: list[list[str]] = [[]]
+    for token in _TOKEN.findall(text.lower()):
+        if token in _STOPWORDS or not any(c.isalnum() or c == "_" for c in token):
+            runs.append([])
+        else:
+            runs[-1].append(token)
+    frequency, degree = Counter(), Counter()
+    for run in runs:
+        for w in run:
+            frequency[w] += 1
+            degree[w] += len(run)
+    return _scaled({" ".join(run): sum(degree[w] / frequency[w] for w in run) for run in runs if run})
+
+
+def yake_of(text: str) -> Scores:
+    """One- to three-word terms by the published measure of unsupervised keyword extraction from a single document: casing,
+    position, frequency, relatedness to context and spread over sentences make a word's score, whose product over a term,
+    against its frequency, makes the term's; small is good, given as 1 / (1 + s)."""
+    sentences = [s for s in _SENTENCES.split(text) if s.strip()]
+    words = [w for s in sentences if (w := _NAME.findall(s))]
+    tf, upper, acronym = Counter(), Counter(), Counter()
+    places: dict[str, list[int]] = defaultdict(list)
+    right, left = defaultdict(list), defaultdict(list)
+    for at, found in enumerate(words):
+        low = [w.lower() for w in found]
+        for i, (w, t) in enumerate(zip(found, low, strict=True)):
+            tf[t] += 1
+            upper[t] += i > 0 and w[0].isupper()
+            acronym[t] += len(w) > 1 and w.isupper()
+            places[t].append(at)
+            if i + 1 < len(low):
+                right[t].append(low[i + 1])
+                left[low[i + 1]].append(t)
+    content = [t for t in tf if t not in _STOPWORDS and len(t) > 2]
+    if not content:
+        return {}
+    mean = sum(tf[t] for t in content) / len(content)
+    norm = mean + math.sqrt(sum((tf[t] - mean) ** 2 for t in content) / len(content))
+    most, score = max(tf.values()), {}
+    for t in content:
+        around = sum(len(set(x[t])) / len(x[t]) for x in (right, left) if x[t])
+        relation = 1 + around * tf[t] / most
+        case = max(upper[t], acronym[t]) / (1 + math.log(tf[t]))
+        position = math.log(3 + math.log(2 + places[t][(len(places[t]) - 1) // 2]))
+        score[t] = position * relation / (case + tf[t] / norm / relation + len(set(places[t])) / len(words) / relation)
+    terms = Counter(g for found in words for g in _grams([w.lower() for w in found]))
+    out = {}
+    for term, n in terms.items():
+        parts = term.split(" ")
+        if all(p in score for p in parts):
+            s = math.prod(max(score[p], 1e-9) for p in parts) / (n * (1 + sum(score[p] for p in parts)))
+            out[term] = 1 / (1 + s)
+    return out
+
+
+METHODS: dict[str, Callable[[str], Scores]] = {"tfidf": tfidf_of, "rake": rake_of, "yake": yake_of}
+
+
+def extract(documents: DataFrame, doc: str, text: str, method: str, k: int | None = None) -> DataFrame:
+    """(doc, keyword, score): the terms of each document by a method of METHODS, all or the ``k`` best, ties by the term.
+
+    All measures are within one document, so each text is read once, in Arrow batches, and nothing is shuffled. Null texts
+    give no row, nor do texts without a term. An extractor that fails on a text is passed over for it, not for others.
+    """
+    measure = METHODS[method]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for d, t in zip(b["doc"], b["text"], strict=True):
+                try:
+                    scores = measure(t)
+                except (ValueError, ArithmeticError, RecursionError):
+                    continue
+                best = scores.items() if k is None else heapq.nsmallest(k, scores.items(), key=lambda x: (-round(x[1], 9), x[0]))
+                rows += [(d, w, s) for w, s in best]
+            yield pd.DataFrame(rows, columns=["doc", "keyword", "score"])
 
-def tfidf(documents: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, keyword, score): one- to three-word terms by the sum of their TF-IDF over the document's sentences, over the
-    greatest. Sentences are the "documents" of the measure; a text of one sentence is split at commas and semicolons.
+    rows = documents.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, f"doc {dict(rows.dtypes)['doc']}, keyword string, score double").withColumnRenamed("doc", doc)
 
-    Terms are counted in exploded rows with partial aggregation, so no text is held by a task longer than its own row.
-    """
-    split = F.filter(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s) != "")
-    parts = F.when(F.size(split) > 1, split).otherwise(F.filter(F.split(text, "[,;]"), lambda s: F.trim(s) != ""))
-    sentences = documents.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.posexplode(parts).alias("s", "sentence"))
-    words = F.filter(F.regexp_extract_all(F.lower("sentence"), F.lit(r"(\b\w\w+\b)"), 1), lambda w: ~w.isin(*STOPWORDS))
-    w = sentences.select("doc", "s", words.alias("w")).where(F.size("w") > 0)
-    grams = [F.when(F.size("w") >= n, _grams(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
-    terms = w.select("doc", "s", F.explode(F.concat(*grams)).alias("keyword")).groupBy("doc", "s", "keyword").agg(F.count(F.lit(1)).alias("tf"))
-    df = terms.groupBy("doc", "keyword").agg(F.count(F.lit(1)).alias("df"))
-    n = w.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
-    weighed = terms.join(df, ["doc", "keyword"]).join(n, "doc").withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    length = weighed.groupBy("doc", "s").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l"))
-    total = weighed.join(length, ["doc", "s"]).groupBy("doc", "keyword").agg(F.sum(F.col("x") / F.col("l")).alias("v"))
-    best = total.groupBy("doc").agg(F.max("v").alias("m"))
-    return total.join(best, "doc").select(F.col("doc").alias(doc), "keyword", (F.col("v") / F.col("m")).alias("score"))
-
-
-def _grams(n: int):  # noqa: ANN202
-    return F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
-
-
-def rake(documents: DataFrame, doc: str, text: str, most_words: int = 100_000) -> DataFrame:
-    """(doc, keyword, score): runs of words between stop words and punctuation, scored by the sum of their words' degree
-    over frequency, over the greatest of the document."""
-    marked = F.regexp_replace(F.lower(text), _STOP, "|")
-    runs = F.filter(F.transform(F.split(marked, r"[^\w\s'-]+"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
-    phrases = documents.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.posexplode(runs).alias("p", "keyword")).withColumn("w", F.split("keyword", " ")).where(F.size("w") <= most_words)
-    words = phrases.select("doc", F.explode("w").alias("word"), F.size("w").alias("d")).groupBy("doc", "word").agg((F.sum("d") / F.count(F.lit(1))).alias("v"))
-    distinct = phrases.select("doc", "keyword", "w").distinct().select("doc", "keyword", F.explode("w").alias("word"))
-    scored = distinct.join(words, ["doc", "word"]).groupBy("doc", "keyword").agg(F.sum("v").alias("v"))
-    best = scored.groupBy("doc").agg(F.max("v").alias("m"))
-    return scored.join(best, "doc").select(F.col("doc").alias(doc), "keyword", (F.col("v") / F.col("m")).alias("score"))
-
-
-def top(keywords: DataFrame, keys: list[str], score: str, tie: str, k: int) -> DataFrame:
-    """The ``k`` best of each key; Spark keeps k rows a partition and key before the shuffle (window group limit)."""
-    w = Window.partitionBy(*keys).orderBy(F.round(F.col(score), 9).desc(), F.col(tie))
-    return keywords.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k).drop("__k")
+
+def extract_all(documents: DataFrame, doc: str, text: str, methods: Sequence[str], k: int) -> DataFrame:
+    """(doc, method, keyword, score): the best terms of each document by each method."""
+    parts = [extract(documents, doc, text, m, k).withColumn("method", F.lit(m)) for m in methods]
+    return reduce(DataFrame.unionByName, parts).select(doc, "method", "keyword", "score")
 
 
 def clean(keywords: DataFrame, keyword: str, score: str) -> DataFrame:
@@ -67,39 +151,10 @@ def clean(keywords: DataFrame, keyword: str, score: str) -> DataFrame:
     return fit.groupBy(key.alias("key")).agg(F.max_by(keyword, F.struct(F.round(F.col(score), 9).alias("s"), F.col(keyword).alias("k"))).alias("keyword"), F.max(score).alias("score"))
 
 
-def yake(documents: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, keyword, score): one- to three-word terms by the published measure of unsupervised keyword extraction from a
-    single document: casing, position, frequency, relatedness to context and spread over sentences make a word's score,
-    whose product over a term, against its frequency, makes the term's; small is good, given as 1 / (1 + s).
-
-    All statistics are aggregates of exploded words; medians of positions come from exact percentiles by document.
-    """
-    split = F.filter(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s) != "")
-    sentences = documents.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.posexplode(split).alias("s", "x"), F.size(split).alias("ns"))
-    w = sentences.select("doc", "s", "ns", F.regexp_extract_all("x", F.lit(r"([\p{L}\p{N}][\p{L}\p{N}'-]*)"), 1).alias("w")).where(F.size("w") > 0)
-    lower = F.transform("w", lambda x: F.lower(x))
-    pairs = F.arrays_zip(lower.alias("a"), F.concat(F.slice(lower, 2, F.size("w")), F.array(F.lit(None).cast("string"))).alias("b"))
-    words = w.select("doc", "s", "ns", F.posexplode(F.arrays_zip(lower.alias("t"), F.col("w").alias("raw"))).alias("i", "z")).select("doc", "s", "ns", "i", "z.t", "z.raw")
-    upper = F.col("raw").rlike(r"^\p{Lu}") & (F.col("i") > 0)
-    acronym = F.col("raw").rlike(r"^\p{Lu}{2,}$")
-    stats = words.groupBy("doc", "t").agg(
-        F.count(F.lit(1)).alias("tf"), F.count_if(upper).alias("tu"), F.count_if(acronym).alias("ta"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY s)").alias("place"), F.countDistinct("s").alias("in"), F.max("ns").alias("ns")
-    )
-    around = w.select("doc", F.explode(pairs).alias("p")).select("doc", "p.a", "p.b").where("b IS NOT NULL")
-    right = around.groupBy("doc", F.col("a").alias("t")).agg((F.countDistinct("b") / F.count(F.lit(1))).alias("r"))
-    left = around.groupBy("doc", F.col("b").alias("t")).agg((F.countDistinct("a") / F.count(F.lit(1))).alias("l"))
-    content = stats.where(~F.col("t").isin(*STOPWORDS) & (F.length("t") > 2))
-    level = content.groupBy("doc").agg((F.avg("tf") + F.coalesce(F.stddev_pop("tf"), F.lit(0.0))).alias("norm"))
-    top = stats.groupBy("doc").agg(F.max("tf").alias("most"))
-    full = content.join(level, "doc").join(top, "doc").join(right, ["doc", "t"], "left").join(left, ["doc", "t"], "left")
-    relation = 1 + (F.coalesce("r", F.lit(0.0)) + F.coalesce("l", F.lit(0.0))) * F.col("tf") / F.col("most")
-    case = F.greatest("tu", "ta") / (1 + F.log("tf"))
-    position = F.log(3 + F.log(2.0 + F.col("place")))
-    score = position * relation / (case + F.col("tf") / F.col("norm") / relation + F.col("in") / F.col("ns") / relation)
-    scored = full.select("doc", "t", score.alias("v"))
-    grams = [F.when(F.size("w") >= n, _grams(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
-    terms = w.select("doc", lower.alias("w")).select("doc", F.explode(F.concat(*grams)).alias("keyword")).groupBy("doc", "keyword").agg(F.count(F.lit(1)).alias("n"))
-    parts = terms.select("doc", "keyword", "n", F.explode(F.split("keyword", " ")).alias("t"), F.size(F.split("keyword", " ")).alias("k")).join(scored, ["doc", "t"])
-    whole = parts.groupBy("doc", "keyword", "n", "k").agg(F.count(F.lit(1)).alias("got"), F.sum(F.log(F.greatest("v", F.lit(1e-9)))).alias("p"), F.sum("v").alias("q")).where("got = k")
-    s = F.exp("p") / (F.col("n") * (1 + F.col("q")))
-    return whole.select(F.col("doc").alias(doc), "keyword", (1 / (1 + s)).alias("score"))
+def deduplicated(terms: DataFrame, term: str, order: str, score: str | None = None) -> DataFrame:
+    """(key, term, score): terms once for each normal key (lower case, singular, without abbreviation or ending), in the
+    form that came first; the score is that form's, or 1 without scores."""
+    key = scalars.without_suffix(scalars.singular(F.lower(scalars.without_abbreviation(F.col(term)))))
+    value = F.col(score).cast("double") if score else F.lit(1.0)
+    first = terms.where(F.col(term).isNotNull()).groupBy(key.alias("key")).agg(F.min_by(F.struct(F.col(term).alias(term), value.alias("score")), order).alias("f"))
+    return first.select("key", f"f.{term}", "f.score")

@@ -95,8 +95,9 @@ def weighted_mean(vectors: DataFrame, keys: Sequence[str], vector: str, weight:
 
 
 def position_weight(position: Column, count: Column, length: Column, longest: Column) -> Column:
-    """1.5 in the first and last fifth, else 1, times the share of the greatest length."""
-    edge = (position < count * 0.2) | (position >= count * 0.8)
+    """1.5 in the first and last fifth, at least one place each, else 1, times the share of the greatest length."""
+    fifth = F.greatest(F.lit(1), F.floor(count / 5))
+    edge = (position < fifth) | (position >= count - fifth)
     return F.when(edge, 1.5).otherwise(1.0) * length / longest
 
 

@@ -154,12 +154,12 @@ def test_sections_and_redaction(spark):
 
 def test_keywords(spark):
     df = spark.createDataFrame([(1, "Lipid storage rose. Lipid storage fell in the liver. The liver grew."), (2, None), (3, "single words, only commas; here")], "doc_id int, text string")
-    best = {r["doc_id"]: r["keyword"] for r in keywords.top(keywords.tfidf(df, "doc_id", "text"), ["doc_id"], "score", "keyword", 1).collect()}
+    best = {r["doc_id"]: r["keyword"] for r in keywords.extract(df, "doc_id", "text", "tfidf", 1).collect()}
     assert best[1] in ("liver", "lipid", "storage", "lipid storage") and set(best) == {1, 3}
-    got = {(r["doc_id"], r["keyword"]): r["score"] for r in keywords.rake(df, "doc_id", "text").collect()}
+    got = {(r["doc_id"], r["keyword"]): r["score"] for r in keywords.extract(df, "doc_id", "text", "rake").collect()}
     assert got[(1, "lipid storage rose")] == 1.0
     text = "The BRCA1 gene matters. BRCA1 repairs breaks. Cells divide. We thank many people for the repairs of BRCA1."
-    scores = {r["keyword"]: r["score"] for r in keywords.yake(spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string"), "doc_id", "text").collect()}
+    scores = {r["keyword"]: r["score"] for r in keywords.extract(spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string"), "doc_id", "text", "yake").collect()}
     assert scores["brca1"] > scores["people"] > 0 and "the" not in scores and all(0 < v < 1 for v in scores.values())
     terms = spark.createDataFrame([("BMP pathway", 0.5), ("BMPs", 0.9), ("ab", 1.0), ("12 34", 1.0)], "keyword string, score double")
     assert [(r["key"], r["keyword"]) for r in keywords.clean(terms, "keyword", "score").collect()] == [("bmp", "BMPs")]
