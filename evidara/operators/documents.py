@@ -82,8 +82,8 @@ def words_around(text: Column, start: Column, end: Column) -> Column:
 
 
 def corrected(quote: str, text: str) -> str | None:
-    """The text's own words for a quote: all of its places that match the quote, gaps of at most two blanks closed by one;
-    null where the quote isn't found in it at all."""
+    """What of a quote stands in the text: where it isn't found as it is, the parts of the closest passage that match it, with
+    gaps of at most two blanks as one and any other left out; null where there is no such passage."""
     how, spans = locate(quote, text)
     if how == "none":
         return None

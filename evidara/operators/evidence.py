@@ -80,7 +80,7 @@ def rank_sum(rows: DataFrame, values: Sequence[str], out: str) -> DataFrame:
 def recency_weight(year: Column, as_of_year: int) -> Column:
     """1 / (age + 1)^0.75, no age below 0; 0 without a year."""
     age = F.greatest(F.lit(as_of_year) - year, F.lit(0))
-    return F.coalesce(1.0 / F.pow(age + 1, F.lit(0.75)), F.lit(0.0))
+    return F.when(year.isNull(), 0.0).otherwise(1.0 / F.pow(age + 1, F.lit(0.75)))
 
 
 def pair_entries(rows: DataFrame, keys: Sequence[str], doc: str, year: str, relevance: str, quoted: str, as_of_year: int, order: str) -> DataFrame:
