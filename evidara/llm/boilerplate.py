@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,6 +51,12 @@ def place(url: str | None) -> tuple[str, str]:
     return (m.group(1).lower(), m.group(2)) if m else ("", "")
 
 
+@lru_cache(1024)
+def _parts_of(host: str) -> frozenset[str]:
+    """All stretches of four characters in a host; a line with none of them can't hold a longer part of it."""
+    return frozenset(host[i : i + 4] for i in range(len(host) - 3))
+
+
 def _key(line: str, host: str, prose: bool) -> int:
     """A number for the line's template: digits made equal, the site's own name masked, of a line that is no prose only
     what comes before an early colon, and of a menu (three short items or more) its first item in binary order, for menus
@@ -58,7 +65,9 @@ def _key(line: str, host: str, prose: bool) -> int:
     if len(items) > 2 and max(map(len, items)) <= 30:
         line = "menu: " + min(items)
         prose = True
-    line = _WORD.sub(lambda m: "@" if len(m.group()) > 3 and m.group().lower() in host else m.group(), _DIGITS.sub("0", line))
+    line, low = _DIGITS.sub("0", line), line.lower()
+    if any(part in low for part in _parts_of(host)):
+        line = _WORD.sub(lambda m: "@" if len(m.group()) > 3 and m.group().lower() in host else m.group(), line)
     colon = line.find(":")
     if 0 < colon < 30 and not prose and len(line) > colon + 1:
         line = line[: colon + 1]
@@ -157,7 +166,10 @@ def _common(a: list[int], b: list[int], i: int, j: int, out: list[tuple[int, int
 
 def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Positions of a longest common subsequence of two lists of line keys."""
-    common = set(a) & set(b)
+    return _aligned(a, b, set(a) & set(b))
+
+
+def _aligned(a: list[int], b: list[int], common: set[int]) -> list[tuple[int, int]]:
     if not common:
         return []
     x, y = [i for i, k in enumerate(a) if k in common], [j for j, k in enumerate(b) if k in common]
@@ -181,16 +193,19 @@ def _difference(pages: pd.DataFrame) -> pd.DataFrame:
             under.setdefault(k, []).append(t)
     spread = {k for k, ts in under.items() if len(set(ts)) >= LONG_PAGES and 2 * len(ts) > len(keys)}
     prose = [[b & PARAGRAPH and k not in spread for k, b in zip(ks, bs, strict=True)] for ks, bs in zip(keys, bits, strict=True)]
+    every = [[b & PARAGRAPH for b in bs] for bs in bits]
+    sets, some, lengths = [set(k) for k in keys], [any(p) for p in prose], [(sum(map(bool, p)), sum(map(bool, e))) for p, e in zip(prose, every, strict=True)]
     for i in range(len(keys)):
         for j in range(i + 1, min(len(keys), i + 1 + NEIGHBOURS)):
             if spots[j] - spots[i] > NEIGHBOURS or not (own[i] or own[j]):
                 continue
             if titles[i] is not None and titles[i] == titles[j] or len(roots[i]) > 8 and (roots[j].startswith(roots[i]) or roots[i].startswith(roots[j])) and len(roots[j]) > 8 and "?" not in pages["path"].iloc[i]:
                 continue
-            pairs = align(keys[i], keys[j])
+            pairs = _aligned(keys[i], keys[j], sets[i] & sets[j])
             # A page of such lines only is compared by them.
-            x, y = (prose[k] if any(prose[i]) and any(prose[j]) else [b & PARAGRAPH for b in bits[k]] for k in (i, j))
-            if sum(x[p] for p, _ in pairs) > COPY * max(1, min(sum(x), sum(y))):
+            own_prose = some[i] and some[j]
+            x = prose[i] if own_prose else every[i]
+            if sum(x[p] > 0 for p, _ in pairs) > COPY * max(1, min(lengths[k][0 if own_prose else 1] for k in (i, j))):
                 continue
             for p, q in pairs:
                 shared[i][p] = shared[j][q] = 1

@@ -197,6 +197,8 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _NEWLINES = re.compile(r"\n+")
 _DIGIT = re.compile(r"\d")
 _WORD_BEFORE, _WORD_AFTER = re.compile(r"([^\W\d_]+)[\s'\"]+$"), re.compile(r"[\s'\"]+([^\W\d_]+)")
+#: A sign that one of BRACKETS has.
+_OPENS = re.compile(r"[{\[<_@]|&lt;|%[%(]")
 _SIGN = re.compile(r"[{}\[\]<>%@_$#&;]")
 
 
@@ -276,11 +278,12 @@ def _counts(texts: list[str], without: list[np.ndarray] | None = None) -> tuple[
     size = max(0, flat.size - ORDER + 1)
     ok = _valid(size, starts, np.array([len(t) for t in texts]))
     text = _buckets(flat, TEXT_BUCKETS)
-    if without is not None:
-        of = np.searchsorted(starts, np.arange(size), side="right") - 1
-        n = np.maximum(1, np.bincount(of[ok], minlength=len(texts)))
-        best = np.max([np.bincount(of[ok], weights=table[text[ok]], minlength=len(texts)) / n for table in without], axis=0)
-        ok &= (best < KEPT_OUT)[of]
+    if without is not None and size:
+        # Texts begin one after the other, each followed by ORDER zeros, so n-grams of a text lie from its start to the next.
+        first = np.minimum(starts, size - 1)
+        n = np.maximum(1, np.add.reduceat(ok, first, dtype=np.int64))
+        best = np.max([np.add.reduceat(np.where(ok, table[text], 0.0), first) / n for table in without], axis=0)
+        ok &= np.repeat(best < KEPT_OUT, np.diff(np.append(starts, size)))[:size]
     return (
         np.bincount(text[ok], minlength=TEXT_BUCKETS),
         np.bincount(_buckets(_shape(flat), SHAPE_BUCKETS)[ok], minlength=SHAPE_BUCKETS),
@@ -355,19 +358,27 @@ def _is_short(line: str) -> bool:
     return bool(_bare(line)) and _bare(line) in _short()
 
 
-def _cover(score: np.ndarray, window: int, least: float) -> np.ndarray:
-    """True at the n-grams of windows whose mean is at least ``least`` and that are positive themselves."""
+def _cover(score: np.ndarray, total: np.ndarray, window: int, least: float) -> np.ndarray:
+    """True at the n-grams of windows whose mean is at least ``least`` and that are positive themselves; ``total`` holds
+    the sums of all before each."""
     if score.size < window:
         return np.zeros(score.size, bool)
-    total = np.cumsum(np.concatenate(([0.0], score)))
-    good = total[window:] - total[:-window] >= least * window
+    at = np.flatnonzero(total[window:] - total[:-window] >= least * window)
     edge = np.zeros(score.size + 1, np.int32)
-    at = np.flatnonzero(good)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + window, -1)
     return (np.cumsum(edge)[:-1] > 0) & (score > 0)
 
 
+def _shape_hits(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams in windows of placeholders, where each text begins)."""
+    flat, starts = _points(texts)
+    size = max(0, flat.size - ORDER + 1)
+    ok = _valid(size, starts, np.array([len(t) for t in texts]))
+    score = np.where(ok, table[_buckets(_shape(flat), SHAPE_BUCKETS)], np.float32(FLOOR))
+    return np.flatnonzero(_cover(score, np.concatenate(([0.0], np.cumsum(score, dtype=np.float64))), *SHAPE_WINDOW) & ok), starts
+
+
 def _runs_of(at: np.ndarray, gap: int) -> list[tuple[int, int]]:
     """(first, last) n-gram of each run of hits with gaps of no more than ``gap``."""
     cuts = np.flatnonzero(np.diff(at) > gap)
@@ -395,11 +406,11 @@ def locate(texts: list[str], tables: list[np.ndarray]) -> list[list[tuple[int, i
     """For each text the (start, end) of its residue."""
     flat, starts = _points(texts)
     size = max(0, flat.size - ORDER + 1)
-    lengths = np.array([len(t) for t in texts])
-    ok = _valid(size, starts, lengths)
-    text, shape = _buckets(flat, TEXT_BUCKETS), _buckets(_shape(flat), SHAPE_BUCKETS)
+    ok = _valid(size, starts, np.array([len(t) for t in texts]))
+    text = _buckets(flat, TEXT_BUCKETS)
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    sums = [np.concatenate(([0.0], np.cumsum(np.where(ok, table[text], 0.0), dtype=np.float64))) for table in tables[:2]]
+    scores = [np.where(ok, table[text], np.float32(FLOOR)) for table in tables[:2]]
+    sums = [np.concatenate(([0.0], np.cumsum(score, dtype=np.float64))) for score in scores]
 
     def mean(kind: int, i: int, low: int, high: int) -> float:
         a, b = starts[i] + low, starts[i] + high - ORDER + 1
@@ -413,14 +424,21 @@ def locate(texts: list[str], tables: list[np.ndarray]) -> list[list[tuple[int, i
             return True
         return any(mean(kind, i, *x) >= least for pattern, least in ((_NEWLINES, LINE_RATIO), (_SENTENCE, SENTENCE_RATIO)) for x in _around(pattern, t, low, high))
 
-    for kind, (bucket, (window, least)) in enumerate(((text, TEXT_WINDOW), (text, TEXT_WINDOW), (shape, SHAPE_WINDOW))):
-        marks = np.flatnonzero(_cover(np.where(ok, tables[kind][bucket], FLOOR), window, least) & ok)
-        owner = np.searchsorted(starts, marks, side="right") - 1
-        for i in np.unique(owner):
-            for a, b in _runs_of(marks[owner == i] - starts[i], LONGEST_NAME if kind == 2 else ORDER):
+    def keep(kind: int, marks: np.ndarray, begins: np.ndarray, numbers: list[int] | range) -> None:
+        owner = np.searchsorted(begins, marks, side="right") - 1
+        for k in np.unique(owner):
+            i = numbers[k]
+            for a, b in _runs_of(marks[owner == k] - begins[k], LONGEST_NAME if kind == 2 else ORDER):
                 span = _signed(texts[i], a, b + ORDER) if kind == 2 else (a, b + ORDER)
                 if stays(kind, i, *span):
                     out[i].append(span)
+
+    for kind in (0, 1):
+        keep(kind, np.flatnonzero(_cover(scores[kind], sums[kind], *TEXT_WINDOW) & ok), starts, range(len(texts)))
+    # Placeholders are sought in texts that hold one of their signs.
+    signed = [i for i, t in enumerate(texts) if _OPENS.search(t)]
+    if signed:
+        keep(2, *_shape_hits([texts[i] for i in signed], tables[2]), signed)
     # A line shorter than a window is judged by its own n-grams.
     for i, t in enumerate(texts):
         for m in _LINE.finditer(t):
