@@ -203,11 +203,16 @@ def chunk_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return q.select("doc_id", "s", "e", islands.chunk_of(c, F.col("s")).alias("chunk"), F.size(islands.chunks_of(c, F.col("s"), F.col("e"))).cast("long").alias("touched"))
 
 
-@query(f"WITH {QUOTED} SELECT DISTINCT doc_id, s + coalesce((SELECT max(k * 7) FROM range(1, 400) t(k) WHERE k * 100 <= s), 0) AS at FROM q")
+@query(
+    f"""WITH {QUOTED}, c AS (SELECT doc_id, c.start AS pos, k FROM (SELECT doc_id, unnest(chunks) AS c, generate_subscripts(chunks, 1) AS k FROM resources WHERE text IS NOT NULL)), d AS (SELECT DISTINCT q.doc_id, s FROM q JOIN resources r ON r.doc_id = q.doc_id WHERE len(chunks) > 0)
+    SELECT d.doc_id, d.s, d.s + coalesce(arg_max(k, (pos, k)) FILTER (pos <= d.s), 0) AS at FROM d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id, d.s"""
+)
 def as_of_offsets(spark: SparkSession, folder: str) -> DataFrame:
-    entries = F.transform(F.sequence(F.lit(1), F.lit(399)), lambda k: F.struct((k * 100).alias("pos"), (k * 7).alias("delta")))
-    q = quoted(spark, folder).select("doc_id", "s").distinct()
-    return q.select("doc_id", islands.as_of(entries, F.col("s")).cast("long").alias("at")).distinct()
+    """Quotes shifted by the number of the last chunk that starts at or before them, as if each began with a mark."""
+    numbered = F.transform("chunks", lambda c, i: F.struct(c["start"].alias("pos"), (i + 1).alias("delta")))
+    entries = table(spark, folder, "resources").where("size(chunks) > 0").select("doc_id", F.array_sort(numbered).alias("entries"))
+    q = quoted(spark, folder).select("doc_id", "s").distinct().join(entries, "doc_id")
+    return q.select("doc_id", "s", islands.as_of(F.col("entries"), F.col("s")).cast("long").alias("at"))
 
 
 # --- entities -----------------------------------------------------------------------------------------------------
@@ -276,9 +281,15 @@ def rules_applied(spark: SparkSession, folder: str) -> DataFrame:
     return entities.apply_targets(m, "kind", "norm", "name", rules).select("mention_id", "name")
 
 
-@query()
+@query(
+    """WITH m AS (SELECT DISTINCT ON (mention_id) * FROM mentions WHERE regexp_full_match(trim(name), '[a-z]+')), l AS (SELECT doc_id, trim(name) AS norm, arg_min(name, (ord, mention_id)) AS name, arg_min(kind, (ord, mention_id)) AS kind,
+      list(aliases ORDER BY ord, mention_id) AS a, string_agg(reasoning, ' | ' ORDER BY ord, mention_id) AS reasoning FROM m GROUP BY ALL), u AS (SELECT doc_id, norm, unnest(a) AS a, generate_subscripts(a, 1) AS i FROM l),
+    v AS (SELECT doc_id, norm, unnest(a) AS x, i * 1000 + generate_subscripts(a, 1) AS i FROM u), w AS (SELECT doc_id, norm, x, min(i) AS i FROM v GROUP BY ALL), g AS (SELECT doc_id, norm, list(x ORDER BY i) AS aliases FROM w GROUP BY ALL)
+    SELECT l.doc_id, l.norm, name, kind, coalesce(aliases, []) AS aliases, coalesce(reasoning, '') AS reasoning FROM l LEFT JOIN g USING (doc_id, norm)"""
+)
 def grouped_extractions(spark: SparkSession, folder: str) -> DataFrame:
-    return entities.group_extractions(table(spark, folder, "mentions"), "doc_id", "name", "kind", "aliases", "reasoning", "ord")
+    plain = table(spark, folder, "mentions").where(F.trim("name").rlike("^[a-z]+$")).withColumn("ord", F.struct("ord", "mention_id"))
+    return entities.group_extractions(plain, "doc_id", "name", "kind", "aliases", "reasoning", "ord")
 
 
 @query(
@@ -367,12 +378,11 @@ def spellings(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("mention_id", scalars.fold_spelling(F.col("name")).alias("folded"), scalars.without_kind(F.col("name")).alias("bare"))
 
 
-@query(
-    r"""SELECT doc_id, list_distinct(list_transform(regexp_extract_all('[' || doc_id || '] and [' || doc_id || '; 12_abcd1234]', '\d+_[a-z0-9]{8}'), lambda x: x)).list_sort() AS ids FROM resources"""
-)
+@query("SELECT mention_id, [doc_id] AS ids FROM mentions")
 def citations(spark: SparkSession, folder: str) -> DataFrame:
-    text = F.concat(F.lit("["), F.col("doc_id"), F.lit("] and ["), F.col("doc_id"), F.lit("; 12_abcd1234]"))
-    return table(spark, folder, "resources").select("doc_id", F.array_sort(scalars.citation_ids(text)).alias("ids"))
+    """Documents cited by the reasons of mentions, each of which ends with its document."""
+    text = F.concat(F.coalesce("reasoning", F.lit("")), F.lit(" ["), F.col("doc_id"), F.lit("; see ["), F.col("doc_id"), F.lit("]]"))
+    return table(spark, folder, "mentions").select("mention_id", scalars.citation_ids(text).alias("ids"))
 
 
 @query("SELECT doc_id, coalesce(licence, '') AS licence, CASE WHEN licence IN ('cc-by', 'cc-by-sa', 'cc0', 'public-domain', 'pd') THEN 'redistributable' WHEN licence IN ('cc-by-nc', 'cc-by-nd', 'cc-by-nc-nd', 'cc-by-nc-sa') THEN 'share-alike' ELSE 'restricted' END AS verdict FROM resources")
@@ -381,15 +391,42 @@ def licence_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "resources").select("doc_id", F.coalesce("licence", F.lit("")).alias("licence"), v["verdict"].alias("verdict"))
 
 
+@query("SELECT lower(name) AS form, count(DISTINCT name) > 0 AS alike FROM mentions WHERE name IS NOT NULL GROUP BY 1")
+def case_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether names that differ in case only match each other."""
+    forms = table(spark, folder, "mentions").where("name IS NOT NULL").groupBy(F.lower("name").alias("form")).agg(F.array_sort(F.collect_set("name")).alias("n"))
+    return forms.select("form", names.all_match_of(F.col("n")).alias("alike"))
+
+
+@query(r"SELECT result_id, regexp_matches(lower(regexp_extract(url, '^([^?#]*)', 1)), '\.pdf$|/pdf/|/pdf$') AS pdf, trim(substr(regexp_replace(regexp_replace(lower(query), '[^\w\s-]', '', 'g'), '[\s-]+', '_', 'g'), 1, 80), '_') AS slug FROM search_results WHERE url IS NOT NULL AND query IS NOT NULL")
+def url_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    s = table(spark, folder, "search_results").where("url IS NOT NULL AND query IS NOT NULL")
+    return s.select("result_id", scalars.is_pdf(F.col("url")).alias("pdf"), scalars.slug(F.col("query")).alias("slug"))
+
+
+@query("SELECT doc_id, CAST(ord AS VARCHAR) AS id, CASE WHEN ord % 2 = 0 THEN 'pmid' ELSE 'pmcid' END AS kind FROM resources WHERE ord % 2 = 0 UNION ALL SELECT doc_id, 'PMC' || ord, 'pmcid' FROM resources WHERE ord % 2 = 1")
+def pubmed_ids(spark: SparkSession, folder: str) -> DataFrame:
+    url = F.when(F.col("ord") % 2 == 0, F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), "ord", F.lit("/?x"))).otherwise(F.concat(F.lit("https://pmc.ncbi.nlm.nih.gov/articles/PMC"), "ord"))
+    return table(spark, folder, "resources").select("doc_id", scalars.pubmed_id(url).alias("x")).select("doc_id", "x.id", "x.kind")
+
+
+@query("SELECT rule_id, least({'kind': kind, 'name': source_norm}, {'kind': kind, 'name': target_norm}).name AS first, greatest({'kind': kind, 'name': source_norm}, {'kind': kind, 'name': target_norm}).name AS second FROM merge_rules WHERE kind IS NOT NULL AND source_norm IS NOT NULL AND target_norm IS NOT NULL")
+def pair_keys(spark: SparkSession, folder: str) -> DataFrame:
+    r = table(spark, folder, "merge_rules").where("kind IS NOT NULL AND source_norm IS NOT NULL AND target_norm IS NOT NULL")
+    k = scalars.pair_key(F.col("source_norm"), F.col("kind"), F.col("target_norm"), F.col("kind"))
+    return r.select("rule_id", k["first"]["name"].alias("first"), k["second"]["name"].alias("second"))
+
+
 @query()
 def comparable_names(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "mentions").select("name").distinct().withColumn("norm", names.comparable_of(F.col("name")))
 
 
-@query()
+@query("SELECT DISTINCT source_norm AS a, target_norm AS b, damerau_levenshtein(source_norm, target_norm) AS distance FROM merge_rules WHERE source_norm IS NOT NULL AND target_norm IS NOT NULL")
 def osa(spark: SparkSession, folder: str) -> DataFrame:
-    n = table(spark, folder, "nation").select(F.col("n_name").alias("a"))
-    return n.join(n.withColumnRenamed("a", "b"), F.col("a") < F.col("b")).select("a", "b", names.osa_of(F.col("a"), F.col("b")).alias("distance"))
+    """Edits between the two names of each rule."""
+    r = table(spark, folder, "merge_rules").where("source_norm IS NOT NULL AND target_norm IS NOT NULL").select(F.col("source_norm").alias("a"), F.col("target_norm").alias("b")).distinct()
+    return r.withColumn("distance", names.osa_of(F.col("a"), F.col("b")).cast("long"))
 
 
 # --- documents ----------------------------------------------------------------------------------------------------
@@ -405,6 +442,16 @@ def quote_starts(spark: SparkSession, folder: str) -> DataFrame:
     return q.join(texts, "doc_id").select("mention_id", "query_text", F.coalesce(documents.quote_start(F.col("query_text"), F.col("text")), F.lit(-1)).cast("long").alias("at"))
 
 
+@query(
+    """WITH q AS (SELECT DISTINCT mention_id, doc_id, unnest(quotes).query_text AS query_text FROM mentions), x AS (SELECT mention_id, query_text, text FROM q JOIN resources r USING (doc_id) WHERE text IS NOT NULL AND query_text <> '' AND contains(text, query_text))
+    SELECT mention_id, query_text, list_filter(range(0, length(text)), lambda i: text[i + 1:i + length(query_text)] = query_text AND text[i + 1] = query_text[1]) AS places FROM x"""
+)
+def quotes_verbatim(spark: SparkSession, folder: str) -> DataFrame:
+    """Every place of each quote that stands verbatim in its text."""
+    found = quotes_located(spark, folder).where("how = 'verbatim'").dropDuplicates(["mention_id", "query_text"])
+    return found.select("mention_id", "query_text", F.transform("spans", lambda x: x["s"].cast("long")).alias("places"))
+
+
 @query()
 def quotes_located(spark: SparkSession, folder: str) -> DataFrame:
     q = table(spark, folder, "mentions").select("mention_id", "doc_id", F.explode("quotes").alias("q")).select("mention_id", "doc_id", "q.query_text")
@@ -456,7 +503,11 @@ def core_articles(spark: SparkSession, folder: str) -> DataFrame:
     return documents.without_apparatus(table(spark, folder, "resources"), "doc_id", "text")
 
 
-@query()
+@query(
+    f"""WITH {QUOTED}, v AS (SELECT q.doc_id, q.s, least(q.e, length(text)) AS e FROM q JOIN resources r ON r.doc_id = q.doc_id WHERE text IS NOT NULL AND q.s >= 0 AND q.e > q.s AND q.s < length(text)), {_runs('v', 60)},
+    m AS (SELECT doc_id, island, min(s) AS s, max(e) AS e FROM r GROUP BY ALL), b AS (SELECT m.*, text, CAST(floor(greatest(least(5000.0, length(text) * 0.05), least(300, length(text)))) AS BIGINT) AS budget, coalesce(sum(m.e - m.s) OVER (PARTITION BY m.doc_id ORDER BY m.s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM m JOIN resources t ON t.doc_id = m.doc_id)
+    SELECT doc_id, island::BIGINT AS island, s, e, CASE WHEN budget - used < e - s THEN regexp_replace(substr(text, s + 1, CAST(budget - used AS INTEGER)), '\\s+\\S*$', '') || '…' ELSE substr(text, s + 1, e - s) END AS passage FROM b WHERE used < budget"""
+)
 def redacted(spark: SparkSession, folder: str) -> DataFrame:
     return documents.skeletons(quoted(spark, folder), "doc_id", "s", "e", table(spark, folder, "resources"), "text")
 
@@ -608,13 +659,19 @@ def judged_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pipeline.judge(assessments(spark, folder), ["e1"], "overall", "label", "relevance", "ord", opposed).withColumn("relevance", F.col("relevance").cast("int"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE c AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no, text) AS k FROM chunk_data WHERE text IS NOT NULL), d AS (SELECT r.doc_id, r.text AS t FROM resources r WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM c)),
+    w AS (SELECT doc_id, 0 AS k, 0 AS pos, CAST([] AS STRUCT("start" INTEGER, "end" INTEGER)[]) AS spans FROM d
+      UNION ALL SELECT w.doc_id, c.k, CASE WHEN f > 0 AND length(c.text) > 0 THEN w.pos + f - 1 + length(c.text) ELSE w.pos END, CASE WHEN f > 0 AND length(c.text) > 0 THEN list_append(spans, {'start': (w.pos + f - 1)::INTEGER, 'end': (w.pos + f - 1 + length(c.text))::INTEGER}) ELSE spans END
+      FROM (SELECT w.*, strpos(substr(d.t, w.pos + 1), n.text) AS f FROM w JOIN d USING (doc_id) JOIN c n ON n.doc_id = w.doc_id AND n.k = w.k + 1) w JOIN c ON c.doc_id = w.doc_id AND c.k = w.k + 1)
+    SELECT doc_id, list_transform(arg_max(spans, k), lambda x: x['start']) AS starts, list_transform(arg_max(spans, k), lambda x: x['end']) AS ends FROM w GROUP BY doc_id"""
+)
 def chunk_places(spark: SparkSession, folder: str) -> DataFrame:
     """Where the stored pieces of each text stand in it."""
     item = F.struct("chunk_no", "text")
     pieces = table(spark, folder, "chunk_data").where("text IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
     texts = table(spark, folder, "resources").where("text IS NOT NULL").select("doc_id", F.col("text").alias("t"))
-    return pieces.join(texts, "doc_id").select("doc_id", pipeline.chunk_places(F.transform("c", lambda x: x["text"]), F.col("t")).alias("spans"))
+    return pieces.join(texts, "doc_id").select("doc_id", pipeline.chunk_places(F.transform("c", lambda x: x["text"]), F.col("t")).alias("spans")).select("doc_id", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
 
 @query("WITH x AS (SELECT label, 1 + vec_id % 3 AS w, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, round(sum(w * v::DOUBLE) / sum(w), 5) AS v FROM x GROUP BY label, i) SELECT label, list(v ORDER BY i) AS embedding FROM m GROUP BY label")
@@ -631,6 +688,17 @@ def co_located(spark: SparkSession, folder: str) -> DataFrame:
     return pipeline.co_located(quoted(spark, folder), "doc_id", "name", "s", "e", 200)
 
 
+@query(
+    f"""WITH {QUOTED}, {_runs('q', 200)}, k AS (SELECT name, arg_min(kind, mention_id) AS kind FROM mentions GROUP BY name), p AS (SELECT DISTINCT doc_id, island, name FROM r)
+    SELECT DISTINCT a.doc_id, a.name AS first, b.name AS second FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.island = b.island AND a.name < b.name JOIN k x ON x.name = a.name JOIN k y ON y.name = b.name WHERE x.kind <> y.kind OR x.kind = 'gene'"""
+)
+def permitted_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities quoted near each other whose kinds may pair: different ones, and genes with genes."""
+    kinds = entities.first_kind(table(spark, folder, "mentions"), "name", "kind", "mention_id")
+    allowed = scalars.permitted_kinds(F.array(*[F.lit(k) for k in ("gene", "gene", *(r["kind"] for r in kinds.select("kind").where("kind <> 'gene'").distinct().collect()))]))
+    return pipeline.permitted(pipeline.co_located(quoted(spark, folder), "doc_id", "name", "s", "e", 200), "first", "second", kinds, allowed)
+
+
 @query(
     """WITH m AS (SELECT chunk_id, unnest(map_entries(metadata)) AS e FROM chunk_data), a AS (SELECT chunk_id, e.key AS k, e.value AS v FROM m)
     SELECT coalesce(x.chunk_id, y.chunk_id - 1) AS chunk_id, coalesce(x.k, y.k) AS path, x.v AS saved, y.v AS live FROM a x FULL JOIN a y ON x.chunk_id = y.chunk_id - 1 AND x.k = y.k WHERE x.v IS DISTINCT FROM y.v"""
@@ -675,11 +743,11 @@ def usage_totals(spark: SparkSession, folder: str) -> DataFrame:
     return got.select(*[F.coalesce(c, F.lit("-")).alias(c) for c in ("lang", "source", "topic")], "tokens", "calls", F.col("level").cast("long").alias("level"))
 
 
-@query("SELECT doc_id AS k, doc_id, true AS known FROM resources UNION ALL SELECT doc_id, '999999_zzzzzzzz', false FROM resources")
+@query("SELECT mention_id AS k, doc_id, doc_id IN (SELECT doc_id FROM resources WHERE text IS NOT NULL) AS known FROM mentions")
 def cited_documents(spark: SparkSession, folder: str) -> DataFrame:
-    r = table(spark, folder, "resources")
-    texts = r.select(F.col("doc_id").alias("k"), F.concat(F.lit("as in ["), F.col("doc_id"), F.lit(", 999999_zzzzzzzz]")).alias("t"))
-    return report.cited(texts, "k", "t", r, "doc_id")
+    """The documents that reasons of mentions cite, and whether their texts are there."""
+    texts = table(spark, folder, "mentions").select(F.col("mention_id").alias("k"), F.concat(F.coalesce("reasoning", F.lit("")), F.lit(" ["), F.col("doc_id"), F.lit("]")).alias("t"))
+    return report.cited(texts, "k", "t", table(spark, folder, "resources").where("text IS NOT NULL"), "doc_id")
 
 
 @query(f"WITH {ASSESSMENTS}, l AS (SELECT e1, doc, label, min(ord) AS o, count(*) AS c FROM a GROUP BY ALL) SELECT e1, doc, list(label ORDER BY o, label) AS labels, CAST(sum(c) AS BIGINT) AS n FROM l GROUP BY e1, doc")
@@ -703,19 +771,15 @@ def relocated_quotes(spark: SparkSession, folder: str) -> DataFrame:
     return report.relocated(spans, "old", "new", "s", "e").select("doc_id", "s", "e", F.coalesce("new_start", F.lit(-1)).cast("long").alias("new_start"))
 
 
-@query(
-    """WITH h AS (SELECT result_id AS url, lead(result_id) OVER (PARTITION BY query ORDER BY result_id) AS target FROM search_results),
-    b AS (SELECT result_id FROM search_results WHERE relevance < 0.05), r0 AS (SELECT url, url AS spot FROM h), r1 AS (SELECT r0.url, h.target AS spot FROM r0 JOIN h ON h.url = r0.spot WHERE h.target IS NOT NULL),
-    r2 AS (SELECT r1.url, h.target AS spot FROM r1 JOIN h ON h.url = r1.spot WHERE h.target IS NOT NULL), a AS (FROM r0 UNION ALL FROM r1 UNION ALL FROM r2)
-    SELECT DISTINCT url FROM a WHERE spot IN (SELECT result_id FROM b)"""
-)
+@query("SELECT DISTINCT s.url FROM search_results s WHERE s.url IN (SELECT url FROM resources WHERE doi IS NOT NULL AND licence = 'closed') OR s.url IN (SELECT url FROM resources WHERE text IS NULL)")
 def previously_failed(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    s = table(spark, folder, "search_results")
-    hops = s.select(F.col("result_id").alias("url"), F.lead("result_id").over(Window.partitionBy("query").orderBy("result_id")).alias("target")).where("target IS NOT NULL")
-    failures = s.where("relevance < 0.05").select(F.col("result_id").alias("url"), F.lit("HTTP 500").alias("reason"))
-    return report.previously_failed(s, "result_id", hops, failures, 2)
+    """Pages found again that were never fetched, or whose DOI leads to a closed text."""
+    r = table(spark, folder, "resources")
+    doi = F.concat(F.lit("https://doi.org/"), F.col("doi"))
+    hops = r.where("doi IS NOT NULL").select("url", doi.alias("target"))
+    closed = r.where("doi IS NOT NULL AND licence = 'closed'").select(doi.alias("url"), F.lit("HTTP 403").alias("reason"))
+    failures = closed.unionByName(r.where("text IS NULL").select("url", F.lit("HTTP 500").alias("reason")))
+    return report.previously_failed(table(spark, folder, "search_results").where("url IS NOT NULL"), "url", hops, failures, 2)
 
 
 @query("SELECT 'search' AS stage, CAST(row_number() OVER (ORDER BY result_id) - 1 AS BIGINT) AS place, result_id AS description FROM search_results UNION ALL SELECT 'extract', CAST(row_number() OVER (ORDER BY mention_id) - 1 AS BIGINT), name FROM mentions UNION ALL SELECT 'search', count(*), 'end of stage' FROM search_results UNION ALL SELECT 'extract', count(*), 'end of stage' FROM mentions")

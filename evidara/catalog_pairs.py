@@ -206,16 +206,14 @@ def decisions_resolved(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT p_partkey % 40 AS anchor, p_brand AS scope, p_type AS near FROM part), l AS (SELECT DISTINCT * FROM t),
-    s AS (SELECT DISTINCT a.p_type AS a, b.p_type AS b, 1.0 AS similarity FROM part a JOIN part b ON a.p_type < b.p_type AND split_part(a.p_type, ' ', 1) = split_part(b.p_type, ' ', 1))
-    SELECT x.scope, s.a, s.b, CAST(max(similarity) AS DOUBLE) AS similarity, count(*) AS anchors FROM l x JOIN s ON s.a = x.near JOIN l y ON y.scope = x.scope AND y.anchor = x.anchor AND y.near = s.b GROUP BY x.scope, s.a, s.b"""
+    """WITH l AS (SELECT DISTINCT l_returnflag AS scope, l_orderkey AS anchor, l_partkey AS near FROM lineitem), s AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_name = b.p_name)
+    SELECT x.scope, s.a, s.b, CAST(1 AS DOUBLE) AS similarity, count(*) AS anchors FROM l x JOIN s ON s.a = x.near JOIN l y ON y.scope = x.scope AND y.anchor = x.anchor AND y.near = s.b GROUP BY x.scope, s.a, s.b"""
 )
 def neighbour_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(spark, folder, "part")
-    kinds = p.select("p_type", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("w")).distinct()
-    similar = kinds.select(F.col("p_type").alias("a"), "w").join(kinds.select(F.col("p_type").alias("b"), "w"), "w").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
-    edges = p.select(F.col("p_brand").alias("scope"), (F.col("p_partkey") % 40).alias("anchor"), F.col("p_type").alias("near"))
-    return relations.neighbour_pairs(edges, "scope", "anchor", "near", similar)
+    """Parts of one name that stand in one order."""
+    p, line = table(spark, folder, "part"), table(spark, folder, "lineitem")
+    similar = p.select(F.col("p_partkey").alias("a"), "p_name").join(p.select(F.col("p_partkey").alias("b"), "p_name"), "p_name").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    return relations.neighbour_pairs(line.withColumnRenamed("l_returnflag", "scope"), "scope", "l_orderkey", "l_partkey", similar)
 
 
 @query()
@@ -282,3 +280,34 @@ def chunk_vectors(spark: SparkSession, folder: str) -> DataFrame:
     sizes = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("most"))
     weight = pipeline.position_weight(F.col("i"), F.col("n"), F.col("len"), F.col("most"))
     return pipeline.weighted_mean(placed.join(sizes, "label"), ["label"], "embedding", weight).withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 5)))
+
+
+@query("SELECT p_partkey, p_size + coalesce(p_size % 5, 0) + CAST(p_partkey % 7 AS INTEGER) AS score FROM part")
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scores = [F.col("p_size"), F.col("p_size") % 5, (F.col("p_partkey") % 7).cast("int"), F.lit(None).cast("int")]
+    return table(spark, folder, "part").select("p_partkey", evidence.quality(scores).alias("score"))
+
+
+@query("SELECT mention_id, list_concat(coalesce(aliases, []), [name], [kind]) AS listed FROM mentions")
+def lists_joined(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "mentions").select("mention_id", evidence.listed(F.col("aliases"), F.array("name"), F.array("kind")).alias("listed"))
+
+
+@query("SELECT rule_id, CAST(rule_id % 3 AS VARCHAR) || CASE WHEN rule_id % 2 = 0 THEN ':alias' ELSE '' END || ':' || kind || ':' || decided_by AS trigger FROM merge_rules WHERE kind IS NOT NULL")
+def merge_triggers(spark: SparkSession, folder: str) -> DataFrame:
+    r = table(spark, folder, "merge_rules").where("kind IS NOT NULL")
+    return r.select("rule_id", entities.trigger(F.col("rule_id") % 3, F.col("rule_id") % 2 == 0, F.col("kind"), F.col("decided_by")).alias("trigger"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, lower(name) AS form, min(name) AS entity FROM mentions GROUP BY ALL), g AS (SELECT source_norm AS form, min(target) AS entity FROM merge_rules WHERE target IS NOT NULL GROUP BY source_norm),
+    r AS (SELECT mention_id, doc_id, coalesce(aliases[1], name) AS ref FROM mentions)
+    SELECT mention_id, coalesce(l.entity, g.entity, ref) AS entity, CASE WHEN l.entity IS NOT NULL THEN 'local' WHEN g.entity IS NOT NULL THEN 'global' ELSE 'bare' END AS scope FROM r LEFT JOIN l ON l.doc_id = r.doc_id AND l.form = ref LEFT JOIN g ON g.form = ref"""
+)
+def references_resolved(spark: SparkSession, folder: str) -> DataFrame:
+    """First aliases looked up among the entities of their document, then among all rules."""
+    m = table(spark, folder, "mentions")
+    local = m.groupBy("doc_id", F.lower("name").alias("form")).agg(F.min("name").alias("entity"))
+    others = table(spark, folder, "merge_rules").where("target IS NOT NULL").groupBy(F.col("source_norm").alias("form")).agg(F.min("target").alias("entity"))
+    rows = m.select("mention_id", "doc_id", F.coalesce(F.get("aliases", 0), "name").alias("ref"))
+    return entities.resolved(rows, "ref", local, others).select("mention_id", "entity", "scope")

@@ -168,8 +168,6 @@ def slash_forms(text: str) -> list[str]:
     if not a or not b:
         return [text]
     if len(words) > 1:
-        if k == len(words) - 1 and len(a) == len(b) == 1:
-            pass
         return [text, *(" ".join([*words[:k], w, *words[k + 1 :]]) for w in _slash_token(a, b))]
     return [text, *_slash_token(a, b)]
 
@@ -178,8 +176,21 @@ def _slash_token(a: str, b: str) -> tuple[str, str]:
     shared = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
     if shared >= 2 and shared * 2 >= min(len(a), len(b)):
         return a, b
-    tail = re.search(r"\d+$", a) if b.isdigit() else re.search(r"[A-Za-z]$", a) if len(b) == 1 and b.isalpha() else None
-    return (a, a[: tail.start()] + b) if tail and tail.start() else (a, b)
+    tail = _tail(a, b)
+    return (a, a[:-tail] + b) if 0 < tail < len(a) else (a, b)
+
+
+def _tail(word: str, ending: str) -> int:
+    """How many characters at the end of a word an ending of its kind replaces: all of its digits or letters, or one letter
+    for a single one, Greek ones included; 0 for an ending of another kind."""
+    if ending.isdigit():
+        return len(word) - len(word.rstrip("0123456789"))
+    if re.fullmatch(r"[A-Za-z]+", ending):
+        letters = len(re.search(r"[A-Za-z]*$", word).group())
+        return min(letters, 1) if len(ending) == 1 else letters
+    if re.fullmatch(r"[α-ωΑ-Ω]", ending):
+        return len(re.search(r"[α-ωΑ-Ω]?$", word).group())
+    return 0
 
 
 def acronyms(name: str) -> list[str]:
@@ -239,6 +250,11 @@ def mentions_in(entities: dict[str, list[str]], text: str) -> list[tuple[str, in
     return out
 
 
+def all_match(forms: list[str]) -> bool:
+    """Whether every two of a set of names match, so that they differ in writing only."""
+    return all(names_match(a, b)[0] for i, a in enumerate(forms) for b in forms[i + 1 :])
+
+
 def _comparable(names: pd.Series) -> pd.Series:
     return names.map(lambda x: None if x is None else comparable(x))
 
@@ -275,13 +291,13 @@ def variants_of(name: Column, aliases: Column) -> Column:
     return F.pandas_udf(_variants, "array<struct<form:string,speculation:int,origin:string>>")(name, aliases)
 
 
-def osa_of(a: Column, b: Column) -> Column:
-    return F.pandas_udf(_osa, "int")(a, b)
+def all_match_of(forms: Column) -> Column:
+    """all_match for an array; null for null."""
+    return F.pandas_udf(lambda x: x.map(lambda v: None if v is None else all_match([f for f in v if f])), "boolean")(forms)
 
 
-def position_at(at: list[int], position: int) -> int:
-    """Source position of a position in the normal form."""
-    return at[min(max(position, 0), len(at) - 1)]
+def osa_of(a: Column, b: Column) -> Column:
+    return F.pandas_udf(_osa, "int")(a, b)
 
 
 def offsets(text: str) -> list[tuple[int, int]]:

@@ -55,6 +55,12 @@ def fuzzy_pairs(forms: DataFrame, form: str) -> DataFrame:
     return pairs.withColumn("m", names.match_of(F.col("a"), F.col("b"))).where("m.matched AND m.distance > 0").select("a", "b", "m.distance", "m.how")
 
 
+def fuzzy_between(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """(x, y, distance, how): forms of ``known`` and forms of ``asked`` (one column f each) that match without being equal."""
+    met = _met(known.where(F.length("f") > 0).distinct(), asked.where(F.length("f") > 0).distinct())
+    return met.withColumn("m", names.match_of(F.col("x"), F.col("y"))).where("m.matched AND m.distance > 0").select("x", "y", "m.distance", "m.how")
+
+
 def _met(f: DataFrame, asked: DataFrame) -> DataFrame:
     """(x, y): forms of ``f`` and of ``asked`` that could match without being equal (see ``fuzzy_pairs``)."""
     folded = F.replace(F.regexp_replace(F.regexp_replace(F.col("f"), "ae|oe", "e"), "our", "or"), F.lit(" "), F.lit(""))
@@ -124,6 +130,21 @@ def match(queries: DataFrame, name: str, known: DataFrame, least: float = 0.7) -
     return exact.select("name", "canonical", F.lit("exact").alias("how"), "penalty").unionByName(clear.select("name", "b.canonical", F.lit("fuzzy").alias("how"), "b.penalty"))
 
 
+def trigger(penalty: Column, aliased: Column, source: Column, how: Column) -> Column:
+    """What a merge was made for: 'penalty:source:how', with 'alias:' before the source of an alias."""
+    return F.concat_ws(":", penalty.cast("string"), F.when(aliased, "alias"), source, how)
+
+
+def resolved(rows: DataFrame, name: str, local: DataFrame, others: DataFrame) -> DataFrame:
+    """Adds ``entity`` and ``scope``: the entity of a name among those of its document, else among all, else the bare name.
+    ``local`` has doc_id, form and entity, ``others`` form and entity."""
+    near = local.select("doc_id", F.col("form").alias("__f"), F.col("entity").alias("__l")).dropDuplicates(["doc_id", "__f"])
+    far = others.select(F.col("form").alias("__g"), F.col("entity").alias("__o")).dropDuplicates(["__g"])
+    joined = rows.join(near, (rows["doc_id"] == near["doc_id"]) & (F.col(name) == F.col("__f")), "left").drop(near["doc_id"]).join(far, F.col(name) == F.col("__g"), "left")
+    scope = F.when(F.col("__l").isNotNull(), "local").when(F.col("__o").isNotNull(), "global").otherwise("bare")
+    return joined.withColumn("entity", F.coalesce("__l", "__o", name)).withColumn("scope", scope).drop("__f", "__l", "__g", "__o")
+
+
 def substring_pairs(forms: DataFrame, form: str) -> DataFrame:
     """(parent, child): a form that lies within another on word boundaries. Both meet on the parent's words: the child's
     runs of words are looked up, no all-pairs comparison is made."""

@@ -51,18 +51,29 @@ def all_irrelevant(rows: DataFrame, keys: Sequence[str], polarity: str) -> DataF
     return rows.groupBy(*keys).agg(F.bool_and(F.coalesce(F.col(polarity) == "irrelevant", F.lit(False))).alias("__all")).where("__all").select(*keys)
 
 
+#: Distinct values up to which ranks are made in one task and sent to all.
+FEW_VALUES = 100_000
+
+
 def fractional_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
     """Adds the descending rank with ties averaged, without bringing all rows to one task.
 
-    Distinct values and their counts are ranked instead of rows: counts before a value are summed over range partitions.
+    Distinct values and their counts are ranked instead of rows. Where they are few, which is checked, the ranks are
+    broadcast; else counts before a value are summed over range partitions.
     """
     from evidara.plans.lineage import Scratch
     from evidara.plans.ranking import running_sum
 
-    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__down", -F.col(value)).withColumn("__all", F.lit(0))
-    before = running_sum(counts, Scratch(rows.sparkSession, "ranks"), ["__all"], ["__down"], "__n", "__before")
+    scratch = Scratch(rows.sparkSession, "ranks")
+    counts = scratch.save(rows.groupBy(value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__down", -F.col(value)).withColumn("__all", F.lit(0)))
+    few = counts.count() <= FEW_VALUES
+    if few:
+        w = Window.orderBy(F.col("__down").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+        before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    else:
+        before = running_sum(counts, scratch, ["__all"], ["__down"], "__n", "__before")
     ranks = before.select(F.col(value).alias("__v"), (F.col("__before") + (F.col("__n") + 1) / 2.0).alias(out))
-    return rows.join(ranks, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
+    return rows.join(F.broadcast(ranks) if few else ranks, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
 
 
 def rank_sum(rows: DataFrame, values: Sequence[str], out: str) -> DataFrame:
@@ -156,6 +167,16 @@ def strong_labels(rows: DataFrame, keys: Sequence[str], overall: str, label: str
     return n.join(first_mode(strong, keys, label, order), list(keys))
 
 
+def quality(row: Sequence[Column]) -> Column:
+    """The sum of a paper's scores by dimension, null ones counting 0."""
+    return sum((F.coalesce(c, F.lit(0)) for c in row[1:]), F.coalesce(row[0], F.lit(0)))
+
+
+def listed(*parts: Column) -> Column:
+    """Lists one after the other, a null list as empty."""
+    return F.concat(*[F.coalesce(p, F.array()) for p in parts])
+
+
 def totals(rows: DataFrame, kind: str, name: str) -> DataFrame:
     """(kind, names, rows): distinct names and rows by kind."""
     return rows.groupBy(kind).agg(F.countDistinct(name).alias("names"), F.count(F.lit(1)).alias("n"))

@@ -114,3 +114,10 @@ def co_located(quotes: DataFrame, doc: str, name: str, start: str, end: str, gap
     sets = islands.proximal_sets(quotes, doc, name, start, end, gap)
     pairs = F.flatten(F.transform("entities", lambda x: F.transform(F.filter("entities", lambda y: y > x), lambda y: F.struct(x.alias("first"), y.alias("second")))))
     return sets.select(doc, F.explode(pairs).alias("p")).select(doc, "p.first", "p.second").distinct()
+
+
+def permitted(pairs: DataFrame, first: str, second: str, kinds: DataFrame, allowed: Column) -> DataFrame:
+    """Pairs whose kinds may pair by ``allowed`` (see ``scalars.permitted_kinds``); ``kinds`` is (canonical, kind)."""
+    a, b = (kinds.select(F.col("canonical").alias(f"__{x}"), F.col("kind").alias(f"__k{x}")) for x in "ab")
+    both = pairs.join(a, F.col(first) == F.col("__a")).join(b, F.col(second) == F.col("__b"))
+    return both.where(F.array_contains(F.coalesce(F.try_element_at(allowed, F.col("__ka")), F.array().cast("array<string>")), F.col("__kb"))).select(*pairs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.functions import names, scalars
-from evidara.operators import evidence
+from evidara.operators import entities, evidence
 
 
 def reranked(rows: DataFrame, keys: Sequence[str], score: str, tie: str, most: int) -> DataFrame:
@@ -40,9 +40,9 @@ def opposition(rules: DataFrame, label: str, opposites: str) -> DataFrame:
     wanted = rules.select(F.col(label).alias("a"), F.explode(opposites).alias("o")).where("o IS NOT NULL").distinct().withColumn("f", names.comparable_of(F.col("o")))
     exact = wanted.join(known.groupBy("f").agg(F.min("known").alias("b")), "f").select("a", "o", "b")
     open_ = wanted.join(exact.select("o").distinct(), "o", "left_anti")
-    # Both sides are label lists of a run; the first letters of the normal form must agree for a fuzzy match to be tried.
-    near = open_.withColumn("h", F.substring("f", 1, 3)).join(known.select("known", F.substring("f", 1, 3).alias("h")), "h").withColumn("m", names.match_of(F.col("o"), F.col("known"))).where("m.matched")
-    best = near.groupBy("a", "o").agg(F.min_by("known", F.struct("m.distance", "known")).alias("b"))
+    far = entities.fuzzy_between(known.select(F.col("f")), open_.select(F.col("f")))
+    near = far.join(known.select(F.col("f").alias("x"), "known"), "x").join(open_.select("a", "o", F.col("f").alias("y")), "y")
+    best = near.groupBy("a", "o").agg(F.min_by("known", F.struct("distance", "known")).alias("b"))
     return evidence.symmetric(exact.unionByName(best).where("a <> b"), "a", "b")
 
 

@@ -1,44 +1,20 @@
-"""A Python data source over captured search responses, in place of network clients."""
+"""Captured search responses as a table, in place of network clients."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from pathlib import Path
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from evidara.sources.readers import responses
 
+_RESULT = "struct<query:string,results:array<struct<title:string,url:string,content:string,score:double>>>"
 
-class CapturedSearch(DataSource):
-    """``spark.read.format("captured_search").option("path", folder)``: results of JSON responses, one partition a file.
+
+def captured_search(spark: SparkSession, path: str) -> DataFrame:
+    """(query, position, title, url, snippet, score) of the JSON responses under ``path``, on any file system Spark reads.
 
     A file holds {"query": ..., "results": [{"title", "url", "content", "score"}, ...]}; results without URL are left
     out, and a file that is no JSON gives no rows, as a failed query would.
     """
-
-    @classmethod
-    def name(cls) -> str:
-        return "captured_search"
-
-    def schema(self) -> str:
-        return "query string, position int, title string, url string, snippet string, score double"
-
-    def reader(self, schema: object) -> DataSourceReader:
-        return _Reader(self.options["path"])
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(str(p)) for p in sorted(Path(self.path).glob("*.json"))] or [InputPartition("")]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        try:
-            held = json.loads(Path(partition.value).read_text()) if partition.value else {}
-        except ValueError:
-            return
-        for k, r in enumerate(held.get("results") or []):
-            if r.get("url"):
-                yield held.get("query"), k, r.get("title"), r["url"], r.get("content"), float(r.get("score") or 0)
+    rows = responses(spark, path).select(F.from_json("content", _RESULT).alias("r")).select("r.query", F.posexplode("r.results").alias("position", "x"))
+    return rows.where("x.url <> ''").select("query", "position", "x.title", "x.url", F.col("x.content").alias("snippet"), F.coalesce("x.score", F.lit(0.0)).alias("score"))

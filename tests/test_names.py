@@ -59,3 +59,13 @@ def test_number_differences():
         a = "".join(rng.choice("ab12") for _ in range(6))
         b = "".join(rng.choice("ab12") for _ in range(6))
         assert names.only_numbers_differ(a, b) == names.only_numbers_differ(b, a)
+
+
+def test_slashes_by_kind_of_ending():
+    assert names.slash_forms("GDF1/12")[1:] == ["GDF1", "GDF12"] and names.slash_forms("HuC/D")[1:] == ["HuC", "HuD"]
+    assert names.slash_forms("PTKab/cd")[1:] == ["PTKab", "cd"] and names.slash_forms("12ab/cd")[1:] == ["12ab", "12cd"]
+    assert names.slash_forms("type I/II")[1:] == ["type I", "type II"] and names.slash_forms("IFNα/β")[1:] == ["IFNα", "IFNβ"] and names.slash_forms("IFN/β")[1:] == ["IFN", "β"]
+
+
+def test_names_that_differ_in_writing_only():
+    assert names.all_match(["Il-6", "IL-6", "IL6"]) and not names.all_match(["IL-6", "IL-7"]) and names.all_match([]) and names.all_match(["x"])

@@ -9,7 +9,7 @@ from evidara.operators import decisions, documents, entities, evidence, islands,
 from evidara.plans.lineage import Scratch
 from evidara.plans.ranking import running_sum
 from evidara.sources import readers
-from evidara.sources.captured import CapturedSearch
+from evidara.sources.captured import captured_search
 from evidara.streaming import events as log
 
 
@@ -168,8 +168,7 @@ def test_keywords(spark):
 def test_captured_responses(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"query": "q", "results": [{"title": "t", "url": "u", "score": 2}, {"title": "no url"}]}))
     (tmp_path / "b.json").write_text("not json")
-    spark.dataSource.register(CapturedSearch)
-    assert [tuple(r) for r in spark.read.format("captured_search").option("path", str(tmp_path)).load().collect()] == [("q", 0, "t", "u", None, 2.0)]
+    assert [tuple(r) for r in captured_search(spark, str(tmp_path)).collect()] == [("q", 0, "t", "u", None, 2.0)]
     xml = "<eSummaryResult><DocSum><Id>12</Id><Item Name=\"Title\" Type=\"String\">A t.</Item><Item Name=\"PubDate\" Type=\"Date\">2019 May</Item></DocSum></eSummaryResult>"
     row = spark.range(1).select(F.explode(search.summaries(F.lit(xml))).alias("s")).first()["s"]
     assert (row["id"], row["title"], row["year"], row["url"]) == ("12", "A t.", 2019, "https://pubmed.ncbi.nlm.nih.gov/12/")
