@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,10 @@ def quote_start(quote: Column, text: Column) -> Column:
     return F.when(quote != "", F.nullif(F.instr(text, quote), F.lit(0)) - 1)
 
 
+#: The quotes of a text usually follow each other, so its normal form is kept.
+_normal = lru_cache(8)(names.normalise)
+
+
 def locate(quote: str, text: str, least: float = 0.8) -> tuple[str, list[tuple[int, int]]]:
     """(how, spans): every verbatim place, else in normal form (segments around an ellipsis in order), else what a
     shorthand in it stands for, else the closest passage of at least ``least`` similarity, else none."""
@@ -38,7 +43,7 @@ def locate(quote: str, text: str, least: float = 0.8) -> tuple[str, list[tuple[i
     found = [(m.start(), m.start() + len(quote)) for m in re.finditer(f"(?={re.escape(quote)})", text)]
     if found:
         return "verbatim", found
-    plain, at = names.normalise(text)
+    plain, at = _normal(text)
     if spans := _in_normal_form(quote, plain, at):
         return "normal", spans
     for variant in names.shorthand(quote):
@@ -47,18 +52,20 @@ def locate(quote: str, text: str, least: float = 0.8) -> tuple[str, list[tuple[i
     form = names.normalise(quote)[0]
     best, where = 0.0, None
     words = [m.start() for m in re.finditer(r"\S+", plain)]
-    for size in (len(form), len(form) - len(form) // 10, len(form) + len(form) // 10)[: 3 if len(form) >= 10 else 1]:
-        for s, shared in zip(words, _shared_bigrams(form, plain, words, size), strict=True):
-            piece = plain[s : s + size]
-            # A ratio r matches r / 2 of all characters in at most one block more than characters are left out of it.
-            if shared < (1.5 * max(least, best) - 1) * (len(form) + len(piece)) - 1 - 1e-9:
-                continue
-            match = SequenceMatcher(None, form, piece, autojunk=False)
-            if match.quick_ratio() < max(least, best):
-                continue
-            score = match.ratio()
-            if score > best:
-                best, where = score, (s, min(s + size, len(plain)))
+    sizes = (len(form), len(form) - len(form) // 10, len(form) + len(form) // 10)[: 3 if len(form) >= 10 else 1]
+    windows = [(-shared, k, s) for k, size in enumerate(sizes) for s, shared in zip(words, _shared_bigrams(form, plain, words, size), strict=True)]
+    # The likeliest windows come first, so that the best ratio soon rules out most others.
+    for shared, k, s in sorted(windows):
+        piece = plain[s : s + sizes[k]]
+        # A ratio r matches r / 2 of all characters in at most one block more than characters are left out of it.
+        if -shared < (1.5 * max(least, best) - 1) * (len(form) + len(piece)) - 1 - 1e-9:
+            continue
+        match = SequenceMatcher(None, form, piece, autojunk=False)
+        if match.quick_ratio() < max(least, best):
+            continue
+        score = match.ratio()
+        if score > best or score == best and where and (k, s) < where[2:]:
+            best, where = score, (s, min(s + sizes[k], len(plain)), k, s)
     if where and best >= least:
         return "fuzzy", [whole_words(text, at[where[0]], at[where[1] - 1] + 1)]
     return "none", []
