@@ -227,8 +227,11 @@ class _Near:
         entries = []
         for s in range(SEGMENTS):
             for left_out in range(WIDTH):
-                kept = [F.col("symbols")[s * WIDTH + k] for k in range(WIDTH) if k != left_out]
-                entries.append(F.xxhash64(F.lit(s * WIDTH + left_out), *kept))
+                # Three symbols of 16 bits below the number of the entry: no two entries share a key.
+                key = F.lit((s * WIDTH + left_out) << 48)
+                for place, k in enumerate(k for k in range(WIDTH) if k != left_out):
+                    key = key + F.col("symbols")[s * WIDTH + k].cast("long") * F.lit(1 << 16 * place)
+                entries.append(key)
         return self.prints.select("no", F.explode(F.array(*entries)).alias("entry"))
 
     def met(self) -> DataFrame:
