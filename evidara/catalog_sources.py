@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.catalog import ASSESSMENTS, assessments
-from evidara.operators import bookkeeping, fetched, report
+from evidara.catalog import ASSESSMENTS, assessments, quoted
+from evidara.functions import scalars
+from evidara.operators import bookkeeping, fetched, report, search
 from evidara.registry import query, table
 
 
@@ -254,3 +255,83 @@ def pool_saved_and_read(spark: SparkSession, folder: str) -> DataFrame:
     one = F.concat(F.lit('{"resources":['), "json", F.lit("]}"))
     rows = saved.select("number", F.explode(bookkeeping.read_pool(one, "title:string,doi:string")).alias("r")).select("number", "r.id", "r.url")
     return rows.select(F.concat(F.col("number").cast("string"), F.lit("_"), F.split_part("id", F.lit("_"), F.lit(2))).alias("id"), "url")
+
+
+# --- captured responses and scalar expressions ---------------------------------------------------------------------
+
+
+@query("SELECT result_id, [substr(result_id, 2), '7'] AS ids, 2 AS n FROM search_results")
+def captured_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and their count read from captured id searches."""
+    xml = F.concat(F.lit("<eSearchResult><Count>2</Count><IdList><Id>"), F.expr("substring(result_id, 2)"), F.lit("</Id><Id>7</Id></IdList></eSearchResult>"))
+    return table(spark, folder, "search_results").select("result_id", search.found_ids(xml).alias("x")).select("result_id", "x.ids", F.col("x.count").alias("n"))
+
+
+@query(
+    """SELECT ord, CAST(ord AS VARCHAR) AS id, nullif(title, '') AS title, coalesce(TRY_CAST(regexp_extract(publication_date, '^(\\d{4})', 1) AS INTEGER), 0) AS year FROM resources WHERE NOT regexp_matches(coalesce(title, ''), '[<>&]')"""
+)
+def captured_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles read from captured summaries."""
+    item = lambda name, value: F.concat(F.lit(f'<Item Name="{name}" Type="String">'), F.coalesce(value, F.lit("")), F.lit("</Item>"))
+    xml = F.concat(F.lit("<DocSum><Id>"), "ord", F.lit("</Id>"), item("Title", F.col("title")), item("PubDate", F.col("publication_date")), F.lit("</DocSum>"))
+    r = table(spark, folder, "resources").where(~F.coalesce("title", F.lit("")).rlike("[<>&]"))
+    return r.select("ord", F.explode(search.summaries(xml)).alias("s")).select("ord", "s.id", "s.title", "s.year")
+
+
+@query("SELECT result_id, url, CAST(CASE WHEN place = 0 THEN 1.0 ELSE 0.95 END AS DOUBLE) AS relevance FROM (SELECT result_id, url, 0 AS place FROM search_results WHERE url <> '' AND title <> '' UNION ALL SELECT result_id, url || '/2', 1 FROM search_results WHERE url <> '' AND title <> '')")
+def captured_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources of captured answers with relevance by position."""
+    source = lambda u: F.struct(F.struct(F.col("title").alias("title"), u.alias("url")).alias("metadata"), F.col("snippet").alias("content"))
+    json = F.to_json(F.struct(F.array(source(F.col("url")), source(F.concat("url", F.lit("/2"))), source(F.lit(""))).alias("sources")))
+    rows = table(spark, folder, "search_results").where("url <> '' AND title <> ''").select("result_id", F.explode(search.sources(json, 5)).alias("s"))
+    return rows.select("result_id", "s.url", F.col("s.relevance").cast("double").alias("relevance"))
+
+
+@query("SELECT result_id, url || '?p=1&q=a' AS bare, url AS plain FROM search_results WHERE url IS NOT NULL AND strpos(url, '?') = 0 AND strpos(url, '#') = 0")
+def untracked_urls(spark: SparkSession, folder: str) -> DataFrame:
+    s = results(spark, folder).where("instr(url, '?') = 0 AND instr(url, '#') = 0")
+    tracked = F.concat("url", F.lit("?utm_source=x&p=1&fbclid=y&empty=&q=a"))
+    return s.select("result_id", scalars.without_tracking(tracked).alias("bare"), scalars.without_tracking(F.concat("url", F.lit("?gclid=1"))).alias("plain"))
+
+
+@query("WITH q AS (SELECT doc_id, name, s.s AS s, s.e AS e FROM (SELECT doc_id, name, unnest(q.spans) AS s FROM (SELECT doc_id, name, unnest(quotes) AS q FROM mentions))) SELECT q.doc_id, s, e, substr(text, greatest(s - 30, 0) + 1, s - greatest(s - 30, 0)) || '**' || substr(text, s + 1, e - s) || '**' || substr(text, e + 1, 30) AS context FROM (SELECT DISTINCT doc_id, s, e FROM q) q JOIN resources r ON r.doc_id = q.doc_id WHERE text IS NOT NULL")
+def quote_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    texts = table(spark, folder, "resources").where("text IS NOT NULL").select("doc_id", "text")
+    q = quoted(spark, folder).select("doc_id", "s", "e").distinct().join(texts, "doc_id")
+    return q.select("doc_id", "s", "e", scalars.context(F.col("text"), F.col("s"), F.col("e"), 30).alias("context"))
+
+
+@query(
+    r"""SELECT mention_id, (length(name) - length(replace(name, ',', '')) >= 2) OR (length(name) - length(replace(name, ',', '')) = 1 AND (regexp_matches(name, '\([^)]*\)\s*$') OR contains(lower(name), ', and '))) AS list,
+      NOT (length(name) < 3 OR regexp_matches(name, '[()]') OR regexp_matches(name, '^\d') OR regexp_matches(name, '[,;]')) AND length(regexp_replace(name, '[^\p{L}]', '', 'g')) >= CASE WHEN length(name) <= 4 THEN 1 ELSE 2 END AS form FROM mentions"""
+)
+def name_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Which names are lists, and which can stand for an entity by themselves."""
+    return table(spark, folder, "mentions").select("mention_id", scalars.is_list(F.col("name")).alias("list"), scalars.is_valid_form(F.col("name")).alias("form"))
+
+
+@query("SELECT term_id, name, kind, 'a b' AS note FROM entity_terms WHERE NOT regexp_matches(name, '[#&]')")
+def term_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Reference terms written as lines and read again."""
+    t = table(spark, folder, "entity_terms").where(~F.col("name").rlike("[#&]"))
+    line = F.concat("name", F.lit(" # remark &kind="), "kind", F.lit(", &note=a b, &none="))
+    return t.select("term_id", scalars.term_line(line).alias("t")).select("term_id", "t.name", "t.kind", F.col("t.attributes")["note"].alias("note"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey < 26 THEN chr(CAST(65 + p_partkey AS INTEGER)) WHEN p_partkey < 702 THEN chr(CAST(64 + p_partkey // 26 AS INTEGER)) || chr(CAST(65 + p_partkey % 26 AS INTEGER)) END AS label FROM part WHERE p_partkey < 702")
+def alpha_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").where("p_partkey < 702").select("p_partkey", scalars.alpha_label(F.col("p_partkey")).alias("label"))
+
+
+@query("SELECT p_partkey, p_size AS run, p_size % 9 AS major, CAST(p_partkey AS INTEGER) AS minor, 3 AS patch, p_brand AS hash FROM part")
+def version_parts(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.concat("p_size", F.lit("v"), F.col("p_size") % 9, F.lit("."), "p_partkey", F.lit(".3#"), "p_brand")
+    return table(spark, folder, "part").select("p_partkey", report.version(text).alias("v")).select("p_partkey", "v.*")
+
+
+@query("SELECT DISTINCT kind AS first, other AS second FROM (SELECT a.kind, b.kind AS other FROM entity_terms a JOIN entity_terms b ON a.kind <> b.kind OR a.kind = 'gene')")
+def kinds_permitted(spark: SparkSession, folder: str) -> DataFrame:
+    """Which kinds of the reference may pair, where genes are listed twice."""
+    kinds = table(spark, folder, "entity_terms").agg(F.array_sort(F.collect_set("kind")).alias("k"))
+    allowed = kinds.select(F.explode(scalars.permitted_kinds(F.concat("k", F.array(F.lit("gene"))))).alias("first", "others"))
+    return allowed.select("first", F.explode("others").alias("second"))

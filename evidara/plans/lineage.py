@@ -23,6 +23,19 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Folders of this session that may still hold tables.
+_FOLDERS: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all scratch tables of the session. Only once every result that reads them has been written: in a long session
+    they would else pile up in the shared folder until its end."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    while _FOLDERS:
+        path = jvm.Path(_FOLDERS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables of one operator call. Lost executors cost nothing: the files outlive them."""
 
@@ -37,6 +50,7 @@ class Scratch:
         self._next += 1
         df.write.parquet(path)
         if path.endswith("/0"):  # the results may read any table as long as the session lives
+            _FOLDERS.append(self.folder)
             self._file_system().deleteOnExit(self._path(self.folder))
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

@@ -218,3 +218,16 @@ def test_terms(spark):
     docs = spark.createDataFrame([(1, "Alpha beta binds gamma delta. Alpha beta blocks it."), (2, ""), (3, None), (4, "the of")], "d int, t string")
     got = keywords.extract_all(docs, "d", "t", ["tfidf", "rake", "yake"], 2).collect()
     assert {r["d"] for r in got} == {1} and {r["method"] for r in got} == {"tfidf", "rake", "yake"} and len(got) == 6
+
+
+def test_scratch_tables_are_cleared(spark):
+    from pathlib import Path
+
+    from evidara.plans import lineage
+
+    scratch = lineage.Scratch(spark, "cleared")
+    assert scratch.save(spark.range(5)).count() == 5
+    folder = Path(scratch.folder.removeprefix("file:").replace("//", "/"))
+    assert folder.exists()
+    lineage.clear(spark)
+    assert not folder.exists()
