@@ -240,22 +240,22 @@ def similar_entities(tokens: DataFrame, entity: str, token: str, spec: DataFrame
     """(a, b, similarity), a < b: the specificity of shared tokens over that of the entity with less, at least ``threshold``.
 
     Candidates share one of the rarest tokens of the lighter entity that together outweigh what may be missing, so tokens
-    held by many entities seldom join.
+    held by many entities seldom join. Both sides carry their few tokens along: a pair is made at the first token it
+    shares only, and weighed there, so nothing but that one join is shuffled.
     """
     t = tokens.select(F.col(entity).alias("e"), F.col(token).alias("t")).distinct().join(spec.select(F.col(token).alias("t"), F.col("specificity").alias("s")), "t")
-    sums = t.groupBy("e").agg(F.sum("s").alias("all"))
-    t = t.join(sums, "e")
-    after = F.coalesce(F.sum("s").over(Window.partitionBy("e").orderBy(F.asc("s"), F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0.0))
-    # A token is needed if the lighter tokens up to and with it could make up the threshold without it being met.
-    prefix = t.withColumn("upto", after).where(F.col("upto") >= threshold * F.col("all") - 1e-12)
-    a = prefix.select(F.col("e").alias("x"), "t", F.col("all").alias("ax"))
-    b = t.select(F.col("e").alias("y"), "t", F.col("all").alias("ay"))
+    sets = t.groupBy("e").agg(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("n"), "t"))).alias("l"), F.sum("s").alias("all"))
+    # A token is needed if it and the lighter ones could make up the threshold without the heavier ones.
+    rest = lambda i: F.aggregate(F.slice("l", i + 1, F.size("l")), F.lit(0.0), lambda w, x: w - x["n"])
+    needed = F.transform(F.filter(F.transform("l", lambda x, i: F.struct(x["t"].alias("t"), (rest(i) >= threshold * F.col("all") - 1e-12).alias("ok"))), lambda x: x["ok"]), lambda x: x["t"])
+    a = sets.select(F.col("e").alias("x"), F.col("all").alias("ax"), "l", needed.alias("p")).withColumn("t", F.explode("p"))
+    b = sets.select(F.col("e").alias("y"), F.col("all").alias("ay"), F.transform("l", lambda x: x["t"]).alias("ts")).withColumn("t", F.explode("ts"))
     lighter = (F.col("ax") < F.col("ay")) | ((F.col("ax") == F.col("ay")) & (F.col("x") < F.col("y")))
-    pairs = a.join(b, "t").where((F.col("x") != F.col("y")) & lighter).select("x", "y", "ax").distinct()
-    mine, theirs = t.select(F.col("e").alias("x"), "t", "s"), t.select(F.col("e").alias("y"), "t")
-    shared = pairs.join(mine, "x").join(theirs, ["y", "t"]).groupBy("x", "y", "ax").agg(F.sum("s").alias("w"))
-    sim = F.when(F.col("ax") > 0, F.col("w") / F.col("ax")).otherwise(0.0)
-    return shared.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), sim.alias("similarity")).where(F.col("similarity") >= threshold)
+    first = F.try_element_at(F.filter("p", lambda x: F.array_contains("ts", x)), F.lit(1)) == F.col("t")
+    shared = F.aggregate("l", F.lit(0.0), lambda w, x: F.when(F.array_contains("ts", x["t"]), w - x["n"]).otherwise(w))
+    pairs = a.join(b, "t").where((F.col("x") != F.col("y")) & lighter & first)
+    sim = F.when(F.col("ax") > 0, shared / F.col("ax")).otherwise(0.0)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), sim.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def linked(pairs: DataFrame) -> DataFrame:
