@@ -93,6 +93,7 @@ The {} is no longer available here.
 The {} was deleted or withdrawn.
 The {} could not be loaded. Please reload.
 Failed to load the {}.
+The {} failed to load (error code 0).
 Unable to retrieve the {} at this time.
 You don't have permission to access this {}.
 You are not authorized to view this {}.
@@ -168,7 +169,7 @@ El servicio no está disponible en este momento. Inténtelo de nuevo más tarde.
 EXCEPTIONS = ("ValueError: invalid literal", "TypeError: unsupported operand", "KeyError: 'id'", "AttributeError: 'NoneType' object has no attribute", "IndexError: list index out of range", "RuntimeError: failed", "NullPointerException", "ImportError: no module named")
 
 #: What a sign is called where a sentence speaks of it.
-SIGNS = "marker markers field fields tag tags token tokens placeholder placeholders variable variables symbol symbols notation syntax string strings macro macros expression brackets braces delimiter delimiters".split()
+SIGNS = "marker markers field fields tag tags token tokens placeholder placeholders variable variables symbol symbols notation syntax string strings macro macros brackets braces delimiter delimiters".split()
 
 ORDER = 5
 TEXT_BUCKETS, SHAPE_BUCKETS = 1 << 20, 1 << 16
@@ -187,7 +188,7 @@ REACH = 2000
 #: Weight of technical prose in the model of prose (not of shapes: it shows signs of its own).
 TECHNICAL = 0.3
 #: Longest stretch within a placeholder that windows leave out.
-LONGEST_NAME = 24
+LONGEST_NAME = 40
 #: Least mean log-ratio, against technical prose, that keeps a sentence out of the model of prose.
 KEPT_OUT = 0.8
 AT_ONCE = 4_000_000
