@@ -39,6 +39,8 @@ HOT = 2000
 NEVER_COMMON = 100
 #: Counts of units are kept for this many hash buckets; the table's size doesn't depend on the records.
 BUCKETS = 1 << 20
+#: Ids up to this number (some 50 MB) are broadcast.
+SENT = 1_000_000
 #: Characters handled at once in a worker.
 AT_ONCE = 4_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -215,12 +217,11 @@ class _Near:
     def __init__(self, table: DataFrame, id_col: str, text: str, units: Units, threshold: float) -> None:
         self.scratch, self.units, self.threshold = Scratch(table.sparkSession, "near"), units, threshold
         self.records = table.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-        digests = self.records.select("id", F.md5(F.lower("text")).alias("digest"))
+        digests = self.records.select("id", F.unhex(F.md5(F.lower("text"))).alias("digest"))
         firsts = self.scratch.save(digests.groupBy("digest").agg(F.min("id").alias("rep")).withColumn("no", F.monotonically_increasing_id()))
-        self.members = self.scratch.save(digests.join(firsts, "digest").select("id", "rep", "no").distinct())
-        self.reps = self.members.where("id = rep").select("id", "no")
-        found = fingerprints(self.records, units).join(self.reps, "id").dropDuplicates(["no"])
-        self.prints = self.scratch.save(found.select("no", "symbols"))
+        self.members = self.scratch.save(digests.join(firsts, "digest").select("id", "rep", "no"))
+        self.reps = firsts.select(F.col("rep").alias("id"), "no")
+        self.prints = self.scratch.save(fingerprints(self.records, units).join(self.reps, "id").select("no", "symbols"))
 
     def index(self) -> DataFrame:
         """(entry, no): the ball of radius 1 around every segment of every fingerprint."""
@@ -262,7 +263,7 @@ class _Near:
         """(a, b): those whose whole fingerprints are near enough."""
         left, right = (self.prints.select(F.col("no").alias(x), F.col("symbols").alias(f"s_{x}")) for x in "ab")
         equal = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-        return self.scratch.save(met.join(left, "a").join(right, "b").where(equal >= LEAST_EQUAL).select("a", "b"))
+        return self.scratch.save(met.join(left, "a").join(right, "b").where(equal >= LEAST_EQUAL).select("a", "b").distinct())
 
     def verified(self, close: DataFrame) -> DataFrame:
         """(a, b, similarity) of the pairs whose texts are similar enough."""
@@ -273,8 +274,10 @@ class _Near:
             parts = [units.overlaps(a.iloc[k : k + 1000], b.iloc[k : k + 1000]) for k in range(0, len(a), 1000)]
             return pd.Series(np.concatenate(parts) if parts else [], dtype=float)
 
-        wanted = close.select(F.explode(F.array("a", "b")).alias("no")).distinct().join(self.reps, "no")
-        texts = self.scratch.save(self.records.join(wanted, "id").dropDuplicates(["no"]).select("no", "text"))
+        # Few texts are wanted as a rule; their ids are then sent to the texts, else the texts to the ids.
+        wanted = self.scratch.save(close.select(F.explode(F.array("a", "b")).alias("no")).distinct().join(self.reps, "no"))
+        sent = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+        texts = self.scratch.save(self.records.join(sent, "id").dropDuplicates(["no"]).select("no", "text"))
         a, b = (texts.select(F.col("no").alias(x), F.col("text").alias(f"t_{x}")) for x in "ab")
         pairs = close.join(b, "b").join(a, "a").select("a", "b", overlap("t_a", "t_b").alias("similarity"))
         return pairs.where(F.col("similarity") >= self.threshold)
@@ -316,14 +319,14 @@ def near_links(table: DataFrame, id_col: str, text: str, units: Units, threshold
     grouped = shared.join(groups, "no", "left").withColumn("group", F.coalesce("group", "no"))
     mixed = grouped.groupBy("entry").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("entry")
     second = near.verified(near.close(near.met_apart(grouped.join(mixed, "entry", "left_semi"))))
-    return near.members.select("id", "rep"), near.named(first.unionByName(second))
+    return near.members.select("id", "rep").distinct(), near.named(first.unionByName(second))
 
 
 def near_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of records, copies included."""
     m, n = (members.select(F.col("id").alias(f"id_{x}"), F.col("no").alias(x)) for x in "ab")
     apart = pairs.select("a", "b").join(m, "a").join(n, "b")
-    copied = members.groupBy("no").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("no").alias("a"))
+    copied = members.groupBy("no").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select(F.col("no").alias("a"))
     alike = m.join(copied, "a", "left_semi").join(n, F.col("a") == F.col("b")).where("id_a < id_b")
     both = apart.select("id_a", "id_b").unionByName(alike.select("id_a", "id_b"))
-    return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
