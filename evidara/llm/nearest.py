@@ -224,16 +224,18 @@ class _Near:
         self.prints = self.scratch.save(fingerprints(self.records, units).join(self.reps, "id").select("no", "symbols"))
 
     def index(self) -> DataFrame:
-        """(entry, no): the ball of radius 1 around every segment of every fingerprint."""
-        entries = []
-        for s in range(SEGMENTS):
-            for left_out in range(WIDTH):
-                # Three symbols of 16 bits below the number of the entry: no two entries share a key.
-                key = F.lit((s * WIDTH + left_out) << 48)
-                for place, k in enumerate(k for k in range(WIDTH) if k != left_out):
-                    key = key + F.col("symbols")[s * WIDTH + k].cast("long") * F.lit(1 << 16 * place)
-                entries.append(key)
-        return self.prints.select("no", F.explode(F.array(*entries)).alias("entry"))
+        """(entry, no): the ball of radius 1 around every segment of every fingerprint, one entry for each symbol left out.
+
+        An entry is its number above its three other symbols of 16 bits, so no two entries share a key. Numbers are
+        exploded first: one expression for all entries stays small enough to be compiled.
+        """
+        numbered = self.prints.select("no", "symbols", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * WIDTH - 1))).alias("k"))
+        left_out = F.pmod("k", F.lit(WIDTH))
+        first = F.col("k") - left_out
+        key = F.shiftleft(F.col("k").cast("long"), 48)
+        for j in range(WIDTH - 1):
+            key = key + F.shiftleft(F.get("symbols", first + F.when(left_out <= j, j + 1).otherwise(j)).cast("long"), 16 * j)
+        return numbered.select("no", key.alias("entry"))
 
     def met(self) -> DataFrame:
         """(a, b) for every two records with an entry in common.
