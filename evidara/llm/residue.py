@@ -294,7 +294,7 @@ def _counts(texts: list[str], without: list[np.ndarray] | None = None) -> tuple[
 def pieces(documents: DataFrame) -> DataFrame:
     """(text): the distinct sentences and lines of all texts, lower-cased with digits made equal, and what is around each
     cut between two of them."""
-    plain = F.split(F.regexp_replace(F.lower("text"), "[0-9]", "0"), _SENTENCE.pattern)
+    plain = F.split(F.translate(F.lower("text"), "123456789", "0" * 9), _SENTENCE.pattern)
     cuts = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.concat(F.substring(F.element_at("p", i), 1 - ORDER, ORDER - 1), F.lit(" "), F.substring(F.element_at("p", i + 1), 1, ORDER - 1)))
     both = F.when(F.size("p") > 1, F.concat("p", cuts)).otherwise(F.col("p"))
     return documents.select(plain.alias("p")).select(F.explode(both).alias("text")).distinct()
