@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,13 +118,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Every record with the smallest id of its group: records linked directly or through others."""
-    out = []
-    for name, members, pairs in _near(spark, folder, nearest.near_links):
-        linked = components.group_linked(pairs.withColumn("scope", F.lit(name)), "scope", "rep_a", "rep_b")
-        heads = linked.select(F.col("entity_name").alias("rep"), "group_name")
-        groups = members.join(heads, "rep", "left")
-        out.append(groups.select(F.lit(name).alias("table_name"), F.col("id").alias("record_id"), F.coalesce("group_name", "rep").alias("group_id")))
-    return out[0].unionByName(out[1])
+    found = _near(spark, folder, nearest.near_links)
+    named = lambda k: reduce(DataFrame.unionByName, [f[k].withColumn("table_name", F.lit(f[0])) for f in found])
+    linked = components.group_linked(named(2), "table_name", "rep_a", "rep_b")
+    heads = linked.select("table_name", F.col("entity_name").alias("rep"), "group_name")
+    groups = named(1).join(heads, ["table_name", "rep"], "left")
+    return groups.select("table_name", F.col("id").alias("record_id"), F.coalesce("group_name", "rep").alias("group_id"))
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
