@@ -50,7 +50,7 @@ def fuzzy_pairs(forms: DataFrame, form: str) -> DataFrame:
     numbers, length) finds every such pair. Shorter forms match only by obvious variation, which keeps the folded
     spelling up to an ending; they meet on the folded spelling without blanks and on what is left of it without an ending.
     """
-    f = forms.select(F.col(form).alias("f")).where(F.length(form) > 0).distinct()
+    f = Scratch(forms.sparkSession, "forms").save(forms.select(F.col(form).alias("f")).where(F.length(form) > 0).distinct())
     pairs = _met(f, f).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return pairs.withColumn("m", names.match_of(F.col("a"), F.col("b"))).where("m.matched AND m.distance > 0").select("a", "b", "m.distance", "m.how")
 
@@ -100,7 +100,12 @@ def _met(f: DataFrame, asked: DataFrame) -> DataFrame:
     shifted = keys(place.where((at >= 0) & (at + size <= n)))
     other = shifted.unionByName(spelled(asked)).distinct()
     met = keyed.select(F.col("f").alias("x"), "k", "n", "part").join(other.select(F.col("f").alias("y"), "k", "n", "part"), ["k", "n", "part"])
-    return met.where("x <> y").select("x", "y").distinct()
+    # Common endings make most of what meets. A swap is two edits to Levenshtein, so a match of the first kind has at most
+    # twice its edits; matches by obvious variation meet on the folded spelling and pass.
+    short = F.least(F.length("x"), F.length("y"))
+    edits = (1 + F.floor(short / 10)).cast("int")
+    near = (F.abs(F.length("x") - F.length("y")) <= edits) & (F.call_function("levenshtein", F.col("x"), F.col("y"), 2 * edits) >= 0)
+    return met.where((F.col("x") != F.col("y")) & ((F.col("k") < 0) | near)).select("x", "y").distinct()
 
 
 def match(queries: DataFrame, name: str, known: DataFrame, least: float = 0.7) -> DataFrame:

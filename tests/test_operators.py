@@ -256,3 +256,12 @@ def test_quotes_everywhere_with_slips_and_shorthand(spark):
     got = {r["id"]: (r["how"], [tuple(s) for s in r["spans"]]) for r in documents.located(spark.createDataFrame(rows, "id int, q string, t string"), "q", "t").collect()}
     assert got[1] == ("verbatim", [(4, 9), (66, 71)]) and got[2] == ("verbatim", [(0, 2), (1, 3)]) and got[5][0] == "verbatim" and got[6] == ("none", [])
     assert got[3][0] == "fuzzy" and text[got[3][1][0][0] :].startswith("hepatocellular") and got[4][0] == "shorthand" and text[slice(*got[4][1][0])] == "ISCA1"
+
+
+def test_forms_with_a_common_ending_are_no_candidates(spark):
+    rng = random.Random(5)
+    forms = ["".join(rng.choice("abcdeghijkmnoprt") for _ in range(14)) + " complex" for _ in range(200)]
+    forms += [forms[0][1:], forms[1][:3] + "x" + forms[1][3:]]
+    df = spark.createDataFrame([(f,) for f in forms], "f string")
+    assert entities._met(df, df).count() < 100
+    assert {(r["a"], r["b"]) for r in entities.fuzzy_pairs(df, "f").collect()} == {tuple(sorted((forms[0], forms[-2]))), tuple(sorted((forms[1], forms[-1])))}
