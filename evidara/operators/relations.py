@@ -103,6 +103,19 @@ def neighbour_pairs(edges: DataFrame, scope: str, anchor: str, near: str, simila
     return x.join(y, ["scope", "anchor", "b"]).groupBy("scope", "a", "b").agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("anchors"))
 
 
+def neighbours_of_class(edges: DataFrame, scope: str, anchor: str, near: str, classes: DataFrame, kind: str) -> DataFrame:
+    """(scope, a, b, similarity, anchors): as ``neighbour_pairs`` where neighbours are alike, by 1, if they have the same
+    ``kind`` in ``classes`` (near, kind). Only neighbours of one anchor and class meet; the pairs of a class, which may be far
+    more than its members, are never listed."""
+    heads = classes.groupBy(kind).agg(F.min(near).alias("__h"))
+    of = classes.join(heads, kind).groupBy(F.col(near).alias("near"), "__h").agg(F.count(F.lit(1)).alias("n"))
+    links = edges.select(F.col(scope).alias("scope"), F.col(anchor).alias("anchor"), F.col(near).alias("near")).join(of, "near")
+    keys = ["scope", "anchor", "__h"]
+    x, y = (links.select(*keys, F.col("near").alias(c), F.col("n").alias(f"__{c}")) for c in "ab")
+    met = x.join(y, keys).where("a < b").distinct()
+    return met.groupBy("scope", "a", "b").agg(F.lit(1.0).alias("similarity"), F.sum(F.col("__a") * F.col("__b")).alias("anchors"))
+
+
 def neighbour_groups(edges: DataFrame, scope: str, anchor: str, near: str, similar: DataFrame, threshold: float) -> DataFrame:
     """(entity, cluster): names that share an anchor and are alike by at least ``threshold``, linked in turn."""
     return entities.linked(neighbour_pairs(edges, scope, anchor, near, similar).where(F.col("similarity") >= threshold).select("a", "b").distinct())

@@ -231,3 +231,11 @@ def test_scratch_tables_are_cleared(spark):
     assert folder.exists()
     lineage.clear(spark)
     assert not folder.exists()
+
+
+def test_neighbours_of_a_large_class(spark):
+    n = 30000  # the pairs of the one class would be 450,000,000
+    classes = spark.range(n).select(F.col("id").alias("near"), F.lit("same").alias("name")).unionByName(spark.createDataFrame([(n, "other"), (n + 1, None)], "near long, name string"))
+    edges = spark.createDataFrame([("s", 1, 5), ("s", 1, 7), ("s", 1, 7), ("s", 2, 5), ("s", 2, 7), ("s", 2, n), ("s", 2, n + 1), ("t", 1, 5), ("t", 3, 7), (None, 4, 5), (None, 4, 7)], "scope string, anchor long, near long")
+    pairs = relations.neighbours_of_class(edges, "scope", "anchor", "near", classes, "name")
+    assert [tuple(r) for r in pairs.collect()] == [("s", 5, 7, 1.0, 2)]
