@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,9 +96,8 @@ def corrected(quote: str, text: str) -> str | None:
         return None
     if how != "fuzzy":
         return " ".join(" ".join(text[s:e].split()) for s, e in spans[: 1 if how == "verbatim" else None])
-    window, parts, last = text[spans[0][0] : spans[0][1]], [], None
-    for block in SequenceMatcher(None, names.normalise(quote)[0], names.normalise(window)[0], autojunk=False).get_matching_blocks()[:-1]:
-        plain = names.normalise(window)[0]
+    plain, parts, last = names.normalise(text[spans[0][0] : spans[0][1]])[0], [], None
+    for block in SequenceMatcher(None, names.normalise(quote)[0], plain, autojunk=False).get_matching_blocks()[:-1]:
         if last is not None and 0 < block.b - last <= 2 and not plain[last : block.b].strip():
             parts.append(" ")
         parts.append(plain[block.b : block.b + block.size])
@@ -121,26 +120,35 @@ def _in_normal_form(quote: str, plain: str, at: list[int]) -> list[tuple[int, in
     return spans
 
 
+def _codes(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return points[:-1] << np.uint64(32) | points[1:]
+
+
+@lru_cache(8)
+def _bigrams(plain: str) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of characters of a text in order, and where each stands, equal ones from left to right."""
+    codes = _codes(plain)
+    order = np.argsort(codes, kind="stable")
+    return codes[order], order
+
+
 def _shared_bigrams(form: str, plain: str, starts: list[int], size: int) -> list[int]:
-    """For the window of ``size`` at each start, how many pairs of characters it has in common with the form."""
-    need = Counter(form[k : k + 2] for k in range(len(form) - 1))
-    has: Counter[str] = Counter()
-    out, shared, low, high = [], 0, 0, 0
-    for s in starts:
-        for k in range(high, max(high, min(s + size, len(plain)) - 1)):
-            g = plain[k : k + 2]
-            if g in need:
-                shared += has[g] < need[g]
-                has[g] += 1
-            high = k + 1
-        for k in range(low, s):
-            g = plain[k : k + 2]
-            if k < high and g in need:
-                has[g] -= 1
-                shared -= has[g] < need[g]
-            low = k + 1
-        out.append(shared)
-    return out
+    """For the window of ``size`` at each start, how many pairs of characters it has in common with the form.
+
+    Of a pair that the form has n times, a place counts in the windows that hold it but not the n-th place before it.
+    """
+    codes, at = _bigrams(plain)
+    need, n = np.unique(_codes(form), return_counts=True)
+    low, high = np.searchsorted(codes, need, "left"), np.searchsorted(codes, need, "right")
+    held = high - low
+    rank = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+    places, n = np.repeat(low, held) + rank, np.repeat(n, held)
+    before = np.where(rank >= n, at[places - n], -1) if places.size else places
+    last = at[places]
+    first = np.minimum(np.maximum(np.maximum(before + 1, last - size + 2), 0), last + 1)
+    count = np.cumsum(np.bincount(first, minlength=len(plain) + 2) - np.bincount(last + 1, minlength=len(plain) + 2))
+    return count[starts].tolist() if starts else []
 
 
 def located(quotes: DataFrame, quote: str, text: str) -> DataFrame:
@@ -163,7 +171,8 @@ def corrections(quotes: DataFrame, quote: str, text: str) -> DataFrame:
     """Adds ``corrected``, the text's own words for each quote; null where it isn't found."""
 
     def find(q: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else corrected(x, y) for x, y in zip(q, t, strict=True)], dtype=object)
+        once = {(x, y): None if x is None or y is None else corrected(x, y) for x, y in dict.fromkeys(zip(q, t, strict=True))}
+        return pd.Series([once[pair] for pair in zip(q, t, strict=True)], dtype=object)
 
     return quotes.withColumn("corrected", F.pandas_udf(find, "string")(quote, text))
 

@@ -1,4 +1,6 @@
 import random
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -239,3 +241,21 @@ def test_neighbours_of_a_large_class(spark):
     edges = spark.createDataFrame([("s", 1, 5), ("s", 1, 7), ("s", 1, 7), ("s", 2, 5), ("s", 2, 7), ("s", 2, n), ("s", 2, n + 1), ("t", 1, 5), ("t", 3, 7), (None, 4, 5), (None, 4, 7)], "scope string, anchor long, near long")
     pairs = relations.neighbours_of_class(edges, "scope", "anchor", "near", classes, "name")
     assert [tuple(r) for r in pairs.collect()] == [("s", 5, 7, 1.0, 2)]
+
+
+def test_shared_pairs_of_characters_in_long_texts(spark):
+    def slow(form, plain, s, size):
+        piece = plain[s : s + size]
+        need, has = (Counter(x[k : k + 2] for k in range(len(x) - 1)) for x in (form, piece))
+        return sum((need & has).values())
+
+    rng = random.Random(3)
+    for _ in range(200):
+        plain = "".join(rng.choice("aab é") for _ in range(rng.randrange(60)))
+        form, size = "".join(rng.choice("aabé") for _ in range(rng.randrange(12))), rng.randrange(1, 14)
+        starts = sorted(rng.sample(range(len(plain)), len(plain) // 2))
+        assert documents._shared_bigrams(form, plain, starts, size) == [slow(form, plain, s, size) for s in starts]
+    words = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(50_000))
+    began = time.process_time()
+    assert all(documents.corrected(words[k : k + 40] + "#" + words[k + 41 : k + 100], words) for k in (0, 150_000, 299_000, 100_000))
+    assert time.process_time() - began < 4
