@@ -53,12 +53,13 @@ def locate(quote: str, text: str, least: float = 0.8) -> tuple[str, list[tuple[i
     best, where = 0.0, None
     words = [m.start() for m in re.finditer(r"\S+", plain)]
     sizes = (len(form), len(form) - len(form) // 10, len(form) + len(form) // 10)[: 3 if len(form) >= 10 else 1]
-    windows = [(-shared, k, s) for k, size in enumerate(sizes) for s, shared in zip(words, _shared_bigrams(form, plain, words, size), strict=True)]
+    needed = lambda n, ratio: (1.5 * ratio - 1) * (len(form) + n) - 1 - 1e-9
+    windows = [(-shared, k, s) for k, size in enumerate(sizes) for s, shared in zip(words, _shared_bigrams(form, plain, words, size), strict=True) if shared >= needed(min(size, len(plain) - s), least)]
     # The likeliest windows come first, so that the best ratio soon rules out most others.
     for shared, k, s in sorted(windows):
         piece = plain[s : s + sizes[k]]
         # A ratio r matches r / 2 of all characters in at most one block more than characters are left out of it.
-        if -shared < (1.5 * max(least, best) - 1) * (len(form) + len(piece)) - 1 - 1e-9:
+        if -shared < needed(len(piece), max(least, best)):
             continue
         match = SequenceMatcher(None, form, piece, autojunk=False)
         if match.quick_ratio() < max(least, best):
