@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evidara.functions import names
 from evidara.operators import entities, evidence, islands
+from evidara.plans.lineage import Scratch
 
 
 def positions(mentions: DataFrame, doc: str, name: str, aliases: str, documents: DataFrame, text: str) -> DataFrame:
@@ -44,7 +45,9 @@ def consolidate(mentions: DataFrame, name: str, aliases: str, threshold: float)
     """
     counts = mentions.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
     shared = entities.contested_forms(mentions, name, aliases).select(F.explode("canonicals").alias("b"), F.element_at("canonicals", 1).alias("a")).where("a <> b")
-    norm = counts.select("name", names.comparable_of(F.col("name")).alias("f"))
+    scratch = Scratch(mentions.sparkSession, "consolidate")
+    counts = scratch.save(counts)
+    norm = scratch.save(counts.select("name", names.comparable_of(F.col("name")).alias("f")))
     close = entities.fuzzy_pairs(norm, "f")
     x, y = norm.select(F.col("name").alias("a"), F.col("f").alias("fa")), norm.select(F.col("name").alias("b"), F.col("f").alias("fb"))
     fuzzy = close.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(x, "fa").join(y, "fb").select("b", "a")

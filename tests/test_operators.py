@@ -265,3 +265,14 @@ def test_forms_with_a_common_ending_are_no_candidates(spark):
     df = spark.createDataFrame([(f,) for f in forms], "f string")
     assert entities._met(df, df).count() < 100
     assert {(r["a"], r["b"]) for r in entities.fuzzy_pairs(df, "f").collect()} == {tuple(sorted((forms[0], forms[-2]))), tuple(sorted((forms[1], forms[-1])))}
+
+
+def test_consolidated_names_with_a_common_ending(spark, monkeypatch):
+    from evidara.operators import pipeline
+
+    rng, met, real = random.Random(6), [], entities._met
+    words = ["".join(rng.choice("abcdeghijkmnoprt") for _ in range(14)) + " complex" for _ in range(200)]
+    monkeypatch.setattr(entities, "_met", lambda f, asked: met.append(real(f, asked)) or met[-1])
+    df = spark.createDataFrame([(w, []) for w in [*words, words[0][1:], words[0]]], "name string, aliases array<string>")
+    assert [tuple(r) for r in pipeline.consolidate(df, "name", "aliases", 0.5).collect()] == [(words[0][1:], words[0])]
+    assert len(met) == 1 and met[0].count() < 100
