@@ -328,8 +328,11 @@ def similar_names(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def name_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    from evidara.plans.lineage import Scratch
+
     # Averages count every pair with a token in common, however little alike.
-    return entities.cluster(_similar_names(spark, folder, 1e-9), 0.3)
+    tokens = Scratch(spark, "tokens").save(_name_tokens(spark, folder))
+    return entities.cluster_entities(tokens, "e", "token", entities.specificity(tokens, "e", "token", F.lit(1.0)), 0.3)
 
 
 def _similar_names(spark: SparkSession, folder: str, threshold: float) -> DataFrame:

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidara.functions import names
+from evidara.functions import linkage, names
 from evidara.plans.lineage import Scratch
 
 #: Endings that obvious variants exchange.
 ENDINGS = ("s", "es", "ies", "y", "a", "um", "i", "us", "is", "on", "ices", "ex", "ix", "ise", "ize", "re", "er")
 
+#: Names linked to each other are clustered in one task up to ALONE of them; up to TOGETHER, tasks are shared.
+ALONE, TOGETHER = 50_000, 1000
+
 
 def variant_map(entities: DataFrame, canonical: str, aliases: str) -> DataFrame:
     """(form, canonical, speculation, origin): normal forms claimed by one entity only, at their least speculation."""
@@ -313,3 +318,45 @@ def cluster(pairs: DataFrame, threshold: float) -> DataFrame:
         edges = scratch.save(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")))
         sizes = scratch.save(renamed(sizes, "c").groupBy("c").agg(F.sum("n").alias("n")))
         member = scratch.save(renamed(member, "cluster"))
+
+
+def cluster_entities(tokens: DataFrame, entity: str, token: str, spec: DataFrame, threshold: float) -> DataFrame:
+    """(entity, cluster): ``cluster`` over all pairs with a token in common, alike as in ``similar_entities`` to nine digits.
+
+    A merged cluster is never nearer to a third than the nearer of its parts, so clusters stay within the names linked
+    by pairs of at least the threshold; lower similarities count only there. Each such group is clustered from its tokens in
+    one task, without its pairs: many equally near names would else merge by one pair a round. Groups of more than
+    ALONE names go through the rounds of ``cluster``.
+    """
+    scratch = Scratch(tokens.sparkSession, "alike")
+    t = scratch.save(tokens.select(F.col(entity).alias("e"), F.col(token).alias("t")).distinct().join(spec.select(F.col(token).alias("t"), F.col("specificity").alias("s")), "t"))
+    several = t.where("s > 0").groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t")
+    every = t.join(several, "t", "left_semi").select(F.col("e").alias("entity")).distinct()
+
+    # Similarities are rounded to nine digits.
+    group = linked(similar_entities(tokens, entity, token, spec, threshold - 1e-9)).select(F.col("entity").alias("e"), F.col("cluster").alias("g"))
+    sized = scratch.save(group.join(group.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g"))
+    sets = t.groupBy("e").agg(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("n"), "t"))).alias("l"))
+    sets = sets.select("e", F.transform("l", lambda x: x["t"]).alias("ts"), F.transform("l", lambda x: -x["n"]).alias("ws"))
+    task = F.when(F.col("n") > TOGETHER, F.concat(F.lit("="), "g")).otherwise(F.pmod(F.xxhash64("g"), F.lit(64)).cast("string"))
+    alone = sets.join(sized.where(F.col("n") <= ALONE), "e").withColumn("task", task)
+
+    def clustered(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in rows.sort_values("e").groupby("g", sort=True):
+            own = g["e"].to_numpy()
+            held = np.concatenate(g["ts"].to_list())
+            number, met = pd.factorize(held)
+            weight = np.zeros(len(met))
+            weight[number] = np.concatenate(g["ws"].to_list())
+            sets = np.split(number, np.cumsum(g["ts"].map(len))[:-1])
+            total = np.array([sum(w.tolist()) for w in g["ws"]])
+            out.append(pd.DataFrame({"entity": own, "cluster": own[linkage.agglomerate(sets, weight, total, threshold)]}))
+        return pd.concat(out)
+
+    kind = dict(t.dtypes)["e"]
+    found = alone.groupBy("task").applyInPandas(clustered, f"entity {kind}, cluster {kind}")
+    if not sized.where(F.col("n") > ALONE).isEmpty():
+        large = tokens.join(sized.where(F.col("n") > ALONE).select(F.col("e").alias(entity)), entity, "left_semi")
+        found = found.unionByName(cluster(similar_entities(large, entity, token, spec, 1e-9).withColumn("similarity", F.round("similarity", 9)), threshold))
+    return every.join(found, "entity", "left").select("entity", F.coalesce("cluster", "entity").alias("cluster"))

@@ -250,6 +250,34 @@ def test_name_clusters_average_over_all_pairs(spark, monkeypatch):
     assert got == average_linkage(pairs, 0.3) and any(got[k] != cut[k] for k in cut)
 
 
+def test_equally_near_names_take_no_round_each(spark, monkeypatch):
+    from evidara import catalog
+
+    rows = [(f"n{i:02d}", t) for i in range(60) for t in ("related", "disorder", f"own{i}")] + [("x", "related"), ("y", "elsewhere")]
+    df = spark.createDataFrame(rows, "e string, token string")
+    monkeypatch.setattr(catalog, "_name_tokens", lambda spark, folder: df)
+    saved, real = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df: saved.append(1) or real(self, df))
+    got = {r["entity"]: r["cluster"] for r in catalog.name_clusters(spark, "").collect()}
+    assert got == {**{f"n{i:02d}": "n00" for i in range(60)}, "x": "n00"} and len(saved) < 25
+
+
+def test_clusters_from_tokens_against_the_greedy_definition(spark, monkeypatch):
+    from evidara.functions import linkage
+
+    rng = random.Random(11)
+    tokens = {f"n{i:02d}": set(rng.sample("abcdefgh", rng.randrange(1, 4))) | ({f"own{i}"} if i % 3 else set()) for i in range(24)}
+    df = spark.createDataFrame([(e, t) for e, ts in tokens.items() for t in ts], "e string, token string")
+    spec = entities.specificity(df, "e", "token", F.lit(1.0))
+    pairs = [(r["a"], r["b"], round(r["similarity"], 9)) for r in entities.similar_entities(df, "e", "token", spec, 1e-9).collect()]
+    want = average_linkage(pairs, 0.5)
+    monkeypatch.setattr(linkage, "KEPT", 3)
+    for alone in (entities.ALONE, 2):
+        monkeypatch.setattr(entities, "ALONE", alone)
+        assert {r["entity"]: r["cluster"] for r in entities.cluster_entities(df, "e", "token", spec, 0.5).collect()} == want
+    assert 3 < len(set(want.values())) < 20
+
+
 def test_quotes_everywhere_with_slips_and_shorthand(spark):
     text = "aaa binds. The hepatocellular carcinoma grew. ISCA1 is needed. It binds."
     rows = [(1, "binds", text), (2, "aa", text), (3, "hepatocelular carcinma", text), (4, "ISCA1,2", text), (5, "grew", text), (6, None, text)]
