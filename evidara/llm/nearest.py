@@ -3,8 +3,8 @@
 A record is a set of units (word or character n-grams). Its fingerprint has SEGMENTS x WIDTH symbols of 16 bits, each the
 least value of one hash function over the record's units (min-wise hashing), so two records agree in a symbol as often
 as their sets overlap. Each segment is one index: for every record, the ball of Hamming radius 1 around the segment is
-enumerated (one entry for each symbol left out), equal entries are fetched, and the distance of the whole fingerprints
-decides which pairs are verified exactly. Bits instead of symbols can't work at a similarity of 0.6: a pair then differs
+enumerated (one entry for each symbol left out), equal entries are fetched, and the distances of sketches of all units (where
+they are met) and of the whole fingerprints decide which pairs are verified exactly. Bits instead of symbols can't work at a similarity of 0.6: a pair then differs
 in 23 % of the bits and a random pair in 50 %, and balls of that radius hold most of the table.
 
 Units that very many records hold (a host's URLs, frequent syllables) would make entries of whole hosts, so each record
@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidara.llm.components import group_linked
@@ -31,6 +31,9 @@ SEGMENTS, WIDTH = 8, 4
 #: Least number of equal symbols: 1.4 standard deviations under the mean of a pair whose remaining units overlap by a third,
 #: the least a pair at 0.6 can keep, and 3 of one whose units overlap by 0.45.
 LEAST_EQUAL = 7
+#: Bits of a record's sketch of all its units. A pair is ruled out above the mean of a pair at the threshold by this many times
+#: a bound of the standard deviation: 4.4 deviations or more, and none of 100,000 such pairs of 20 to 400 units each.
+BITS, SIGMAS = 256, 4
 #: Units that occur more often than in this share of the records are common; the most of its units a record leaves out.
 COMMON, TRIMMED = 0.005, 0.5
 #: Entries of the index held by more records than this are split over tasks.
@@ -174,8 +177,9 @@ def commonness(records: DataFrame, units: Units) -> np.ndarray:
     return out
 
 
-def kept_units(unit: np.ndarray, of: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(unit, record), each once, without the commonest common units of each record, at most TRIMMED of its units."""
+def told_units(unit: np.ndarray, of: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, record, kept), each once in order of records: kept are all but the commonest common units of each record, at
+    most TRIMMED of its units."""
     level = common[_bucket(unit)]
     key = of.astype(np.uint64) << np.uint64(40) | (255 - level).astype(np.uint64) << np.uint64(32) | unit >> np.uint64(32)
     order = np.argsort(key)
@@ -183,12 +187,38 @@ def kept_units(unit: np.ndarray, of: np.ndarray, common: np.ndarray) -> tuple[np
     unit, of, level = unit[order], of[order], level[order]
     size = np.bincount(of)
     rank = np.arange(of.size) - (np.cumsum(size) - size)[of]
-    kept = (level == 0) | (rank >= np.floor(TRIMMED * size[of]))
-    return unit[kept], of[kept]
+    return unit, of, (level == 0) | (rank >= np.floor(TRIMMED * size[of]))
+
+
+def sketches(unit: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+    """For each record the number of its units, and in BITS bits whether an odd number of them fell on a bit.
+
+    ``first`` are the places where a record's units begin. The bits in which two sketches differ are those of the units
+    that only one of the records has.
+    """
+    bit = unit & np.uint64(BITS - 1)
+    out = {"size": np.diff(np.append(first, unit.size)).astype(np.int32)}
+    for k in range(BITS // 64):
+        own = np.where(bit >> np.uint64(6) == np.uint64(k), np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
+        out[f"s{k}"] = np.bitwise_xor.reduceat(own, first).view(np.int64)
+    return out
+
+
+def bits_apart(threshold: float) -> list[int]:
+    """For each sum of two records' sizes the most bits their sketches differ in if at least ``threshold`` of their units
+    are in both; up to the sum from which sketches tell nothing."""
+    out: list[int] = []
+    while len(out) < 1 << 14:
+        apart = (1 - threshold) / (1 + threshold) * len(out)
+        mean, most = BITS / 2 * (1 - (1 - 2 / BITS) ** apart), BITS / 4 * (1 - (1 - 4 / BITS) ** apart)
+        out.append(int(mean + SIGMAS * most**0.5 + 1))
+        if mean > 0.45 * BITS:
+            break
+    return out
 
 
 def fingerprints(records: DataFrame, units: Units) -> DataFrame:
-    """(id, symbols array<int>) for every record with a unit."""
+    """(id, symbols array<int>, sketch) for every record with a unit: the fingerprint, and the sketch of all units."""
     held = records.sparkSession.sparkContext.broadcast(commonness(records, units))
     count = SEGMENTS * WIDTH
     seeds = _mix(np.arange(1, 2 * count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -198,17 +228,20 @@ def fingerprints(records: DataFrame, units: Units) -> DataFrame:
         for b in batches:
             ids = b["id"].to_numpy()
             for start, run in _parts(b["text"]):
-                unit, of = kept_units(*units.hashed(run), held.value)
+                unit, of, kept = told_units(*units.hashed(run), held.value)
                 if not unit.size:
                     continue
+                whole = sketches(unit, np.flatnonzero(np.diff(of, prepend=-1)))
+                unit, of = unit[kept], of[kept]
                 first = np.flatnonzero(np.diff(of, prepend=-1))
                 symbols = np.empty((first.size, count), np.int32)
                 for k in range(count):
                     symbols[:, k] = (_mix(np.minimum.reduceat(unit * factors[k] + shifts[k], first)) >> np.uint64(48)).astype(np.int32)
-                yield pd.DataFrame({"id": ids[start + of[first]], "symbols": list(symbols)})
+                yield pd.DataFrame({"id": ids[start + of[first]], "symbols": list(symbols), **whole})
 
-    kind = dict(records.dtypes)["id"]
-    return records.mapInPandas(sketch, f"id {kind}, symbols array<int>")
+    kind, words = dict(records.dtypes)["id"], [f"s{k}" for k in range(BITS // 64)]
+    rows = records.mapInPandas(sketch, f"id {kind}, symbols array<int>, size int, {', '.join(f'{w} long' for w in words)}")
+    return rows.select("id", "symbols", F.struct("size", *words).alias("sketch"))
 
 
 class _Near:
@@ -221,7 +254,8 @@ class _Near:
         firsts = self.scratch.save(digests.groupBy("digest").agg(F.min("id").alias("rep")).withColumn("no", F.monotonically_increasing_id()))
         self.members = self.scratch.save(digests.join(firsts, "digest").select("id", "rep", "no"))
         self.reps = firsts.select(F.col("rep").alias("id"), "no")
-        self.prints = self.scratch.save(fingerprints(self.records, units).join(self.reps, "id").select("no", "symbols"))
+        self.prints = self.scratch.save(fingerprints(self.records, units).join(self.reps, "id").select("no", "symbols", "sketch"))
+        self.apart = bits_apart(threshold)
 
     def index(self) -> DataFrame:
         """(entry, no): the ball of radius 1 around every segment of every fingerprint, one entry for each symbol left out.
@@ -238,14 +272,24 @@ class _Near:
         return numbered.select("no", key.alias("entry"))
 
     def met(self) -> DataFrame:
-        """(a, b) for every two records with an entry in common.
+        """(a, b) for every two records with an entry in common whose sketches don't rule them out.
 
-        Both sides read one shuffle of the index; adaptive execution splits the entries of large groups, whose pairs are
+        Both sides read one shuffle of the shared entries and their sketches; pairs ruled out, whose number grows with the
+        square of the records, are never written. Adaptive execution splits the entries of large groups, whose pairs are
         wanted all.
         """
-        index = self.index()
-        x, y = index.select("entry", F.col("no").alias("a")), index.select("entry", F.col("no").alias("b"))
-        return x.join(y, "entry").where("a < b").select("a", "b").distinct()
+        shared = self.sketched(self.shared())
+        x, y = (shared.select("entry", F.col("no").alias(c), F.col("sketch").alias(f"s_{c}")) for c in "ab")
+        return x.join(y, "entry").where("a < b").where(self.may()).select("a", "b").distinct()
+
+    def may(self) -> Column:
+        """Whether the sketches s_a and s_b can be those of similar records."""
+        differ = reduce(Column.__add__, [F.bit_count(F.col(f"s_a.s{k}").bitwiseXOR(F.col(f"s_b.s{k}"))) for k in range(BITS // 64)])
+        most = F.get(F.array(*map(F.lit, self.apart)), F.col("s_a.size") + F.col("s_b.size"))
+        return differ <= F.coalesce(most, F.lit(BITS))
+
+    def sketched(self, shared: DataFrame) -> DataFrame:
+        return shared.join(self.prints.select("no", "sketch"), "no")
 
     def shared(self) -> DataFrame:
         """(entry, no, n): the entries of the index that more than one record has, and how many have it."""
@@ -254,12 +298,13 @@ class _Near:
         return self.scratch.save(index.join(several, "entry"))
 
     def met_apart(self, shared: DataFrame) -> DataFrame:
-        """(a, b) for every two records of different groups with an entry in common; entries of many records are split
-        over tasks."""
+        """(a, b) for every two records of different groups with an entry in common whose sketches don't rule them out;
+        entries of many records are split over tasks."""
         k = F.ceil(F.col("n") / HOT).cast("int")
-        x = shared.select("entry", F.col("no").alias("a"), F.pmod(F.xxhash64("no"), k).cast("int").alias("part"), F.col("group").alias("x"))
-        y = shared.select("entry", F.col("no").alias("b"), F.explode(F.sequence(F.lit(0), k - 1)).alias("part"), F.col("group").alias("y"))
-        return x.join(y, ["entry", "part"]).where("a < b AND x <> y").select("a", "b").distinct()
+        shared = self.sketched(shared)
+        x = shared.select("entry", F.col("no").alias("a"), F.pmod(F.xxhash64("no"), k).cast("int").alias("part"), F.col("group").alias("x"), F.col("sketch").alias("s_a"))
+        y = shared.select("entry", F.col("no").alias("b"), F.explode(F.sequence(F.lit(0), k - 1)).alias("part"), F.col("group").alias("y"), F.col("sketch").alias("s_b"))
+        return x.join(y, ["entry", "part"]).where("a < b AND x <> y").where(self.may()).select("a", "b").distinct()
 
     def close(self, met: DataFrame) -> DataFrame:
         """(a, b): those whose whole fingerprints are near enough."""

@@ -95,3 +95,34 @@ def test_common_units_do_not_depend_on_batches(spark, monkeypatch):
         seen.append(commonness(df.repartition(parts), Units("words", 2)).tolist())
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert any(seen[0]) and seen[0] == seen[1] == seen[2]
+
+
+def test_records_with_a_common_phrase_are_not_met(spark):
+    from evidara.llm.nearest import _Near
+
+    rng = random.Random(10)
+    word = lambda n: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(n))
+    rows = [(f"p{i:03d}", f"{word(50)} qxzjqyqxwjzyq hqzj xqj {word(50)}", "z", "z") for i in range(300)] + [(f"o{i:04d}", word(120), "z", "z") for i in range(900)]
+    rows += [(f"q{i:03d}", rows[i][1][:-6] + word(6), "z", "z") for i in range(20)]
+    near = _Near(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", Units("characters", 4), 0.6)
+    no = {r["id"]: r["no"] for r in near.reps.collect()}
+    met = {(r["a"], r["b"]) for r in near.met().collect()}
+    assert {tuple(sorted((no[f"p{i:03d}"], no[f"q{i:03d}"]))) for i in range(20)} <= met and len(met) < 500
+
+
+def test_sketches_keep_similar_sets():
+    import numpy as np
+
+    rng, most, sets = np.random.default_rng(3), nearest.bits_apart(0.6), []
+    for _ in range(3000):
+        n = int(rng.integers(4, 300))
+        unit = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
+        own = n // 4  # as many in each alone as leave at least 0.6 in both
+        sets += [unit[:n], np.concatenate([unit[: n - own], unit[n : n + own]])]
+    got = nearest.sketches(np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets[:-1]]))
+    assert got["size"].tolist() == [len(x) for x in sets]
+    bits = np.stack([got[f"s{k}"].view(np.uint64) for k in range(4)])
+    apart = np.bitwise_count(bits[:, ::2] ^ bits[:, 1::2]).sum(axis=0)
+    sums = got["size"][::2] + got["size"][1::2]
+    assert all(d <= (most[s] if s < len(most) else 256) for d, s in zip(apart.tolist(), sums.tolist(), strict=True))
+    assert most[280] < 90 and most[40] < 30
